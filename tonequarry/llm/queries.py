@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonequarry.llm import bpe, packing, simhash
+from tonequarry.llm import bpe, packing, secrets, simhash, urls
 from tonequarry.llm.common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -27,9 +27,45 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+#: The rules, and the hosts whose canonical URLs are listed.
+RULES = (
+    urls.Rule("allow", "org", "/"),
+    urls.Rule("block", "example.org", "/es/"),
+    urls.Rule("block", "example.org", "/en/1"),
+    urls.Rule("allow", "com", "/fr/"),
+    urls.Rule("block", "com", "/de/"),
+)
+LISTED_HOSTS = tuple(f"{name}.example.{top}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org"))
+
+
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = spark.createDataFrame([(f"{h}/",) for h in LISTED_HOSTS], "key string")
+    return urls.judge(table(spark, sf_dir, "pages"), RULES, listed)
+
+
+def op10_sql() -> str:
+    rules = sorted(RULES, key=lambda r: -len(r.host + r.path))
+    fits = [f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')" for r in rules]
+    rule = " ".join(f"WHEN {f} THEN '{r.host}{r.path}'" for f, r in zip(fits, rules, strict=True))
+    verdict = " ".join(f"WHEN {f} THEN '{r.verdict}'" for f, r in zip(fits, rules, strict=True))
+    hosts = ", ".join(f"'{h}'" for h in LISTED_HOSTS)
+    return f"""
+        WITH parts AS (
+            SELECT page_id, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+                   coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+        bare AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':(80|443)?$', ''), '^www[.]', '') AS b FROM parts)
+        SELECT page_id, host, path, CASE {rule} ELSE NULL END AS rule,
+               CASE {verdict} WHEN EXISTS (SELECT 1 FROM unnest([{hosts}]) AS l(h) WHERE b = h OR ends_with(b, '.' || h)) THEN 'block' ELSE 'allow' END AS verdict
+        FROM bare"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_simhash": op2_simhash, "op8_packing": op8_packing}
+    return {"op1_bpe": op1_bpe, "op2_simhash": op2_simhash, "op8_packing": op8_packing, "op9_secrets": op9_secrets, "op10_urls": op10_urls}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_urls": op10_sql()}
