@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonequarry.llm import bpe, packing, secrets, simhash, urls
+from tonequarry.llm import bpe, packing, quality, secrets, simhash, urls
 from tonequarry.llm.common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -23,6 +23,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY)
 
@@ -64,7 +68,7 @@ def op10_sql() -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_simhash": op2_simhash, "op8_packing": op8_packing, "op9_secrets": op9_secrets, "op10_urls": op10_urls}
+    return {"op1_bpe": op1_bpe, "op2_simhash": op2_simhash, "op5_quality": op5_quality, "op8_packing": op8_packing, "op9_secrets": op9_secrets, "op10_urls": op10_urls}
 
 
 def oracle_sql() -> dict[str, str]:
