@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonequarry.llm import bpe, lines, packing, quality, secrets, simhash, urls
+from tonequarry.llm import ann, bpe, html, lines, packing, quality, secrets, simhash, urls
 from tonequarry.llm.common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -31,6 +31,14 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY)
 
@@ -72,7 +80,7 @@ def op10_sql() -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_simhash": op2_simhash, "op4_lines": op4_lines, "op5_quality": op5_quality, "op8_packing": op8_packing, "op9_secrets": op9_secrets, "op10_urls": op10_urls}
+    return {"op1_bpe": op1_bpe, "op2_simhash": op2_simhash, "op4_lines": op4_lines, "op5_quality": op5_quality, "op6_neighbours": op6_neighbours, "op7_html": op7_html, "op8_packing": op8_packing, "op9_secrets": op9_secrets, "op10_urls": op10_urls}
 
 
 def oracle_sql() -> dict[str, str]:
