@@ -83,6 +83,12 @@ def raster(wide: int, high: int, component: int) -> np.ndarray:
     return ((y // 2) * wide + x // 2) * PER_MCU + (y % 2) * 2 + x % 2
 
 
+@functools.lru_cache(maxsize=4096)
+def interleaved(mcus: int, parts: tuple[int, ...]) -> np.ndarray:
+    """The places of some blocks of each MCU, MCU by MCU."""
+    return (np.arange(mcus)[:, None] * PER_MCU + np.array(parts)).reshape(-1)
+
+
 def segment(marker: int, body: bytes) -> bytes:
     return struct.pack(">BBH", 0xFF, marker, len(body) + 2) + body
 
@@ -214,12 +220,13 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     for (w, h), n in zip(grids, counts, strict=True):
         frame = struct.pack(">BHHB", 8, 16 * h, 16 * w, 3) + bytes([1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0])
         files.append([b"\xff\xd8", segment(0xFE, TAG + struct.pack(">Q", n * BLOCK)), HEAD, segment(0xC2, frame), TABLES, segment(0xDD, struct.pack(">H", 1))])
+    orders = {c: np.concatenate([raster(w, h, c) + at for (w, h), at in zip(grids, (starts * PER_MCU).tolist(), strict=True)]) for c in PART}
     for components, first, last, high, low in SCRIPT:
         head = segment(0xDA, bytes([len(components)]) + b"".join(bytes([c, 0]) for c in components) + bytes([first, last, high << 4 | low]))
         if first == 0:
             where, sizes = None, mcus
         else:
-            where = np.concatenate([raster(w, h, components[0]) + at for (w, h), at in zip(grids, (starts * PER_MCU).tolist(), strict=True)])
+            where = orders[components[0]]
             sizes = mcus * len(PART[components[0]])
         edges = np.append(0, np.cumsum(sizes))
         numbers = np.arange(edges[-1]) - np.repeat(edges[:-1], sizes)
@@ -253,6 +260,17 @@ class Frame:
     scans: list[tuple[tuple, int, int]]
 
 
+@functools.lru_cache(maxsize=64)
+def huffman_tables(body: bytes) -> dict[int, bytes]:
+    """A segment's tables by class and number."""
+    out = {}
+    while body:
+        n = 17 + sum(body[1:17])
+        out[body[0]] = body[1:n]
+        body = body[n:]
+    return out
+
+
 def parsed(data: bytes, ends: np.ndarray) -> Frame:
     """``ends``: the places of markers that end a scan's data. Files of three components as written above."""
     at, tables, interval, out = 2, {}, 0, Frame(0, 0, 0, [])
@@ -272,10 +290,7 @@ def parsed(data: bytes, ends: np.ndarray) -> Frame:
             if n != 3 or [body[7 + 3 * i] for i in range(3)] != [0x22, 0x11, 0x11] or out.width % 16 or out.height % 16:
                 raise ValueError("only whole MCUs of three components, the chroma ones halved, are supported")
         elif marker == 0xC4:
-            while body:
-                n = 17 + sum(body[1:17])
-                tables[body[0]] = body[1:n]
-                body = body[n:]
+            tables |= huffman_tables(body)
         elif marker == 0xDD:
             interval = int.from_bytes(body, "big")
         elif marker == 0xDA:
@@ -304,22 +319,22 @@ class Bits:
     def ahead(self, who: np.ndarray) -> np.ndarray:
         """The next 57 bits, left-aligned."""
         at = self.at[who]
-        return self.words[np.minimum(at >> 3, len(self.words) - 1)] << (at & 7).astype("u8")
+        return self.words[np.minimum(at >> 3, len(self.words) - 1)] << (at & 7).view("u8")
 
     def bit(self, who: np.ndarray) -> np.ndarray:
-        out = (self.ahead(who) >> np.uint64(63)).astype("i8")
+        out = (self.ahead(who) >> np.uint64(63)).view("i8")
         self.at[who] += 1
         return out
 
     def symbol(self, who: np.ndarray, table: np.ndarray, run: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Run, size and the bits of that size (or, for sizes of 0 with ``run``, of the run's size) of the next code."""
         word = self.ahead(who)
-        found = table[(word >> np.uint64(48)).astype("i8")]
+        found = table[(word >> np.uint64(48)).view("i8")]
         length, r, s = found >> 8, found >> 4 & 15, found & 15
         extra = np.where((s == 0) & (r < 15), r, s) if run else s
-        value = (word << length.astype("u8")) >> np.uint64(1) >> (63 - extra).astype("u8")
+        value = (word << length.view("u8")) >> np.uint64(1) >> (63 - extra).view("u8")
         self.at[who] += length + extra
-        return r, s, value.astype("i8")
+        return r, s, value.view("i8")
 
 
 def signed(value: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -397,8 +412,8 @@ def refine_ac(bits: Bits, flat: np.ndarray, places: np.ndarray, table: np.ndarra
         pending[who] = False
 
 
-def decode(files: list[bytes]) -> tuple[list[Frame], list[np.ndarray]]:
-    """Frames and coefficient arrays ``(mcu, 6, 64)`` of progressive files, accumulated scan by scan."""
+def decode(files: list[bytes]) -> tuple[list[Frame], np.ndarray]:
+    """Frames and the coefficients ``(mcu, 6, 64)`` of all files in turn, accumulated scan by scan."""
     raw = np.frombuffer(b"".join(files), "u1")
     edges = np.append(0, np.cumsum([len(f) for f in files]))
     follows = np.append(raw[1:], np.uint8(0))
@@ -421,33 +436,30 @@ def decode(files: list[bytes]) -> tuple[list[Frame], list[np.ndarray]]:
             if number < len(f.scans):
                 alike.setdefault(f.scans[number][0], []).append(i)
         for (chosen, first, last, high, low, tables, interval), own in alike.items():
-            starts, places = [], []
-            widest = 0
-            for i in own:
-                f = frames[i]
-                _, a, b = f.scans[number]
-                a, b = a + int(edges[i]), b + int(edges[i])
-                cuts = restarts[np.searchsorted(restarts, a) : np.searchsorted(restarts, b)]
-                starts.append(np.append(a, cuts + 2))
-                if len(chosen) > 1:
-                    order = np.arange(mcus[i] * PER_MCU).reshape(-1, PER_MCU)[:, [p for c in chosen for p in PART[c]]].reshape(-1)
-                else:
-                    order = raster(f.width // 16, f.height // 16, chosen[0])
-                order = order + int(base[i]) * PER_MCU
-                each = (interval or len(order)) * (sum(len(PART[c]) for c in chosen) if interval and len(chosen) > 1 else 1)
-                rows = -(-len(order) // each)
-                padded = np.full(rows * each, -1)
-                padded[: len(order)] = order
-                places.append(padded.reshape(rows, each))
-                widest = max(widest, each)
-            starts = place[np.minimum(np.concatenate(starts), len(place) - 1)]
-            places = np.concatenate([np.pad(p, ((0, 0), (0, widest - p.shape[1])), constant_values=-1) for p in places]) if len({p.shape[1] for p in places}) > 1 else np.concatenate(places)
+            begin = np.array([frames[i].scans[number][1] for i in own]) + edges[own]
+            end = np.array([frames[i].scans[number][2] for i in own]) + edges[own]
+            file = np.searchsorted(begin, restarts, "right") - 1
+            inside = restarts[(file >= 0) & (restarts < end[file])]
+            starts = np.sort(np.concatenate([begin, inside + 2]))
+            cuts = list(zip(place[begin].tolist(), place[end].tolist(), strict=True))
+            scan = np.concatenate([data[x:y] for x, y in cuts])
+            shift = place[begin] - np.append(0, np.cumsum([y - x for x, y in cuts])[:-1])
+            starts = place[np.minimum(starts, len(place) - 1)] - shift[np.searchsorted(begin, starts, "right") - 1]
+            parts = tuple(p for c in chosen for p in PART[c])
+            each = interval * len(parts) if len(chosen) > 1 else interval
+            orders = [(interleaved(int(mcus[i]), parts) if len(chosen) > 1 else raster(frames[i].width // 16, frames[i].height // 16, chosen[0])) + int(base[i]) * PER_MCU for i in own]
+            if each and not any(len(x) % each for x in orders):
+                places = np.concatenate(orders).reshape(-1, each)
+            else:  # a scan whose last unit is shorter, or without restarts
+                widest = each or max(map(len, orders))
+                rows = [np.append(x, np.full(-len(x) % widest, -1)).reshape(-1, widest) for x in orders]
+                places = np.concatenate(rows)
             if len(starts) != len(places):
                 raise ValueError("a scan's restart markers don't match its size")
             for a in range(0, len(starts), UNITS):
                 part, at = places[a : a + UNITS], starts[a : a + UNITS]
-                stop = int(starts[a + UNITS]) if a + UNITS < len(starts) else len(data)
-                bits = Bits(data[: max(stop, int(at.max()) + 1)], at)
+                stop = int(starts[a + UNITS]) if a + UNITS < len(starts) else len(scan)
+                bits = Bits(scan[:stop], at)
                 if first == 0:
                     order = [c for c in chosen for _ in PART[c]] if len(chosen) > 1 else [chosen[0]]
                     read_dc(bits, flat, part, order, [None, *(lookup(t) if t else None for t in (tables + tables[-1:] * 3)[:3])], high, low)
@@ -455,7 +467,7 @@ def decode(files: list[bytes]) -> tuple[list[Frame], list[np.ndarray]]:
                     refine_ac(bits, flat, part, lookup(tables[0]), first, last, low)
                 else:
                     read_ac(bits, flat, part, lookup(tables[0]), first, last, low)
-    return frames, [blocks[a:b] for a, b in zip(base[:-1].tolist(), base[1:].tolist(), strict=True)]
+    return frames, blocks
 
 
 def inverse() -> np.ndarray:
@@ -469,20 +481,25 @@ def inverse() -> np.ndarray:
 INVERSE = inverse()
 
 
-def tensors(blocks: np.ndarray, wide: int) -> np.ndarray:
-    """RGB samples ``(height, width, 3)`` of MCUs in rows of ``wide``, with chroma repeated to full resolution."""
+def samples_of(blocks: np.ndarray) -> np.ndarray:
+    """RGB samples ``(mcu, 16, 16, 3)`` of MCUs, with chroma repeated to full resolution."""
     out = np.empty((len(blocks), 16, 16, 3), "u1")
-    for a in range(0, len(blocks), 4096):
-        part = blocks[a : a + 4096]
-        samples = (part.reshape(-1, BLOCK).astype("f8") @ INVERSE).astype("i8") + (1 << 13) >> 14
-        samples = np.clip(samples + 128, 0, 255).astype("i4").reshape(-1, PER_MCU, 8, 8)
+    for a in range(0, len(blocks), 1024):
+        part = blocks[a : a + 1024]
+        samples = ((part.reshape(-1, BLOCK).astype("f8") @ INVERSE).astype("i4") + (1 << 13) >> 14) + 128
+        samples = np.clip(samples, 0, 255).reshape(-1, PER_MCU, 8, 8)
         y = samples[:, :4].reshape(-1, 2, 2, 8, 8).transpose(0, 1, 3, 2, 4).reshape(-1, 16, 16)
         cb, cr = (samples[:, i].repeat(2, 1).repeat(2, 2) - 128 for i in (4, 5))
         # The JFIF colour matrix times 2^16.
         rgb = (y + (91881 * cr + 32768 >> 16), y - (22554 * cb + 46802 * cr + 32768 >> 16), y + (116130 * cb + 32768 >> 16))
         for i, channel in enumerate(rgb):
-            out[a : a + 4096, :, :, i] = np.clip(channel, 0, 255)
-    return out.reshape(-1, wide, 16, 16, 3).transpose(0, 2, 1, 3, 4).reshape(-1, 16 * wide, 3)
+            out[a : a + 1024, :, :, i] = np.clip(channel, 0, 255)
+    return out
+
+
+def tensor(samples: np.ndarray, wide: int) -> np.ndarray:
+    """``(height, width, 3)`` of MCUs in rows of ``wide``."""
+    return samples.reshape(-1, wide, 16, 16, 3).transpose(0, 2, 1, 3, 4).reshape(-1, 16 * wide, 3)
 
 
 def padded(data: bytes) -> bytes:
@@ -517,8 +534,11 @@ def stored(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
 def opened(files: list[bytes]) -> Iterator[tuple[Frame, bytes, np.ndarray]]:
     """Of each file its frame, the payload read back and the RGB tensor."""
     frames, blocks = decode(files)
-    for f, b in zip(frames, blocks, strict=True):
-        yield f, b.reshape(-1)[: f.length].astype("u1").tobytes(), tensors(b, f.width // 16)
+    payload, samples, at = blocks.astype("u1"), samples_of(blocks), 0
+    for f in frames:
+        to = at + f.width * f.height // 256
+        yield f, payload[at:to].reshape(-1)[: f.length].tobytes(), tensor(samples[at:to], f.width // 16)
+        at = to
 
 
 def rgb(media: DataFrame) -> DataFrame:
@@ -535,6 +555,7 @@ def rgb(media: DataFrame) -> DataFrame:
     return media.select("doc_id", "media").mapInArrow(run, "doc_id long, height int, width int, rgb binary")
 
 
+LEVELS = np.arange(256)
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
@@ -551,12 +572,13 @@ def digests(media: DataFrame) -> DataFrame:
             files = [m.as_py() for m in batch.column(2)]
             for part in runs(files):
                 rows = []
-                for data, (f, payload, tensor) in zip(files[part], opened(files[part]), strict=True):
-                    flat = tensor.reshape(-1, 3)
-                    sums = [int(x) for x in flat.sum(0, dtype="i8")]
-                    squares = [int(np.dot(c, c)) for c in flat.T.astype("f8")]
+                for data, (f, payload, pixels) in zip(files[part], opened(files[part]), strict=True):
+                    flat = pixels.reshape(-1, 3)
+                    # By value and channel, so that sums are exact and cheap.
+                    tallies = [np.bincount(flat[:, i], minlength=256) for i in range(3)]
+                    sums, squares = ([int(t @ w) for t in tallies] for w in (LEVELS, LEVELS**2))
                     moments = ",".join(f"{s / len(flat):.4f}:{max(0.0, q / len(flat) - (s / len(flat)) ** 2) ** 0.5:.4f}" for s, q in zip(sums, squares, strict=True))
-                    feature = f"{f.width}x{f.height};{moments};{zlib.crc32(tensor):08x}"
+                    feature = f"{f.width}x{f.height};{moments};{zlib.crc32(pixels):08x}"
                     rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(data), hashlib.sha256(data).hexdigest(), feature))
                 columns = [pa.array(c) for c in zip(*rows, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.start, len(rows)), batch.column(1).slice(part.start, len(rows)), *columns], names)

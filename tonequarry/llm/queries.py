@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonequarry.llm import ann, bpe, html, lines, packing, quality, secrets, simhash, urls
+from tonequarry.llm import ann, bpe, html, lines, media, packing, quality, secrets, simhash, urls
 from tonequarry.llm.common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -23,6 +23,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(media.stored(table(spark, sf_dir, "documents")))
+
+
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(lines.dedup_lines(table(spark, sf_dir, "documents")))
 
@@ -80,7 +84,7 @@ def op10_sql() -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_simhash": op2_simhash, "op4_lines": op4_lines, "op5_quality": op5_quality, "op6_neighbours": op6_neighbours, "op7_html": op7_html, "op8_packing": op8_packing, "op9_secrets": op9_secrets, "op10_urls": op10_urls}
+    return {"op1_bpe": op1_bpe, "op2_simhash": op2_simhash, "op3_media": op3_media, "op4_lines": op4_lines, "op5_quality": op5_quality, "op6_neighbours": op6_neighbours, "op7_html": op7_html, "op8_packing": op8_packing, "op9_secrets": op9_secrets, "op10_urls": op10_urls}
 
 
 def oracle_sql() -> dict[str, str]:
