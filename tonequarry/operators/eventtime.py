@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FIRST, LAST = -257, 255
 LEAST_BEFORE, LEAST_ROWS = 65, 60
@@ -67,7 +68,7 @@ def checks(events: DataFrame, days: DataFrame) -> DataFrame:
     return events.join(found, "accession", "left").select("accession", ok.alias("ev_ok"), F.coalesce(both, F.lit(False)).alias("pre_post_ok"), "price_before")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _intercept(moments: pd.Series) -> pd.Series:
     """The intercept of an OLS fit from (mean y, means x, cov(x, y), cov(x, x) upper triangle)."""
     out = np.full(len(moments), np.nan)
