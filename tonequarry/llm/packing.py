@@ -11,6 +11,7 @@ the next block, so memory doesn't grow with the partition. No row moves between
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
 from itertools import pairwise
@@ -33,7 +34,10 @@ AGAIN = 2
 
 
 def plan(cuts: list[int], penalties: list[int], size: int = SEQUENCE) -> list[int]:
-    """The cuts of the cheapest windows from ``cuts[0]`` to ``cuts[-1]``; neighbours must be at most ``size`` apart."""
+    """The cuts of the cheapest windows from ``cuts[0]`` to ``cuts[-1]``; neighbours must be at most ``size`` apart.
+
+    The last window costs nothing, as it is planned again or cut into sequences without padding.
+    """
     best, came = [0] * len(cuts), [0] * len(cuts)
     queue: deque[int] = deque([0])
     keys = [cuts[0]] + [0] * (len(cuts) - 1)  # best + position: what a predecessor adds to a window's padding
@@ -48,6 +52,7 @@ def plan(cuts: list[int], penalties: list[int], size: int = SEQUENCE) -> list[in
             queue.pop()
         queue.append(j)
     out, j = [], len(cuts) - 1
+    came[j] = min((i for i in range(bisect_left(cuts, cuts[j] - size), j)), key=best.__getitem__)
     while j:
         out.append(cuts[j])
         j = came[j]
