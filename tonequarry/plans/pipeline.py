@@ -13,7 +13,7 @@ from tonequarry.operators import eventtime, links, rows, stats
 
 @dataclass(frozen=True)
 class Options:
-    """What the reference study varies between runs; passed on, never taken from the environment."""
+    """What varies between runs of the study; passed on, never taken from the environment."""
 
     forms: tuple[str, ...] = ("10-K", "10-K405")
     share_codes: tuple[int, ...] = (10, 11)

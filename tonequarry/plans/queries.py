@@ -1,4 +1,4 @@
-"""Queries of the reference operators, each with the SQL that must give the same rows where SQL can."""
+"""Queries of the study's operators, each with the SQL that must give the same rows where SQL can."""
 
 from __future__ import annotations
 
