@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tonequarry.functions import columns as C
+from tonequarry.functions.text import clean_text, extract_section
 from tonequarry.operators import eventtime, links, regress, rows, stats, tone
 from tonequarry.plans import pipeline
 from tonequarry.plans.standins import frame, sql
@@ -774,6 +775,72 @@ def _(t: Tables) -> DataFrame:
     return rounded(regress.fama_macbeth(panel_of(t), {"full": ("excret", "tone"), "alpha": ("alpha", "tone")}, ["log_size", "nasdaq"], both=True))
 
 
+# --- cleaning, sections, checks --------------------------------------------------------------------------------------
+
+def raw_filing() -> Column:
+    """A document as the body of an annual report, with markup, an entity and a numeric table."""
+    return F.concat(F.lit("<SEC-HEADER>x</SEC-HEADER><DOCUMENT>\n<TYPE>10-K\n<TEXT>"), F.col("text"), F.lit(" <b>A</b> &amp; <TABLE>1 2 3</TABLE></TEXT></DOCUMENT>"))
+
+
+@query("TXT1_clean_text", r"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(upper(replace(text, 'ß', 'ss')) || '  A  & ', '-\s*\n\s*', '-', 'g'), '[ \t\f\v]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10))) AS digest FROM documents""")
+def _(t: Tables) -> DataFrame:
+    return t("documents").select("doc_id", F.md5(clean_text(raw_filing())).alias("digest"))
+
+
+@query("TXT2_section", r"""SELECT doc_id, CASE WHEN len(regexp_extract_all(text, '\S+')) + 4 BETWEEN 250 AND 100000 THEN 'ok_t1_10k_item7' ELSE 'no_match' END AS status FROM documents""")
+def _(t: Tables) -> DataFrame:
+    text = F.concat(F.lit("ITEM 7. MANAGEMENT'S DISCUSSION "), F.upper("text"), F.lit(" ITEM 8. FINANCIAL STATEMENTS"))
+    return t("documents").select("doc_id", extract_section(text, F.lit("10-K"))["status"].alias("status"))
+
+
+@query("TXT8_byte_length", "SELECT doc_id, octet_length(encode(text)) AS n FROM documents")
+def _(t: Tables) -> DataFrame:
+    return t("documents").select("doc_id", F.octet_length("text").cast("long").alias("n"))
+
+
+@query("SCR2_section_tone", f"{HEAD} SELECT c.doc_id, round(CASE WHEN d.n_chars >= 2000 AND c.n_words > 0 THEN 100.0 * c.n_neg / c.n_words END, 6) AS neg_pct FROM counts c JOIN documents d ON d.doc_id = c.doc_id")
+def _(t: Tables) -> DataFrame:
+    d = t("documents")
+    scored = tone.proportional(tone.word_counts(d, derived_words(d))).join(d.select("doc_id", "n_chars"), "doc_id")
+    return rounded(scored.select("doc_id", F.when(F.col("n_chars") >= 2000, F.col("neg_pct")).alias("neg_pct")))
+
+
+@query("JN20_probe", "SELECT o.o_orderkey, d.n_chars FROM orders o JOIN documents d ON d.doc_id = o.o_orderkey")
+def _(t: Tables) -> DataFrame:
+    return t("orders").join(t("documents"), F.col("o_orderkey") == F.col("doc_id")).select("o_orderkey", "n_chars")
+
+
+@query(
+    "VAL1_key_coverage",
+    """SELECT count(a) AS n_mine, count(b) AS n_theirs, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS n_both, count(*) FILTER (b IS NULL) AS only_mine, count(*) FILTER (a IS NULL) AS only_theirs,
+       round(100.0 * count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) / count(b), 6) AS recall_pct FROM (SELECT DISTINCT accession AS a FROM {filings} WHERE form_type = '10-K') x FULL JOIN (SELECT DISTINCT doc_id AS b FROM labels) y ON a = b""",
+)
+def _(t: Tables) -> DataFrame:
+    return rows.coverage(t("filings").where("form_type = '10-K'").select(F.col("accession").alias("k")), t("labels").select(F.col("doc_id").alias("k")), "k")
+
+
+@query("VAL2_family_breakdown", "SELECT coalesce(a.f, b.f) AS form_type, coalesce(a.n, 0) AS mine, coalesce(b.n, 0) AS theirs, coalesce(a.n, 0) - coalesce(b.n, 0) AS diff FROM (SELECT form_type AS f, count(*) AS n FROM {filings} WHERE permno < 50 GROUP BY 1) a FULL JOIN (SELECT form_type AS f, count(*) AS n FROM {filings} WHERE form_type <> '10-K' GROUP BY 1) b ON a.f = b.f")
+def _(t: Tables) -> DataFrame:
+    return rows.breakdown(t("filings").where("permno < 50"), t("filings").where("form_type <> '10-K'"), "form_type")
+
+
+@query("VAL3_size_check", "SELECT count(*) AS n, count(*) FILTER (r BETWEEN 0.95 AND 1.05) AS good, count(*) FILTER (r < 0.5) AS low, count(*) FILTER (r > 1.5) AS high, round(median(r), 6) AS median, round(avg(r), 6) AS mean FROM (SELECT octet_length(encode(text)) / n_chars AS r FROM documents WHERE n_chars > 0)")
+def _(t: Tables) -> DataFrame:
+    return rounded(stats.size_check(t("documents").select(F.octet_length("text").alias("m"), "n_chars"), "m", "n_chars"))
+
+
+@query("VAL4_count_check", "SELECT count(*) AS n, round(avg(d), 6) AS mean, round(median(d), 6) AS median, round(avg(CAST(abs(d) <= 0.02 AS DOUBLE)), 6) AS within_2, round(avg(CAST(abs(d) <= 0.05 AS DOUBLE)), 6) AS within_5 FROM (SELECT (octet_length(encode(text)) - n_chars) / n_chars AS d FROM documents WHERE n_chars > 0)")
+def _(t: Tables) -> DataFrame:
+    return rounded(stats.agreement(t("documents").select(F.octet_length("text").alias("m"), "n_chars"), "m", "n_chars"))
+
+
+@query("VAL5_comparison", "SELECT a.event_type AS label, a.mine, b.target, round(100.0 * (a.mine - b.target) / b.target, 6) AS gap_pct FROM (SELECT event_type, count(*) AS mine FROM events GROUP BY 1) a JOIN (SELECT event_type, 7 + count(DISTINCT user_id) AS target FROM events GROUP BY 1) b ON a.event_type = b.event_type")
+def _(t: Tables) -> DataFrame:
+    e = t("events")
+    mine, target = e.groupBy(F.col("event_type").alias("label")).agg(F.count("*").alias("mine")), e.groupBy(F.col("event_type").alias("label")).agg((7 + F.countDistinct("user_id")).alias("target"))
+    return rounded(mine.join(target, "label").withColumn("gap_pct", C.percent(F.col("mine") - F.col("target"), F.col("target"))))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tone of the documents: tokens, dictionary, counts, proportional scores."""
     return scr1(lambda n: frame(spark, sf_dir, n))
