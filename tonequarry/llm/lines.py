@@ -5,35 +5,42 @@ joined by Jaccard similarity: tokens are ordered by rarity in the corpus, so two
 their short prefixes; length, position and a parity bitmap bound the overlap of the pairs that do, and the rest is
 verified on the token sets themselves. A class that is similar to an earlier one goes with all its lines.
 
-It is enough to know whether an earlier similar line exists, so each line first meets only the earliest of its
-candidates for a token, and all of them only if none of those is similar. A group of n near copies costs n pairs.
+It is enough to know whether an earlier similar line exists, so each line meets the earliest of all its candidates
+first, then the earliest for each token, and all of them only if none of those is similar. A group of n near copies
+costs n pairs.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonequarry.llm.common import saved, width
+from tonequarry.llm.common import apart, discard, release, saved, width, written
 
 #: Lines of fewer words stay.
 LEAST_WORDS = 5
 #: Similarity as a fraction, so that comparisons are exact.
 UP, DOWN = 4, 5
-#: Counters of the rarity table, whatever the number of tokens: 8 MB. Tokens that share a counter look more frequent.
-COUNTERS = 1 << 21
+#: Counters of the rarity table, whatever the number of tokens: 16 MB. Tokens that share a counter look more frequent.
+COUNTERS = 1 << 22
 CHUNKS = 64
+#: A table of so many flags (as a power of two) keeps rows out of shuffles that can't concern them.
+FLAG_BITS = 23
+#: Bits of a token's hash.
+TOKEN = np.uint64((1 << 48) - 1)
 #: Classes of one token that meet in one group, about; more frequent tokens are dealt to pairs of blocks.
 GROUP = 4096
 #: Bytes of text that are taken apart at once, and pairs that are compared at once.
-STEP, PAIRS = 1 << 22, 1 << 21
-#: Places of the filter that keeps texts without candidates out of shuffles.
-SLOTS = 1 << 20
+STEP, PAIRS = 1 << 20, 1 << 18
 
 
 class Taken:
@@ -53,46 +60,59 @@ class Taken:
                     rows.append(r)
                     numbers.append(no)
         self.rows, self.numbers = np.array(rows, "i8"), np.array(numbers, "i4")
-        tokens = np.fromiter(map(xxhash.xxh3_64_intdigest, words), "u8", len(words))
+        tokens = np.fromiter(map(xxhash.xxh3_64_intdigest, words), "u8", len(words)) & TOKEN
         line = np.repeat(np.arange(len(counts)), counts)
-        order = np.lexsort((tokens, line))
-        tokens, line = tokens[order], line[order]
-        new = np.ones(len(tokens), bool)
-        new[1:] = (tokens[1:] != tokens[:-1]) | (line[1:] != line[:-1])
-        self.tokens, self.line = tokens[new], line[new]
+        if len(counts) < 1 << 16:  # line and token fit one integer, which sorts by itself
+            both = np.sort(line.view("u8") << np.uint64(48) | tokens)
+            both = both[np.append(True, both[1:] != both[:-1])] if len(both) else both
+            self.tokens, self.line = both & TOKEN, (both >> np.uint64(48)).view("i8")
+        else:
+            order = np.lexsort((tokens, line))
+            tokens, line = tokens[order], line[order]
+            new = np.append(True, (tokens[1:] != tokens[:-1]) | (line[1:] != line[:-1]))
+            self.tokens, self.line = tokens[new], line[new]
         self.sizes = np.bincount(self.line, minlength=len(counts))
         self.starts = np.cumsum(self.sizes) - self.sizes
 
+    def by_rarity(self, count: np.ndarray) -> np.ndarray:
+        """An order of all tokens: within each line the rarest first, ties by token."""
+        if len(self.sizes) < 1 << 16:
+            rare = np.minimum(count, 0xFFFFFFFF).astype("u8")
+            return np.argsort(self.line.view("u8") << np.uint64(32) | rare, kind="stable")
+        return np.lexsort((count, self.line))
+
 
-def pieces(texts: list[bytes]) -> Iterator[slice]:
-    """Runs of texts of about ``STEP`` bytes."""
-    at, held = 0, 0
-    for i, text in enumerate(texts):
-        held += len(text)
-        if held >= STEP:
-            yield slice(at, i + 1)
-            at, held = i + 1, 0
-    if at < len(texts):
-        yield slice(at, len(texts))
+def pieces(column: pa.Array) -> Iterator[tuple[slice, list[bytes]]]:
+    """Runs of a column's texts of about ``STEP`` bytes, taken out one run at a time."""
+    lengths = np.nan_to_num(pc.binary_length(column).to_numpy(zero_copy_only=False)).astype("i8")
+    run = np.cumsum(lengths) // STEP
+    starts = np.flatnonzero(np.append(True, run[1:] != run[:-1])) if len(run) else []
+    for a, b in zip(starts, [*starts[1:], len(run)], strict=True):
+        yield slice(int(a), int(b)), [t.as_py() or b"" for t in column.slice(int(a), int(b) - int(a))]
 
 
 def counter_of(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> np.uint64(43)).astype("i8")
+    return (tokens >> np.uint64(26)).view("i8")
 
 
 def rarity(texts: DataFrame) -> np.ndarray:
-    """How many lines hold the tokens of each counter: a table of fixed size, summed chunk by chunk."""
+    """How often the tokens of each counter occur: a table of fixed size, summed chunk by chunk."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, "u4")
         for batch in batches:
-            data = [t.as_py() or b"" for t in batch.column(1)]
-            for run in pieces(data):
-                words = [w for text in data[run] for line in text.split(b"\n") for w in set(line.split())]
-                total += np.bincount(counter_of(np.fromiter(map(xxhash.xxh3_64_intdigest, words), "u8", len(words))), minlength=COUNTERS).astype("u4")
+            for _, data in pieces(batch.column(1)):
+                found = [Counter(text.split()) for text in data]
+                words = list(chain.from_iterable(found))
+                times = np.fromiter(chain.from_iterable(c.values() for c in found), "i8", len(words))
+                at = counter_of(np.fromiter(map(xxhash.xxh3_64_intdigest, words), "u8", len(words)) & TOKEN)
+                order = np.argsort(at)
+                first = np.flatnonzero(np.append(True, at[order][1:] != at[order][:-1])) if len(at) else at
+                total[at[order][first]] += np.add.reduceat(times[order], first).astype("u4") if len(at) else np.zeros(0, "u4")
         parts = total.reshape(CHUNKS, -1)
-        full = [i for i in range(CHUNKS) if parts[i].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([parts[i].tobytes() for i in full], pa.binary())], ["chunk", "counts"])
+        for i in range(CHUNKS):
+            if parts[i].any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([parts[i].tobytes()], pa.binary())], ["chunk", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -100,7 +120,8 @@ def rarity(texts: DataFrame) -> np.ndarray:
             for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 own = np.frombuffer(counts.as_py(), "u4")
                 sums[chunk] = np.minimum(sums[chunk].astype("u8") + own, 0xFFFFFFFF).astype("u4") if chunk in sums else own
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["chunk", "counts"])
+        for chunk, counts in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([counts.tobytes()], pa.binary())], ["chunk", "counts"])
 
     shape = "chunk int, counts binary"
     out = np.zeros((CHUNKS, COUNTERS // CHUNKS), "u4")
@@ -109,74 +130,131 @@ def rarity(texts: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
+def flag_of(values: np.ndarray) -> np.ndarray:
+    return (values * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - FLAG_BITS)).view("i8")
+
+
+def flagged(flags: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether values may be among those that ``flags`` was made of."""
+    at = flag_of(values)
+    return (flags[at >> 3] >> (at & 7).astype("u1") & 1).astype(bool)
+
+
+def flags_of(values: DataFrame) -> np.ndarray:
+    """A bit table of fixed size (1 MB) in which every value of a long column has its bit: what others can be left out by."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << (FLAG_BITS - 3), "u1")
+        for batch in batches:
+            at = flag_of(batch.column(0).to_numpy(zero_copy_only=False).view("u8"))
+            np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype("u1"))
+        parts = bits.reshape(16, -1)
+        full = [i for i in range(16) if parts[i].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([parts[i].tobytes() for i in full], pa.binary())], ["chunk", "bits"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, bits in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = np.frombuffer(bits.as_py(), "u1")
+                sums[chunk] = sums[chunk] | own if chunk in sums else own
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["chunk", "bits"])
+
+    shape = "chunk int, bits binary"
+    out = np.zeros((16, 1 << (FLAG_BITS - 7)), "u1")
+    for chunk, bits in values.mapInArrow(mark, shape).repartition(16, "chunk").mapInArrow(add, shape).collect():
+        out[chunk] = np.frombuffer(bits, "u1")
+    return out.reshape(-1)
+
+
+def line_key(doc_id: np.ndarray, line_no: np.ndarray) -> np.ndarray:
+    return (doc_id ^ line_no.astype("i8") << 40).view("u8")
+
+
 def prefix_length(sizes: np.ndarray) -> np.ndarray:
     """Tokens of which two similar sets share one, at least: all but those that must be shared, and one."""
     return sizes - (sizes * UP + DOWN - 1) // DOWN + 1
 
 
-LINE = "doc_id long, line_no int, size int, hi long, lo long, p0 long, p1 long, prefix array<long>"
+LINE = "doc_id long, line_no int, size int, hi long, lo long, parity long, skipped int, prefix array<long>"
 
 
-def token_lines(texts: DataFrame, counts: np.ndarray) -> DataFrame:
+def token_lines(texts: DataFrame, spread: Broadcast) -> DataFrame:
     """A row per line of enough words: its set's size, 128-bit digest, parity bitmap and prefix, the rarest token first.
 
-    A prefix token's place is its index; those that stand in one line of the corpus only can match nothing and are 0.
+    Tokens that occur once in the corpus can match nothing and are skipped; they come first, so a prefix
+    token's place is its index and the number skipped.
     """
-    spread = texts.sparkSession.sparkContext.broadcast(counts)
     names = [x.split()[0] for x in LINE.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, data = batch.column(0), [t.as_py() or b"" for t in batch.column(1)]
-            for part in pieces(data):
-                t = Taken(data[part])
+            ids = batch.column(0)
+            for part, data in pieces(batch.column(1)):
+                t = Taken(data)
                 if not len(t.sizes):
                     continue
                 count = spread.value[counter_of(t.tokens)]
                 raw, ends = t.tokens.tobytes(), t.starts + t.sizes
                 digest = np.array([xxhash.xxh3_128_digest(raw[8 * a : 8 * b]) for a, b in zip(t.starts.tolist(), ends.tolist(), strict=True)], "S16")
                 halves = np.frombuffer(digest.tobytes(), "i8").reshape(-1, 2)
-                parity = [np.bitwise_xor.reduceat(np.where(t.tokens & np.uint64(64) == side, np.uint64(1) << (t.tokens & np.uint64(63)), np.uint64(0)), t.starts) for side in (0, 64)]
-                order = np.lexsort((t.tokens, count, t.line))
-                ranked = np.where(count[order] > 1, t.tokens[order], np.uint64(0)).view("i8")
-                lengths = prefix_length(t.sizes)
-                place = np.arange(len(ranked)) - np.repeat(t.starts, t.sizes)
-                prefix = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), pa.array(ranked[place < np.repeat(lengths, t.sizes)]))
+                parity = np.bitwise_xor.reduceat(np.uint64(1) << (t.tokens & np.uint64(63)), t.starts)
+                order = t.by_rarity(count)
+                place = np.arange(len(order)) - np.repeat(t.starts, t.sizes)
+                within = place < np.repeat(prefix_length(t.sizes), t.sizes)
+                use = within & (count[order] > 1)
+                held = np.bincount(t.line[use], minlength=len(t.sizes))
+                skipped = np.bincount(t.line[within], minlength=len(t.sizes)) - held
+                prefix = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(held)), pa.int32()), pa.array(t.tokens[order][use].view("i8")))
                 doc_ids = ids.slice(part.start, part.stop - part.start).take(pa.array(t.rows))
-                columns = [doc_ids, pa.array(t.numbers), pa.array(t.sizes, pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), *(pa.array(p.view("i8")) for p in parity), prefix]
+                columns = [doc_ids, pa.array(t.numbers), pa.array(t.sizes, pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(parity.view("i8")), pa.array(skipped, pa.int32()), prefix]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     return texts.mapInArrow(run, LINE)
 
 
-POSTING = "token long, i int, j int, doc_id long, line_no int, size int, place int, p0 long, p1 long, asks boolean"
+POSTING = "key long, doc_id long, line_no int, size int, place int, parity long, asks boolean"
 
 
-def postings(classes: DataFrame, counts: np.ndarray) -> DataFrame:
-    """A row per class and prefix token; a frequent token's classes are dealt to the pairs of their blocks, so that any two meet."""
-    spread = classes.sparkSession.sparkContext.broadcast(counts)
+def postings(classes: DataFrame, spread: Broadcast, asking: Broadcast | None = None, among: Broadcast | None = None) -> DataFrame:
+    """A row per class and prefix token; classes that share a token share a key.
+
+    A frequent token's classes are dealt to the pairs of their blocks, each with a key of its own, so that any two of
+    them meet in a group of bounded size. Keys are hashes: a clash brings pairs together that verification parts.
+    ``asking``: flags of the lines that ask (default: all); ``among``: flags of the keys that are wanted (default: those
+    of the lines that ask). Flags let a few others through, which costs work but changes no result.
+    """
     names = [x.split()[0] for x in POSTING.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             c = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
-            prefix = c["prefix"].flatten().to_numpy()
+            if asking is None:
+                asks = np.ones(batch.num_rows, bool)
+            else:
+                asks = flagged(asking.value, line_key(c["doc_id"].to_numpy(zero_copy_only=False), c["line_no"].to_numpy(zero_copy_only=False)))
+                if among is None:
+                    batch = batch.filter(pa.array(asks))
+                    c, asks = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}, asks[asks]
+            token = c["prefix"].flatten().to_numpy().view("u8")
             lengths = np.diff(c["prefix"].offsets.to_numpy())
             row = np.repeat(np.arange(batch.num_rows), lengths)
-            place = np.arange(len(prefix)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            use = prefix != 0
-            token, row, place = prefix[use], row[use], place[use]
-            blocks = -(-spread.value[counter_of(token.view("u8"))].astype("i8") // GROUP)
+            place = np.arange(len(token)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + c["skipped"].to_numpy(zero_copy_only=False)[row]
+            blocks = -(-spread.value[counter_of(token)].astype("i8") // GROUP)
             at = np.repeat(np.arange(len(token)), blocks)
             other = np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-            mixed = c["lo"].to_numpy(zero_copy_only=False).view("u8")[row]
-            own = (mixed % blocks.astype("u8")).astype("i8")[at]
-            i, j = np.minimum(own, other).astype("i4"), np.maximum(own, other).astype("i4")
+            mixed = (c["doc_id"].to_numpy(zero_copy_only=False) * 31 + c["line_no"].to_numpy(zero_copy_only=False)).view("u8") * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
+            own = (mixed[row] % blocks.view("u8")).view("i8")[at]
+            pair = np.minimum(own, other) * (1 << 20) + np.maximum(own, other)
+            key = token[at] ^ pair.view("u8") * np.uint64(0xD6E8FEB86659FD93)
+            if among is not None:
+                use = flagged(among.value, key)
+                at, key = at[use], key[use]
             for a in range(0, len(at), 1 << 18):
                 s = at[a : a + (1 << 18)]
                 rows = pa.array(row[s])
-                some = {n: c[n].take(rows) for n in ("doc_id", "line_no", "size", "p0", "p1", "asks")}
-                columns = {"token": pa.array(token[s]), "i": pa.array(i[a : a + (1 << 18)]), "j": pa.array(j[a : a + (1 << 18)]), "place": pa.array(place[s].astype("i4"))} | some
+                some = {n: c[n].take(rows) for n in ("doc_id", "line_no", "size", "parity")}
+                columns = {"key": pa.array(key[a : a + (1 << 18)].view("i8")), "place": pa.array(place[s].astype("i4")), "asks": pa.array(asks[row[s]])} | some
                 yield pa.RecordBatch.from_arrays([columns[n] for n in names], names)
 
     return classes.mapInArrow(run, POSTING)
@@ -191,27 +269,25 @@ def groups(batches: Iterator[pa.RecordBatch], key: Callable) -> Iterator[tuple[d
     for batch in batches:
         own = {n: batch.column(k).to_numpy(zero_copy_only=False) for k, n in enumerate(batch.schema.names)}
         held = own if held is None else {n: np.concatenate([held[n], own[n]]) for n in own}
-        if not len(held["token"]):
+        if not len(held["key"]):
             continue
         starts = key(held)
         if len(starts) > 1:
             last = starts[-1]
             yield {n: v[:last] for n, v in held.items()}, starts[:-1]
             held = {n: v[last:] for n, v in held.items()}
-    if held is not None and len(held["token"]):
+    if held is not None and len(held["key"]):
         yield held, key(held)
 
 
 def starts_of(c: dict[str, np.ndarray]) -> np.ndarray:
-    new = np.ones(len(c["token"]), bool)
-    new[1:] = (c["token"][1:] != c["token"][:-1]) | (c["i"][1:] != c["i"][:-1]) | (c["j"][1:] != c["j"][:-1])
-    return np.flatnonzero(new)
+    return np.flatnonzero(np.append(True, c["key"][1:] != c["key"][:-1]))
 
 
 def matched(c: dict[str, np.ndarray], starts: np.ndarray, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Row numbers of lines that ask, of earlier candidates, and whether there are more: the earliest or every one."""
-    ends = np.append(starts[1:], len(c["token"]))
-    earlier = np.arange(len(c["token"])) - np.repeat(starts, ends - starts)
+    ends = np.append(starts[1:], len(c["key"]))
+    earlier = np.arange(len(c["key"])) - np.repeat(starts, ends - starts)
     earlier = np.where(c["asks"], earlier, 0)
     total = np.cumsum(earlier)
     cuts = np.searchsorted(total, np.arange(PAIRS, total[-1] + PAIRS, PAIRS)) if len(total) else []
@@ -228,9 +304,9 @@ def matched(c: dict[str, np.ndarray], starts: np.ndarray, every: bool) -> Iterat
         need = (UP * (sx + sy) + UP + DOWN - 1) // (UP + DOWN)
         ok = np.minimum(sx - c["place"][x], sy - c["place"][y]) >= need
         ok &= (DOWN * sy >= UP * sx) & (DOWN * sx >= UP * sy)
-        x, y, sx, sy, need = x[ok], y[ok], sx[ok], sy[ok], need[ok]
-        apart = np.bitwise_count((c["p0"][x] ^ c["p0"][y]).view("u8")).astype("i8") + np.bitwise_count((c["p1"][x] ^ c["p1"][y]).view("u8"))
-        ok = sx + sy - apart >= 2 * need
+        x, y, total_size, need = x[ok], y[ok], (sx + sy)[ok], need[ok]
+        # Every token in only one of the two sets turns one bit: the bits that differ are at most so many.
+        ok = total_size - np.bitwise_count((c["parity"][x] ^ c["parity"][y]).view("u8")) >= 2 * need
         ok &= (c["doc_id"][x] != c["doc_id"][y]) | (c["line_no"][x] != c["line_no"][y])
         x, y = x[ok], y[ok]
         if every:
@@ -251,68 +327,89 @@ def candidates(posted: DataFrame, every: bool) -> DataFrame:
                 columns = [c["doc_id"][x], c["line_no"][x], c["doc_id"][y], c["line_no"][y], more]
                 yield pa.RecordBatch.from_arrays([pa.array(v) for v in columns], names)
 
-    dealt = posted.repartition(width(posted), "token", "i", "j").sortWithinPartitions("token", "i", "j", "doc_id", "line_no")
+    dealt = posted.repartition(width(posted), "key").sortWithinPartitions("key", "doc_id", "line_no")
     pairs = dealt.mapInArrow(run, PAIR)
     return pairs.groupBy("doc_id", "line_no", "to_doc", "to_line").agg(F.max("more").alias("more"))
 
 
-def _slot() -> Column:
-    return F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
-
-
-def _holding(rows: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
-    """Rows whose doc_id may be among ``ids``: by the slots of a table of fixed size, which may be broadcast."""
-    slots = ids.select(_slot().alias("__slot")).distinct()
-    return rows.withColumn("__slot", _slot()).join(F.broadcast(slots), "__slot", how).drop("__slot")
-
-
-def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``pairs`` with ``same``: whether the token sets of the two lines, read from their texts, are similar enough."""
-    ends = pairs.select("doc_id", "line_no").unionByName(pairs.select(F.col("to_doc").alias("doc_id"), F.col("to_line").alias("line_no")))
-    wanted = saved(ends.distinct().groupBy("doc_id").agg(F.collect_set("line_no").alias("wanted")))
+def line_tokens(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``(doc_id, line_no, tokens)`` of all lines in ``pairs``, and of a few others, read from their texts."""
+    ends = saved(pairs.select("doc_id", "line_no").unionByName(pairs.select(F.col("to_doc").alias("doc_id"), F.col("to_line").alias("line_no"))).distinct())
+    holding, _ = apart(texts, ends.select(F.col("doc_id").alias("key")), "doc_id")
+    wanted = texts.sparkSession.sparkContext.broadcast(flags_of(ends.select(F.col("doc_id").bitwiseXOR(F.shiftleft(F.col("line_no").cast("long"), 40)).alias("value"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, data, lines = batch.column(0), [t.as_py() or b"" for t in batch.column(1)], [set(w.as_py()) for w in batch.column(2)]
-            for part in pieces(data):
-                t = Taken(data[part], lines[part])
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for part, data in pieces(batch.column(1)):
+                own = ids[part]
+                lines = [set(np.flatnonzero(flagged(wanted.value, line_key(i, np.arange(text.count(b"\n") + 1)))).tolist()) for i, text in zip(own, data, strict=True)]
+                t = Taken(data, lines)
                 tokens = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(t.sizes)), pa.int32()), pa.array(t.tokens.view("i8")))
-                yield pa.RecordBatch.from_arrays([ids.slice(part.start, part.stop - part.start).take(pa.array(t.rows)), pa.array(t.numbers), tokens], ["doc_id", "line_no", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(own[t.rows]), pa.array(t.numbers), tokens], ["doc_id", "line_no", "tokens"])
+
+    return written(holding.mapInArrow(run, "doc_id long, line_no int, tokens array<long>"))
+
+
+def similar(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
+    """``(doc_id, line_no)`` of the lines of ``pairs`` whose token set is similar enough to that of the other line.
 
-    found = _holding(texts, wanted).join(wanted, "doc_id").mapInArrow(run, "doc_id long, line_no int, tokens array<long>").dropDuplicates(["doc_id", "line_no"])
-    left = pairs.join(found, ["doc_id", "line_no"])
+    Rows of one id are one document, so the tokens of one of them will do.
+    """
+    found = tokens.dropDuplicates(["doc_id", "line_no"])
     right = found.select(F.col("doc_id").alias("to_doc"), F.col("line_no").alias("to_line"), F.col("tokens").alias("others"))
-    both = left.join(right, ["to_doc", "to_line"])
+    both = pairs.join(found, ["doc_id", "line_no"]).join(right, ["to_doc", "to_line"])
     shared = F.size(F.array_intersect("tokens", "others"))
-    return both.select("doc_id", "line_no", "more", ((UP + DOWN) * shared >= UP * (F.size("tokens") + F.size("others"))).alias("same"))
+    return both.where((UP + DOWN) * shared >= UP * (F.size("tokens") + F.size("others"))).select("doc_id", "line_no").distinct()
+
+
+def by_document(lines: DataFrame, name: str) -> DataFrame:
+    """A row per document with its line numbers: put together within each task before the shuffle."""
+    return lines.groupBy("doc_id").agg(F.collect_set("line_no").alias(name))
 
 
 def repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``(doc_id, line_no)`` of every line that goes: its set equals, or is similar to, that of an earlier line.
+    """``(doc_id, drops)``: the numbers of the lines that go, as their sets equal or are similar to those of earlier lines.
 
     Earlier means by (doc_id, line_no). Any earlier line counts, whether it stays itself or not. Rows without an id
     are left alone; rows with one id are taken as one document; null and empty texts have no lines to remove.
     """
     texts = docs.where(docs[id_column].isNotNull()).select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("binary").alias("text"))
-    counts = rarity(texts)
-    lines = saved(token_lines(texts, counts))
-    rest = ["size", "p0", "p1", "prefix", "lo"]
-    firsts = lines.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "line_no", *rest[:-1])).alias("x"))
-    classes = saved(firsts.select("x.doc_id", "x.line_no", *(f"x.{n}" for n in rest[:-1]), "lo"))
-    first = saved(similar(saved(candidates(postings(classes.withColumn("asks", F.lit(True)), counts), every=False)), texts))
-    fate = first.groupBy("doc_id", "line_no").agg(F.max("same").alias("same"), F.max("more").alias("more"))
-    gone = fate.where("same").select("doc_id", "line_no")
-    left = saved(fate.where("NOT same AND more").select("doc_id", "line_no"))
+    spread = docs.sparkSession.sparkContext.broadcast(rarity(texts))
+    lines = written(token_lines(texts, spread))
+    release(docs.sparkSession)
+    rest = ["size", "parity", "skipped", "prefix"]
+    firsts = lines.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "line_no", *rest)).alias("x"))
+    classes = written(firsts.select("x.doc_id", "x.line_no", *(f"x.{n}" for n in rest)))
+    every, first = saved(by_document(lines, "every")), saved(by_document(classes, "first"))
+    discard(lines)
+    release(docs.sparkSession)
+    pairs = saved(candidates(postings(classes, spread), every=False))
+    release(docs.sparkSession)
+    names = ["doc_id", "line_no"]
+    tokens = line_tokens(pairs, texts)
+    earliest = pairs.groupBy(*names).agg(F.min(F.struct("to_doc", "to_line")).alias("x"), F.max("more").alias("more"))
+    earliest = saved(earliest.select(*names, "x.to_doc", "x.to_line", "more"))
+    gone = saved(similar(earliest, tokens))
+    release(docs.sparkSession)
+    others = pairs.join(gone, names, "left_anti").join(earliest, [*names, "to_doc", "to_line"], "left_anti")
+    gone = saved(gone.unionByName(similar(others, tokens)).distinct())
+    left = saved(earliest.where("more").select(*names).join(gone, names, "left_anti"))
+    discard(tokens)
+    release(docs.sparkSession)
     if not left.isEmpty():
-        asking = classes.join(left, ["doc_id", "line_no"], "left_semi").withColumn("asks", F.lit(True))
-        keys = postings(asking, counts).select("token", "i", "j").distinct()
-        flagged = classes.join(left.withColumn("asks", F.lit(True)), ["doc_id", "line_no"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
-        again = postings(flagged, counts).join(keys, ["token", "i", "j"], "left_semi")
-        names = [x.split()[0] for x in POSTING.split(", ")]
-        second = similar(saved(candidates(again.select(*names), every=True)), texts)
-        gone = gone.unionByName(second.where("same").select("doc_id", "line_no").distinct())
-    stay = classes.select("doc_id", "line_no").join(gone, ["doc_id", "line_no"], "left_anti")
-    return lines.select("doc_id", "line_no").join(stay, ["doc_id", "line_no"], "left_anti")
+        context = docs.sparkSession.sparkContext
+        asking = context.broadcast(flags_of(left.select(F.col("doc_id").bitwiseXOR(F.shiftleft(F.col("line_no").cast("long"), 40)).alias("value"))))
+        among = context.broadcast(flags_of(postings(classes, spread, asking).select("key")))
+        second = saved(candidates(postings(classes, spread, asking, among), every=True))
+        second = saved(second.join(pairs, [*names, "to_doc", "to_line"], "left_anti"))
+        gone = saved(gone.unionByName(similar(second, line_tokens(second, texts))))
+    discard(classes)
+    release(docs.sparkSession)
+    drops = every.join(first, "doc_id", "left").join(by_document(gone, "gone"), "doc_id", "left")
+    none = F.array().cast("array<int>")
+    stay = F.array_except(F.coalesce("first", none), F.coalesce("gone", none))
+    return drops.select("doc_id", F.array_except("every", stay).alias("drops")).where(F.size("drops") > 0)
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -320,10 +417,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     All documents stay, even those left empty. A document without repeated lines isn't moved between tasks.
     """
-    drops = repeated_lines(docs).groupBy("doc_id").agg(F.collect_set("line_no").alias("__drops"))
-    drops = saved(drops.withColumnRenamed("doc_id", "__id"))
-    ids = drops.select(F.col("__id").alias("doc_id"))
-    touched, rest = _holding(docs, ids), _holding(docs, ids, "left_anti")
+    drops = saved(repeated_lines(docs).select(F.col("doc_id").alias("__id"), F.col("drops").alias("__drops")))
+    release(docs.sparkSession)
+    touched, rest = apart(docs, drops.select(F.col("__id").alias("key")), "doc_id")
     joined = touched.join(drops, touched["doc_id"].cast("long") == drops["__id"], "left").drop("__id")
     shape = joined.schema
     at, drop = joined.columns.index("text"), joined.columns.index("__drops")
