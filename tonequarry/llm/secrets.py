@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tonequarry.llm.common import saved
+from tonequarry.llm.common import apart, saved
 
 #: The base kinds, in the order that breaks ties between spans. Runs need no upper bound; a run that is too short fails
 #: as a whole, so the length may stand in the pattern where the run can't restart inside itself.
@@ -143,10 +143,11 @@ def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     rows = docs.withColumn("__rid", F.xxhash64("doc_id", "text"))
     scanned = scan(rows.select(F.col("__rid").alias("doc_id"), "text", "source", "lang"))
     values = F.array_distinct(F.transform(F.concat("base", "added"), lambda s: s["value"]))
-    masks = scanned.select(F.col("doc_id").alias("__rid"), values.alias("__values")).where(F.size("__values") > 0).dropDuplicates(["__rid"])
+    masks = saved(scanned.select(F.col("doc_id").alias("key"), values.alias("__values")).where(F.size("__values") > 0).dropDuplicates(["key"]))
+    maybe, clean = apart(rows, masks.select("key"), "__rid")
     longest_first = F.array_sort(F.transform("__values", lambda v: F.struct((-F.char_length(v)).alias("n"), v.alias("v"))))
-    clean = F.when(F.size("__values") > 0, F.aggregate(longest_first, F.col("text"), lambda t, s: F.replace(t, s["v"], F.lit(mask)))).otherwise(F.col("text"))
-    out = rows.join(masks, "__rid", "left").withColumn("text", clean)
+    masked = F.when(F.size("__values") > 0, F.aggregate(longest_first, F.col("text"), lambda t, s: F.replace(t, s["v"], F.lit(mask)))).otherwise(F.col("text"))
+    out = maybe.join(masks, maybe["__rid"] == masks["key"], "left").withColumn("text", masked)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.coalesce(F.char_length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))
+    return out.select(*docs.columns).unionByName(clean.select(*docs.columns))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonequarry.llm.common import saved
+from tonequarry.llm.common import apart, saved
 from tonequarry.llm.components import components
 
 BITS, TAU, WORDS, SEED = 64, 4, 4, 42
@@ -254,6 +254,11 @@ def near_duplicates(docs: DataFrame, tau: int = TAU, id_column: str = "doc_id",
 
 
 def keep_first(docs: DataFrame, tau: int = TAU) -> DataFrame:
-    """The documents without all but the one of smallest doc_id of each group; columns stay as they are."""
-    found = near_duplicates(docs, tau).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(found, docs["doc_id"] == found["__dropped"], "left_anti")
+    """The documents without all but the one of smallest doc_id of each group; columns stay as they are.
+
+    Only documents that may be dropped are joined by id; the texts of the others stay where they are.
+    """
+    found = near_duplicates(docs, tau).where(F.col("doc_id") != F.col("component_id"))
+    dropped = saved(found.select(F.col("doc_id").alias("key")).distinct())
+    maybe, kept = apart(docs, dropped, "doc_id")
+    return maybe.join(dropped, maybe["doc_id"].cast("long") == dropped["key"], "left_anti").unionByName(kept)
