@@ -147,7 +147,7 @@ def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     maybe, clean = apart(rows, masks.select("key"), "__rid")
     longest_first = F.array_sort(F.transform("__values", lambda v: F.struct((-F.char_length(v)).alias("n"), v.alias("v"))))
     masked = F.when(F.size("__values") > 0, F.aggregate(longest_first, F.col("text"), lambda t, s: F.replace(t, s["v"], F.lit(mask)))).otherwise(F.col("text"))
-    out = maybe.join(masks, maybe["__rid"] == masks["key"], "left").withColumn("text", masked)
+    out = maybe.join(masks.withColumnRenamed("key", "__key"), F.col("__rid") == F.col("__key"), "left").withColumn("text", masked)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.char_length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))
     return out.select(*docs.columns).unionByName(clean.select(*docs.columns))
