@@ -659,14 +659,14 @@ _PART = "FILTER (off <= -6 AND off >= CASE WHEN before >= 257 THEN -252 ELSE -25
         covar_pop(mktrf, ret - rf) {_IN} AS ym, covar_pop(smb, ret - rf) {_IN} AS ys, covar_pop(hml, ret - rf) {_IN} AS yh,
         covar_pop(mktrf, mktrf) {_IN} AS cmm, covar_pop(mktrf, smb) {_IN} AS cms, covar_pop(mktrf, hml) {_IN} AS cmh, covar_pop(smb, smb) {_IN} AS css, covar_pop(smb, hml) {_IN} AS csh, covar_pop(hml, hml) {_IN} AS chh
         FROM span GROUP BY accession, before)
-        SELECT ev.accession, round(CASE WHEN n4 = 4 THEN (grown - market) * 100 END, 6) AS excret, round(CASE WHEN n4 = 4 THEN size_b END, 6) AS size_b,
+        SELECT ev.accession, round(CASE WHEN n4 = 4 THEN (grown - market) * 100 END, 6) AS excret, round(CASE WHEN n4 = 4 THEN size_b END, 9) AS size_b,
         round(CASE WHEN n4 = 4 AND ev.before >= 60 AND ns >= 60 AND shares > 0 THEN volume / (shares * 1000000) END, 9) AS turnover,
         round(CASE WHEN n4 = 4 AND ev.before >= 60 AND nc >= 60 THEN {_alpha()} END, 4) AS alpha FROM ev LEFT JOIN a ON a.accession = ev.accession""",
 )
 def _(t: Tables) -> DataFrame:
     days = eventtime.trading_days(t("daily"))
     out = eventtime.variables(eventtime.event_days(t("filings"), days), days)
-    return out.select("accession", F.round("excret", 6).alias("excret"), F.round("size_b", 6).alias("size_b"), F.round("turnover", 9).alias("turnover"), F.round("alpha", 4).alias("alpha"))
+    return out.select("accession", F.round("excret", 6).alias("excret"), F.round("size_b", 9).alias("size_b"), F.round("turnover", 9).alias("turnover"), F.round("alpha", 4).alias("alpha"))
 
 
 @query("WIN11_last_code", "SELECT permno, max_by(siccd, yrmon) AS static_siccd FROM {monthly} WHERE siccd IS NOT NULL AND yrmon <= DATE '1999-06-30' GROUP BY permno")
