@@ -253,6 +253,31 @@ def test_lines_against_force(spark, monkeypatch):
     assert got[len(texts) - 5] is None
 
 
+def all_lines_by_force(texts):
+    """As ``lines_by_force``, but every line with a word takes part."""
+    sets, out = {}, []
+    for text in texts:
+        kept = []
+        for line in (text or "").split("\n"):
+            s = frozenset(line.encode().split())
+            if not s or not any(9 * len(s & o) >= 4 * (len(s) + len(o)) for o in sets):
+                kept.append(line)
+            if s:
+                sets[s] = True
+        out.append("\n".join(kept))
+    return out
+
+
+def test_short_lines_against_force(spark):
+    rng = random.Random(9)
+    texts = ["\n".join(" ".join(rng.choices("a b c d e f g h".split(), k=rng.randrange(7))) for _ in range(3)) for _ in range(60)]
+    texts = ["x\n\nx y z v", "x", "v z y x w", "y x x", "y y y x x", "x y z v", *texts, *planted_lines()[:60], "short line", "\n"]
+    want = all_lines_by_force(texts)
+    assert want[:6] == ["x\n\nx y z v", "", "", "y x x", "", ""]
+    got = {r.doc_id: r.text for r in lines.dedup_lines(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_lines_in_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(lines, "GROUP", 3)
     monkeypatch.setattr(lines, "PAIRS", 7)

@@ -1,9 +1,10 @@
 """Line dedup by an exact set-similarity join.
 
-A line's tokens are its distinct words. Lines whose sets are equal are one class; its first line stays. Classes are
-joined by Jaccard similarity: tokens are ordered by rarity in the corpus, so two similar sets must share a token of
-their short prefixes; length, position and a parity bitmap bound the overlap of the pairs that do, and the rest is
-verified on the token sets themselves. A class that is similar to an earlier one goes with all its lines.
+A line's tokens are its distinct words, however few; blank lines have none and stay. Lines whose sets are equal are one
+class; its first line stays. Classes are joined by Jaccard similarity: tokens are ordered by rarity in the corpus, so two
+similar sets must share a token of their short prefixes; length, position and a parity bitmap bound the overlap of the
+pairs that do, and the rest is verified on the token sets themselves. A class that is similar to an earlier one goes with
+all its lines.
 
 It is enough to know whether an earlier similar line exists, so each line meets the earliest of all its candidates
 first, then the earliest for each token, and all of them only if none of those is similar. A group of n near copies
@@ -26,10 +27,10 @@ from pyspark.sql import functions as F
 
 from tonequarry.llm.common import apart, discard, release, saved, width, written
 
-#: Lines of fewer words stay.
-LEAST_WORDS = 5
 #: Similarity as a fraction, so that comparisons are exact.
 UP, DOWN = 4, 5
+#: A set of fewer tokens is similar to none but its equals: it needs a class and no postings.
+LEAST_SIMILAR = 4
 #: Counters of the rarity table, whatever the number of tokens: 16 MB. Tokens that share a counter look more frequent.
 COUNTERS = 1 << 22
 CHUNKS = 64
@@ -44,9 +45,9 @@ STEP, PAIRS = 1 << 20, 1 << 18
 
 
 class Taken:
-    """The token sets of a run of texts: tokens ascending within each line."""
+    """The token sets of a run of texts: tokens ascending within each line. Lines of fewer than ``least`` words are left out."""
 
-    def __init__(self, texts: list[bytes], wanted: list[set[int] | None] | None = None):
+    def __init__(self, texts: list[bytes], wanted: list[set[int] | None] | None = None, least: int = LEAST_SIMILAR):
         words: list[bytes] = []
         counts, rows, numbers = [], [], []
         for r, text in enumerate(texts):
@@ -54,7 +55,7 @@ class Taken:
                 if wanted is not None and no not in wanted[r]:
                     continue
                 found = line.split()
-                if len(found) >= LEAST_WORDS:
+                if len(found) >= least:
                     words += found
                     counts.append(len(found))
                     rows.append(r)
@@ -172,15 +173,18 @@ def line_key(doc_id: np.ndarray, line_no: np.ndarray) -> np.ndarray:
 
 
 def prefix_length(sizes: np.ndarray) -> np.ndarray:
-    """Tokens of which two similar sets share one, at least: all but those that must be shared, and one."""
-    return sizes - (sizes * UP + DOWN - 1) // DOWN + 1
+    """Tokens of which two similar sets share one, at least: all but those that must be shared, and one.
+
+    None for sets that only their equals are similar to.
+    """
+    return np.where(sizes < LEAST_SIMILAR, 0, sizes - (sizes * UP + DOWN - 1) // DOWN + 1)
 
 
 LINE = "doc_id long, line_no int, size int, hi long, lo long, parity long, skipped int, prefix array<long>"
 
 
 def token_lines(texts: DataFrame, spread: Broadcast) -> DataFrame:
-    """A row per line of enough words: its set's size, 128-bit digest, parity bitmap and prefix, the rarest token first.
+    """A row per line that isn't blank: its set's size, 128-bit digest, parity bitmap and prefix, the rarest token first.
 
     Tokens that occur once in the corpus can match nothing and are skipped; they come first, so a prefix
     token's place is its index and the number skipped.
@@ -191,7 +195,7 @@ def token_lines(texts: DataFrame, spread: Broadcast) -> DataFrame:
         for batch in batches:
             ids = batch.column(0)
             for part, data in pieces(batch.column(1)):
-                t = Taken(data)
+                t = Taken(data, least=1)
                 if not len(t.sizes):
                     continue
                 count = spread.value[counter_of(t.tokens)]
