@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonequarry.llm import lines, packing, quality, secrets, simhash
+from tonequarry.llm import lines, packing, quality, secrets, shingles
 from tonequarry.llm.common import saved, table
 from tonequarry.llm.queries import VOCABULARY
 
@@ -24,8 +24,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest id stays."""
-    return simhash.keep_first(docs)
+    """Of each group of near duplicates, by five-word shingles at Jaccard 0.8, the document of the smallest id stays."""
+    return shingles.keep_first(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tonequarry.llm import ann, bpe, components, html, lines, media, packing, quality, queries, secrets, simhash, urls
+from tonequarry.llm import ann, bpe, components, html, lines, media, packing, quality, queries, secrets, shingles, simhash, urls
 
 SF = "/root/testdata/sf0.001"
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -599,6 +599,61 @@ def test_urls_equal_sql(spark):
 # pipeline ---------------------------------------------------------------------------------------------------------
 
 
+def kept_by_force(texts):
+    """The smallest position of each component over pairs of five-word shingle sets with Jaccard 0.8 or more."""
+    sets = []
+    for text in texts:
+        words = (text or "").encode().lower().split()
+        sets.append(frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))))
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])):
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    return {i for i in range(len(texts)) if find(i) == i}
+
+
+def edited_texts():
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(300)]
+    texts = [None, "", " \n", "a b", "A  b", "a b c", "zz " * 40]
+    for _ in range(25):
+        words = rng.choices(vocabulary, k=rng.randrange(60, 200))
+        texts.append(" ".join(words))
+        for n in (1, 2, 3, 5, 8):
+            other = list(words)
+            for _ in range(n):
+                other[rng.randrange(len(other))] = rng.choice(vocabulary)
+            texts.append(" ".join(other).title())
+    # A middle version joins two that aren't similar to each other, whatever their order.
+    words = [f"v{i}" for i in range(104)]
+    for order in ((0, 12, 6), (0, 6, 12), (6, 0, 12)):
+        words = [w + "x" for w in words]
+        texts += [" ".join(words[a : a + 80]) for a in order]
+    rest = texts[7:157]
+    rng.shuffle(rest)
+    return [*texts[:7], *rest, *texts[157:]]
+
+
+def test_near_dedup_stage_against_force(spark):
+    texts = edited_texts()
+    want = kept_by_force(texts)
+    assert [i - 157 for i in want if i >= 157] == [0, 3, 6]
+    kept = corpus_pipeline.near_dedup(spark, docs_of(spark, texts), SF)
+    assert kept.columns == [c.split()[0] for c in DOCS.split(", ")]
+    assert {r.doc_id for r in kept.select("doc_id").collect()} == want
+    same = corpus_pipeline.near_dedup(spark, docs_of(spark, ["q", "q", "r"], [None, 7, None]), SF)
+    assert Counter(r.doc_id for r in same.collect()) == Counter([None, 7, None])
+    assert corpus_pipeline.near_dedup(spark, docs_of(spark, []), SF).count() == 0
+
+
 @needs_tables
 def test_pipeline(spark, tmp_path, library):
     docs = spark.read.parquet(f"{SF}/documents.parquet")

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import partial
 from itertools import chain
 
 import numpy as np
@@ -61,7 +62,9 @@ class Taken:
                     rows.append(r)
                     numbers.append(no)
         self.rows, self.numbers = np.array(rows, "i8"), np.array(numbers, "i4")
-        tokens = np.fromiter(map(xxhash.xxh3_64_intdigest, words), "u8", len(words)) & TOKEN
+        self.settle(counts, np.fromiter(map(xxhash.xxh3_64_intdigest, words), "u8", len(words)) & TOKEN)
+
+    def settle(self, counts: list[int], tokens: np.ndarray) -> None:
         line = np.repeat(np.arange(len(counts)), counts)
         if len(counts) < 1 << 16:  # line and token fit one integer, which sorts by itself
             both = np.sort(line.view("u8") << np.uint64(48) | tokens)
@@ -96,17 +99,23 @@ def counter_of(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> np.uint64(26)).view("i8")
 
 
-def rarity(texts: DataFrame) -> np.ndarray:
+def word_counts(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of all words, the same one at most once a text, and how often they occur."""
+    found = [Counter(text.split()) for text in data]
+    words = list(chain.from_iterable(found))
+    times = np.fromiter(chain.from_iterable(c.values() for c in found), "i8", len(words))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), "u8", len(words)) & TOKEN, times
+
+
+def rarity(texts: DataFrame, counts_of: Callable = word_counts) -> np.ndarray:
     """How often the tokens of each counter occur: a table of fixed size, summed chunk by chunk."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, "u4")
         for batch in batches:
             for _, data in pieces(batch.column(1)):
-                found = [Counter(text.split()) for text in data]
-                words = list(chain.from_iterable(found))
-                times = np.fromiter(chain.from_iterable(c.values() for c in found), "i8", len(words))
-                at = counter_of(np.fromiter(map(xxhash.xxh3_64_intdigest, words), "u8", len(words)) & TOKEN)
+                tokens, times = counts_of(data)
+                at = counter_of(tokens)
                 order = np.argsort(at)
                 first = np.flatnonzero(np.append(True, at[order][1:] != at[order][:-1])) if len(at) else at
                 total[at[order][first]] += np.add.reduceat(times[order], first).astype("u4") if len(at) else np.zeros(0, "u4")
@@ -183,7 +192,7 @@ def prefix_length(sizes: np.ndarray) -> np.ndarray:
 LINE = "doc_id long, line_no int, size int, hi long, lo long, parity long, skipped int, prefix array<long>"
 
 
-def token_lines(texts: DataFrame, spread: Broadcast) -> DataFrame:
+def token_lines(texts: DataFrame, spread: Broadcast, take: Callable = partial(Taken, least=1)) -> DataFrame:
     """A row per line that isn't blank: its set's size, 128-bit digest, parity bitmap and prefix, the rarest token first.
 
     Tokens that occur once in the corpus can match nothing and are skipped; they come first, so a prefix
@@ -195,7 +204,7 @@ def token_lines(texts: DataFrame, spread: Broadcast) -> DataFrame:
         for batch in batches:
             ids = batch.column(0)
             for part, data in pieces(batch.column(1)):
-                t = Taken(data, least=1)
+                t = take(data)
                 if not len(t.sizes):
                     continue
                 count = spread.value[counter_of(t.tokens)]
