@@ -654,6 +654,15 @@ def test_near_dedup_stage_against_force(spark):
     assert corpus_pipeline.near_dedup(spark, docs_of(spark, []), SF).count() == 0
 
 
+def test_exact_copies_leave_the_pipeline(spark):
+    text = "Short title\n\nYes\n" + " ".join(f"w{i}" for i in range(30)) + "\nthe end"
+    docs = docs_of(spark, [text, "another text", text, text, text], [5, 6, 7, 8, 9])
+    deduped = corpus_pipeline.line_dedup(spark, docs, SF)
+    assert {r.doc_id: r.text.split() for r in deduped.collect() if r.doc_id in (7, 8, 9)} == {7: [], 8: [], 9: []}
+    kept = {r.doc_id: r.text for r in corpus_pipeline.near_dedup(spark, deduped, SF).collect()}
+    assert kept == {5: text, 6: "another text", 7: ""}
+
+
 @needs_tables
 def test_pipeline(spark, tmp_path, library):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
