@@ -379,6 +379,18 @@ def test_neighbours_recall_and_ties(spark):
     assert [got[150][r][0] for r in range(1, 6)] == [0, 100, 101, 102, 103]
 
 
+def test_neighbours_many_ties(spark, monkeypatch):
+    monkeypatch.setattr(ann, "PAIRS", 100)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 24)).astype("f4")
+    ids = rng.permutation(np.arange(1, 50))
+    for n, i in enumerate(ids):  # 50 different vectors of one direction, with exactly equal cosines
+        x[i] = x[0] * np.float32(2.0 ** (n - 25))
+    rows = [(int(i), x[i].tolist(), 0) for i in [0, *ids, *range(50, 400)]]
+    got = [(r.rank, r.vec_id) for r in ann.nearest(spark.createDataFrame(rows, VECTORS)).where("query_id = 0").orderBy("rank").collect()]
+    assert got == [(r, r) for r in range(1, 6)]
+
+
 def test_neighbours_odd_vectors(spark):
     rows = [(0, [1.0, 0.0, 0.0], 1), (1, [2.0, 0.1, 0.0], 1), (2, [0.0, 1.0, 0.0], 1), (3, None, 1), (4, [0.0, 0.0, 0.0], 1), (5, [float("nan"), 1.0, 0.0], 1), (6, [1.0, 2.0], 1), (7, [None, 1.0, 0.0], 1), (8, [float("inf"), 0.0, 1.0], 1), (None, [1.0, 0.0, 0.0], 1), (0, [1.0, 0.0, 0.0], 1)]
     got = [(r.query_id, r.rank, r.vec_id) for r in ann.nearest(spark.createDataFrame(rows, VECTORS)).orderBy("rank").collect()]

@@ -22,6 +22,9 @@ from tonequarry.llm.common import saved
 TABLES, PROBES, ROUNDS, SEED = 8, 16, 3, 20
 #: Entries of a bucket and queries that meet in one group, at most on average.
 ENTRIES, QUERIES = 8192, 2048
+#: Every entry whose product is so near to the last one kept is scored, as ties go by id and the product's last digits
+#: vary with the block; about so many pairs at once.
+SLACK, PAIRS = 1e-9, 1 << 16
 
 
 def hadamard(y: np.ndarray) -> np.ndarray:
@@ -107,13 +110,16 @@ def _probed(index: DataFrame, asked: DataFrame, keep: int) -> DataFrame:
             return pd.DataFrame({"query": np.zeros(0, "i8"), "id": np.zeros(0, "i8"), "score": np.zeros(0)})
         v, q = (np.stack([np.frombuffer(b, "f8") for b in f["vector"]]) for f in (entries, queries))
         near = unit(q) @ unit(v).T
-        n = min(keep + 2, len(v))  # two more than asked, as the product's last digits vary with the block
-        best = np.argpartition(-near, n - 1, axis=1)[:, :n] if n < len(v) else np.tile(np.arange(n), (len(q), 1))
-        who = np.repeat(np.arange(len(q)), n)
-        x, y = q[who], v[best.reshape(-1)]
-        score = (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
-        out = pd.DataFrame({"query": queries["id"].to_numpy()[who], "id": entries["id"].to_numpy()[best.reshape(-1)], "score": score})
-        return out.sort_values(["query", "score", "id"], ascending=[True, False, True]).groupby("query").head(keep)
+        least = np.partition(near, -keep, axis=1)[:, -keep] - SLACK if keep < len(v) else np.full(len(q), -np.inf)
+        most = np.cumsum((near >= least[:, None]).sum(1)) // PAIRS
+        out = []
+        for rows in np.split(np.arange(len(q)), np.flatnonzero(most[1:] != most[:-1]) + 1):
+            who, best = np.nonzero(near[rows] >= least[rows, None])
+            x, y = q[rows[who]], v[best]
+            score = (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
+            some = pd.DataFrame({"query": queries["id"].to_numpy()[rows[who]], "id": entries["id"].to_numpy()[best], "score": score})
+            out.append(some.sort_values(["query", "score", "id"], ascending=[True, False, True]).groupby("query").head(keep))
+        return pd.concat(out)
 
     keys = ["tab", "code", "bi", "bq"]
     found = dealt_index.groupBy(*keys).cogroup(dealt_asked.groupBy(*keys)).applyInPandas(run, "query long, id long, score double")
