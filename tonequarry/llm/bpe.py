@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers.models import BPE
 
+from tonequarry.llm.common import narrow_batches
+
 #: Entries that each cache of a worker may hold; a full cache starts anew.
 CACHE_ENTRIES = 400_000
 #: Longer pieces are encoded without being remembered.
@@ -156,7 +158,7 @@ def encode_documents(docs: DataFrame, path: str, id_column: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     narrow = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, ids array<int>")
+    return narrow_batches(narrow).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
@@ -191,4 +193,4 @@ def digests(docs: DataFrame, path: str, id_column: str = "doc_id", text_column:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     narrow = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return narrow_batches(narrow).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -31,6 +31,29 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+#: Rows and bytes of a batch that goes to a Python worker, at most: texts are long, and a worker holds a few batches.
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
+
+
+def narrow_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session hands its rows to Python workers in batches of bounded size.
+
+    These settings of the session change no result; smaller values stay.
+    """
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        if not 0 < _size(conf.get(key)) <= most:
+            conf.set(key, str(most))
+    return df
+
+
+def _size(text: str) -> int:
+    """A setting's number of rows or bytes; one with a larger unit counts as unbounded."""
+    text = text.lower().removesuffix("b")
+    return int(text) if text.lstrip("-").isdigit() else 0
+
+
 def saved(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a checkpoint; the session drops it when nothing refers to it, if so configured."""
     shared_folder(df.sparkSession)

@@ -3,20 +3,22 @@
 A line's tokens are its distinct words, however few; blank lines have none and stay. Lines whose sets are equal are one
 class; its first line stays. Classes are joined by Jaccard similarity: tokens are ordered by rarity in the corpus, so two
 similar sets must share a token of their short prefixes; length, position and a parity bitmap bound the overlap of the
-pairs that do, and the rest is verified on the token sets themselves. A class that is similar to an earlier one goes with
-all its lines.
+pairs that do, and the rest is verified on the words themselves. A class that is similar to an earlier one goes with all
+its lines.
 
-It is enough to know whether an earlier similar line exists, so each line meets the earliest of all its candidates
-first, then the earliest for each token, and all of them only if none of those is similar. A group of n near copies
-costs n pairs.
+A token that many lines hold makes no key by itself: similar sets share a second token in prefixes longer by one, so the
+two tokens together are the key. It is enough to know whether an earlier similar line exists, so each line first meets
+``NEAREST`` passing candidates for each key, and all of them only if none of those is similar: a group of n near copies
+costs about n pairs. What many rows of one key would make too large for a task is dealt to blocks; lines that found
+nothing in theirs then ask in all.
+
+Rows travel as arrays packed into binary columns, a few per task, which costs a fraction of a row each.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import zlib
 from collections.abc import Callable, Iterator
-from functools import partial
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonequarry.llm.common import apart, discard, release, saved, width, written
+from tonequarry.llm.common import apart, discard, narrow_batches, release, saved, width, written
 
 #: Similarity as a fraction, so that comparisons are exact.
 UP, DOWN = 4, 5
@@ -35,150 +37,232 @@ LEAST_SIMILAR = 4
 #: Counters of the rarity table, whatever the number of tokens: 16 MB. Tokens that share a counter look more frequent.
 COUNTERS = 1 << 22
 CHUNKS = 64
-#: A table of so many flags (as a power of two) keeps rows out of shuffles that can't concern them.
-FLAG_BITS = 23
-#: Bits of a token's hash.
-TOKEN = np.uint64((1 << 48) - 1)
-#: Classes of one token that meet in one group, about; more frequent tokens are dealt to pairs of blocks.
+#: Tables of flags keep rows out of shuffles that can't concern them: so many bits for each value, as powers of two.
+FLAG_BITS = (16, 27)
+#: A more frequent token needs a second one to make a key.
 GROUP = 4096
-#: Bytes of text that are taken apart at once, and pairs that are compared at once.
-STEP, PAIRS = 1 << 20, 1 << 18
+#: Rows of one key that a task takes; the rows of a more frequent key are dealt to blocks.
+SPLIT = 1 << 18
+#: Passing candidates for each key that a line meets at first.
+NEAREST = 4
+#: Bytes of text that are taken apart at once, pairs that are compared at once, and bytes that a task gathers.
+STEP, PAIRS, GATHERED = 1 << 20, 1 << 18, 1 << 25
+#: Words up to this length are hashed all at once.
+LONG_WORD, HASHED = 1 << 12, 1 << 17
 
+MIX, MIX2, BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), 0x5851F42D4C957F2D
 
-class Taken:
-    """The token sets of a run of texts: tokens ascending within each line. Lines of fewer than ``least`` words are left out."""
 
-    def __init__(self, texts: list[bytes], wanted: list[set[int] | None] | None = None, least: int = LEAST_SIMILAR):
-        words: list[bytes] = []
-        counts, rows, numbers = [], [], []
-        for r, text in enumerate(texts):
-            for no, line in enumerate(text.split(b"\n")):
-                if wanted is not None and no not in wanted[r]:
-                    continue
-                found = line.split()
-                if len(found) >= least:
-                    words += found
-                    counts.append(len(found))
-                    rows.append(r)
-                    numbers.append(no)
-        self.rows, self.numbers = np.array(rows, "i8"), np.array(numbers, "i4")
-        self.settle(counts, np.fromiter(map(xxhash.xxh3_64_intdigest, words), "u8", len(words)) & TOKEN)
-
-    def settle(self, counts: list[int], tokens: np.ndarray) -> None:
-        line = np.repeat(np.arange(len(counts)), counts)
-        if len(counts) < 1 << 16:  # line and token fit one integer, which sorts by itself
-            both = np.sort(line.view("u8") << np.uint64(48) | tokens)
-            both = both[np.append(True, both[1:] != both[:-1])] if len(both) else both
-            self.tokens, self.line = both & TOKEN, (both >> np.uint64(48)).view("i8")
-        else:
-            order = np.lexsort((tokens, line))
-            tokens, line = tokens[order], line[order]
-            new = np.append(True, (tokens[1:] != tokens[:-1]) | (line[1:] != line[:-1]))
-            self.tokens, self.line = tokens[new], line[new]
-        self.sizes = np.bincount(self.line, minlength=len(counts))
-        self.starts = np.cumsum(self.sizes) - self.sizes
+def _powers(base: int) -> np.ndarray:
+    out = np.full(HASHED + 1, np.uint64(base))
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+#: Powers of an odd base modulo 2^64, and their inverses.
+RAISED, LOWERED = _powers(BASE), _powers(pow(BASE, -1, 1 << 64))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(32)) * MIX2
+    return x ^ x >> np.uint64(29)
+
 
-    def by_rarity(self, count: np.ndarray) -> np.ndarray:
-        """An order of all tokens: within each line the rarest first, ties by token."""
-        if len(self.sizes) < 1 << 16:
-            rare = np.minimum(count, 0xFFFFFFFF).astype("u8")
-            return np.argsort(self.line.view("u8") << np.uint64(32) | rare, kind="stable")
-        return np.lexsort((count, self.line))
+def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of some bytes start, and their 64-bit hashes; words are what ASCII white space parts.
 
+    Polynomials over running sums: equal words have equal hashes wherever they stand.
+    """
+    buf = np.frombuffer(data, "u1")
+    space = (buf == 32) | ((buf >= 9) & (buf <= 13))
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if len(buf) and not space[0]:
+        edges = np.append(0, edges)
+    if len(buf) and not space[-1]:
+        edges = np.append(edges, len(buf))
+    first, last = edges[0::2], edges[1::2]
+    out = np.zeros(len(first), "u8")
+    i = 0
+    while i < len(first):
+        at = int(first[i])
+        j = max(i + 1, int(np.searchsorted(last, at + HASHED, "right")))
+        end = min(at + HASHED, len(buf))
+        sums = np.zeros(end - at + 1, "u8")
+        np.cumsum(np.multiply(buf[at:end], RAISED[: end - at], dtype="u8"), out=sums[1:])
+        a, b = first[i:j] - at, np.minimum(last[i:j] - at, end - at)
+        out[i:j] = mixed((sums[b] - sums[a]) * LOWERED[a] + (b - a).view("u8"))
+        i = j
+    for k in np.flatnonzero(last - first > LONG_WORD).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(data[first[k] : last[k]])
+    return first, out
+
+
+def tag_of(text: bytes) -> int:
+    """Tells apart texts of one id: the upper half of a line's number."""
+    return (zlib.crc32(text) & 0x7FFFFFFF) << 32
+
+
+def runs(column: pa.Array, cut: bool = True) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+    """A column's texts in runs of about ``STEP`` bytes: rows, numbers of the first lines, and bytes. Long texts are cut at line ends."""
+    rows, numbers, parts, held = [], [], [], 0
+    for r in range(len(column)):
+        text = column[r].as_py() or b""
+        tag, at, no = tag_of(text) if cut else 0, 0, 0
+        while True:
+            end = text.find(b"\n", at + STEP) if cut and len(text) - at > STEP else -1
+            part = text[at:] if end < 0 else text[at:end]
+            rows.append(r)
+            numbers.append(tag + no)
+            parts.append(part)
+            held += len(part)
+            if held >= STEP:
+                yield rows, numbers, parts
+                rows, numbers, parts, held = [], [], [], 0
+            if end < 0:
+                break
+            no += part.count(b"\n") + 1
+            at = end + 1
+    if parts:
+        yield rows, numbers, parts
+
+
+class LineTokens:
+    """The words of a run's lines: ``token`` and ``owner`` of each word, and the rows and numbers of the owners.
+
+    Only lines with a word are owners.
+    """
 
-def pieces(column: pa.Array) -> Iterator[tuple[slice, list[bytes]]]:
-    """Runs of a column's texts of about ``STEP`` bytes, taken out one run at a time."""
-    lengths = np.nan_to_num(pc.binary_length(column).to_numpy(zero_copy_only=False)).astype("i8")
-    run = np.cumsum(lengths) // STEP
-    starts = np.flatnonzero(np.append(True, run[1:] != run[:-1])) if len(run) else []
-    for a, b in zip(starts, [*starts[1:], len(run)], strict=True):
-        yield slice(int(a), int(b)), [t.as_py() or b"" for t in column.slice(int(a), int(b) - int(a))]
+    cut = True
+
+    def __init__(self, rows: list[int], numbers: list[int], parts: list[bytes]):
+        data = b"\n".join(parts)
+        start, self.token = words_of(data)
+        ends = np.flatnonzero(np.frombuffer(data, "u1") == 10)
+        line = np.searchsorted(ends, start)
+        new = np.append(True, line[1:] != line[:-1])[: len(line)]
+        self.owner, used = np.cumsum(new) - 1, line[new]
+        counts = np.array([p.count(b"\n") + 1 for p in parts])
+        part = np.repeat(np.arange(len(parts)), counts)[used]
+        self.rows = np.array(rows)[part]
+        self.numbers = np.array(numbers)[part] + used - (np.cumsum(counts) - counts)[part]
+
+
+class Sets:
+    """Distinct tokens by owner, the rarest first, ties by token."""
+
+    def __init__(self, token: np.ndarray, owner: np.ndarray, owners: int, spread: np.ndarray):
+        count = np.minimum(spread[counter_of(token)], (1 << 20) - 1).astype("u8")
+        if owners < 1 << 16:  # one integer that sorts by itself, unless it can't tell two tokens apart
+            both = owner.view("u8") << np.uint64(48) | count << np.uint64(28) | token >> np.uint64(36)
+            order = np.argsort(both)
+            both, sorted_token = both[order], token[order]
+            clash = ((both[1:] == both[:-1]) & (sorted_token[1:] != sorted_token[:-1])).any()
+        if owners >= 1 << 16 or clash:
+            order = np.lexsort((token, count, owner))
+        token, owner, count = token[order], owner[order], count[order]
+        new = np.append(True, (token[1:] != token[:-1]) | (owner[1:] != owner[:-1]))[: len(token)]
+        self.token, self.owner, self.count = token[new], owner[new], count[new]
+        self.sizes = np.bincount(self.owner, minlength=owners)
+        self.starts = np.cumsum(self.sizes) - self.sizes
 
 
 def counter_of(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> np.uint64(26)).view("i8")
+    return (tokens >> np.uint64(42)).view("i8")
 
 
-def word_counts(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of all words, the same one at most once a text, and how often they occur."""
-    found = [Counter(text.split()) for text in data]
-    words = list(chain.from_iterable(found))
-    times = np.fromiter(chain.from_iterable(c.values() for c in found), "i8", len(words))
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), "u8", len(words)) & TOKEN, times
+def sums(parts: DataFrame) -> DataFrame:
+    """``(chunk, counts)`` tables of unsigned integers, added up chunk by chunk; no sum overflows."""
 
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = np.frombuffer(counts.as_py(), "u4")
+                total[chunk] = np.minimum(total[chunk].astype("u8") + own, 0xFFFFFFFF).astype("u4") if chunk in total else own
+        for chunk, counts in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([counts.tobytes()], pa.binary())], ["chunk", "counts"])
 
-def rarity(texts: DataFrame, counts_of: Callable = word_counts) -> np.ndarray:
-    """How often the tokens of each counter occur: a table of fixed size, summed chunk by chunk."""
+    return parts.repartitionById(CHUNKS, "chunk").mapInArrow(add, "chunk int, counts binary")
+
+
+def counted(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]]) -> np.ndarray:
+    """How many keys fall to each counter: a table of fixed size (16 MB), summed chunk by chunk."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, "u4")
+        total, held = np.zeros(COUNTERS, "u4"), []
         for batch in batches:
-            for _, data in pieces(batch.column(1)):
-                tokens, times = counts_of(data)
-                at = counter_of(tokens)
-                order = np.argsort(at)
-                first = np.flatnonzero(np.append(True, at[order][1:] != at[order][:-1])) if len(at) else at
-                total[at[order][first]] += np.add.reduceat(times[order], first).astype("u4") if len(at) else np.zeros(0, "u4")
+            for keys in keys_of(batch):
+                held.append(counter_of(keys).astype("u4"))
+                if sum(map(len, held)) >= COUNTERS // 2:
+                    total += np.bincount(np.concatenate(held), minlength=COUNTERS).astype("u4")
+                    held = []
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=COUNTERS).astype("u4")
         parts = total.reshape(CHUNKS, -1)
         for i in range(CHUNKS):
             if parts[i].any():
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([parts[i].tobytes()], pa.binary())], ["chunk", "counts"])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = np.frombuffer(counts.as_py(), "u4")
-                sums[chunk] = np.minimum(sums[chunk].astype("u8") + own, 0xFFFFFFFF).astype("u4") if chunk in sums else own
-        for chunk, counts in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([counts.tobytes()], pa.binary())], ["chunk", "counts"])
-
-    shape = "chunk int, counts binary"
     out = np.zeros((CHUNKS, COUNTERS // CHUNKS), "u4")
-    for chunk, counts in texts.mapInArrow(tally, shape).repartition(CHUNKS, "chunk").mapInArrow(add, shape).collect():
+    for chunk, counts in sums(rows.mapInArrow(tally, "chunk int, counts binary")).collect():
         out[chunk] = np.frombuffer(counts, "u4")
     return out.reshape(-1)
 
 
-def flag_of(values: np.ndarray) -> np.ndarray:
-    return (values * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - FLAG_BITS)).view("i8")
+def rarity(texts: DataFrame, take: type = LineTokens) -> np.ndarray:
+    """How often the tokens of each counter occur in all texts."""
+
+    def tokens(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for run in runs(batch.column(1), take.cut):
+            yield take(*run).token
+
+    return counted(texts, tokens)
+
+
+def flag_of(values: np.ndarray, bits: int) -> np.ndarray:
+    return (values * MIX >> np.uint64(64 - bits)).view("i8")
 
 
 def flagged(flags: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Whether values may be among those that ``flags`` was made of."""
-    at = flag_of(values)
+    at = flag_of(values, len(flags).bit_length() + 2)
     return (flags[at >> 3] >> (at & 7).astype("u1") & 1).astype(bool)
 
 
-def flags_of(values: DataFrame) -> np.ndarray:
-    """A bit table of fixed size (1 MB) in which every value of a long column has its bit: what others can be left out by."""
+def flags_of(rows: DataFrame, values_of: Callable[[pa.RecordBatch], np.ndarray], count: int) -> np.ndarray:
+    """A bit table, of 16 MB at most, in which every value has its bit: what others can be left out by."""
+    bits = min(max(FLAG_BITS[0], (8 * count).bit_length()), FLAG_BITS[1])
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << (FLAG_BITS - 3), "u1")
+        table = np.zeros(1 << (bits - 3), "u1")
         for batch in batches:
-            at = flag_of(batch.column(0).to_numpy(zero_copy_only=False).view("u8"))
-            np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype("u1"))
-        parts = bits.reshape(16, -1)
+            at = flag_of(values_of(batch), bits)
+            np.bitwise_or.at(table, at >> 3, np.uint8(1) << (at & 7).astype("u1"))
+        parts = table.reshape(16, -1)
         full = [i for i in range(16) if parts[i].any()]
         yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([parts[i].tobytes() for i in full], pa.binary())], ["chunk", "bits"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for chunk, bits in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = np.frombuffer(bits.as_py(), "u1")
-                sums[chunk] = sums[chunk] | own if chunk in sums else own
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["chunk", "bits"])
+            for chunk, own in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = np.frombuffer(own.as_py(), "u1")
+                total[chunk] = total[chunk] | own if chunk in total else own
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["chunk", "bits"])
 
     shape = "chunk int, bits binary"
-    out = np.zeros((16, 1 << (FLAG_BITS - 7)), "u1")
-    for chunk, bits in values.mapInArrow(mark, shape).repartition(16, "chunk").mapInArrow(add, shape).collect():
-        out[chunk] = np.frombuffer(bits, "u1")
+    out = np.zeros((16, 1 << (bits - 7)), "u1")
+    for chunk, own in rows.mapInArrow(mark, shape).repartitionById(16, "chunk").mapInArrow(add, shape).collect():
+        out[chunk] = np.frombuffer(own, "u1")
     return out.reshape(-1)
 
 
-def line_key(doc_id: np.ndarray, line_no: np.ndarray) -> np.ndarray:
-    return (doc_id ^ line_no.astype("i8") << 40).view("u8")
+def line_key(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return doc.view("u8") * MIX2 ^ line.view("u8")
+
+
+def ends_key(batch: pa.RecordBatch) -> np.ndarray:
+    return line_key(*(batch.column(k).to_numpy(zero_copy_only=False) for k in range(2)))
 
 
 def prefix_length(sizes: np.ndarray) -> np.ndarray:
@@ -189,240 +273,343 @@ def prefix_length(sizes: np.ndarray) -> np.ndarray:
     return np.where(sizes < LEAST_SIMILAR, 0, sizes - (sizes * UP + DOWN - 1) // DOWN + 1)
 
 
-LINE = "doc_id long, line_no int, size int, hi long, lo long, parity long, skipped int, prefix array<long>"
+#: A set without its prefix: digest, its line, how many tokens it has, how many of its rarest occur nowhere else, how many prefix tokens follow.
+HEAD = np.dtype([("hi", "u8"), ("lo", "u8"), ("doc", "i8"), ("line", "i8"), ("parity", "u8"), ("size", "u4"), ("skipped", "u4"), ("held", "u4")])
+#: A set under one of its keys.
+POSTING = np.dtype([("key", "u8"), ("doc", "i8"), ("line", "i8"), ("parity", "u8"), ("size", "u4"), ("place", "u2"), ("asks", "?")])
+
 
+def packed(part: int, *arrays: np.ndarray) -> list[pa.Array]:
+    return [pa.array([part], pa.int32()), *(pa.array([a.tobytes()], pa.binary()) for a in arrays)]
 
-def token_lines(texts: DataFrame, spread: Broadcast, take: Callable = partial(Taken, least=1)) -> DataFrame:
-    """A row per line that isn't blank: its set's size, 128-bit digest, parity bitmap and prefix, the rarest token first.
 
-    Tokens that occur once in the corpus can match nothing and are skipped; they come first, so a prefix
-    token's place is its index and the number skipped.
+def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after the other."""
+    return np.arange(lengths.sum()) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
+
+
+def token_sets(texts: DataFrame, spread: Broadcast, parts: int, take: type = LineTokens) -> DataFrame:
+    """``(part, heads, tokens)``: the sets of all lines that have a word, dealt by digest.
+
+    ``tokens`` are the prefixes, one longer than a shared token needs. Tokens that occur once in the corpus can match
+    nothing and are skipped; they come first, so a prefix token's place is its index and the number skipped.
     """
-    names = [x.split()[0] for x in LINE.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            for part, data in pieces(batch.column(1)):
-                t = take(data)
-                if not len(t.sizes):
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for piece in runs(batch.column(1), take.cut):
+                t = take(*piece)
+                if not len(t.rows):
                     continue
-                count = spread.value[counter_of(t.tokens)]
-                raw, ends = t.tokens.tobytes(), t.starts + t.sizes
-                digest = np.array([xxhash.xxh3_128_digest(raw[8 * a : 8 * b]) for a, b in zip(t.starts.tolist(), ends.tolist(), strict=True)], "S16")
-                halves = np.frombuffer(digest.tobytes(), "i8").reshape(-1, 2)
-                parity = np.bitwise_xor.reduceat(np.uint64(1) << (t.tokens & np.uint64(63)), t.starts)
-                order = t.by_rarity(count)
-                place = np.arange(len(order)) - np.repeat(t.starts, t.sizes)
-                within = place < np.repeat(prefix_length(t.sizes), t.sizes)
-                use = within & (count[order] > 1)
-                held = np.bincount(t.line[use], minlength=len(t.sizes))
-                skipped = np.bincount(t.line[within], minlength=len(t.sizes)) - held
-                prefix = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(held)), pa.int32()), pa.array(t.tokens[order][use].view("i8")))
-                doc_ids = ids.slice(part.start, part.stop - part.start).take(pa.array(t.rows))
-                columns = [doc_ids, pa.array(t.numbers), pa.array(t.sizes, pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(parity.view("i8")), pa.array(skipped, pa.int32()), prefix]
-                yield pa.RecordBatch.from_arrays(columns, names)
-
-    return texts.mapInArrow(run, LINE)
-
-
-POSTING = "key long, doc_id long, line_no int, size int, place int, parity long, asks boolean"
-
-
-def postings(classes: DataFrame, spread: Broadcast, asking: Broadcast | None = None, among: Broadcast | None = None) -> DataFrame:
-    """A row per class and prefix token; classes that share a token share a key.
-
-    A frequent token's classes are dealt to the pairs of their blocks, each with a key of its own, so that any two of
-    them meet in a group of bounded size. Keys are hashes: a clash brings pairs together that verification parts.
-    ``asking``: flags of the lines that ask (default: all); ``among``: flags of the keys that are wanted (default: those
-    of the lines that ask). Flags let a few others through, which costs work but changes no result.
+                s = Sets(t.token, t.owner, len(t.rows), spread.value)
+                place = np.arange(len(s.token)) - np.repeat(s.starts, s.sizes)
+                length = prefix_length(s.sizes)
+                within = place < np.repeat(np.where(length > 0, length + 1, 0), s.sizes)
+                use = within & (s.count > 1)
+                heads = np.zeros(len(t.rows), HEAD)
+                heads["hi"], heads["lo"] = np.add.reduceat(mixed(s.token), s.starts), np.add.reduceat(mixed(s.token * MIX + MIX2), s.starts)
+                heads["doc"], heads["line"] = ids[t.rows], t.numbers
+                heads["parity"] = np.bitwise_xor.reduceat(np.uint64(1) << (s.token >> np.uint64(8) & np.uint64(63)), s.starts)
+                heads["size"], heads["held"] = s.sizes, np.bincount(s.owner[use], minlength=len(t.rows))
+                heads["skipped"] = np.bincount(s.owner[within], minlength=len(t.rows)) - heads["held"]
+                token = s.token[use]
+                to = (heads["hi"] >> np.uint64(20)) % np.uint64(parts)
+                order = np.argsort(to, kind="stable")
+                token = token[ranges((np.cumsum(heads["held"], dtype="i8") - heads["held"])[order], heads["held"][order].astype("i8"))]
+                heads, to = heads[order], to[order].astype("i8")
+                begin = np.append(0, np.cumsum(heads["held"], dtype="i8"))
+                cuts = np.append(np.flatnonzero(np.append(True, to[1:] != to[:-1])), len(to))
+                rows = [(int(to[a]), heads[a:b].tobytes(), token[begin[a] : begin[b]].tobytes()) for a, b in zip(cuts, cuts[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["part", "heads", "tokens"])
+
+    return narrow_batches(texts).mapInArrow(run, "part int, heads binary, tokens binary")
+
+
+def classes_of(sets: DataFrame, parts: int) -> DataFrame:
+    """``(heads, tokens, repeats)``: the first line of each class with its prefix, and the other lines as (doc, line)."""
+    names = ["heads", "tokens", "repeats"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads, tokens = [], []
+        for batch in batches:
+            heads += [np.frombuffer(x.as_py(), HEAD) for x in batch.column(1)]
+            tokens += [np.frombuffer(x.as_py(), "u8") for x in batch.column(2)]
+        if not heads:
+            return
+        heads, tokens = np.concatenate(heads), np.concatenate(tokens)
+        begin = np.cumsum(heads["held"], dtype="i8") - heads["held"]
+        order = np.lexsort((heads["line"], heads["doc"], heads["lo"], heads["hi"]))
+        h = heads[order]
+        new = np.append(True, (h["hi"][1:] != h["hi"][:-1]) | (h["lo"][1:] != h["lo"][:-1]) | (h["doc"][1:] != h["doc"][:-1]) | (h["line"][1:] != h["line"][:-1]))
+        order, h = order[new], h[new]  # rows that repeat as a whole
+        first = np.append(True, (h["hi"][1:] != h["hi"][:-1]) | (h["lo"][1:] != h["lo"][:-1]))
+        repeats = np.stack([h["doc"][~first], h["line"][~first]], 1)
+        for at in range(0, len(order), 1 << 16):
+            mine = order[at : at + (1 << 16)][first[at : at + (1 << 16)]]
+            own = heads[mine]
+            again = repeats if at == 0 else repeats[:0]
+            columns = [own, tokens[ranges(begin[mine], own["held"].astype("i8"))], again]
+            yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], names)
+
+    return sets.repartitionById(parts, "part").mapInArrow(run, "heads binary, tokens binary, repeats binary")
+
+
+def repeats_of(classes: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column(0):
+                own = np.frombuffer(x.as_py(), "i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(own[:, 0]), pa.array(own[:, 1])], ["doc_id", "line"])
+
+    return classes.select("repeats").mapInArrow(run, "doc_id long, line long")
+
+
+def keyed(heads: np.ndarray, tokens: np.ndarray, spread: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key, row and place of all keys of some sets: a prefix token, or a frequent one with each that follows it."""
+    held = heads["held"].astype("i8")
+    row = np.repeat(np.arange(len(heads)), held)
+    index = np.arange(len(tokens)) - np.repeat(np.cumsum(held) - held, held)
+    place = index + heads["skipped"][row]
+    lead = place < prefix_length(heads["size"].astype("i8"))[row]
+    hot = spread[counter_of(tokens)] > GROUP
+    alone = np.flatnonzero(lead & ~hot)
+    both = np.flatnonzero(lead & hot)
+    after = held[row[both]] - 1 - index[both]
+    one, two = np.repeat(both, after), ranges(both + 1, after)
+    key = np.concatenate([mixed(tokens[alone]), mixed(tokens[one] * MIX + mixed(tokens[two]))])
+    # With the first two tokens shared, all before the second but one are not: the bound is that of the place before.
+    return key, row[np.concatenate([alone, one])], np.concatenate([place[alone], place[two] - 1])
+
+
+def unpacked(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for x, y in zip(batch.column(0), batch.column(1), strict=True):
+        yield np.frombuffer(x.as_py(), HEAD), np.frombuffer(y.as_py(), "u8")
+
+
+def key_counts(classes: DataFrame, spread: Broadcast) -> np.ndarray:
+    return counted(classes.select("heads", "tokens"), lambda batch: (keyed(*x, spread.value)[0] for x in unpacked(batch)))
+
+
+def postings(classes: DataFrame, spread: Broadcast, blocks: Broadcast, parts: int, asking: Broadcast | None = None, among: Broadcast | None = None) -> DataFrame:
+    """``(part, rows)``: every class under each of its keys, as ``POSTING`` arrays dealt by key.
+
+    The rows of a key are dealt to as many blocks as ``blocks`` says for its counter. ``asking``: flags of the lines
+    that ask, which then stand in all blocks; ``among``: flags of the keys that are wanted. Flags let a few others
+    through, which costs work but changes no result. Keys are hashes: a clash brings pairs together that verification
+    parts.
     """
-    names = [x.split()[0] for x in POSTING.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
-            if asking is None:
-                asks = np.ones(batch.num_rows, bool)
-            else:
-                asks = flagged(asking.value, line_key(c["doc_id"].to_numpy(zero_copy_only=False), c["line_no"].to_numpy(zero_copy_only=False)))
-                if among is None:
-                    batch = batch.filter(pa.array(asks))
-                    c, asks = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}, asks[asks]
-            token = c["prefix"].flatten().to_numpy().view("u8")
-            lengths = np.diff(c["prefix"].offsets.to_numpy())
-            row = np.repeat(np.arange(batch.num_rows), lengths)
-            place = np.arange(len(token)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + c["skipped"].to_numpy(zero_copy_only=False)[row]
-            blocks = -(-spread.value[counter_of(token)].astype("i8") // GROUP)
-            at = np.repeat(np.arange(len(token)), blocks)
-            other = np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-            mixed = (c["doc_id"].to_numpy(zero_copy_only=False) * 31 + c["line_no"].to_numpy(zero_copy_only=False)).view("u8") * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
-            own = (mixed[row] % blocks.view("u8")).view("i8")[at]
-            pair = np.minimum(own, other) * (1 << 20) + np.maximum(own, other)
-            key = token[at] ^ pair.view("u8") * np.uint64(0xD6E8FEB86659FD93)
-            if among is not None:
-                use = flagged(among.value, key)
-                at, key = at[use], key[use]
-            for a in range(0, len(at), 1 << 18):
-                s = at[a : a + (1 << 18)]
-                rows = pa.array(row[s])
-                some = {n: c[n].take(rows) for n in ("doc_id", "line_no", "size", "parity")}
-                columns = {"key": pa.array(key[a : a + (1 << 18)].view("i8")), "place": pa.array(place[s].astype("i4")), "asks": pa.array(asks[row[s]])} | some
-                yield pa.RecordBatch.from_arrays([columns[n] for n in names], names)
-
-    return classes.mapInArrow(run, POSTING)
-
-
-PAIR = "doc_id long, line_no int, to_doc long, to_line int, more boolean"
-
-
-def groups(batches: Iterator[pa.RecordBatch], key: Callable) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
-    """Columns of whole groups in the order given, and where each group starts; a group isn't torn between batches."""
-    held: dict[str, np.ndarray] | None = None
-    for batch in batches:
-        own = {n: batch.column(k).to_numpy(zero_copy_only=False) for k, n in enumerate(batch.schema.names)}
-        held = own if held is None else {n: np.concatenate([held[n], own[n]]) for n in own}
-        if not len(held["key"]):
-            continue
-        starts = key(held)
-        if len(starts) > 1:
-            last = starts[-1]
-            yield {n: v[:last] for n, v in held.items()}, starts[:-1]
-            held = {n: v[last:] for n, v in held.items()}
-    if held is not None and len(held["key"]):
-        yield held, key(held)
-
-
-def starts_of(c: dict[str, np.ndarray]) -> np.ndarray:
-    return np.flatnonzero(np.append(True, c["key"][1:] != c["key"][:-1]))
-
-
-def matched(c: dict[str, np.ndarray], starts: np.ndarray, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Row numbers of lines that ask, of earlier candidates, and whether there are more: the earliest or every one."""
-    ends = np.append(starts[1:], len(c["key"]))
-    earlier = np.arange(len(c["key"])) - np.repeat(starts, ends - starts)
-    earlier = np.where(c["asks"], earlier, 0)
-    total = np.cumsum(earlier)
-    cuts = np.searchsorted(total, np.arange(PAIRS, total[-1] + PAIRS, PAIRS)) if len(total) else []
-    at = 0
-    for cut in [*dict.fromkeys(int(x) + 1 for x in cuts)]:
-        rows = np.arange(at, min(cut, len(earlier)))
-        at = cut
-        x = np.repeat(rows, earlier[rows])
-        if not len(x):
-            continue
-        first = np.repeat(np.cumsum(earlier[rows]) - earlier[rows], earlier[rows])
-        y = x - np.repeat(earlier[rows], earlier[rows]) + np.arange(len(x)) - first
-        sx, sy = c["size"][x].astype("i8"), c["size"][y].astype("i8")
-        need = (UP * (sx + sy) + UP + DOWN - 1) // (UP + DOWN)
-        ok = np.minimum(sx - c["place"][x], sy - c["place"][y]) >= need
-        ok &= (DOWN * sy >= UP * sx) & (DOWN * sx >= UP * sy)
-        x, y, total_size, need = x[ok], y[ok], (sx + sy)[ok], need[ok]
-        # Every token in only one of the two sets turns one bit: the bits that differ are at most so many.
-        ok = total_size - np.bitwise_count((c["parity"][x] ^ c["parity"][y]).view("u8")) >= 2 * need
-        ok &= (c["doc_id"][x] != c["doc_id"][y]) | (c["line_no"][x] != c["line_no"][y])
-        x, y = x[ok], y[ok]
-        if every:
-            yield x, y, np.zeros(len(x), bool)
-        else:
-            lead = np.unique(x, return_index=True)[1]
-            n = np.diff(np.append(lead, len(x)))
-            yield x[lead], y[lead], n > 1
-
-
-def candidates(posted: DataFrame, every: bool) -> DataFrame:
-    """Pairs of an asking line and an earlier one that pass the filters; ``more``: others were left out."""
+            for heads, tokens in unpacked(batch):
+                key, row, place = keyed(heads, tokens, spread.value)
+                own = line_key(heads["doc"], heads["line"])
+                asks = np.ones(len(heads), bool) if asking is None else flagged(asking.value, own)
+                if among is not None:
+                    use = flagged(among.value, key)
+                    key, row, place = key[use], row[use], place[use]
+                n = blocks.value[counter_of(key)].astype("i8")
+                if n.max(initial=1) > 1:
+                    block = (mixed(own[row]) % n.view("u8")).view("i8")
+                    if asking is not None:  # a line that asks stands in all blocks
+                        times = np.where(asks[row], n, 1)
+                        at = np.repeat(np.arange(len(key)), times)
+                        block = np.where(asks[row[at]], np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times), block[at])
+                        key, row, place = key[at], row[at], place[at]
+                    key = key ^ block.view("u8") * MIX
+                to = (mixed(key) % np.uint64(parts)).view("i8")
+                out = np.empty(len(key), POSTING)
+                out["key"], out["place"], out["asks"] = key, np.minimum(place, 0xFFFF), asks[row]
+                for n in ("doc", "line", "parity", "size"):
+                    out[n] = heads[n][row]
+                order = np.argsort(to, kind="stable")
+                out, to = out[order], to[order]
+                cuts = np.append(np.flatnonzero(np.append(True, to[1:] != to[:-1])), len(to)) if len(to) else [0]
+                rows = [(int(to[a]), out[a:b].tobytes()) for a, b in zip(cuts, cuts[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "rows"])
+
+    return classes.select("heads", "tokens").mapInArrow(run, "part int, rows binary")
+
+
+def asked_keys(classes: DataFrame, spread: Broadcast, asking: Broadcast) -> tuple[DataFrame, Callable, int]:
+    """What ``flags_of`` needs to flag the keys of the lines that ask."""
+
+    def values(batch: pa.RecordBatch) -> np.ndarray:
+        out = [np.zeros(0, "u8")]
+        for heads, tokens in unpacked(batch):
+            key, row, _ = keyed(heads, tokens, spread.value)
+            out.append(key[flagged(asking.value, line_key(heads["doc"], heads["line"]))[row]])
+        return np.concatenate(out)
+
+    return classes.select("heads", "tokens"), values, 1 << 24
+
+
+def passing(c: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which pairs of postings of one key pass the length, position and parity filters."""
+    sx, sy = c["size"][x].astype("i8"), c["size"][y].astype("i8")
+    need = (UP * (sx + sy) + UP + DOWN - 1) // (UP + DOWN)
+    ok = (np.minimum(sx - c["place"][x], sy - c["place"][y]) >= need) & (DOWN * sy >= UP * sx) & (DOWN * sx >= UP * sy)
+    # Every token in only one of the two sets turns one bit: the bits that differ are at most so many.
+    ok &= sx + sy - np.bitwise_count(c["parity"][x] ^ c["parity"][y]) >= 2 * need
+    return ok & ((c["doc"][x] != c["doc"][y]) | (c["line"][x] != c["line"][y]))
+
+
+def matched(c: np.ndarray, most: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows that ask, earlier rows of the same key that pass the filters, and whether some were left out.
+
+    ``c`` is in the order of (key, doc, line). A row looks at the nearest rows before it first and stops at ``most``
+    passing ones (None: looks at all).
+    """
+    n = len(c)
+    starts = np.flatnonzero(np.append(True, c["key"][1:] != c["key"][:-1])[:n])
+    before = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
+    active = np.flatnonzero((before > 0) & c["asks"])
+    found = np.zeros(n, "i8")
+    done = 0
+    while len(active):
+        wide = max(1, PAIRS // len(active))
+        for at in range(0, len(active), PAIRS):
+            mine = active[at : at + PAIRS]
+            x = np.repeat(mine, np.minimum(before[mine] - done, wide))
+            y = x - done - 1 - (ranges(np.zeros(len(mine), "i8"), np.minimum(before[mine] - done, wide)))
+            ok = passing(c, x, y)
+            x, y = x[ok], y[ok]
+            if most is not None and len(x):
+                lead = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+                times = np.diff(np.append(lead, len(x)))
+                nth = np.arange(len(x)) - np.repeat(lead, times) + found[x]
+                found[x[lead]] += times
+                x, y = x[nth < most], y[nth < most]
+            yield x, y, found[x] >= (most or n + 1)
+        done += wide
+        active = active[(before[active] > done) & (found[active] < (most or n + 1))]
+
+
+PAIR = "doc_id long, line long, to_doc long, to_line long, more boolean"
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+    """All postings of a task whose key isn't alone, by (key, doc, line)."""
+    own = [np.frombuffer(x.as_py(), POSTING) for batch in batches for x in batch.column(1)]
+    if not own:
+        return np.zeros(0, POSTING)
+    c = np.concatenate(own)
+    c = c[np.argsort(c["key"])]
+    same = c["key"][1:] == c["key"][:-1]
+    c = c[np.append(False, same)[: len(c)] | np.append(same, False)[: len(c)]]
+    return c[np.lexsort((c["line"], c["doc"], c["key"]))]
+
+
+def candidates(posted: DataFrame, parts: int, most: int | None) -> DataFrame:
+    """Pairs of an asking line and an earlier one that pass the filters; ``more``: others may have been left out."""
     names = [x.split()[0] for x in PAIR.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c, starts in groups(batches, starts_of):
-            for x, y, more in matched(c, starts, every):
-                columns = [c["doc_id"][x], c["line_no"][x], c["doc_id"][y], c["line_no"][y], more]
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in columns], names)
+        c = gathered(batches)
+        for x, y, more in matched(c, most):
+            columns = [c["doc"][x], c["line"][x], c["doc"][y], c["line"][y], more]
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in columns], names)
 
-    dealt = posted.repartition(width(posted), "key").sortWithinPartitions("key", "doc_id", "line_no")
-    pairs = dealt.mapInArrow(run, PAIR)
-    return pairs.groupBy("doc_id", "line_no", "to_doc", "to_line").agg(F.max("more").alias("more"))
+    pairs = posted.repartitionById(parts, "part").mapInArrow(run, PAIR)
+    return pairs.groupBy("doc_id", "line", "to_doc", "to_line").agg(F.max("more").alias("more"))
 
 
-def line_tokens(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``(doc_id, line_no, tokens)`` of all lines in ``pairs``, and of a few others, read from their texts."""
-    ends = saved(pairs.select("doc_id", "line_no").unionByName(pairs.select(F.col("to_doc").alias("doc_id"), F.col("to_line").alias("line_no"))).distinct())
+def line_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``(doc_id, line, words)``: the lines in ``pairs``, and a few others, read from their texts."""
+    ends = saved(pairs.select("doc_id", "line").unionByName(pairs.select(F.col("to_doc").alias("doc_id"), F.col("to_line").alias("line"))).distinct())
     holding, _ = apart(texts, ends.select(F.col("doc_id").alias("key")), "doc_id")
-    wanted = texts.sparkSession.sparkContext.broadcast(flags_of(ends.select(F.col("doc_id").bitwiseXOR(F.shiftleft(F.col("line_no").cast("long"), 40)).alias("value"))))
+    wanted = texts.sparkSession.sparkContext.broadcast(flags_of(ends, ends_key, ends.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for part, data in pieces(batch.column(1)):
-                own = ids[part]
-                lines = [set(np.flatnonzero(flagged(wanted.value, line_key(i, np.arange(text.count(b"\n") + 1)))).tolist()) for i, text in zip(own, data, strict=True)]
-                t = Taken(data, lines)
-                tokens = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(t.sizes)), pa.int32()), pa.array(t.tokens.view("i8")))
-                yield pa.RecordBatch.from_arrays([pa.array(own[t.rows]), pa.array(t.numbers), tokens], ["doc_id", "line_no", "tokens"])
-
-    return written(holding.mapInArrow(run, "doc_id long, line_no int, tokens array<long>"))
+            for rows, numbers, parts in runs(batch.column(1)):
+                counts = [p.count(b"\n") + 1 for p in parts]
+                own, no = np.repeat(ids[rows], counts), ranges(np.array(numbers), np.array(counts))
+                at = np.flatnonzero(flagged(wanted.value, line_key(own, no)))
+                found = b"\n".join(parts).split(b"\n") if len(at) else []
+                yield pa.RecordBatch.from_arrays([pa.array(own[at]), pa.array(no[at]), pa.array([found[i] for i in at.tolist()], pa.binary())], ["doc_id", "line", "words"])
 
+    found = narrow_batches(holding).mapInArrow(run, "doc_id long, line long, words binary")
+    # Rows that repeat as a whole give a line twice.
+    return written(found.join(ends, ["doc_id", "line"], "left_semi").groupBy("doc_id", "line").agg(F.min("words").alias("words")))
 
-def similar(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
-    """``(doc_id, line_no)`` of the lines of ``pairs`` whose token set is similar enough to that of the other line.
 
-    Rows of one id are one document, so the tokens of one of them will do.
-    """
-    found = tokens.dropDuplicates(["doc_id", "line_no"])
-    right = found.select(F.col("doc_id").alias("to_doc"), F.col("line_no").alias("to_line"), F.col("tokens").alias("others"))
-    both = pairs.join(found, ["doc_id", "line_no"]).join(right, ["to_doc", "to_line"])
-    shared = F.size(F.array_intersect("tokens", "others"))
-    return both.where((UP + DOWN) * shared >= UP * (F.size("tokens") + F.size("others"))).select("doc_id", "line_no").distinct()
+def similar(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """``(doc_id, line)`` of the lines of ``pairs`` whose set of words is similar enough to that of the other line."""
+    right = lines.select(F.col("doc_id").alias("to_doc"), F.col("line").alias("to_line"), F.col("words").alias("others"))
+    both = pairs.join(lines, ["doc_id", "line"]).join(right, ["to_doc", "to_line"]).select("doc_id", "line", "words", "others")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                a, b = set(x.as_py().split()), set(y.as_py().split())
+                keep.append((UP + DOWN) * len(a & b) >= UP * (len(a) + len(b)))
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["doc_id", "line"])
 
-def by_document(lines: DataFrame, name: str) -> DataFrame:
-    """A row per document with its line numbers: put together within each task before the shuffle."""
-    return lines.groupBy("doc_id").agg(F.collect_set("line_no").alias(name))
+    return both.mapInArrow(run, "doc_id long, line long").distinct()
 
 
 def repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``(doc_id, drops)``: the numbers of the lines that go, as their sets equal or are similar to those of earlier lines.
+    """``(doc_id, tag, drops)``: the numbers of the lines that go, as their sets equal or are similar to those of earlier lines.
 
-    Earlier means by (doc_id, line_no). Any earlier line counts, whether it stays itself or not. Rows without an id
-    are left alone; rows with one id are taken as one document; null and empty texts have no lines to remove.
+    Earlier means by (doc_id, text, line number); texts of one id are told apart by a checksum, ``tag``, and rows of one
+    id and text are one document. Any earlier line counts, whether it stays itself or not. Rows without an id are left
+    alone; null and empty texts have no lines to remove.
     """
-    texts = docs.where(docs[id_column].isNotNull()).select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("binary").alias("text"))
-    spread = docs.sparkSession.sparkContext.broadcast(rarity(texts))
-    lines = written(token_lines(texts, spread))
-    release(docs.sparkSession)
-    rest = ["size", "parity", "skipped", "prefix"]
-    firsts = lines.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "line_no", *rest)).alias("x"))
-    classes = written(firsts.select("x.doc_id", "x.line_no", *(f"x.{n}" for n in rest)))
-    every, first = saved(by_document(lines, "every")), saved(by_document(classes, "first"))
+    spark = docs.sparkSession
+    share = spark.sparkContext.broadcast
+    texts = narrow_batches(docs.where(docs[id_column].isNotNull()).select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("binary").alias("text")))
+    counts = rarity(texts)
+    words, spread = int(counts.sum(dtype="u8")), share(counts)
+    parts = max(width(texts), 8 * words // GATHERED)
+    classes = written(classes_of(token_sets(texts, spread, parts), parts))
+    release(spark)
+    parts = max(width(texts), 6 * words // GATHERED)
+    blocks = np.ones(COUNTERS, "u4") if words <= SPLIT else np.maximum(1, -(-key_counts(classes, spread).astype("i8") // SPLIT)).astype("u4")
+    split, blocks = bool((blocks > 1).any()), share(blocks)
+    names = ["doc_id", "line"]
+    pairs = saved(candidates(postings(classes, spread, blocks, parts), parts, NEAREST))
+    release(spark)
+    lines = line_texts(pairs, texts)
+    nearest = saved(pairs.groupBy(*names).agg(F.min(F.struct("to_doc", "to_line")).alias("x"), F.max("more").alias("more")).select(*names, "x.to_doc", "x.to_line", "more"))
+    gone = saved(similar(nearest, lines))
+    others = pairs.join(gone, names, "left_anti").join(nearest, [*names, "to_doc", "to_line"], "left_anti")
+    gone = saved(gone.unionByName(similar(others, lines)))
+    left = saved(nearest.where("more").select(*names).join(gone, names, "left_anti"))
     discard(lines)
-    release(docs.sparkSession)
-    pairs = saved(candidates(postings(classes, spread), every=False))
-    release(docs.sparkSession)
-    names = ["doc_id", "line_no"]
-    tokens = line_tokens(pairs, texts)
-    earliest = pairs.groupBy(*names).agg(F.min(F.struct("to_doc", "to_line")).alias("x"), F.max("more").alias("more"))
-    earliest = saved(earliest.select(*names, "x.to_doc", "x.to_line", "more"))
-    gone = saved(similar(earliest, tokens))
-    release(docs.sparkSession)
-    others = pairs.join(gone, names, "left_anti").join(earliest, [*names, "to_doc", "to_line"], "left_anti")
-    gone = saved(gone.unionByName(similar(others, tokens)).distinct())
-    left = saved(earliest.where("more").select(*names).join(gone, names, "left_anti"))
-    discard(tokens)
-    release(docs.sparkSession)
+    if split:  # lines that have met the rows of their own block only
+        left = saved(left.unionByName(in_blocks(classes, spread, blocks)).distinct().join(gone, names, "left_anti"))
     if not left.isEmpty():
-        context = docs.sparkSession.sparkContext
-        asking = context.broadcast(flags_of(left.select(F.col("doc_id").bitwiseXOR(F.shiftleft(F.col("line_no").cast("long"), 40)).alias("value"))))
-        among = context.broadcast(flags_of(postings(classes, spread, asking).select("key")))
-        second = saved(candidates(postings(classes, spread, asking, among), every=True))
-        second = saved(second.join(pairs, [*names, "to_doc", "to_line"], "left_anti"))
-        gone = saved(gone.unionByName(similar(second, line_tokens(second, texts))))
+        asking = share(flags_of(left, ends_key, left.count()))
+        among = share(flags_of(*asked_keys(classes, spread, asking)))
+        second = saved(candidates(postings(classes, spread, blocks, parts, asking, among), parts, None).join(left, names, "left_semi").join(pairs, [*names, "to_doc", "to_line"], "left_anti"))
+        lines = line_texts(second, texts)
+        gone = saved(gone.unionByName(similar(second, lines)))
+        discard(lines)
+    gone = gone.unionByName(repeats_of(classes))
+    number, tag = F.col("line").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).cast("int"), F.shiftright("line", 32)
+    out = saved(gone.groupBy("doc_id", tag.alias("tag")).agg(F.collect_set(number).alias("drops")))
     discard(classes)
-    release(docs.sparkSession)
-    drops = every.join(first, "doc_id", "left").join(by_document(gone, "gone"), "doc_id", "left")
-    none = F.array().cast("array<int>")
-    stay = F.array_except(F.coalesce("first", none), F.coalesce("gone", none))
-    return drops.select("doc_id", F.array_except("every", stay).alias("drops")).where(F.size("drops") > 0)
+    for b in (spread, blocks):
+        b.unpersist()
+    release(spark)
+    return out
+
+
+def in_blocks(classes: DataFrame, spread: Broadcast, blocks: Broadcast) -> DataFrame:
+    """``(doc_id, line)`` of the classes that have a key whose rows are dealt to several blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for heads, tokens in unpacked(batch):
+                key, row, _ = keyed(heads, tokens, spread.value)
+                own = heads[np.unique(row[blocks.value[counter_of(key)] > 1])]
+                yield pa.RecordBatch.from_arrays([pa.array(own["doc"]), pa.array(own["line"])], ["doc_id", "line"])
+
+    return classes.select("heads", "tokens").mapInArrow(run, "doc_id long, line long")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -430,25 +617,26 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     All documents stay, even those left empty. A document without repeated lines isn't moved between tasks.
     """
-    drops = saved(repeated_lines(docs).select(F.col("doc_id").alias("__id"), F.col("drops").alias("__drops")))
-    release(docs.sparkSession)
-    touched, rest = apart(docs, drops.select(F.col("__id").alias("key")), "doc_id")
-    joined = touched.join(drops, touched["doc_id"].cast("long") == drops["__id"], "left").drop("__id")
-    shape = joined.schema
-    at, drop = joined.columns.index("text"), joined.columns.index("__drops")
+    at = "__dedup_lines"  # one struct beside the user's columns
+    drops = repeated_lines(docs).select(F.struct("doc_id", "tag", "drops").alias(at))
+    touched, rest = apart(docs, drops.select(F.col(f"{at}.doc_id").alias("key")), "doc_id")
+    tag = F.crc32(touched["text"].cast("binary")).bitwiseAND(F.lit(0x7FFFFFFF).cast("long"))
+    joined = touched.join(drops, (touched["doc_id"].cast("long") == drops[f"{at}.doc_id"]) & (tag == drops[f"{at}.tag"]), "left")
+    shape, where, struct = joined.schema, joined.columns.index("text"), joined.columns.index(at)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            lost = batch.column(struct).field("drops") if batch.num_rows else []
             texts = []
-            for text, gone in zip(batch.column(at), batch.column(drop), strict=True):
-                value, out = text.as_py(), gone.as_py()
-                if out and value is not None:
-                    lost = set(out)
-                    value = "\n".join([x for i, x in enumerate(value.split("\n")) if i not in lost])
+            for text, gone in zip(batch.column(where), lost, strict=True):
+                value, numbers = text.as_py(), gone.as_py()
+                if numbers and value is not None:
+                    numbers = set(numbers)
+                    value = "\n".join([x for i, x in enumerate(value.split("\n")) if i not in numbers])
                 texts.append(value)
-            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+            yield batch.set_column(where, batch.schema.field(where), pa.array(texts, batch.schema.field(where).type))
 
-    changed = joined.mapInArrow(run, shape).drop("__drops")
+    changed = narrow_batches(joined).mapInArrow(run, shape)
     out = changed.select(*docs.columns).unionByName(rest.select(*docs.columns))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.char_length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))

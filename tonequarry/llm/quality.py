@@ -12,10 +12,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tonequarry.llm.common import narrow_batches
+
 #: Labelled rows that the model is fitted on, at most, and the preference pairs drawn from them.
 FIT_ROWS, FIT_PAIRS = 20_000, 100_000
 FOLDS, SEED, RIDGE = 5, 11, 1e-3
@@ -114,14 +117,15 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     known = known.groupBy(F.col(id_column).cast("long").alias("doc_id")).agg(F.min(label_column).alias("y"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("binary").alias("text"))
-    chosen = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "y", "text")
+    # An id that repeats counts once, so ``FIT_ROWS`` bounds the rows that come back.
+    chosen = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min(F.struct("y", "text")).alias("x")).select("doc_id", "x.y", "x.text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = [features(t.as_py() or b"") for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int32()), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
-    rows = chosen.mapInArrow(run, "doc_id long, y int, x array<double>").toArrow().to_pydict()
+    rows = narrow_batches(chosen).mapInArrow(run, "doc_id long, y int, x array<double>").toArrow().to_pydict()
     order = np.argsort(rows["doc_id"], kind="stable")
     x = np.array(rows["x"], "f8").reshape(len(order), -1)[order] if len(order) else np.zeros((0, N_FEATURES))
     return fit(x, np.array(rows["y"], "i4")[order] if len(order) else np.zeros(0, "i4"))
@@ -137,7 +141,7 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], ["doc_id", "score"])
 
     narrow = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("binary").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, score double")
+    return narrow_batches(narrow).mapInArrow(run, "doc_id long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -150,14 +154,15 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier doesn't reject, with their columns, in one narrow pass after the fit."""
+    """The documents that the classifier doesn't reject, with their columns, in one narrow pass after the fit.
+
+    Only texts go to Python, and a score for each comes back. Null and empty texts have a score like any other; rows
+    repeat as they stand; an empty table stays empty.
+    """
     model = train(docs, labels)
-    at = docs.columns.index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x = np.stack([features((t.as_py() or "").encode()) for t in batch.column(at)])
-                yield batch.filter(pa.array(model.score(x) >= THRESHOLD))
+    @F.pandas_udf("double")
+    def scored(texts: pd.Series) -> pd.Series:
+        return pd.Series([model.score(features(t or b"")) for t in texts], dtype="f8")
 
-    return docs.mapInArrow(run, docs.schema)
+    return narrow_batches(docs).where(scored(F.col("text").cast("binary")) >= THRESHOLD)

@@ -1,9 +1,11 @@
-"""Near-duplicate documents by the Jaccard similarity of their sets of five-word shingles: exact, at 0.8 or more.
+"""Near-duplicate documents by SimHash links and an exact join: five-word shingles, Jaccard similarity 0.8 or more.
 
-The join is that of line dedup, with a document for a line and its shingles for the words. Documents of equal sets are
-one class, and its smallest id stands for it. Groups are the components over all similar pairs. Each class first meets
-the earliest candidate of each of its tokens; of the others only those count that the links so far leave in another
-component, so a group of n near copies costs about n pairs.
+SimHash (``simhash.links``, over five-word shingles) finds near copies cheaply, but no radius that can be probed finds
+all pairs of similarity 0.8: they differ in 5 to 14 of 64 bits. So each of its links is verified on the texts, and the
+set-similarity join of line dedup, with a document for a line and its shingles for the words, finds the others.
+Documents of equal sets are one class, and its first stands for it. Groups are the components over all similar pairs.
+Each class first meets a few candidates of each of its keys; of the others only those count that the links so far leave
+in another component, so a group of n near copies costs about n pairs.
 """
 
 from __future__ import annotations
@@ -12,153 +14,244 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonequarry.llm.common import apart, discard, release, saved, width, written
+from tonequarry.llm import lines, simhash
+from tonequarry.llm.common import apart, discard, narrow_batches, release, saved, width, written
 from tonequarry.llm.components import components
-from tonequarry.llm.lines import DOWN, TOKEN, UP, Taken, candidates, flagged, flags_of, groups, matched, pieces, postings, rarity, starts_of, token_lines
+from tonequarry.llm.lines import DOWN, GATHERED, MIX, POSTING, UP, ends_key, flags_of, mixed, words_of
 
 WORDS = 5
 
 
-def hashed(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), "u8", len(words))
+class Shingles:
+    """The shingles of a run of texts: ``token`` and ``owner`` of each, and the rows and numbers of the owners.
 
-
-class Shingled(Taken):
-    """The shingle sets of a run of texts, those without words left out: tokens ascending within each text.
-
-    Words are lower-cased and parted as for op2; a text of fewer words than a shingle is one shingle.
+    Words are lower-cased and parted as for op2; a text of fewer words than a shingle is one shingle; texts without
+    words are left out.
     """
 
-    def __init__(self, texts: list[bytes], wanted: np.ndarray | None = None):
-        words: list[bytes] = []
-        counts, rows = [], []
-        for r, text in enumerate(texts):
-            if wanted is not None and not wanted[r]:
-                continue
-            found = text.lower().split()
-            if 0 < len(found) < WORDS:
-                found = [b" ".join(found)] + [b""] * (WORDS - 1)
-            if found:
-                words += found
-                counts.append(len(found) - WORDS + 1)
-                rows.append(r)
-        self.rows, self.numbers = np.array(rows, "i8"), np.zeros(len(rows), "i4")
-        self.settle(counts, self.mixed(words, counts))
-
-    @staticmethod
-    def mixed(words: list[bytes], counts: list[int]) -> np.ndarray:
-        """A token for each run of ``WORDS`` words that lies within one text."""
-        if not words:
-            return np.zeros(0, "u8")
-        word = hashed(words)
-        n = len(word) - WORDS + 1
-        out = np.zeros(n, "u8")
+    cut = False
+
+    def __init__(self, rows: list[int], numbers: list[int], parts: list[bytes]):
+        data = b"\n".join(parts).lower()
+        start, word = words_of(data)
+        ends = np.cumsum([len(p) + 1 for p in parts])
+        text = np.searchsorted(ends, start, "right")
+        n = np.bincount(text, minlength=len(parts))
+        after = np.cumsum(n)[text]  # the first word of the next text
+        at = np.arange(len(word))
+        out = np.zeros(len(word), "u8")
         for i in range(WORDS):
-            out = (out ^ out >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15) + word[i : i + n]
-        out = (out ^ out >> np.uint64(33)) * np.uint64(0xD6E8FEB86659FD93)
-        held = np.array(counts)
-        first = np.cumsum(held + WORDS - 1) - (held + WORDS - 1)
-        at = np.repeat(first - (np.cumsum(held) - held), held) + np.arange(held.sum())
-        return (out ^ out >> np.uint64(32))[at] & TOKEN
+            inside = at + i < after
+            out = mixed(out * MIX + np.where(inside, word[np.minimum(at + i, len(word) - 1)], np.uint64(i)))
+        use = (at + WORDS <= after) | ((n[text] < WORDS) & (at == after - n[text]))
+        self.token = out[use]
+        held = np.flatnonzero(n)
+        self.owner = (np.cumsum(n > 0) - 1)[text[use]]
+        self.rows = np.array(rows)[held]
+        self.numbers = np.array([lines.tag_of(parts[i]) for i in held.tolist()], "i8")
 
 
-def shingle_counts(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    tokens = Shingled(data).tokens
-    return tokens, np.ones(len(tokens), "i8")
+def number_of(text: Column) -> Column:
+    """What tells apart texts of one id, as ``lines.tag_of``."""
+    return F.shiftleft(F.crc32(text).bitwiseAND(F.lit(0x7FFFFFFF).cast("long")), 32)
 
 
-def across(posted: DataFrame) -> DataFrame:
-    """``(doc_id, to_doc)``: pairs of an asking class and an earlier one of another ``root`` that pass the filters."""
+def prints(texts: DataFrame) -> DataFrame:
+    """``(doc_id, line, fp)``: SimHash fingerprints over five-word shingles of the texts that have words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c, starts in groups(batches, starts_of):
-            mixed = np.minimum.reduceat(c["root"], starts) != np.maximum.reduceat(c["root"], starts)
-            c["asks"] = c["asks"] & np.repeat(mixed, np.diff(np.append(starts, len(c["key"]))))
-            for x, y, _ in matched(c, starts, True):
-                ok = c["root"][x] != c["root"][y]
-                yield pa.RecordBatch.from_arrays([pa.array(c["doc_id"][x[ok]]), pa.array(c["doc_id"][y[ok]])], ["doc_id", "to_doc"])
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for piece in lines.runs(batch.column(1), False):
+                s = Shingles(*piece)
+                first = np.flatnonzero(np.append(True, s.owner[1:] != s.owner[:-1])[: len(s.owner)])
+                out = []
+                for a, b in zip(first, [*first[1:], len(s.token)], strict=False):
+                    counts = np.zeros(simhash.BITS, "i8")
+                    for k in range(a, b, 1 << 15):
+                        own = s.token[k : min(b, k + (1 << 15))].astype(">u8")
+                        counts += np.unpackbits(own.view("u1")).reshape(-1, simhash.BITS).sum(0, dtype="i4")
+                    out.append(np.packbits(2 * counts > b - a).view(">i8")[0])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[s.rows]), pa.array(s.numbers), pa.array(np.array(out, "i8"))], ["doc_id", "line", "fp"])
+
+    return texts.mapInArrow(run, "doc_id long, line long, fp long")
+
+
+def simhash_pairs(texts: DataFrame) -> DataFrame:
+    """Documents whose fingerprints are equal or linked: each with the first of its own fingerprint, and those first ones with each other."""
+    found = saved(prints(texts))
+    firsts = saved(found.groupBy("fp").agg(F.min(F.struct("doc_id", "line")).alias("x")))
+    near = simhash.links(firsts.select("fp"))
+    a, b = (firsts.select(F.col("fp").alias(n), F.col("x").alias(f"x{n}")) for n in "ab")
+    linked = near.join(a, "a").join(b, "b").select(F.greatest("xa", "xb").alias("x"), F.least("xa", "xb").alias("y"))
+    same = found.join(firsts.hint("merge"), "fp").select(F.struct("doc_id", "line").alias("x"), F.col("x").alias("y")).where("x <> y")
+    both = linked.unionByName(same).distinct()
+    return saved(both.select("x.doc_id", "x.line", F.col("y.doc_id").alias("to_doc"), F.col("y.line").alias("to_line")))
 
-    dealt = posted.repartition(width(posted), "key").sortWithinPartitions("key", "doc_id", "line_no")
-    return dealt.mapInArrow(run, "doc_id long, to_doc long").distinct()
+
+PAIR = ["doc_id", "line", "to_doc", "to_line"]
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``(a, b)``: the pairs whose shingle sets, made of the texts themselves, are similar enough."""
-    ends = saved(pairs.select("doc_id").unionByName(pairs.select(F.col("to_doc").alias("doc_id"))).distinct())
+    """The pairs whose shingle sets, made of the texts themselves, are similar enough."""
+    ends = saved(pairs.select("doc_id", "line").unionByName(pairs.select(F.col("to_doc").alias("doc_id"), F.col("to_line").alias("line"))).distinct())
     holding, _ = apart(texts, ends.select(F.col("doc_id").alias("key")), "doc_id")
-    wanted = texts.sparkSession.sparkContext.broadcast(flags_of(ends))
+    # Rows that repeat as a whole give a text twice.
+    own = holding.withColumn("line", number_of(F.col("text"))).join(ends, ["doc_id", "line"], "left_semi").groupBy("doc_id", "line").agg(F.min("text").alias("words"))
+    own = written(own)
+    right = own.select(F.col("doc_id").alias("to_doc"), F.col("line").alias("to_line"), F.col("words").alias("others"))
+    both = pairs.join(own, ["doc_id", "line"]).join(right, ["to_doc", "to_line"]).select(*PAIR, "words", "others")
+
+    def shingles(text: bytes) -> set:
+        found = text.lower().split()
+        return set(zip(*(found[i:] for i in range(WORDS)), strict=False)) if len(found) >= WORDS else {tuple(found)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for part, data in pieces(batch.column(1)):
-                own = ids[part]
-                t = Shingled(data, flagged(wanted.value, own.view("u8")))
-                tokens = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(t.sizes)), pa.int32()), pa.array(t.tokens.view("i8")))
-                yield pa.RecordBatch.from_arrays([pa.array(own[t.rows]), tokens], ["doc_id", "tokens"])
-
-    tokens = written(holding.mapInArrow(run, "doc_id long, tokens array<long>").dropDuplicates(["doc_id"]))
-    right = tokens.select(F.col("doc_id").alias("to_doc"), F.col("tokens").alias("others"))
-    both = pairs.join(tokens, "doc_id").join(right, "to_doc")
-    shared = F.size(F.array_intersect("tokens", "others"))
-    enough = (UP + DOWN) * shared >= UP * (F.size("tokens") + F.size("others"))
-    out = saved(both.where(enough).select(F.col("doc_id").alias("a"), F.col("to_doc").alias("b")))
-    discard(tokens)
+            keep = []
+            for x, y in zip(batch.column(4), batch.column(5), strict=True):
+                a, b = shingles(x.as_py()), shingles(y.as_py())
+                keep.append((UP + DOWN) * len(a & b) >= UP * (len(a) + len(b)))
+            yield batch.filter(pa.array(keep, pa.bool_())).select(PAIR)
+
+    out = saved(both.mapInArrow(run, "doc_id long, line long, to_doc long, to_line long"))
+    discard(own)
     return out
 
 
-def links(classes: DataFrame, texts: DataFrame, spread) -> DataFrame:
-    """``(node, root)`` of all classes that have a similar one; the root is the smallest id of the component."""
-    context = texts.sparkSession.sparkContext
-    pairs = saved(candidates(postings(classes, spread), every=False).select("doc_id", "to_doc", "more"))
-    release(texts.sparkSession)
-    found = verified(pairs.select("doc_id", "to_doc"), texts)
-    roots = saved(components(found))
-    more = saved(pairs.where("more").select("doc_id").distinct())
-    if more.isEmpty():
-        return roots
-    asking = context.broadcast(flags_of(more))
-    among = context.broadcast(flags_of(postings(classes, spread, asking).select("key")))
-    posted = postings(classes, spread, asking, among).join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    second = across(posted.withColumn("root", F.coalesce("root", "doc_id")))
-    second = saved(second.join(pairs, ["doc_id", "to_doc"], "left_anti"))
-    release(texts.sparkSession)
-    if second.isEmpty():
-        return roots
-    return saved(components(found.unionByName(verified(second, texts))))
+ROOTED = np.dtype([*POSTING.descr, ("root", "i8")])
+ROWS = "key long, doc_id long, line long, parity long, size int, place int"
+
+
+def across(posted: DataFrame, roots: DataFrame, parts: int) -> DataFrame:
+    """Pairs of postings of one key and different ``root`` that pass the filters.
+
+    In each group the rows of its commonest root come first and don't ask, so the pairs looked at are those of the others.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column(1):
+                c = np.frombuffer(x.as_py(), POSTING)
+                columns = [c["key"].view("i8") if c["key"].flags.c_contiguous else c["key"].copy().view("i8"), c["doc"].copy(), c["line"].copy(), c["parity"].copy().view("i8"), c["size"].astype("i4"), c["place"].astype("i4")]
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in columns], [n.split()[0] for n in ROWS.split(", ")])
+
+    def roll(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = {n: batch.column(k).to_numpy(zero_copy_only=False) for k, n in enumerate(batch.schema.names)}
+            c = np.zeros(batch.num_rows, ROOTED)
+            c["key"], c["parity"] = v["key"].view("u8"), v["parity"].view("u8")
+            c["doc"], c["line"], c["size"], c["place"], c["root"] = v["doc_id"], v["line"], v["size"], v["place"], v["root"]
+            to = (mixed(c["key"]) % np.uint64(parts)).view("i8")
+            order = np.argsort(to, kind="stable")
+            c, to = c[order], to[order]
+            cuts = np.append(np.flatnonzero(np.append(True, to[1:] != to[:-1])), len(to)) if len(to) else [0]
+            found = [(int(to[a]), c[a:b].tobytes()) for a, b in zip(cuts, cuts[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in found], pa.int32()), pa.array([r[1] for r in found], pa.binary())], ["part", "rows"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = [np.frombuffer(x.as_py(), ROOTED) for batch in batches for x in batch.column(1)]
+        if not own:
+            return
+        c = np.concatenate(own)
+        c = c[np.lexsort((c["root"], c["key"]))]
+        # How often each row's root stands in its group, and the most that any does.
+        both = np.append(True, (c["key"][1:] != c["key"][:-1]) | (c["root"][1:] != c["root"][:-1]))
+        group = np.append(True, c["key"][1:] != c["key"][:-1])
+        run_no, group_no = np.cumsum(both) - 1, np.cumsum(group) - 1
+        times = np.bincount(run_no)
+        lead = np.flatnonzero(both)
+        best = np.full(group_no[-1] + 1, -1, "i8")
+        order = np.lexsort((-lead, times))  # the last one written is the largest, and the first of equals
+        best[group_no[lead[order]]] = order
+        c["asks"] = best[group_no] != run_no
+        c = c[np.lexsort((c["line"], c["doc"], c["asks"], c["key"]))]
+        for x, y, _ in lines.matched(c, None):
+            ok = c["root"][x] != c["root"][y]
+            x, y = x[ok], y[ok]
+            later = (c["doc"][x] > c["doc"][y]) | ((c["doc"][x] == c["doc"][y]) & (c["line"][x] > c["line"][y]))
+            a, b = np.where(later, x, y), np.where(later, y, x)
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (c["doc"][a], c["line"][a], c["doc"][b], c["line"][b])], PAIR)
+
+    unrolled = posted.mapInArrow(rows, ROWS).join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left")
+    rooted = unrolled.withColumn("root", F.coalesce("root", "doc_id"))
+    packed = rooted.mapInArrow(roll, "part int, rows binary")
+    return packed.repartitionById(parts, "part").mapInArrow(run, "doc_id long, line long, to_doc long, to_line long").distinct()
+
+
+def as_links(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("doc_id").alias("a"), F.col("to_doc").alias("b"))
+
+
+def near_copies(classes: DataFrame, texts: DataFrame, spread, parts: int) -> DataFrame:
+    """``(doc_id, line)`` of the classes in a component with a smaller id."""
+    spark = texts.sparkSession
+    share = spark.sparkContext.broadcast
+    copies = lines.repeats_of(classes)
+    found = verified(simhash_pairs(texts).join(copies, ["doc_id", "line"], "left_anti").join(copies.toDF("to_doc", "to_line"), ["to_doc", "to_line"], "left_anti"), texts)
+    release(spark)
+    blocks = share(np.ones(lines.COUNTERS, "u4"))
+    pairs = saved(lines.candidates(lines.postings(classes, spread, blocks, parts), parts, lines.NEAREST))
+    release(spark)
+    found = found.unionByName(verified(pairs.select(*PAIR).join(found, PAIR, "left_anti"), texts))
+    roots = saved(components(as_links(found)))
+    more = saved(pairs.where("more").select("doc_id", "line").distinct())
+    if not more.isEmpty():
+        asking = share(flags_of(more, ends_key, more.count()))
+        among = share(flags_of(*lines.asked_keys(classes, spread, asking)))
+        second = across(lines.postings(classes, spread, blocks, parts, None, among), roots, parts)
+        second = saved(second.join(pairs, PAIR, "left_anti"))
+        if not second.isEmpty():
+            found = found.unionByName(verified(second, texts))
+            roots = saved(components(as_links(found)))
+    blocks.unpersist()
+    ends = found.select("doc_id", "line").unionByName(found.select(F.col("to_doc").alias("doc_id"), F.col("to_line").alias("line"))).distinct()
+    return saved(ends.join(roots.where("node <> root").select(F.col("node").alias("doc_id")), "doc_id", "left_semi"))
 
 
 def later(docs: DataFrame) -> DataFrame:
-    """``(key)``: the ids of all documents but the one of smallest doc_id of each group of near duplicates.
+    """``(key, line)``: ids and text numbers of all documents but the first of each group of near duplicates.
 
-    Texts without words, null ones too, are one group. Rows without an id are left alone.
+    Texts without words, null ones too, are one group. Rows without an id are left alone. Texts of one id are told
+    apart by a checksum; a group's first document is that of the smallest id.
     """
-    texts = docs.where(docs["doc_id"].isNotNull()).select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("binary").alias("text"))
-    spread = docs.sparkSession.sparkContext.broadcast(rarity(texts, shingle_counts))
-    sets = written(token_lines(texts, spread, Shingled))
-    rest = ["size", "parity", "skipped", "prefix"]
-    firsts = sets.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "line_no", *rest)).alias("x"))
-    classes = written(firsts.select("x.doc_id", "x.line_no", *(f"x.{n}" for n in rest)))
-    copies = saved(sets.select("doc_id").join(classes.select("doc_id"), "doc_id", "left_anti"))
-    discard(sets)
-    release(docs.sparkSession)
-    near = links(classes, texts, spread).where("node <> root").select(F.col("node").alias("doc_id"))
-    discard(classes)
-    wordless = texts.where(~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"\S")).select("doc_id")
+    spark = docs.sparkSession
+    texts = narrow_batches(docs.where(docs["doc_id"].isNotNull()).select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).cast("binary").alias("text")))
+    counts = lines.rarity(texts, Shingles)
+    spread = spark.sparkContext.broadcast(counts)
+    parts = max(width(texts), 8 * int(counts.sum(dtype="u8")) // GATHERED)
+    classes = written(lines.classes_of(lines.token_sets(texts, spread, parts, Shingles), parts))
+    release(spark)
+    near = near_copies(classes, texts, spread, parts)
+    wordless = texts.where(~F.col("text").cast("string").rlike(r"[^\t-\r ]")).select("doc_id", number_of(F.col("text")).alias("line"))
     least = wordless.agg(F.min("doc_id")).first()[0]
-    gone = copies.unionByName(near).unionByName(wordless.where(F.col("doc_id") != F.lit(least)))
-    return saved(gone.select(F.col("doc_id").alias("key")).distinct())
+    gone = lines.repeats_of(classes).unionByName(near).unionByName(wordless.where(F.col("doc_id") != F.lit(least)))
+    out = saved(gone.select(F.col("doc_id").alias("key"), "line").distinct())
+    discard(classes)
+    spread.unpersist()
+    release(spark)
+    return out
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The documents without all but the one of smallest doc_id of each group; columns stay as they are.
+    """The documents without all but the first of each group; columns stay as they are.
 
-    Only documents that may be dropped are joined by id; the texts of the others stay where they are.
+    Rows that repeat as a whole are one document, which stands once if it stays. Only documents that may be dropped or
+    repeat are joined by id; the texts of the others stay where they are.
     """
     dropped = later(docs)
-    maybe, kept = apart(docs, dropped, "doc_id")
-    return maybe.join(dropped, maybe["doc_id"].cast("long") == dropped["key"], "left_anti").unionByName(kept)
+    number = number_of(F.coalesce(docs["text"], F.lit("")).cast("binary"))
+    again = saved(docs.where(docs["doc_id"].isNotNull()).groupBy(docs["doc_id"].cast("long").alias("key"), number.alias("line")).agg(F.count("*").alias("n")).where("n > 1").select("key", "line"))
+    maybe, kept = apart(docs, dropped.select("key").unionByName(again.select("key")), "doc_id")
+    at = "__near"
+    gone, repeated = (x.select(F.struct("key", "line").alias(at)) for x in (dropped, again))
+    same = (maybe["doc_id"].cast("long") == F.col(f"{at}.key")) & (number_of(F.coalesce(maybe["text"], F.lit("")).cast("binary")) == F.col(f"{at}.line"))
+    stay = maybe.join(gone, same, "left_anti")
+    if not again.isEmpty():
+        one = Window.partitionBy("doc_id", "text").orderBy(F.to_json(F.struct(*docs.columns)))
+        first = stay.join(repeated, same, "left_semi").withColumn(at, F.row_number().over(one)).where(F.col(at) == 1).drop(at)
+        stay = stay.join(repeated, same, "left_anti").unionByName(first)
+    return stay.unionByName(kept)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonequarry.llm.common import apart, saved
+from tonequarry.llm.common import apart, narrow_batches, saved
 from tonequarry.llm.components import components
 
 BITS, TAU, WORDS, SEED = 64, 4, 4, 42
@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(values, "u8").view("i8"))], ["doc_id", "fp"])
 
     narrow = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("binary").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, fp long")
+    return narrow_batches(narrow).mapInArrow(run, "doc_id long, fp long")
 
 
 def as_bits(values: np.ndarray) -> np.ndarray:
