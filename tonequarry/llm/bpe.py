@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
 from tonequarry.llm.common import narrow_batches
@@ -48,6 +49,14 @@ def latin_pattern() -> re.Pattern:
     return re.compile(f"[{of['L']}]+|[{of['N']}]|'(?:s|t|re|ve|m|ll|d)|[^{space}{of['L']}{of['N']}]+")
 
 
+@functools.cache
+def unassigned() -> re.Pattern:
+    """Finds code points that this Python's tables don't know; the library's tables may be of another version."""
+    none = [unicodedata.category(chr(i)) == "Cn" for i in range(0x110000)]
+    edges = [i for i in range(1, 0x110000) if none[i] != none[i - 1]] + [0x110000]
+    return re.compile("[" + "".join(f"{chr(a)}-{chr(b - 1)}" for a, b in zip(edges[::2], edges[1::2], strict=False)) + "]")
+
+
 class _Memo(dict):
     """A cache that computes what it lacks. When half of ``limit`` is full, the entries not used since the last time go."""
 
@@ -77,6 +86,8 @@ class Bpe:
         kinds = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
         if model["type"] != "BPE" or kinds != ["NFC", "Replace", "Lowercase"]:
             raise ValueError("this form of vocabulary isn't supported")
+        #: Normalises and splits the texts that hold a code point of ``unassigned``.
+        self.library = Tokenizer.from_file(path)
         self.end = model["end_of_word_suffix"]
         vocab: dict[str, int] = model["vocab"]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
@@ -113,6 +124,10 @@ class Bpe:
         else:
             letters = self.letters
             mapped = "".join([letters[b] for b in piece.encode()])
+        return self._mapped(mapped)
+
+    def _mapped(self, mapped: str) -> bytes:
+        """A piece whose bytes are letters already, cut where no token holds the neighbours."""
         if self.pairs.issuperset(map("".join, zip(mapped, mapped[1:], strict=False))):
             return array("I", [t.id for t in self.closing.tokenize(mapped)]).tobytes()
         cuts = [0, *(i for i in range(1, len(mapped)) if mapped[i - 1 : i + 1] not in self.pairs)]
@@ -121,6 +136,9 @@ class Bpe:
 
     def _plain(self, text: str) -> bytes:
         if not text.isascii():
+            if unassigned().search(text):
+                pieces = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+                return b"".join([self._mapped(p) for p, _ in pieces])
             if not unicodedata.is_normalized("NFC", text):
                 text = unicodedata.normalize("NFC", text)
             if "Σ" in text:
