@@ -1,7 +1,8 @@
 """Packing of documents into training sequences by order-preserving dynamic programming.
 
 The documents of a partition form one stream of tokens, in the table's order. Sequences are windows of that stream.
-Possible cuts are document ends, sentence ends and, in stretches without either, every ``GRID`` tokens. The cost of a
+Possible cuts are document ends and sentence ends; only a stretch longer than a sequence without either may be cut
+inside, every ``GRID`` tokens. The cost of a
 window is its padding plus a penalty for what its end truncates. As padding is linear in both ends of a window, the
 best predecessor of a cut is the minimum of a sliding window, kept by a monotone queue: each cut is pushed and popped
 once. A partition is packed in blocks of about ``BLOCK`` tokens; the last windows of a block are planned again with
@@ -49,7 +50,7 @@ def plan(cuts: list[int], penalties: list[int], size: int = SEQUENCE) -> list[in
         i = came[j] = queue[0]
         best[j] = keys[i] + size - at + penalties[j]
         key = keys[j] = best[j] + at
-        while queue and keys[queue[-1]] >= key:
+        while queue and keys[queue[-1]] > key:  # of equals the earlier one stays: the longer window
             queue.pop()
         queue.append(j)
     out, j = [], len(cuts) - 1
@@ -61,14 +62,17 @@ def plan(cuts: list[int], penalties: list[int], size: int = SEQUENCE) -> list[in
 
 
 def candidates(ids: np.ndarray, ends: np.ndarray, sentence: np.ndarray, size: int = SEQUENCE) -> tuple[list[int], list[int]]:
-    """Cuts and their penalties for a stream whose documents end at ``ends``; ``sentence`` marks the ids that end one."""
+    """Cuts and their penalties for a stream whose documents end at ``ends``; ``sentence`` marks the ids that end one.
+
+    Neighbouring cuts are at most ``size`` apart: where boundaries are farther, a grid is laid between them.
+    """
     kind = np.full(len(ids) + 1, 255, "u1")
     kind[np.flatnonzero(sentence[ids]) + 1] = SENTENCE_PENALTY
     kind[ends] = 0
     kind[0] = 0
     known = np.flatnonzero(kind != 255)
     grid = min(GRID, size)
-    wide = np.flatnonzero(np.diff(known) > grid)
+    wide = np.flatnonzero(np.diff(known) > size)
     for a, b in zip(known[wide].tolist(), known[wide + 1].tolist(), strict=True):
         kind[np.arange(a + grid, b, grid)] = GRID_PENALTY
     at = np.flatnonzero(kind != 255)
