@@ -2,12 +2,17 @@
 
 Matches' places come from cutting the text at them: the pieces between matches and the matches have known lengths, so
 their running sums are the starts. Candidate values (those of base matches and other high-entropy strings) are hashed
-and counted by distinct owners and distinct repositories over the whole corpus. A value that many owners hold is a
-copied example; one that few hold and that looks random is a live-looking credential.
+and counted by distinct owners and distinct repositories over the whole corpus. A value that many owners or many
+repositories hold is a copied example; one that few hold and that looks random is a live-looking credential.
+
+Arrays of n matches are summed and searched in blocks of about the square root of n, so that a text full of matches
+doesn't cost their square.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +27,8 @@ KINDS = ("assign", "access", "hex", "owned")
 #: Strings that may be credentials without a base pattern; they need a digit and a letter besides.
 LOOSE = r"[A-Za-z0-9+/_-]{20,}"
 LEAST_VALUE = 6
-#: A value that so many distinct owners hold is a copied example.
-EXAMPLE_OWNERS = 3
+#: A value that so many distinct owners, or repositories of whatever owners, hold is a copied example.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 5
 #: Different characters that a live-looking value has at least.
 LEAST_VARIETY = 8
 #: Parts that the rows of one value are dealt to when its counts return to them.
@@ -40,19 +45,69 @@ def _present(text: Column, *words: str) -> Column:
     return found
 
 
-def _lengths(items: Column) -> Column:
-    return F.transform(items, F.char_length)
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, also where the body uses it for each item of an array."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _step(n: Column) -> Column:
+    return F.greatest(F.ceil(F.sqrt(n)).cast("int"), F.lit(1))
+
+
+def _blocks(n: Column, step: Column) -> Column:
+    """The numbers of the blocks that hold n items; at least one."""
+    return F.sequence(F.lit(0), F.floor((F.greatest(n, F.lit(1)) - 1) / step).cast("int"))
+
+
+def _total(items: Column) -> Column:
+    return F.aggregate(items, F.lit(0), lambda a, x: a + x)
 
 
 def _spans(kind: int, pieces: Column, matches: Column, values: Column) -> Column:
     """Structs of a kind's matches. pieces: the text cut at the matches; values: what of each match is the secret."""
-    before, own = _lengths(pieces), _lengths(matches)
+    n = F.size(matches)
+    lengths = F.zip_with(F.slice(F.transform(pieces, F.char_length), F.lit(1), n), F.transform(matches, F.char_length), lambda p, m: p + m)
+
+    def placed(each: Column) -> Column:
+        def summed(step: Column) -> Column:
+            totals = F.transform(_blocks(n, step), lambda j: _total(F.slice(each, j * step + 1, step)))
+
+            def from_totals(t: Column) -> Column:
+                def from_before(before: Column) -> Column:
+                    def one(m: Column, i: Column) -> Column:
+                        j = F.floor(i / step).cast("int")
+                        end = F.element_at(before, j + 1) + _total(F.slice(each, j * step + 1, i - j * step + 1))
+                        return F.struct((end - F.char_length(m)).alias("start"), F.lit(kind).alias("kind"), end.alias("end"), F.element_at(values, i + 1).alias("value"))
+
+                    return F.transform(matches, one)
+
+                return _let(F.transform(_blocks(n, step), lambda j: _total(F.slice(t, F.lit(1), j))), from_before)
+
+            return _let(totals, from_totals)
+
+        return _let(_step(n), summed)
 
-    def one(i: Column) -> Column:
-        start = F.aggregate(F.slice(before, 1, i + 1), F.lit(0), lambda a, x: a + x) + F.aggregate(F.slice(own, F.lit(1), i), F.lit(0), lambda a, x: a + x)
-        return F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + own[i]).alias("end"), values[i].alias("value"))
+    return F.when(n > 0, _let(lengths, placed)).otherwise(F.array().cast(SPAN))
 
-    return F.when(F.size(matches) > 0, F.transform(F.sequence(F.lit(0), F.size(matches) - 1), one)).otherwise(F.array().cast(SPAN))
+
+def _outside(spans: Column, base: Column) -> Column:
+    """Those of ``spans`` that overlap none of ``base``, which is in order."""
+    n = F.size(base)
+
+    def grouped(step: Column) -> Column:
+        def block(j: Column) -> Column:
+            own = F.slice(base, j * step + 1, step)
+            return F.struct(F.array_min(F.transform(own, lambda b: b["start"])).alias("low"), F.array_max(F.transform(own, lambda b: b["end"])).alias("high"), own.alias("own"))
+
+        return _let(F.transform(_blocks(n, step), block), kept)
+
+    def kept(blocks: Column) -> Column:
+        def meets(s: Column) -> Column:
+            return F.exists(blocks, lambda c: (c["low"] < s["end"]) & (s["start"] < c["high"]) & F.exists(c["own"], lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+
+        return F.filter(spans, lambda s: ~meets(s))
+
+    return F.when((n > 0) & (F.size(spans) > 0), _let(_step(n), grouped)).otherwise(spans)
 
 
 def candidates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", owner: str = "source", repository: str = "lang") -> DataFrame:
@@ -85,8 +140,7 @@ def candidates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     assign = F.filter("assign", lambda s: F.char_length(s["value"]) >= LEAST_VALUE)
     loose = F.filter("loose", lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]"))
     rows = rows.select("doc_id", "owner", "repository", F.array_sort(F.concat(assign, "access", "hex")).alias("base"), loose.alias("loose"))
-    apart = F.filter("loose", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "owner", "repository", "base", apart.alias("loose"))
+    return rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "owner", "repository", "base", _outside(F.col("loose"), F.col("base")).alias("loose"))
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -103,20 +157,22 @@ def ownership(found: DataFrame) -> DataFrame:
 def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", owner: str = "source", repository: str = "lang") -> DataFrame:
     """``(doc_id, base, added, live)``: each row's base spans, those added, and those of base that look live.
 
-    A span of ``added`` is a loose candidate that fewer than ``EXAMPLE_OWNERS`` owners hold and that has at least
-    ``LEAST_VARIETY`` different characters; a live base span likewise. Null and empty texts have no spans; a null owner
-    is one owner; rows repeat as they stand; ties between spans go by kind; an empty table gives no rows.
+    A span of ``added`` is a loose candidate that fewer than ``EXAMPLE_OWNERS`` owners and fewer than
+    ``EXAMPLE_REPOSITORIES`` repositories hold and that has at least ``LEAST_VARIETY`` different characters; a live base
+    span likewise. Null and empty texts have no spans; a null owner is one owner; rows repeat as they stand; ties
+    between spans go by kind; an empty table gives no rows.
     """
     found = saved(candidates(docs, id_column, text_column, owner, repository))
-    few = ownership(found).where(F.col("owners") < EXAMPLE_OWNERS).select("hash", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
-    both = F.array_distinct(F.concat(F.transform("base", lambda s: s["value"]), F.transform("loose", lambda s: s["value"])))
-    values = found.where((F.size("base") > 0) | (F.size("loose") > 0)).select("rid", F.explode(both).alias("value"))
-    varied = F.size(F.array_distinct(F.split("value", ""))) >= LEAST_VARIETY
-    values = values.where(varied).select("rid", "value", F.sha2("value", 256).alias("hash"), F.pmod("rid", F.lit(SALT)).cast("int").alias("salt"))
-    owned = values.join(few, ["hash", "salt"]).groupBy("rid").agg(F.collect_set("value").alias("owned"))
-    rows = found.join(owned, "rid", "left").withColumn("owned", F.coalesce("owned", F.array().cast("array<string>")))
-    kept = [F.filter(c, lambda s: F.array_contains(F.col("owned"), s["value"])) for c in ("loose", "base")]
-    return rows.select("doc_id", "base", kept[0].alias("added"), kept[1].alias("live"))
+    few = ownership(found).where((F.col("owners") < EXAMPLE_OWNERS) & (F.col("repositories") < EXAMPLE_REPOSITORIES))
+    few = few.select("hash", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    spans = found.where((F.size("base") > 0) | (F.size("loose") > 0)).select("rid", F.explode(F.concat("base", "loose")).alias("span"))
+    varied = F.size(F.array_distinct(F.split("span.value", ""))) >= LEAST_VARIETY
+    spans = spans.where(varied).select("rid", "span", F.sha2("span.value", 256).alias("hash"), F.pmod("rid", F.lit(SALT)).cast("int").alias("salt"))
+    owned = spans.join(few, ["hash", "salt"]).groupBy("rid").agg(F.array_sort(F.collect_list("span")).alias("owned"))
+    rows = found.join(owned, "rid", "left").withColumn("owned", F.coalesce("owned", F.array().cast(SPAN)))
+    loose = KINDS.index("owned")
+    added, live = F.filter("owned", lambda s: s["kind"] == loose), F.filter("owned", lambda s: s["kind"] != loose)
+    return rows.select("doc_id", "base", added.alias("added"), live.alias("live"))
 
 
 def joined(spans: Column) -> Column:
@@ -135,19 +191,51 @@ def report(scanned: DataFrame) -> DataFrame:
     return scanned.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(everything).alias("spans"), F.size("live").cast("long").alias("n_live"), F.size("added").cast("long").alias("n_owned"))
 
 
+def masked_base(text: Column, mask: str) -> Column:
+    """The text with the secret of every base match replaced where it stands."""
+    pieces, matches = F.split(text, ASSIGN, -1), F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(0))
+
+    def assigned(match: Column, value: Column) -> Column:
+        return F.when(F.char_length(value) >= LEAST_VALUE, F.concat(F.left(match, F.char_length(match) - F.char_length(value)), F.lit(mask))).otherwise(match)
+
+    # A piece of text, then the match that follows it; the last piece has none.
+    each = F.zip_with(pieces, F.zip_with(matches, F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)), assigned), lambda p, m: F.concat(p, F.coalesce(m, F.lit(""))))
+    out = F.when(_present(text, "password", "passwd", "secret", "token", "apikey", "api_key"), F.array_join(each, "")).otherwise(text)
+    for pattern in (ACCESS, HEX):
+        out = F.regexp_replace(out, pattern, mask)
+    return out
+
+
+def masked_values(text: Column, values: Column, mask: str) -> Column:
+    """The text with every loose candidate that is one of ``values`` replaced; values are dealt to lists by their hashes."""
+    slot = lambda v, n: F.pmod(F.xxhash64(v), n).cast("int")
+    pieces, matches = F.split(text, LOOSE, -1), F.regexp_extract_all(text, F.lit(LOOSE), F.lit(0))
+
+    def dealt(step: Column) -> Column:
+        lists = F.transform(F.sequence(F.lit(0), step - 1), lambda j: F.filter(values, lambda v: slot(v, step) == j))
+        each = lambda held: F.zip_with(pieces, matches, lambda p, m: F.when(m.isNull(), p).otherwise(F.concat(p, F.when(F.array_contains(F.element_at(held, slot(m, step) + 1), m), F.lit(mask)).otherwise(m))))
+        return F.array_join(_let(lists, each), "")
+
+    return _let(_step(F.size(values)), dealt)
+
+
 def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
-    """The documents with every base match and every owner-specific candidate masked; other columns stay.
+    """The documents with every base match's secret and every owner-specific candidate masked; other columns stay.
 
-    Values, not places, are replaced, so a value that stands twice goes twice. ``n_chars``, if there, is counted anew.
+    Needs the columns doc_id, text, source and lang. Secrets are masked where they stand: a word that is a value
+    somewhere stays in prose. ``n_chars``, if there, is counted anew. Null and empty texts, null ids, rows that repeat,
+    texts that hold the mask and empty tables are fine.
     """
-    rows = docs.withColumn("__rid", F.xxhash64("doc_id", "text"))
-    scanned = scan(rows.select(F.col("__rid").alias("doc_id"), "text", "source", "lang"))
-    values = F.array_distinct(F.transform(F.concat("base", "added"), lambda s: s["value"]))
-    masks = saved(scanned.select(F.col("doc_id").alias("key"), values.alias("__values")).where(F.size("__values") > 0).dropDuplicates(["key"]))
-    maybe, clean = apart(rows, masks.select("key"), "__rid")
-    longest_first = F.array_sort(F.transform("__values", lambda v: F.struct((-F.char_length(v)).alias("n"), v.alias("v"))))
-    masked = F.when(F.size("__values") > 0, F.aggregate(longest_first, F.col("text"), lambda t, s: F.replace(t, s["v"], F.lit(mask)))).otherwise(F.col("text"))
-    out = maybe.join(masks.withColumnRenamed("key", "__key"), F.col("__rid") == F.col("__key"), "left").withColumn("text", masked)
+    at = "__secret"
+    key = F.sha2(F.concat_ws("\0", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))), 256)
+    scanned = scan(docs.select(key.alias("doc_id"), "text", "source", "lang"))
+    owned = F.array_distinct(F.transform("added", lambda s: s["value"]))
+    masks = saved(scanned.where(F.size("added") > 0).groupBy("doc_id").agg(F.min(owned).alias("values")))
+    maybe, clean = apart(docs.withColumn(at, key), masks.select(F.col("doc_id").alias("key")), at)
+    joined = maybe.join(masks.select(F.struct("doc_id", "values").alias(f"{at}s")), F.col(at) == F.col(f"{at}s.doc_id"), "left")
+    joined = joined.withColumn("text", masked_base(F.col("text"), mask))
+    joined = joined.withColumn("text", F.when(F.col(f"{at}s").isNotNull(), masked_values(F.col("text"), F.col(f"{at}s.values"), mask)).otherwise(F.col("text")))
+    out = joined.select(*docs.columns).unionByName(clean.withColumn("text", masked_base(F.col("text"), mask)).select(*docs.columns))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.char_length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))
-    return out.select(*docs.columns).unionByName(clean.select(*docs.columns))
+    return out.select(*docs.columns)
