@@ -20,8 +20,6 @@ KEYS_PER_BLOCK = 32
 WORDS, HASHES = 8, 6
 #: Query parameters that name where a visit came from, not what is shown.
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "ref", "fbclid", "gclid")
-#: Host levels above the registered one that are probed, as a listed host covers its subdomains.
-HOST_LEVELS = 5
 
 
 @dataclass(frozen=True)
@@ -62,11 +60,17 @@ def canonical(host: Column, path: Column, url: Column) -> Column:
     return F.concat(bare_host(host), F.lit("/"), F.regexp_replace(trimmed, "^/+", ""), F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(F.lit("")))
 
 
-def keys(host: Column, path: Column, url: Column) -> Column:
-    """What is looked up for a URL: its canonical form, and its host and the hosts above it as ``host/``."""
+def host_levels(listed: DataFrame) -> list[int]:
+    """How many labels the listed hosts have, each number once: a listed host covers its subdomains of any depth."""
+    host = F.substring_index("key", "/", 1)
+    return sorted(r[0] for r in listed.select(F.size(F.split(host, r"\.")).alias("n")).distinct().collect())
+
+
+def keys(host: Column, path: Column, url: Column, levels: Sequence[int]) -> Column:
+    """What is looked up for a URL: its canonical form, its host as ``host/``, and the hosts above it of as many labels as listed ones have."""
     bare = bare_host(host)
-    parts = F.split(bare, r"\.")
-    hosts = [F.when(F.size(parts) >= n, F.concat(F.substring_index(bare, ".", -n), F.lit("/"))) for n in range(2, HOST_LEVELS + 1)]
+    labels = F.size(F.split(bare, r"\."))
+    hosts = [F.when(labels >= n, F.concat(F.substring_index(bare, ".", -n), F.lit("/"))) for n in levels]
     return F.array_distinct(F.array_compact(F.array(canonical(host, path, url), F.concat(bare, F.lit("/")), *hosts)))
 
 
@@ -111,7 +115,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule], listed: DataFrame, id_column:
     rows = saved(narrow.select(F.monotonically_increasing_id().alias("rid"), "*", rule.alias("rule"), verdict.alias("ruled")))
     distinct = saved(listed.where(F.col("key").isNotNull()).select("key").distinct())
     blocks = max(1, min(MAX_BLOCKS, distinct.count() // KEYS_PER_BLOCK))
-    asked = rows.where(F.col("rule").isNull() & (F.col("host") != "")).select("rid", F.explode(keys(F.col("host"), F.col("path"), F.col("__url"))).alias("key"))
+    asked = rows.where(F.col("rule").isNull() & (F.col("host") != "")).select("rid", F.explode(keys(F.col("host"), F.col("path"), F.col("__url"), host_levels(distinct))).alias("key"))
     asked = asked.withColumn("block", _block(F.col("key"), blocks))
     possible = asked.join(F.broadcast(bloom_blocks(distinct, blocks)), "block").where(may_hold(F.col("key"))).select("rid", "key")
     # A listed key may have a third of all rows, so its hits are dealt by the row too.
