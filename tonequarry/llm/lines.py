@@ -8,8 +8,8 @@ its lines.
 
 A token that many lines hold makes no key by itself: similar sets share a second token in prefixes longer by one, so the
 two tokens together are the key. It is enough to know whether an earlier similar line exists, so each line first meets
-``NEAREST`` passing candidates for each key, and all of them only if none of those is similar: a group of n near copies
-costs about n pairs. What many rows of one key would make too large for a task is dealt to blocks; lines that found
+the nearest passing candidate for each key, is compared with the one it meets most often, then with the others, and
+meets all of them only if none of those is similar: a group of n near copies costs about n pairs. What many rows of one key would make too large for a task is dealt to blocks; lines that found
 nothing in theirs then ask in all.
 
 Rows travel as arrays packed into binary columns, a few per task, which costs a fraction of a row each.
@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonequarry.llm.common import apart, discard, narrow_batches, release, saved, width, written
+from tonequarry.llm.common import apart, discard, narrow_batches, release, saved, tidy, width, written
 
 #: Similarity as a fraction, so that comparisons are exact.
 UP, DOWN = 4, 5
@@ -43,10 +43,10 @@ FLAG_BITS = (16, 27)
 GROUP = 4096
 #: Rows of one key that a task takes; the rows of a more frequent key are dealt to blocks.
 SPLIT = 1 << 18
-#: Passing candidates for each key that a line meets at first.
-NEAREST = 4
 #: Bytes of text that are taken apart at once, pairs that are compared at once, and bytes that a task gathers.
 STEP, PAIRS, GATHERED = 1 << 20, 1 << 18, 1 << 25
+#: Sets in one packed value: small enough for the JVM to move about.
+TOGETHER = 1 << 12
 #: Words up to this length are hashed all at once.
 LONG_WORD, HASHED = 1 << 12, 1 << 17
 
@@ -182,7 +182,7 @@ def sums(parts: DataFrame) -> DataFrame:
         for chunk, counts in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([counts.tobytes()], pa.binary())], ["chunk", "counts"])
 
-    return parts.repartitionById(CHUNKS, "chunk").mapInArrow(add, "chunk int, counts binary")
+    return parts.repartitionById(CHUNKS, "chunk").mapInArrow(tidy(add), "chunk int, counts binary")
 
 
 def counted(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]]) -> np.ndarray:
@@ -204,7 +204,7 @@ def counted(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.nda
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([parts[i].tobytes()], pa.binary())], ["chunk", "counts"])
 
     out = np.zeros((CHUNKS, COUNTERS // CHUNKS), "u4")
-    for chunk, counts in sums(rows.mapInArrow(tally, "chunk int, counts binary")).collect():
+    for chunk, counts in sums(rows.mapInArrow(tidy(tally), "chunk int, counts binary")).collect():
         out[chunk] = np.frombuffer(counts, "u4")
     return out.reshape(-1)
 
@@ -219,25 +219,26 @@ def rarity(texts: DataFrame, take: type = LineTokens) -> np.ndarray:
     return counted(texts, tokens)
 
 
-def flag_of(values: np.ndarray, bits: int) -> np.ndarray:
-    return (values * MIX >> np.uint64(64 - bits)).view("i8")
+def flags_at(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of each value."""
+    return (values * MIX >> np.uint64(64 - bits)).view("i8"), (values * MIX2 >> np.uint64(64 - bits)).view("i8")
 
 
 def flagged(flags: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Whether values may be among those that ``flags`` was made of."""
-    at = flag_of(values, len(flags).bit_length() + 2)
-    return (flags[at >> 3] >> (at & 7).astype("u1") & 1).astype(bool)
+    a, b = (flags[at >> 3] >> (at & 7).astype("u1") & 1 for at in flags_at(values, len(flags).bit_length() + 2))
+    return (a & b).astype(bool)
 
 
 def flags_of(rows: DataFrame, values_of: Callable[[pa.RecordBatch], np.ndarray], count: int) -> np.ndarray:
-    """A bit table, of 16 MB at most, in which every value has its bit: what others can be left out by."""
-    bits = min(max(FLAG_BITS[0], (8 * count).bit_length()), FLAG_BITS[1])
+    """A bit table, of 16 MB at most, in which every value has its two bits: what others can be left out by."""
+    bits = min(max(FLAG_BITS[0], (16 * count).bit_length()), FLAG_BITS[1])
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << (bits - 3), "u1")
         for batch in batches:
-            at = flag_of(values_of(batch), bits)
-            np.bitwise_or.at(table, at >> 3, np.uint8(1) << (at & 7).astype("u1"))
+            for at in flags_at(values_of(batch), bits):
+                np.bitwise_or.at(table, at >> 3, np.uint8(1) << (at & 7).astype("u1"))
         parts = table.reshape(16, -1)
         full = [i for i in range(16) if parts[i].any()]
         yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([parts[i].tobytes() for i in full], pa.binary())], ["chunk", "bits"])
@@ -252,7 +253,7 @@ def flags_of(rows: DataFrame, values_of: Callable[[pa.RecordBatch], np.ndarray],
 
     shape = "chunk int, bits binary"
     out = np.zeros((16, 1 << (bits - 7)), "u1")
-    for chunk, own in rows.mapInArrow(mark, shape).repartitionById(16, "chunk").mapInArrow(add, shape).collect():
+    for chunk, own in rows.mapInArrow(tidy(mark), shape).repartitionById(16, "chunk").mapInArrow(tidy(add), shape).collect():
         out[chunk] = np.frombuffer(own, "u1")
     return out.reshape(-1)
 
@@ -274,9 +275,9 @@ def prefix_length(sizes: np.ndarray) -> np.ndarray:
 
 
 #: A set without its prefix: digest, its line, how many tokens it has, how many of its rarest occur nowhere else, how many prefix tokens follow.
-HEAD = np.dtype([("hi", "u8"), ("lo", "u8"), ("doc", "i8"), ("line", "i8"), ("parity", "u8"), ("size", "u4"), ("skipped", "u4"), ("held", "u4")])
+HEAD = np.dtype([("hi", "u8"), ("lo", "u8"), ("doc", "i8"), ("line", "i8"), ("parity", "u8", (2,)), ("size", "u4"), ("skipped", "u4"), ("held", "u4")])
 #: A set under one of its keys.
-POSTING = np.dtype([("key", "u8"), ("doc", "i8"), ("line", "i8"), ("parity", "u8"), ("size", "u4"), ("place", "u2"), ("asks", "?")])
+POSTING = np.dtype([("key", "u8"), ("doc", "i8"), ("line", "i8"), ("parity", "u8", (2,)), ("size", "u4"), ("place", "u2"), ("asks", "?")])
 
 
 def packed(part: int, *arrays: np.ndarray) -> list[pa.Array]:
@@ -310,7 +311,9 @@ def token_sets(texts: DataFrame, spread: Broadcast, parts: int, take: type = Lin
                 heads = np.zeros(len(t.rows), HEAD)
                 heads["hi"], heads["lo"] = np.add.reduceat(mixed(s.token), s.starts), np.add.reduceat(mixed(s.token * MIX + MIX2), s.starts)
                 heads["doc"], heads["line"] = ids[t.rows], t.numbers
-                heads["parity"] = np.bitwise_xor.reduceat(np.uint64(1) << (s.token >> np.uint64(8) & np.uint64(63)), s.starts)
+                bit = s.token >> np.uint64(8) & np.uint64(127)
+                for k in range(2):
+                    heads["parity"][:, k] = np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == k, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0)), s.starts)
                 heads["size"], heads["held"] = s.sizes, np.bincount(s.owner[use], minlength=len(t.rows))
                 heads["skipped"] = np.bincount(s.owner[within], minlength=len(t.rows)) - heads["held"]
                 token = s.token[use]
@@ -323,7 +326,7 @@ def token_sets(texts: DataFrame, spread: Broadcast, parts: int, take: type = Lin
                 rows = [(int(to[a]), heads[a:b].tobytes(), token[begin[a] : begin[b]].tobytes()) for a, b in zip(cuts, cuts[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["part", "heads", "tokens"])
 
-    return narrow_batches(texts).mapInArrow(run, "part int, heads binary, tokens binary")
+    return narrow_batches(texts).mapInArrow(tidy(run), "part int, heads binary, tokens binary")
 
 
 def classes_of(sets: DataFrame, parts: int) -> DataFrame:
@@ -344,15 +347,14 @@ def classes_of(sets: DataFrame, parts: int) -> DataFrame:
         new = np.append(True, (h["hi"][1:] != h["hi"][:-1]) | (h["lo"][1:] != h["lo"][:-1]) | (h["doc"][1:] != h["doc"][:-1]) | (h["line"][1:] != h["line"][:-1]))
         order, h = order[new], h[new]  # rows that repeat as a whole
         first = np.append(True, (h["hi"][1:] != h["hi"][:-1]) | (h["lo"][1:] != h["lo"][:-1]))
-        repeats = np.stack([h["doc"][~first], h["line"][~first]], 1)
-        for at in range(0, len(order), 1 << 16):
-            mine = order[at : at + (1 << 16)][first[at : at + (1 << 16)]]
-            own = heads[mine]
-            again = repeats if at == 0 else repeats[:0]
+        for at in range(0, len(order), TOGETHER):
+            here = first[at : at + TOGETHER]
+            mine = order[at : at + TOGETHER][here]
+            own, again = heads[mine], np.stack([h["doc"][at : at + TOGETHER][~here], h["line"][at : at + TOGETHER][~here]], 1)
             columns = [own, tokens[ranges(begin[mine], own["held"].astype("i8"))], again]
             yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], names)
 
-    return sets.repartitionById(parts, "part").mapInArrow(run, "heads binary, tokens binary, repeats binary")
+    return sets.repartitionById(parts, "part").mapInArrow(tidy(run), "heads binary, tokens binary, repeats binary")
 
 
 def repeats_of(classes: DataFrame) -> DataFrame:
@@ -362,24 +364,26 @@ def repeats_of(classes: DataFrame) -> DataFrame:
                 own = np.frombuffer(x.as_py(), "i8").reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(own[:, 0]), pa.array(own[:, 1])], ["doc_id", "line"])
 
-    return classes.select("repeats").mapInArrow(run, "doc_id long, line long")
+    return classes.select("repeats").mapInArrow(tidy(run), "doc_id long, line long")
 
 
-def keyed(heads: np.ndarray, tokens: np.ndarray, spread: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Key, row and place of all keys of some sets: a prefix token, or a frequent one with each that follows it."""
+def keyed(heads: np.ndarray, tokens: np.ndarray, spread: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Key, row and place of all keys of some sets, a prefix token or a frequent one with each that follows it; and how
+    many lines may have a key: as many as the lines of its rarest token."""
     held = heads["held"].astype("i8")
     row = np.repeat(np.arange(len(heads)), held)
     index = np.arange(len(tokens)) - np.repeat(np.cumsum(held) - held, held)
     place = index + heads["skipped"][row]
     lead = place < prefix_length(heads["size"].astype("i8"))[row]
-    hot = spread[counter_of(tokens)] > GROUP
+    count = spread[counter_of(tokens)]
+    hot = count > GROUP
     alone = np.flatnonzero(lead & ~hot)
     both = np.flatnonzero(lead & hot)
     after = held[row[both]] - 1 - index[both]
     one, two = np.repeat(both, after), ranges(both + 1, after)
     key = np.concatenate([mixed(tokens[alone]), mixed(tokens[one] * MIX + mixed(tokens[two]))])
     # With the first two tokens shared, all before the second but one are not: the bound is that of the place before.
-    return key, row[np.concatenate([alone, one])], np.concatenate([place[alone], place[two] - 1])
+    return key, row[np.concatenate([alone, one])], np.concatenate([place[alone], place[two] - 1]), count[np.concatenate([alone, one])]
 
 
 def unpacked(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -388,13 +392,27 @@ def unpacked(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def key_counts(classes: DataFrame, spread: Broadcast) -> np.ndarray:
-    return counted(classes.select("heads", "tokens"), lambda batch: (keyed(*x, spread.value)[0] for x in unpacked(batch)))
+    """How many postings the keys have that may have more than a task takes."""
+
+    def frequent(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for heads, tokens in unpacked(batch):
+            key, _, _, most = keyed(heads, tokens, spread.value)
+            yield key[most > SPLIT]
+
+    return counted(classes.select("heads", "tokens"), frequent)
+
+
+def blocks_of(key: np.ndarray, most: np.ndarray, counts: np.ndarray | None) -> np.ndarray:
+    """To how many blocks the rows of each key are dealt."""
+    if counts is None:
+        return np.ones(len(key), "i8")
+    return np.where(most > SPLIT, np.maximum(1, -(-counts[counter_of(key)].astype("i8") // SPLIT)), 1)
 
 
-def postings(classes: DataFrame, spread: Broadcast, blocks: Broadcast, parts: int, asking: Broadcast | None = None, among: Broadcast | None = None) -> DataFrame:
+def postings(classes: DataFrame, spread: Broadcast, counts: Broadcast, parts: int, asking: Broadcast | None = None, among: Broadcast | None = None) -> DataFrame:
     """``(part, rows)``: every class under each of its keys, as ``POSTING`` arrays dealt by key.
 
-    The rows of a key are dealt to as many blocks as ``blocks`` says for its counter. ``asking``: flags of the lines
+    The rows of a key are dealt to blocks by ``counts``, the frequent keys' counters (None: there is none). ``asking``: flags of the lines
     that ask, which then stand in all blocks; ``among``: flags of the keys that are wanted. Flags let a few others
     through, which costs work but changes no result. Keys are hashes: a clash brings pairs together that verification
     parts.
@@ -403,13 +421,13 @@ def postings(classes: DataFrame, spread: Broadcast, blocks: Broadcast, parts: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for heads, tokens in unpacked(batch):
-                key, row, place = keyed(heads, tokens, spread.value)
+                key, row, place, most = keyed(heads, tokens, spread.value)
                 own = line_key(heads["doc"], heads["line"])
                 asks = np.ones(len(heads), bool) if asking is None else flagged(asking.value, own)
                 if among is not None:
                     use = flagged(among.value, key)
-                    key, row, place = key[use], row[use], place[use]
-                n = blocks.value[counter_of(key)].astype("i8")
+                    key, row, place, most = key[use], row[use], place[use], most[use]
+                n = blocks_of(key, most, counts.value)
                 if n.max(initial=1) > 1:
                     block = (mixed(own[row]) % n.view("u8")).view("i8")
                     if asking is not None:  # a line that asks stands in all blocks
@@ -429,7 +447,7 @@ def postings(classes: DataFrame, spread: Broadcast, blocks: Broadcast, parts: in
                 rows = [(int(to[a]), out[a:b].tobytes()) for a, b in zip(cuts, cuts[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "rows"])
 
-    return classes.select("heads", "tokens").mapInArrow(run, "part int, rows binary")
+    return classes.select("heads", "tokens").mapInArrow(tidy(run), "part int, rows binary")
 
 
 def asked_keys(classes: DataFrame, spread: Broadcast, asking: Broadcast) -> tuple[DataFrame, Callable, int]:
@@ -438,55 +456,63 @@ def asked_keys(classes: DataFrame, spread: Broadcast, asking: Broadcast) -> tupl
     def values(batch: pa.RecordBatch) -> np.ndarray:
         out = [np.zeros(0, "u8")]
         for heads, tokens in unpacked(batch):
-            key, row, _ = keyed(heads, tokens, spread.value)
+            key, row, _, _ = keyed(heads, tokens, spread.value)
             out.append(key[flagged(asking.value, line_key(heads["doc"], heads["line"]))[row]])
         return np.concatenate(out)
 
     return classes.select("heads", "tokens"), values, 1 << 24
 
 
-def passing(c: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Which pairs of postings of one key pass the length, position and parity filters."""
-    sx, sy = c["size"][x].astype("i8"), c["size"][y].astype("i8")
+def passing(c: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of postings of one key that pass the length, position and parity filters."""
+    sx, sy = c["size"][x], c["size"][y]
     need = (UP * (sx + sy) + UP + DOWN - 1) // (UP + DOWN)
-    ok = (np.minimum(sx - c["place"][x], sy - c["place"][y]) >= need) & (DOWN * sy >= UP * sx) & (DOWN * sx >= UP * sy)
+    ok = np.flatnonzero((np.minimum(sx - c["place"][x], sy - c["place"][y]) >= need) & (DOWN * sy >= UP * sx) & (DOWN * sx >= UP * sy))
+    x, y, spare = x[ok], y[ok], (sx + sy - 2 * need)[ok]
     # Every token in only one of the two sets turns one bit: the bits that differ are at most so many.
-    ok &= sx + sy - np.bitwise_count(c["parity"][x] ^ c["parity"][y]) >= 2 * need
-    return ok & ((c["doc"][x] != c["doc"][y]) | (c["line"][x] != c["line"][y]))
+    turned = sum(np.bitwise_count(c[p][x] ^ c[p][y]).astype("i8") for p in ("parity0", "parity1"))
+    ok = (turned <= spare) & ((c["doc"][x] != c["doc"][y]) | (c["line"][x] != c["line"][y]))
+    return x[ok], y[ok]
 
 
-def matched(c: np.ndarray, most: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Rows that ask, earlier rows of the same key that pass the filters, and whether some were left out.
+def matched(c: np.ndarray, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows that ask, earlier rows of the same key that pass the filters, and whether others of them were left out.
 
-    ``c`` is in the order of (key, doc, line). A row looks at the nearest rows before it first and stops at ``most``
-    passing ones (None: looks at all).
+    ``c`` is in the order of (key, doc, line). Either all such pairs, or for each row the nearest one before it: it
+    then looks on until it knows whether there is another.
     """
     n = len(c)
     starts = np.flatnonzero(np.append(True, c["key"][1:] != c["key"][:-1])[:n])
+    of = {k: np.ascontiguousarray(c[k]) for k in ("doc", "line")} | {k: c[k].astype("i8") for k in ("size", "place")} | {f"parity{k}": np.ascontiguousarray(c["parity"][:, k]) for k in range(2)}
     before = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
     active = np.flatnonzero((before > 0) & c["asks"])
-    found = np.zeros(n, "i8")
+    found, nearest = np.zeros(n, "u1"), np.zeros(n, "i8")
     done = 0
     while len(active):
         wide = max(1, PAIRS // len(active))
         for at in range(0, len(active), PAIRS):
             mine = active[at : at + PAIRS]
-            x = np.repeat(mine, np.minimum(before[mine] - done, wide))
-            y = x - done - 1 - (ranges(np.zeros(len(mine), "i8"), np.minimum(before[mine] - done, wide)))
-            ok = passing(c, x, y)
-            x, y = x[ok], y[ok]
-            if most is not None and len(x):
+            many = np.minimum(before[mine] - done, wide)
+            x = np.repeat(mine, many)
+            y = x - done - 1 - ranges(np.zeros(len(mine), "i8"), many)
+            x, y = passing(of, x, y)
+            if every:
+                yield x, y, np.zeros(len(x), bool)
+            elif len(x):
                 lead = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
-                times = np.diff(np.append(lead, len(x)))
-                nth = np.arange(len(x)) - np.repeat(lead, times) + found[x]
-                found[x[lead]] += times
-                x, y = x[nth < most], y[nth < most]
-            yield x, y, found[x] >= (most or n + 1)
+                first = lead[found[x[lead]] == 0]
+                nearest[x[first]] = y[first]
+                found[x[lead]] = np.minimum(found[x[lead]] + np.diff(np.append(lead, len(x))), 2)
         done += wide
-        active = active[(before[active] > done) & (found[active] < (most or n + 1))]
+        active = active[(before[active] > done) & (found[active] < 2)]
+    rows = np.flatnonzero(found)
+    for at in range(0, len(rows), PAIRS):
+        x = rows[at : at + PAIRS]
+        yield x, nearest[x], found[x] > 1
 
 
 PAIR = "doc_id long, line long, to_doc long, to_line long, more boolean"
+ENDS = ["doc_id", "line", "to_doc", "to_line"]
 
 
 def gathered(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
@@ -501,18 +527,21 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
     return c[np.lexsort((c["line"], c["doc"], c["key"]))]
 
 
-def candidates(posted: DataFrame, parts: int, most: int | None) -> DataFrame:
-    """Pairs of an asking line and an earlier one that pass the filters; ``more``: others may have been left out."""
+def candidates(posted: DataFrame, parts: int, every: bool) -> DataFrame:
+    """Pairs of an asking line and an earlier one that pass the filters.
+
+    ``more``: others may have been left out; ``keys``: under how many keys the two met.
+    """
     names = [x.split()[0] for x in PAIR.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = gathered(batches)
-        for x, y, more in matched(c, most):
+        for x, y, more in matched(c, every):
             columns = [c["doc"][x], c["line"][x], c["doc"][y], c["line"][y], more]
             yield pa.RecordBatch.from_arrays([pa.array(v) for v in columns], names)
 
-    pairs = posted.repartitionById(parts, "part").mapInArrow(run, PAIR)
-    return pairs.groupBy("doc_id", "line", "to_doc", "to_line").agg(F.max("more").alias("more"))
+    pairs = posted.repartitionById(parts, "part").mapInArrow(tidy(run), PAIR)
+    return pairs.groupBy(*ENDS).agg(F.max("more").alias("more"), F.count("*").alias("keys"))
 
 
 def line_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -531,9 +560,14 @@ def line_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 found = b"\n".join(parts).split(b"\n") if len(at) else []
                 yield pa.RecordBatch.from_arrays([pa.array(own[at]), pa.array(no[at]), pa.array([found[i] for i in at.tolist()], pa.binary())], ["doc_id", "line", "words"])
 
-    found = narrow_batches(holding).mapInArrow(run, "doc_id long, line long, words binary")
+    found = narrow_batches(holding).mapInArrow(tidy(run), "doc_id long, line long, words binary")
     # Rows that repeat as a whole give a line twice.
-    return written(found.join(ends, ["doc_id", "line"], "left_semi").groupBy("doc_id", "line").agg(F.min("words").alias("words")))
+    return written(found.groupBy("doc_id", "line").agg(F.min("words").alias("words")))
+
+
+def ends_of(lines: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The lines of documents that ``pairs`` may name."""
+    return apart(lines, pairs.select(F.col("doc_id").alias("key")).unionByName(pairs.select(F.col("to_doc").alias("key"))), "doc_id")[0]
 
 
 def similar(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -549,7 +583,7 @@ def similar(pairs: DataFrame, lines: DataFrame) -> DataFrame:
                 keep.append((UP + DOWN) * len(a & b) >= UP * (len(a) + len(b)))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["doc_id", "line"])
 
-    return both.mapInArrow(run, "doc_id long, line long").distinct()
+    return both.mapInArrow(tidy(run), "doc_id long, line long").distinct()
 
 
 def repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -568,24 +602,26 @@ def repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str
     classes = written(classes_of(token_sets(texts, spread, parts), parts))
     release(spark)
     parts = max(width(texts), 6 * words // GATHERED)
-    blocks = np.ones(COUNTERS, "u4") if words <= SPLIT else np.maximum(1, -(-key_counts(classes, spread).astype("i8") // SPLIT)).astype("u4")
-    split, blocks = bool((blocks > 1).any()), share(blocks)
+    frequent = key_counts(classes, spread) if (counts > SPLIT).any() else np.zeros(1, "u4")
+    split = bool((frequent > SPLIT).any())
+    frequent = share(frequent if split else None)
     names = ["doc_id", "line"]
-    pairs = saved(candidates(postings(classes, spread, blocks, parts), parts, NEAREST))
+    pairs = saved(candidates(postings(classes, spread, frequent, parts), parts, False))
     release(spark)
     lines = line_texts(pairs, texts)
-    nearest = saved(pairs.groupBy(*names).agg(F.min(F.struct("to_doc", "to_line")).alias("x"), F.max("more").alias("more")).select(*names, "x.to_doc", "x.to_line", "more"))
+    best = F.max(F.struct("keys", (-F.col("to_doc")).alias("d"), "to_doc", "to_line")).alias("x")
+    nearest = saved(pairs.groupBy(*names).agg(best, F.max("more").alias("more")).select(*names, "x.to_doc", "x.to_line", "more"))
     gone = saved(similar(nearest, lines))
-    others = pairs.join(gone, names, "left_anti").join(nearest, [*names, "to_doc", "to_line"], "left_anti")
-    gone = saved(gone.unionByName(similar(others, lines)))
+    others = pairs.join(gone, names, "left_anti").join(nearest, ENDS, "left_anti").select(ENDS)
+    gone = saved(gone.unionByName(similar(others, ends_of(lines, others))))
     left = saved(nearest.where("more").select(*names).join(gone, names, "left_anti"))
     discard(lines)
     if split:  # lines that have met the rows of their own block only
-        left = saved(left.unionByName(in_blocks(classes, spread, blocks)).distinct().join(gone, names, "left_anti"))
+        left = saved(left.unionByName(in_blocks(classes, spread, frequent)).distinct().join(gone, names, "left_anti"))
     if not left.isEmpty():
         asking = share(flags_of(left, ends_key, left.count()))
         among = share(flags_of(*asked_keys(classes, spread, asking)))
-        second = saved(candidates(postings(classes, spread, blocks, parts, asking, among), parts, None).join(left, names, "left_semi").join(pairs, [*names, "to_doc", "to_line"], "left_anti"))
+        second = saved(candidates(postings(classes, spread, frequent, parts, asking, among), parts, True).join(left, names, "left_semi").join(pairs, ENDS, "left_anti").select(ENDS))
         lines = line_texts(second, texts)
         gone = saved(gone.unionByName(similar(second, lines)))
         discard(lines)
@@ -593,23 +629,23 @@ def repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str
     number, tag = F.col("line").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).cast("int"), F.shiftright("line", 32)
     out = saved(gone.groupBy("doc_id", tag.alias("tag")).agg(F.collect_set(number).alias("drops")))
     discard(classes)
-    for b in (spread, blocks):
+    for b in (spread, frequent):
         b.unpersist()
     release(spark)
     return out
 
 
-def in_blocks(classes: DataFrame, spread: Broadcast, blocks: Broadcast) -> DataFrame:
+def in_blocks(classes: DataFrame, spread: Broadcast, counts: Broadcast) -> DataFrame:
     """``(doc_id, line)`` of the classes that have a key whose rows are dealt to several blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for heads, tokens in unpacked(batch):
-                key, row, _ = keyed(heads, tokens, spread.value)
-                own = heads[np.unique(row[blocks.value[counter_of(key)] > 1])]
+                key, row, _, most = keyed(heads, tokens, spread.value)
+                own = heads[np.unique(row[blocks_of(key, most, counts.value) > 1])]
                 yield pa.RecordBatch.from_arrays([pa.array(own["doc"]), pa.array(own["line"])], ["doc_id", "line"])
 
-    return classes.select("heads", "tokens").mapInArrow(run, "doc_id long, line long")
+    return classes.select("heads", "tokens").mapInArrow(tidy(run), "doc_id long, line long")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -636,7 +672,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
                 texts.append(value)
             yield batch.set_column(where, batch.schema.field(where), pa.array(texts, batch.schema.field(where).type))
 
-    changed = narrow_batches(joined).mapInArrow(run, shape)
+    changed = narrow_batches(joined).mapInArrow(tidy(run), shape)
     out = changed.select(*docs.columns).unionByName(rest.select(*docs.columns))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.char_length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonequarry.llm import lines, simhash
-from tonequarry.llm.common import apart, discard, narrow_batches, release, saved, width, written
+from tonequarry.llm.common import apart, discard, narrow_batches, release, saved, tidy, width, written
 from tonequarry.llm.components import components
 from tonequarry.llm.lines import DOWN, GATHERED, MIX, POSTING, UP, ends_key, flags_of, mixed, words_of
 
@@ -77,7 +77,7 @@ def prints(texts: DataFrame) -> DataFrame:
                     out.append(np.packbits(2 * counts > b - a).view(">i8")[0])
                 yield pa.RecordBatch.from_arrays([pa.array(ids[s.rows]), pa.array(s.numbers), pa.array(np.array(out, "i8"))], ["doc_id", "line", "fp"])
 
-    return texts.mapInArrow(run, "doc_id long, line long, fp long")
+    return texts.mapInArrow(tidy(run), "doc_id long, line long, fp long")
 
 
 def simhash_pairs(texts: DataFrame) -> DataFrame:
@@ -117,13 +117,13 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 keep.append((UP + DOWN) * len(a & b) >= UP * (len(a) + len(b)))
             yield batch.filter(pa.array(keep, pa.bool_())).select(PAIR)
 
-    out = saved(both.mapInArrow(run, "doc_id long, line long, to_doc long, to_line long"))
+    out = saved(both.mapInArrow(tidy(run), "doc_id long, line long, to_doc long, to_line long"))
     discard(own)
     return out
 
 
 ROOTED = np.dtype([*POSTING.descr, ("root", "i8")])
-ROWS = "key long, doc_id long, line long, parity long, size int, place int"
+ROWS = "key long, doc_id long, line long, parity0 long, parity1 long, size int, place int"
 
 
 def across(posted: DataFrame, roots: DataFrame, parts: int) -> DataFrame:
@@ -136,14 +136,16 @@ def across(posted: DataFrame, roots: DataFrame, parts: int) -> DataFrame:
         for batch in batches:
             for x in batch.column(1):
                 c = np.frombuffer(x.as_py(), POSTING)
-                columns = [c["key"].view("i8") if c["key"].flags.c_contiguous else c["key"].copy().view("i8"), c["doc"].copy(), c["line"].copy(), c["parity"].copy().view("i8"), c["size"].astype("i4"), c["place"].astype("i4")]
+                columns = [c["key"].copy().view("i8"), c["doc"].copy(), c["line"].copy(), *(c["parity"][:, k].copy().view("i8") for k in range(2)), c["size"].astype("i4"), c["place"].astype("i4")]
                 yield pa.RecordBatch.from_arrays([pa.array(v) for v in columns], [n.split()[0] for n in ROWS.split(", ")])
 
     def roll(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = {n: batch.column(k).to_numpy(zero_copy_only=False) for k, n in enumerate(batch.schema.names)}
             c = np.zeros(batch.num_rows, ROOTED)
-            c["key"], c["parity"] = v["key"].view("u8"), v["parity"].view("u8")
+            c["key"] = v["key"].view("u8")
+            for k in range(2):
+                c["parity"][:, k] = v[f"parity{k}"].view("u8")
             c["doc"], c["line"], c["size"], c["place"], c["root"] = v["doc_id"], v["line"], v["size"], v["place"], v["root"]
             to = (mixed(c["key"]) % np.uint64(parts)).view("i8")
             order = np.argsort(to, kind="stable")
@@ -169,17 +171,17 @@ def across(posted: DataFrame, roots: DataFrame, parts: int) -> DataFrame:
         best[group_no[lead[order]]] = order
         c["asks"] = best[group_no] != run_no
         c = c[np.lexsort((c["line"], c["doc"], c["asks"], c["key"]))]
-        for x, y, _ in lines.matched(c, None):
+        for x, y, _ in lines.matched(c, True):
             ok = c["root"][x] != c["root"][y]
             x, y = x[ok], y[ok]
             later = (c["doc"][x] > c["doc"][y]) | ((c["doc"][x] == c["doc"][y]) & (c["line"][x] > c["line"][y]))
             a, b = np.where(later, x, y), np.where(later, y, x)
             yield pa.RecordBatch.from_arrays([pa.array(v) for v in (c["doc"][a], c["line"][a], c["doc"][b], c["line"][b])], PAIR)
 
-    unrolled = posted.mapInArrow(rows, ROWS).join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left")
+    unrolled = posted.mapInArrow(tidy(rows), ROWS).join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left")
     rooted = unrolled.withColumn("root", F.coalesce("root", "doc_id"))
-    packed = rooted.mapInArrow(roll, "part int, rows binary")
-    return packed.repartitionById(parts, "part").mapInArrow(run, "doc_id long, line long, to_doc long, to_line long").distinct()
+    packed = rooted.mapInArrow(tidy(roll), "part int, rows binary")
+    return packed.repartitionById(parts, "part").mapInArrow(tidy(run), "doc_id long, line long, to_doc long, to_line long").distinct()
 
 
 def as_links(pairs: DataFrame) -> DataFrame:
@@ -193,8 +195,8 @@ def near_copies(classes: DataFrame, texts: DataFrame, spread, parts: int) -> Dat
     copies = lines.repeats_of(classes)
     found = verified(simhash_pairs(texts).join(copies, ["doc_id", "line"], "left_anti").join(copies.toDF("to_doc", "to_line"), ["to_doc", "to_line"], "left_anti"), texts)
     release(spark)
-    blocks = share(np.ones(lines.COUNTERS, "u4"))
-    pairs = saved(lines.candidates(lines.postings(classes, spread, blocks, parts), parts, lines.NEAREST))
+    blocks = share(None)
+    pairs = saved(lines.candidates(lines.postings(classes, spread, blocks, parts), parts, False))
     release(spark)
     found = found.unionByName(verified(pairs.select(*PAIR).join(found, PAIR, "left_anti"), texts))
     roots = saved(components(as_links(found)))
