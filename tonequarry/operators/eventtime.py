@@ -1,8 +1,9 @@
-"""Event time: trading-day numbers, event days and all window variables in one aggregation.
+"""Event time: trading-day numbers, event days and all window variables from running sums.
 
 A trading day is the number of a security's row among those with a return. A filing's event day is the first row on or
-after its date. Windows are offsets from it, so attaching them is an equi-join on (security, day), and every window
-variable is a conditional aggregate of one grouping by filing.
+after its date. What a window holds is the difference of two running sums, so each filing looks up a handful of days by
+(security, day), however long its windows are. Everything is dealt by security once: the joins and the grouping by
+filing need no other exchange.
 """
 
 from __future__ import annotations
@@ -13,7 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-FIRST, LAST = -257, 255
+#: Offsets from the event day: the first of the time before, the last of it, of the event, and of the time after.
+FIRST, PRE, EVENT, LAST = -257, -6, 3, 255
+#: Relative size below which a deviation is the noise of sums, and below which a direction is.
+STILL, NOISE = 1e-6, 1e-8
 LEAST_BEFORE, LEAST_ROWS = 65, 60
 
 
@@ -24,29 +28,41 @@ def trading_days(bars: DataFrame) -> DataFrame:
 
 
 def event_days(filings: DataFrame, days: DataFrame) -> DataFrame:
-    """``(accession, permno, date_filed, before)``: the security's rows strictly before the filing's date.
+    """``(accession, permno, date_filed, before, n_days)``: the security's rows strictly before the filing's date, and all.
 
     The event day is the next one. One running count over both tables, sorted together: no join by inequality.
     """
     rows = filings.where("permno IS NOT NULL").select("permno", F.col("date_filed").alias("date"), F.lit(0).alias("kind"), "accession")
     bars = days.select("permno", "date", F.lit(1).alias("kind"), F.lit(None).cast(rows.schema["accession"].dataType).alias("accession"))
-    w = Window.partitionBy("permno").orderBy("date", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = rows.unionByName(bars).withColumn("before", F.sum("kind").over(w))
-    return counted.where("kind = 0").select("accession", "permno", F.col("date").alias("date_filed"), "before")
+    whole = Window.partitionBy("permno")
+    counted = rows.unionByName(bars).withColumn("before", F.sum("kind").over(whole.orderBy("date", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    counted = counted.withColumn("n_days", F.sum("kind").over(whole))
+    return counted.where("kind = 0").select("accession", "permno", F.col("date").alias("date_filed"), "before", "n_days")
 
 
-def windows(events: DataFrame, days: DataFrame, columns: list[str], first: int = FIRST, last: int = LAST) -> DataFrame:
-    """Events with their rows from offset ``first`` to ``last``, as far as there are any: an equi-join on (permno, td)."""
-    offsets = events.withColumn("off", F.explode(F.sequence(F.lit(first), F.lit(last)))).withColumn("td", (F.col("before") + 1 + F.col("off")).cast("int"))
-    return offsets.join(days.select("permno", "td", *columns), ["permno", "td"])
+def running(days: DataFrame, sums: dict[str, Column]) -> DataFrame:
+    """The days with each column's sum up to and with the day, nulls being zero."""
+    w = Window.partitionBy("permno").orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return days.select("*", *(F.coalesce(F.sum(c).over(w), F.lit(0)).alias(n) for n, c in sums.items()))
 
 
-def _at(offset: int, c: Column) -> Column:
-    return F.max(F.when(F.col("off") == offset, c))
+def looked_up(events: DataFrame, days: DataFrame, slots: dict[str, tuple[Column, list[str]]]) -> DataFrame:
+    """Events with columns of a few days each: ``slots`` is name to (day, columns), which become ``name_column``.
+
+    A day before the first has nulls; days after the last are the last. One row per event and slot joins the days.
+    """
+    names = list(slots)
+    day = F.explode(F.array(*(F.struct(F.lit(i).alias("slot"), F.least(at, F.col("n_days")).cast("int").alias("td")) for i, (at, _) in enumerate(slots.values()))))
+    each = events.select("accession", "permno", "before", "n_days", day.alias("x")).select("accession", "permno", "before", "n_days", "x.slot", "x.td")
+    wanted = sorted({c for _, columns in slots.values() for c in columns})
+    found = each.join(days.select("permno", "td", *wanted), ["permno", "td"], "left")
+    values = [F.max(F.when(F.col("slot") == names.index(n), F.col(c))).alias(f"{n}_{c}") for n, (_, columns) in slots.items() for c in columns]
+    return found.groupBy("permno", "accession", "before", "n_days").agg(*values)
 
 
-def _within(low: Column | int, high: int) -> Column:
-    return (F.col("off") >= low) & (F.col("off") <= high)
+def _between(column: str, low: str, high: str) -> Column:
+    """What a window adds up to: the running sum at its end less that before its start."""
+    return F.coalesce(F.col(f"{high}_{column}"), F.lit(0)) - F.coalesce(F.col(f"{low}_{column}"), F.lit(0))
 
 
 def checks(events: DataFrame, days: DataFrame) -> DataFrame:
@@ -55,80 +71,104 @@ def checks(events: DataFrame, days: DataFrame) -> DataFrame:
     The event window is offsets 0 to 3, all with a volume; before it, offsets -257 to -6 and after it 4 to 255 need 60
     rows with a volume each, and 65 rows must lie before the event day.
     """
-    rows = windows(events, days, ["prc", "vol"])
-    valid = F.col("vol").isNotNull() & (F.col("vol") >= 0)
-    found = rows.groupBy("accession").agg(
-        F.count_if(_within(0, 3) & valid).alias("n_event"),
-        F.count_if(_within(-257, -6) & valid).alias("n_pre"),
-        F.count_if(_within(4, 255) & valid).alias("n_post"),
-        _at(-1, F.abs("prc")).alias("price_before"),
-    )
-    ok = F.coalesce(F.col("n_event") == 4, F.lit(False))
-    both = ok & (F.col("before") >= LEAST_BEFORE) & (F.col("n_pre") >= LEAST_ROWS) & (F.col("n_post") >= LEAST_ROWS)
-    return events.join(found, "accession", "left").select("accession", ok.alias("ev_ok"), F.coalesce(both, F.lit(False)).alias("pre_post_ok"), "price_before")
+    summed = running(days, {"n_vol": (F.col("vol").isNotNull() & (F.col("vol") >= 0)).cast("int")}).withColumn("price", F.abs("prc"))
+    before = F.col("before")
+    slots = {
+        "first": (before + FIRST, ["n_vol"]),
+        "pre": (before + PRE + 1, ["n_vol"]),
+        "eve": (before, ["n_vol", "price"]),
+        "event": (before + 1 + EVENT, ["n_vol"]),
+        "last": (before + 1 + LAST, ["n_vol"]),
+    }
+    found = looked_up(events, summed, slots)
+    ok = _between("n_vol", "eve", "event") == 1 + EVENT
+    both = ok & (before >= LEAST_BEFORE) & (_between("n_vol", "first", "pre") >= LEAST_ROWS) & (_between("n_vol", "event", "last") >= LEAST_ROWS)
+    return found.select("accession", ok.alias("ev_ok"), both.alias("pre_post_ok"), F.col("eve_price").alias("price_before"))
 
 
 @F.pandas_udf(T.DoubleType())
 def _intercept(moments: pd.Series) -> pd.Series:
     """The intercept of an OLS fit from (mean y, means x, cov(x, y), cov(x, x) upper triangle)."""
-    out = np.full(len(moments), np.nan)
-    for i, m in enumerate(moments):
-        if m is None or any(v is None or v != v for v in m):
-            continue
-        k = 3
-        y, x, xy = m[0], np.array(m[1 : 1 + k]), np.array(m[1 + k : 1 + 2 * k])
-        c = np.zeros((k, k))
-        c[np.triu_indices(k)] = m[1 + 2 * k :]
-        c = c + np.triu(c, 1).T
-        if np.linalg.matrix_rank(c) == k:
-            out[i] = y - np.linalg.solve(c, xy) @ x
-        else:  # the least-norm solution over intercept and slopes
-            full = np.block([[np.ones((1, 1)), x[None, :]], [x[:, None], c + np.outer(x, x)]])
-            out[i] = (np.linalg.pinv(full) @ np.append(y, xy + x * y))[0]
+    out, k = np.full(len(moments), np.nan), 3
+    use = np.array([m is not None and not any(v is None or v != v for v in m) for m in moments], bool)
+    if not use.any():
+        return pd.Series(out)
+    m = np.stack(moments[use].to_list()).astype("f8")
+    y, x, xy = m[:, 0], m[:, 1 : 1 + k], m[:, 1 + k : 1 + 2 * k]
+    c = np.zeros((len(m), k, k))
+    upper = np.triu_indices(k)
+    c[:, upper[0], upper[1]] = m[:, 1 + 2 * k :]
+    c = c + np.triu(c, 1).transpose(0, 2, 1)
+    # Differences of running sums leave noise where a factor is constant or one is a combination of others.
+    scale = np.sqrt(np.maximum(np.diagonal(c, axis1=1, axis2=2), 0))
+    still = scale <= STILL * np.maximum(1e-9, np.abs(x))
+    scale = np.where(still, 1.0, scale)
+    unit = np.where(still[:, :, None] | still[:, None, :], 0.0, c / scale[:, :, None] / scale[:, None, :])
+    whole = np.linalg.matrix_rank(unit, tol=NOISE, hermitian=True) == k
+    found = np.full(len(m), np.nan)
+    if whole.any():
+        slopes = np.linalg.solve(c[whole], xy[whole][:, :, None])[:, :, 0]
+        found[whole] = y[whole] - (slopes * x[whole]).sum(1)
+    for i in np.flatnonzero(~whole):  # the least-norm solution over intercept and slopes
+        own = unit[i] * np.outer(scale[i], scale[i])
+        full = np.block([[np.ones((1, 1)), x[i][None, :]], [x[i][:, None], own + np.outer(x[i], x[i])]])
+        found[i] = (np.linalg.pinv(full, rcond=NOISE**2, hermitian=True) @ np.append(y[i], np.where(still[i], 0, xy[i]) + x[i] * y[i]))[0]
+    out[use] = found
     return pd.Series(out)
 
 
+FACTORS = ("mktrf", "smb", "hml")
+
+
 def variables(events: DataFrame, days: DataFrame, nasdaq: int = 3, halved_until: str = "2001-12-31") -> DataFrame:
     """``(accession, excret, size_b, turnover, alpha)``; what can't be computed is null.
 
     excret: compounded return over offsets 0..3 less the market's, in percent; a null market return makes it null.
     size_b: price times shares the day before. turnover: volume before the event over shares the day before, halved
     for one exchange up to a day; a null volume makes it null. alpha: the intercept on three factors, a year's worth.
+    Moments are taken about each security's own means, so that differences of running sums lose no digits.
     """
-    rows = windows(events, days, ["date", "prc", "ret", "vol", "shrout", "exchcd", "vwretd", "mktrf", "smb", "hml", "rf"], last=3)
+    ahead = Window.partitionBy("permno").orderBy("date")
     grown = [F.lit(1.0), F.lit(1.0)]
-    for o in range(4):
-        grown = [grown[0] * _at(o, 1 + F.col("ret")), grown[1] * _at(o, 1 + F.col("vwretd"))]
-    span = _within(F.when(F.col("before") >= 257, -252).otherwise(-257), -6)
-    halved = F.when((F.col("exchcd") == nasdaq) & (F.col("date") <= F.lit(halved_until).cast("date")), F.col("vol") / 2).otherwise(F.col("vol"))
-    complete = _within(-257, -6)
-    for c in ("ret", "mktrf", "smb", "hml", "rf"):
+    for o in range(1 + EVENT):
+        grown = [g * (1 + (F.lead(c, o).over(ahead) if o else F.col(c))) for g, c in zip(grown, ("ret", "vwretd"), strict=True)]
+    complete = F.lit(True)
+    for c in ("ret", *FACTORS, "rf"):
         complete = complete & F.col(c).isNotNull()
-    y, x = F.when(complete, F.col("ret") - F.col("rf")), [F.when(complete, F.col(c)) for c in ("mktrf", "smb", "hml")]
-    pairs = [F.covar_pop(x[i], x[j]) for i in range(3) for j in range(i, 3)]
-    found = rows.groupBy("accession", "before").agg(
-        F.when(F.count_if(_within(0, 3)) == 4, (grown[0] - grown[1]) * 100).alias("excret"),
-        (_at(-1, F.abs("prc")) * _at(-1, F.col("shrout")) / 1000).alias("size_b"),
-        F.count_if(span).alias("n_span"),
-        F.count_if(span & F.col("vol").isNull()).alias("n_null"),
-        F.sum(F.when(span, halved)).alias("volume"),
-        _at(-1, F.abs("shrout")).alias("shares"),
-        F.count_if(_within(0, 3)).alias("n_event"),
-        F.count_if(complete).alias("n_complete"),
-        F.array(F.avg(y), *(F.avg(c) for c in x), *(F.covar_pop(c, y) for c in x), *pairs).alias("moments"),
-    )
-    event = (F.col("n_event") == 4)
-    traded = event & (F.col("before") >= LEAST_ROWS) & (F.col("n_span") >= LEAST_ROWS) & (F.col("n_null") == 0) & (F.col("shares") > 0)
-    fitted = event & (F.col("before") >= LEAST_ROWS) & (F.col("n_complete") >= LEAST_ROWS)
+    halved = F.when((F.col("exchcd") == nasdaq) & (F.col("date") <= F.lit(halved_until).cast("date")), F.col("vol") / 2).otherwise(F.col("vol"))
+    days = days.select("permno", "td", "date", "vol", (grown[0] - grown[1]).alias("gain"), (F.abs("prc") * F.col("shrout") / 1000).alias("size"), F.abs("shrout").alias("shares"), halved.alias("halved"), F.when(complete, F.col("ret") - F.col("rf")).alias("y"), *(F.when(complete, F.col(c)).alias(f"x{i}") for i, c in enumerate(FACTORS)))
+    own = Window.partitionBy("permno")
+    series = ["y", "x0", "x1", "x2"]
+    days = days.select("*", *(F.avg(c).over(own).alias(f"m_{c}") for c in series))
+    days = days.select("*", *((F.col(c) - F.col(f"m_{c}")).alias(f"d_{c}") for c in series))
+    pairs = [("y", f"x{i}") for i in range(3)] + [(f"x{i}", f"x{j}") for i in range(3) for j in range(i, 3)]
+    sums = {"n_null": F.col("vol").isNull().cast("int"), "volume": F.col("halved"), "n_complete": F.col("y").isNotNull().cast("int")}
+    sums |= {f"s_{c}": F.col(f"d_{c}") for c in series} | {f"s_{a}_{b}": F.col(f"d_{a}") * F.col(f"d_{b}") for a, b in pairs}
+    before, moved = F.col("before"), [n for n in sums if n not in {"n_null", "volume"}]
+    start = F.when(before >= 257, before - 252).otherwise(before + FIRST)
+    slots = {
+        "first": (before + FIRST, moved),
+        "start": (start, ["n_null", "volume"]),
+        "pre": (before + PRE + 1, ["n_null", "volume", *moved]),
+        "eve": (before, ["size", "shares"]),
+        "day": (F.when(before < F.col("n_days"), before + 1).otherwise(0), ["gain", *(f"m_{c}" for c in series)]),
+    }
+    found = looked_up(events, running(days, sums), slots)
+    event = F.col("n_days") >= before + 1 + EVENT
+    n, n_span = _between("n_complete", "first", "pre"), F.greatest(F.least(before + PRE + 1, F.col("n_days")), F.lit(0)) - F.greatest(start, F.lit(0))
+    mean = {c: _between(f"s_{c}", "first", "pre") / n for c in series}
+    covariances = [_between(f"s_{a}_{b}", "first", "pre") / n - mean[a] * mean[b] for a, b in pairs]
+    moments = F.array(*(mean[c] + F.col(f"day_m_{c}") for c in series), *covariances)
+    traded = event & (before >= LEAST_ROWS) & (n_span >= LEAST_ROWS) & (_between("n_null", "start", "pre") == 0) & (F.col("eve_shares") > 0)
+    fitted = event & (before >= LEAST_ROWS) & (n >= LEAST_ROWS)
     out = found.select(
         "accession",
-        "excret",
-        F.when(event, F.col("size_b")).alias("size_b"),
-        F.when(traded, F.col("volume") / (F.col("shares") * 1e6)).alias("turnover"),
-        F.when(fitted, F.col("moments")).alias("moments"),
+        F.when(event, F.col("day_gain") * 100).alias("excret"),
+        F.when(event, F.col("eve_size")).alias("size_b"),
+        F.when(traded, _between("volume", "start", "pre") / (F.col("eve_shares") * 1e6)).alias("turnover"),
+        F.when(fitted, moments).alias("moments"),
     ).withColumn("alpha", _intercept("moments") * 252)
-    alpha = F.when(~F.isnan("alpha"), F.col("alpha"))
-    return events.select("accession").join(out.select("accession", "excret", "size_b", "turnover", alpha.alias("alpha")), "accession", "left")
+    return out.select("accession", "excret", "size_b", "turnover", F.when(~F.isnan("alpha"), F.col("alpha")).alias("alpha"))
 
 
 def gap_filter(filings: DataFrame, days: int = 180, by: str = "cik", date: str = "date_filed", ties: tuple[str, ...] = ("accession",)) -> DataFrame:
