@@ -2,6 +2,7 @@
 
 import datetime
 import gzip
+import time
 
 import numpy as np
 import pandas as pd
@@ -120,8 +121,8 @@ RAW = "<DOCUMENT>\n<TYPE>EX-1\n<TEXT>no</TEXT></DOCUMENT><DOCUMENT>\n<TYPE>{}\n<
         ("10-K", "a<PDF>zz</PDF>b<ix:hidden x='1'>q</ix:hidden>c", "A B C"),
     ],
 )
-def test_clean_text(form, body, want):
-    assert T.clean(RAW.format(form, body)) == want
+def test_clean_text(spark, form, body, want):
+    assert spark.createDataFrame([(RAW.format(form, body),)], "raw string").select(T.clean_text("raw")).first()[0] == want
 
 
 def test_sections():
@@ -135,6 +136,12 @@ def test_sections():
     assert T.section("ITEM 6. MANAGEMENT'S DISCUSSION " + words + "ITEM 7. FINANCIAL STATEMENTS", "10-KSB")[1] == "ok_t1_ksb_item6"
     assert T.section("\nVI. MANAGEMENT'S DISCUSSION " + words + "REPORT OF INDEPENDENT", "10-KSB")[1] == "ok_t2_roman"
     assert T.section(None, None) == (None, "no_match")
+    # An end within another's reach, and many headings without a quadratic search.
+    near = "ITEM 7. MANAGEMENT'S DISCUSSION " + words + "ITEM 8. ITEM 8. FINANCIAL STATEMENTS"
+    assert T.section(near, "10-K")[0].endswith("WORD")
+    began = time.time()
+    assert T.section("MANAGEMENT'S DISCUSSION ITEM 8. FINANCIAL STATEMENTS\n" * 5000, "10-K")[1] == "ok_t3_bare"
+    assert time.time() - began < 20
 
 
 def test_text_columns(spark):

@@ -1,17 +1,21 @@
 """Quarterly cross-sectional regressions and their time-series means with Newey-West errors.
 
-All fits of a grid of settings are one grouped job: the settings are rows, and a group is one quarter of one setting.
+All fits of a grid of cells and settings are one grouped job: the panel is dealt by quarter once, and every cell and
+setting is fitted where the quarter's rows are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tonequarry.functions.columns import normal_p
 
 
 @dataclass(frozen=True)
@@ -81,47 +85,50 @@ def fit_quarter(g: pd.DataFrame, y: str, x: Sequence[str], continuous: Sequence[
     return {"n": len(g), "r2": r2, "betas": [float(b) for b in beta[: len(x)]]}
 
 
-FIT = "cell string, setting string, industries boolean, quarter date, n long, r2 double, variable string, beta double"
-
+FIT = "panel string, cell string, setting string, industries boolean, quarter date, n long, r2 double, variable string, beta double"
 
-def _fit(cell: str, y: str, x: list[str], smooth: list[str], arms: Sequence[Setting]) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def fit(g: pd.DataFrame) -> pd.DataFrame:
-        s = arms[int(g["arm"].iloc[0])]
-        found = fit_quarter(g, y, x, smooth, s)
-        rows = [] if found is None else [(cell, s.name, s.industries, g["quarter"].iloc[0], found["n"], found["r2"], v, b) for v, b in zip(x, found["betas"], strict=True)]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in FIT.split(", ")])
 
-    return fit
+def _sound(columns: Sequence[str]) -> Column:
+    out = F.lit(True)
+    for c in columns:
+        out = out & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    return out
 
 
 def quarterly_fits(panel: DataFrame, cells: dict[str, tuple[str, str]], controls: Sequence[str], settings: Sequence[Setting] = GRID, both: bool = False) -> DataFrame:
     """A row per cell, setting, quarter and variable of ``panel(date_filed, industry, ...)``.
 
-    ``cells``: name to (outcome, main variable). Rows with a missing input go first; then outcome, main variable and
+    A column ``panel``, if there, names several panels, each fitted alone. ``cells``: name to (outcome, main variable). Rows with a missing input go first; then outcome, main variable and
     continuous controls are winsorized over the rows left or within each quarter. ``both``: also without industries.
     """
     arms = [s for s in settings] + ([Setting(**(asdict(s) | {"industries": False})) for s in settings] if both else [])
-    out = None
-    for cell, (y, main) in cells.items():
-        needed = [y, main, *controls]
-        rows = panel.select("date_filed", "industry", *needed).where(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in needed)).where("industry IS NOT NULL AND date_filed IS NOT NULL")
-        smooth = [c for c in needed if c != "nasdaq"]
-        cuts = rows.agg(*(F.percentile(c, F.array(F.lit(0.01), F.lit(0.99))).alias(f"q_{c}") for c in smooth))
-        wide = rows.crossJoin(F.broadcast(cuts)).withColumn("quarter", F.trunc("date_filed", "QUARTER"))
-        arm = F.explode(F.array(*(F.struct(F.lit(i).alias("arm"), F.lit(s.winsor == "full").alias("full")) for i, s in enumerate(arms))))
-        wide = wide.withColumn("s", arm)
-        clipped = [F.when(F.col("s.full"), F.least(F.greatest(F.col(c), F.col(f"q_{c}")[0]), F.col(f"q_{c}")[1])).otherwise(F.col(c)).alias(c) if c in smooth else F.col(c).cast("double").alias(c) for c in needed]
-        wide = wide.select("date_filed", F.col("industry").cast("long").alias("industry"), "quarter", F.col("s.arm").alias("arm"), *clipped)
-
-        # Quarters too small for any arm never reach Python.
-        least = min(s.min_obs for s in arms)
-        enough = wide.groupBy("arm", "quarter").count().where(F.col("count") >= least).drop("count")
-        fits = wide.join(enough, ["arm", "quarter"], "left_semi").groupBy("arm", "quarter").applyInPandas(_fit(cell, y, [main, *controls], smooth, arms), FIT)
-        out = fits if out is None else out.unionByName(fits)
-    return out
-
+    needed = {cell: [*dict.fromkeys((y, main, *controls))] for cell, (y, main) in cells.items()}
+    smooth = {cell: [c for c in n if c != "nasdaq"] for cell, n in needed.items()}
+    every = [*dict.fromkeys(c for n in needed.values() for c in n)]
+    name = F.col("panel") if "panel" in panel.columns else F.lit("default")
+    rows = panel.where("industry IS NOT NULL AND date_filed IS NOT NULL").select(name.alias("panel"), "date_filed", F.col("industry").cast("long").alias("industry"), F.trunc("date_filed", "QUARTER").alias("quarter"), *(F.col(c).cast("double").alias(c) for c in every))
+    at = F.array(F.lit(0.01), F.lit(0.99))
+    cuts = rows.groupBy("panel").agg(F.array(*(F.percentile(F.when(_sound(needed[k]), F.col(c)), at) for k in cells for c in smooth[k])).alias("__cuts"))
+    wide = rows.join(F.broadcast(cuts), "panel")  # one row a panel
 
-def newey_west(fits: DataFrame, keys: Sequence[str], lags: str = "lags", weighted: str = "ts_weight", most: int = 6) -> DataFrame:
+    def fit(g: pd.DataFrame) -> pd.DataFrame:
+        own, out = iter(g["__cuts"].iloc[0]), []
+        for cell, (y, main) in cells.items():
+            whole = g[["date_filed", "industry", *needed[cell]]].dropna()
+            clipped, x = whole.copy(), [main, *(c for c in controls if c != main)]
+            for c, bounds in zip(smooth[cell], own, strict=False):
+                if bounds is not None and len(clipped):
+                    clipped[c] = clipped[c].clip(*bounds)
+            for s in arms:
+                found = fit_quarter(clipped if s.winsor == "full" else whole, y, x, smooth[cell], s)
+                if found is not None:
+                    out += [(g["panel"].iloc[0], cell, s.name, s.industries, g["quarter"].iloc[0], found["n"], found["r2"], v, b) for v, b in zip(x, found["betas"], strict=True)]
+        return pd.DataFrame(out, columns=[c.split()[0] for c in FIT.split(", ")])
+
+    return wide.groupBy("panel", "quarter").applyInPandas(fit, FIT)
+
+
+def newey_west(fits: DataFrame, keys: Sequence[str], lags: str = "lags", weighted: str = "ts_weight") -> DataFrame:
     """Means of coefficients over quarters with HAC errors, Bartlett weights: ``keys, n, n_quarters, r2_avg, coef, se, t``.
 
     ``fits`` has beta, n, r2, quarter, and by group the number of lags and whether quarters are weighted by their rows.
@@ -132,11 +139,12 @@ def newey_west(fits: DataFrame, keys: Sequence[str], lags: str = "lags", weighte
     rows = fits.where("beta IS NOT NULL AND NOT isnan(beta)").withColumn("w", w)
     rows = rows.withColumn("coef", F.sum(F.col("w") * F.col("beta")).over(group) / F.sum("w").over(group))
     rows = rows.withColumn("u", F.col("w") * (F.col("beta") - F.col("coef")))
-    order = Window.partitionBy(*keys).orderBy("quarter")
-    term = F.col("u") * F.col("u")
-    for k in range(1, most + 1):
-        own = F.col("u") * F.coalesce(F.lag("u", k).over(order), F.lit(0.0))
-        term = term + F.when(F.col(lags) >= k, 2 * (1 - F.lit(float(k)) / (F.col(lags) + 1)) * own).otherwise(0.0)
+    # Each row's own place and the group's deviations in order: as many lags as the group asks for.
+    order = Window.partitionBy(*keys).orderBy("quarter").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("past", F.collect_list("u").over(order))
+    at, most = F.size("past"), F.col(lags)
+    lagged = F.transform(F.sequence(F.lit(0), F.least(at - 1, most)), lambda k: F.when(k == 0, 1.0).otherwise(2 * (1 - k / (most + 1.0))) * F.element_at("past", at - k))
+    term = F.col("u") * F.aggregate(lagged, F.lit(0.0), lambda a, v: a + v)
     sums = rows.withColumn("s", term).groupBy(*keys).agg(F.sum("n").alias("n"), F.count("*").alias("n_quarters"), F.avg("r2").alias("r2_avg"), F.first("coef").alias("coef"), (F.sqrt(F.sum("s")) / F.sum("w")).alias("se"))
     return sums.withColumn("t", F.when(F.col("se") > 0, F.col("coef") / F.col("se")))
 
@@ -146,4 +154,19 @@ def fama_macbeth(panel: DataFrame, cells: dict[str, tuple[str, str]], controls:
     fits = quarterly_fits(panel, cells, controls, settings, both)
     rows = [(s.name, s.lags, s.ts_weight) for s in settings]
     how = panel.sparkSession.createDataFrame(rows, "setting string, lags int, ts_weight boolean")
-    return newey_west(fits.join(F.broadcast(how), "setting"), ["cell", "setting", "industries", "variable"])
+    return newey_west(fits.join(F.broadcast(how), "setting"), ["panel", "cell", "setting", "industries", "variable"])
+
+
+def variants(panels: dict[str, DataFrame]) -> DataFrame:
+    """Several panels of the same columns as one, told apart by the column ``panel``: their fits are one grouped job."""
+    out = None
+    for name, df in panels.items():
+        named = df.withColumn("panel", F.lit(name))
+        out = named if out is None else out.unionByName(named)
+    return out
+
+
+@F.pandas_udf(T.DoubleType())
+def p_value(t: pd.Series) -> pd.Series:
+    """Two-sided p of a t statistic under the normal distribution."""
+    return t.map(lambda x: None if x is None or x != x else normal_p(x))

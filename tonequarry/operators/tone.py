@@ -11,27 +11,27 @@ from pyspark.sql import functions as F
 from tonequarry.functions.columns import percent
 from tonequarry.functions.text import tokens
 
-#: A dictionary of so many words at most is sent to all tasks; a larger one is joined by a shuffle.
-BROADCAST_WORDS = 2_000_000
-
-
 def dictionary(words: DataFrame, rule: str = "nonzero") -> DataFrame:
     """``(word, neg, pos)`` from signed year flags: any flag, also of a word removed later, or only present ones."""
     if rule not in {"nonzero", "positive"}:
         raise ValueError(rule)
     flag = (lambda c: F.col(c) != 0) if rule == "nonzero" else (lambda c: F.col(c) > 0)
-    return words.select(F.upper("word").alias("word"), flag("negative").alias("neg"), flag("positive").alias("pos")).dropDuplicates(["word"])
+    # A word that stands twice is listed if any of its rows says so.
+    return words.groupBy(F.upper("word").alias("word")).agg(F.bool_or(flag("negative")).alias("neg"), F.bool_or(flag("positive")).alias("pos"))
 
 
-def _with(rows: DataFrame, words: DataFrame, how: str = "inner") -> DataFrame:
-    small = words.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
-    return rows.join(F.broadcast(words) if small else words, "word", how)
+def _each(docs: DataFrame, key: str, text: str, words: DataFrame) -> DataFrame:
+    """``(doc_id, word, neg, pos)`` of each token that is in the dictionary.
+
+    The token list is a table of words: Spark broadcasts it while it is small and sorts both sides otherwise.
+    """
+    each = docs.select(key, F.explode(tokens(F.upper(F.coalesce(F.col(text), F.lit(""))))).alias("word"))
+    return each.join(words, "word")
 
 
 def term_counts(docs: DataFrame, words: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, word, tf, neg, pos)`` of dictionary words: counted within each task before the shuffle."""
-    each = docs.select(key, F.explode(tokens(F.upper(F.coalesce(F.col(text), F.lit("")))))  .alias("word"))
-    return _with(each, words).groupBy(key, "word").agg(F.count("*").alias("tf"), F.first("neg").alias("neg"), F.first("pos").alias("pos"))
+    return _each(docs, key, text, words).groupBy(key, "word").agg(F.count("*").alias("tf"), F.bool_or("neg").alias("neg"), F.bool_or("pos").alias("pos"))
 
 
 def word_counts(docs: DataFrame, words: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -39,9 +39,9 @@ def word_counts(docs: DataFrame, words: DataFrame, key: str = "doc_id", text: st
 
     One grouping by document; documents without a known token have zeros.
     """
-    each = docs.select(key, F.explode_outer(tokens(F.upper(F.coalesce(F.col(text), F.lit(""))))).alias("word"))
-    known = _with(each, words, "left")
-    return known.groupBy(key).agg(F.count("neg").alias("n_words"), F.count_if("neg").alias("n_neg"), F.count_if("pos").alias("n_pos"))
+    known = _each(docs, key, text, words).select(key, F.lit(1).alias("n"), F.col("neg").cast("int").alias("neg"), F.col("pos").cast("int").alias("pos"))
+    every = known.unionByName(docs.select(key, *(F.lit(0).alias(c) for c in ("n", "neg", "pos"))))
+    return every.groupBy(key).agg(*(F.sum(c).alias(n) for c, n in (("n", "n_words"), ("neg", "n_neg"), ("pos", "n_pos"))))
 
 
 def proportional(counts: DataFrame) -> DataFrame:
@@ -53,17 +53,23 @@ def document_frequency(terms: DataFrame) -> DataFrame:
     return terms.groupBy("word").agg(F.count("*").alias("df"))
 
 
-def tfidf(terms: DataFrame, counts: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``(doc_id, tfidf)``: sum of (1 + ln tf) / (1 + ln max(n_words, 1)) * ln(N / df) over the terms given.
+def weighted_sums(terms: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``(doc_id, w)``: the sum of (1 + ln tf) * ln(N / df) over each document's terms; zero without any.
 
-    N and df come from the whole corpus: every row of ``counts``, also of empty documents; those score zero.
+    N and df come from the whole corpus: N is the number of rows of ``docs``, also of empty documents.
     """
-    n = counts.agg(F.count("*").alias("N"))
+    n = docs.agg(F.count("*").alias("N"))
     idf = document_frequency(terms).crossJoin(F.broadcast(n)).select("word", F.log(F.col("N") / F.col("df")).alias("idf"))
-    words = counts.select(key, (1 + F.log(F.greatest("n_words", F.lit(1)).cast("double"))).alias("norm"))
     weighted = terms.join(idf, "word").select(key, ((1 + F.log(F.col("tf").cast("double"))) * F.col("idf")).alias("w"))
     sums = weighted.groupBy(key).agg(F.sum("w").alias("w"))
-    return words.join(sums, key, "left").select(key, F.coalesce(F.col("w") / F.col("norm"), F.lit(0.0)).alias("tfidf"))
+    return docs.select(key).join(sums, key, "left").select(key, F.coalesce("w", F.lit(0.0)).alias("w"))
+
+
+def tfidf(terms: DataFrame, counts: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``(doc_id, tfidf)``: ``weighted_sums`` over 1 + ln max(n_words, 1); N is the number of rows of ``counts``."""
+    sums = weighted_sums(terms, counts.select(key), key)
+    norm = 1 + F.log(F.greatest("n_words", F.lit(1)).cast("double"))
+    return counts.select(key, norm.alias("norm")).join(sums, key).select(key, (F.col("w") / F.col("norm")).alias("tfidf"))
 
 
 def published_scores(counts: DataFrame) -> DataFrame:

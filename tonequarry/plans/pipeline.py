@@ -56,9 +56,10 @@ def flagged(filings: DataFrame, fundamentals: DataFrame, history: DataFrame | No
     days = eventtime.trading_days(daily)
     found = eventtime.checks(eventtime.event_days(out, days), days)
     out = out.join(found, "accession", "left")
-    year = fundamentals.where("be > 0 AND bm IS NOT NULL AND mkt_value IS NOT NULL").select("gvkey", (F.col("fyear") + 1).alias("filing_year"), "bm", "mkt_value").dropDuplicates(["gvkey", "filing_year"])
+    year = fundamentals.where("be > 0 AND bm IS NOT NULL AND mkt_value IS NOT NULL").select("gvkey", (F.col("fyear") + 1).alias("filing_year"), "bm", "mkt_value")
+    year = rows.first_by(year, ["gvkey", "filing_year"], ["bm", "mkt_value"])
     out = out.join(year, ["gvkey", "filing_year"], "left")
-    enough = words.where(F.col("ok") & (F.col("n_words") >= o.least_words)).select("accession", F.lit(True).alias("enough_words")).dropDuplicates(["accession"])
+    enough = words.where(F.col("ok") & (F.col("n_words") >= o.least_words)).select("accession", F.lit(True).alias("enough_words")).distinct()
     out = out.join(enough, "accession", "left")
     flags = {
         "linked": F.col("permno").isNotNull(),
@@ -93,7 +94,8 @@ def panel(sample: DataFrame, daily: DataFrame, counts: DataFrame, scores: DataFr
     found = eventtime.variables(eventtime.event_days(sample, days), days)
     out = sample.join(found, "accession", "left").join(counts, "accession", "left").join(scores, "accession", "left")
     out = out.withColumn("yqtr", previous_quarter_end(F.col("date_filed"))).join(ownership, ["permno", "yqtr"], "left")
-    codes = fundamentals.select("gvkey", (F.col("fyear") + 1).alias("filing_year"), "sic", "sich").dropDuplicates(["gvkey", "filing_year"])
+    codes = fundamentals.select("gvkey", (F.col("fyear") + 1).alias("filing_year"), "sic", "sich")
+    codes = rows.first_by(codes, ["gvkey", "filing_year"], [F.col("sich").asc_nulls_last(), F.col("sic").asc_nulls_last()])
     out = out.join(codes, ["gvkey", "filing_year"], "left").join(last_known(monthly), "permno", "left")
     out = links.range_lookup(out, industry_code(o.sic_source), links.dense_ranges(industries, "low", "high", "industry", "line"), "industry", 49)
     return out.select(

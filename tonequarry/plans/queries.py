@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tonequarry.functions import columns as C
-from tonequarry.functions.text import clean_text, extract_section
+from tonequarry.functions.text import clean_text
 from tonequarry.operators import eventtime, links, regress, rows, stats, tone
 from tonequarry.plans import pipeline
 from tonequarry.plans.standins import frame, sql
@@ -16,14 +16,23 @@ from tonequarry.sources import readers, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-Tables = Callable[[str], DataFrame]
+
+
+class Tables:
+    """The test tables and stand-ins of one folder, by name."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.folder = spark, sf_dir
+
+    def __call__(self, name: str) -> DataFrame:
+        return frame(self.spark, self.folder, name)
 
 
 def query(name: str, statement: str | None = None) -> Callable:
     """Registers a function of ``t(name) -> DataFrame`` and its statement."""
 
     def add(make: Callable[[Tables], DataFrame]) -> Callable:
-        QUERIES[name] = lambda spark, sf_dir: make(lambda n: frame(spark, sf_dir, n))
+        QUERIES[name] = lambda spark, sf_dir: make(Tables(spark, sf_dir))
         if statement is not None:
             ORACLES[name] = sql(statement)
         return make
@@ -342,10 +351,10 @@ def _(t: Tables) -> DataFrame:
     return t("filings").join(pipeline.last_known(t("monthly")), "permno", "left").select("accession", "static_siccd")
 
 
-@query("JN18_outer_counts", "SELECT coalesce(a.lang, b.lang) AS lang, coalesce(a.n, 0) AS mine, coalesce(b.n, 0) AS theirs, coalesce(a.n, 0) - coalesce(b.n, 0) AS diff FROM (SELECT lang, count(*) AS n FROM documents WHERE n_chars > 20000 GROUP BY 1) a FULL JOIN (SELECT lang, count(*) AS n FROM documents WHERE doc_id % 3 = 0 GROUP BY 1) b ON a.lang = b.lang")
+@query("JN18_outer_counts", "SELECT coalesce(a.lang, b.lang) AS lang, coalesce(a.n, 0) AS mine, coalesce(b.n, 0) AS theirs, coalesce(a.n, 0) - coalesce(b.n, 0) AS diff FROM (SELECT lang, count(*) AS n FROM documents WHERE n_chars > 20000 GROUP BY 1) a FULL JOIN (SELECT lang, count(*) AS n FROM documents GROUP BY 1) b ON a.lang = b.lang")
 def _(t: Tables) -> DataFrame:
     d = t("documents")
-    return rows.breakdown(d.where("n_chars > 20000"), d.where("doc_id % 3 = 0"), "lang")
+    return rows.breakdown(d.where("n_chars > 20000"), d, "lang")
 
 
 # --- aggregates ------------------------------------------------------------------------------------------------------
@@ -475,10 +484,10 @@ def _(t: Tables) -> DataFrame:
     "SET1_coverage",
     """SELECT count(a) AS n_mine, count(b) AS n_theirs, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS n_both, count(*) FILTER (b IS NULL) AS only_mine, count(*) FILTER (a IS NULL) AS only_theirs,
        round(100.0 * count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) / count(b), 6) AS recall_pct
-       FROM (SELECT DISTINCT o_orderkey AS a FROM orders WHERE o_orderkey % 3 = 0) x FULL JOIN (SELECT DISTINCT doc_id AS b FROM documents) y ON a = b""",
+       FROM (SELECT DISTINCT o_orderkey AS a FROM orders) x FULL JOIN (SELECT DISTINCT doc_id AS b FROM documents) y ON a = b""",
 )
 def _(t: Tables) -> DataFrame:
-    return rows.coverage(t("orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("k")), t("documents").select(F.col("doc_id").alias("k")), "k")
+    return rows.coverage(t("orders").select(F.col("o_orderkey").alias("k")), t("documents").select(F.col("doc_id").alias("k")), "k")
 
 
 @query("SET2_union_all", "SELECT o_custkey AS k FROM orders UNION ALL SELECT c_custkey FROM customer")
@@ -517,16 +526,15 @@ def _(t: Tables) -> DataFrame:
 #: DuckDB's word boundaries know ASCII letters only, so others become a letter that ends no token.
 TOKENS = r"regexp_extract_all(regexp_replace(upper(replace(text, 'ß', 'ss')), '[^\x00-\x7F\p{P}\p{S}\p{Z}\p{C}]', '_', 'g'), '\b[A-Z][A-Z\-]+\b')"
 EACH = f"SELECT doc_id, unnest({TOKENS}) AS word FROM documents"
-WORDS = f"SELECT word, length(word) % 7 = 0 AS neg, length(word) % 5 = 0 AS pos FROM ({EACH}) GROUP BY word HAVING count(DISTINCT doc_id) >= 3"
+WORDS = f"SELECT DISTINCT word, length(word) % 7 = 0 AS neg, length(word) % 5 = 0 AS pos FROM (SELECT unnest({TOKENS}) AS word FROM benchmark)"
 TERMS = "SELECT e.doc_id, e.word, count(*) AS tf, any_value(w.neg) AS neg, any_value(w.pos) AS pos FROM e JOIN w ON w.word = e.word GROUP BY e.doc_id, e.word"
 COUNTS = "SELECT d.doc_id, coalesce(sum(tf), 0) AS n_words, coalesce(sum(tf) FILTER (neg), 0) AS n_neg, coalesce(sum(tf) FILTER (pos), 0) AS n_pos FROM documents d LEFT JOIN terms t ON t.doc_id = d.doc_id GROUP BY d.doc_id"
 HEAD = f"WITH e AS ({EACH}), w AS ({WORDS}), terms AS ({TERMS}), counts AS ({COUNTS})"
 
 
-def derived_words(docs: DataFrame) -> DataFrame:
-    """A dictionary from the texts themselves, flagged by the length of words."""
-    each = docs.select("doc_id", F.explode(tone.tokens(F.upper("text"))).alias("word")).distinct()
-    known = each.groupBy("word").agg(F.count("*").alias("df")).where("df >= 3")
+def word_list(t: Tables) -> DataFrame:
+    """A dictionary: the words of the benchmark's texts, flagged by their length."""
+    known = t("benchmark").select(F.explode(tone.tokens(F.upper("text"))).alias("word")).distinct()
     return known.select("word", (F.length("word") % 7 == 0).alias("neg"), (F.length("word") % 5 == 0).alias("pos"))
 
 
@@ -538,25 +546,25 @@ def _(t: Tables) -> DataFrame:
 
 @query("TXT5_dictionary", f"SELECT word, neg, pos FROM ({WORDS})")
 def _(t: Tables) -> DataFrame:
-    return derived_words(t("documents"))
+    return word_list(t)
 
 
 @query("TXT4_term_frequency", f"{HEAD} SELECT doc_id, word, tf FROM terms WHERE neg")
 def _(t: Tables) -> DataFrame:
     d = t("documents")
-    return tone.term_counts(d, derived_words(d)).where("neg").select("doc_id", "word", "tf")
+    return tone.term_counts(d, word_list(t)).where("neg").select("doc_id", "word", "tf")
 
 
 @query("SCR1_proportional_tone", f"{HEAD} SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_neg AS BIGINT) AS n_neg, CAST(n_pos AS BIGINT) AS n_pos, round(CASE WHEN n_words > 0 THEN 100.0 * n_neg / n_words END, 6) AS neg_pct, round(CASE WHEN n_words > 0 THEN 100.0 * n_pos / n_words END, 6) AS pos_pct FROM counts")
 def scr1(t: Tables) -> DataFrame:
     d = t("documents")
-    return rounded(tone.proportional(tone.word_counts(d, derived_words(d))))
+    return rounded(tone.proportional(tone.word_counts(d, word_list(t))))
 
 
 @query("AGG17_document_frequency", f"{HEAD} SELECT word, count(*) AS df FROM terms WHERE neg GROUP BY word")
 def _(t: Tables) -> DataFrame:
     d = t("documents")
-    return tone.document_frequency(tone.term_counts(d, derived_words(d)).where("neg"))
+    return tone.document_frequency(tone.term_counts(d, word_list(t)).where("neg"))
 
 
 @query(
@@ -566,7 +574,7 @@ def _(t: Tables) -> DataFrame:
 )
 def _(t: Tables) -> DataFrame:
     d = t("documents")
-    words = derived_words(d)
+    words = word_list(t)
     return rounded(tone.tfidf(tone.term_counts(d, words).where("neg"), tone.word_counts(d, words)))
 
 
@@ -604,7 +612,7 @@ def _(t: Tables) -> DataFrame:
 # --- event time ------------------------------------------------------------------------------------------------------
 
 DAYS = "SELECT *, CAST(row_number() OVER (PARTITION BY permno ORDER BY date) AS INT) AS td FROM {daily}"
-EVENTS = "SELECT f.accession, f.permno, f.date_filed, coalesce(b.td, 0) AS before FROM (SELECT * FROM {filings} WHERE permno IS NOT NULL) f ASOF LEFT JOIN days b ON b.permno = f.permno AND b.date < f.date_filed"
+EVENTS = "SELECT f.accession, f.permno, f.date_filed, coalesce(b.td, 0) AS before FROM (SELECT accession, permno, date_filed FROM {filings} WHERE permno IS NOT NULL) f ASOF LEFT JOIN days b ON b.permno = f.permno AND b.date < f.date_filed"
 SPAN = "SELECT e.accession, e.before, d.td - e.before - 1 AS off, d.* FROM ev e JOIN days d ON d.permno = e.permno AND d.td BETWEEN e.before + 1 - 257 AND e.before + 1 + 255"
 TIME = f"WITH days AS ({DAYS}), ev AS ({EVENTS}), span AS ({SPAN})"
 
@@ -620,12 +628,12 @@ def _(t: Tables) -> DataFrame:
     return eventtime.gap_filter(t("filings")).select("accession")
 
 
-@query(
-    "WIN2_WIN5_event_checks",
-    f"""{TIME}, a AS (SELECT accession, count(*) FILTER (off BETWEEN 0 AND 3 AND vol >= 0) = 4 AS ev_ok, count(*) FILTER (off BETWEEN -257 AND -6 AND vol >= 0) AS pre,
-        count(*) FILTER (off BETWEEN 4 AND 255 AND vol >= 0) AS post, max(abs(prc)) FILTER (off = -1) AS price_before FROM span GROUP BY accession)
-        SELECT ev.accession, coalesce(ev_ok, false) AS ev_ok, coalesce(ev_ok AND before >= 65 AND pre >= 60 AND post >= 60, false) AS pre_post_ok, price_before FROM ev LEFT JOIN a ON a.accession = ev.accession""",
-)
+CHECKS = """SELECT accession, count(*) FILTER (off BETWEEN 0 AND 3 AND vol >= 0) = 4 AS ev_ok, count(*) FILTER (off BETWEEN -257 AND -6 AND vol >= 0) AS pre,
+    count(*) FILTER (off BETWEEN 4 AND 255 AND vol >= 0) AS post, max(abs(prc)) FILTER (off = -1) AS price_before FROM span GROUP BY accession"""
+CHECKED = "SELECT ev.accession, coalesce(ev_ok, false) AS ev_ok, coalesce(ev_ok AND before >= 65 AND pre >= 60 AND post >= 60, false) AS pre_post_ok, price_before FROM ev LEFT JOIN ck ON ck.accession = ev.accession"
+
+
+@query("WIN2_WIN5_event_checks", f"{TIME}, ck AS ({CHECKS}) {CHECKED}")
 def _(t: Tables) -> DataFrame:
     days = eventtime.trading_days(t("daily"))
     return eventtime.checks(eventtime.event_days(t("filings"), days), days)
@@ -649,20 +657,20 @@ _IN = "FILTER (off BETWEEN -257 AND -6)"
 _PART = "FILTER (off <= -6 AND off >= CASE WHEN before >= 257 THEN -252 ELSE -257 END)"
 
 
-@query(
-    "WIN6_WIN9_event_variables",
-    f"""{TIME}, a AS (SELECT accession, before, count(*) FILTER (off BETWEEN 0 AND 3) AS n4,
+MOMENTS = f"""SELECT accession, before, count(*) FILTER (off BETWEEN 0 AND 3) AS n4,
         {" * ".join(f"max(1 + ret) FILTER (off = {o})" for o in range(4))} AS grown, {" * ".join(f"max(1 + vwretd) FILTER (off = {o})" for o in range(4))} AS market,
         max(abs(prc)) FILTER (off = -1) * max(shrout) FILTER (off = -1) / 1000 AS size_b, count(*) {_PART} AS ns, max(shrout) FILTER (off = -1) AS shares,
         sum(CASE WHEN exchcd = 3 AND date <= DATE '2001-12-31' THEN vol / 2 ELSE vol END) {_PART} AS volume, count(*) {_IN} AS nc,
         avg(ret - rf) {_IN} AS y, avg(mktrf) {_IN} AS mm, avg(smb) {_IN} AS ms, avg(hml) {_IN} AS mh,
         covar_pop(mktrf, ret - rf) {_IN} AS ym, covar_pop(smb, ret - rf) {_IN} AS ys, covar_pop(hml, ret - rf) {_IN} AS yh,
         covar_pop(mktrf, mktrf) {_IN} AS cmm, covar_pop(mktrf, smb) {_IN} AS cms, covar_pop(mktrf, hml) {_IN} AS cmh, covar_pop(smb, smb) {_IN} AS css, covar_pop(smb, hml) {_IN} AS csh, covar_pop(hml, hml) {_IN} AS chh
-        FROM span GROUP BY accession, before)
-        SELECT ev.accession, round(CASE WHEN n4 = 4 THEN (grown - market) * 100 END, 6) AS excret, round(CASE WHEN n4 = 4 THEN size_b END, 9) AS size_b,
+        FROM span GROUP BY accession, before"""
+VARIABLES = f"""SELECT ev.accession, round(CASE WHEN n4 = 4 THEN (grown - market) * 100 END, 6) AS excret, round(CASE WHEN n4 = 4 THEN size_b END, 9) AS size_b,
         round(CASE WHEN n4 = 4 AND ev.before >= 60 AND ns >= 60 AND shares > 0 THEN volume / (shares * 1000000) END, 9) AS turnover,
-        round(CASE WHEN n4 = 4 AND ev.before >= 60 AND nc >= 60 THEN {_alpha()} END, 4) AS alpha FROM ev LEFT JOIN a ON a.accession = ev.accession""",
-)
+        round(CASE WHEN n4 = 4 AND ev.before >= 60 AND nc >= 60 THEN {_alpha()} END, 4) AS alpha FROM ev LEFT JOIN mo ON mo.accession = ev.accession"""
+
+
+@query("WIN6_WIN9_event_variables", f"{TIME}, mo AS ({MOMENTS}) {VARIABLES}")
 def _(t: Tables) -> DataFrame:
     days = eventtime.trading_days(t("daily"))
     out = eventtime.variables(eventtime.event_days(t("filings"), days), days)
@@ -688,20 +696,6 @@ def _(t: Tables) -> DataFrame:
 # --- funnel ----------------------------------------------------------------------------------------------------------
 
 
-def funnel_parts(t: Tables) -> tuple:
-    o = pipeline.Options(least_words=500, share_codes=(10, 11, 12), least_price=900.0)
-    kept = pipeline.survivors(t("filings").select("accession", "cik", "date_filed", "form_type"), o)
-    words = t("orders").select(F.col("o_orderkey").alias("accession"), (F.col("o_orderkey") % 3 != 0).alias("ok"), (F.col("o_orderkey") % 2000).alias("n_words"))
-    flags = pipeline.flagged(kept[2], t("fundamentals"), t("history"), t("monthly"), t("daily"), words, o)
-    return kept, flags, o
-
-
-@query("FUN_sample_funnel")
-def _(t: Tables) -> DataFrame:
-    kept, flags, _ = funnel_parts(t)
-    return pipeline.funnel_report(t("filings"), kept, flags)
-
-
 @query(
     "FUN1_FUN3_first_filters",
     """WITH a AS (SELECT * FROM {filings} WHERE form_type IN ('10-K', '10-K405')), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cik, filing_year ORDER BY date_filed, accession) AS k FROM a) WHERE k = 1),
@@ -730,17 +724,6 @@ def _(t: Tables) -> DataFrame:
 # --- regressions -----------------------------------------------------------------------------------------------------
 
 
-def panel_of(t: Tables) -> DataFrame:
-    """Filings with an outcome, a main variable, controls and an industry, all from the event variables."""
-    days = eventtime.trading_days(t("daily"))
-    found = eventtime.variables(eventtime.event_days(t("filings"), days), days)
-    base = t("filings").select("accession", "permno", "date_filed", (F.col("cik") % 12).alias("industry"), F.round((F.col("accession") * 37 % 101) / 101.0, 6).alias("tone"))
-    return base.join(found, "accession").withColumn("nasdaq", (F.col("permno") % 4 == 3).cast("int")).withColumn("log_size", C.log_floor(F.col("size_b"), 1e-6)).withColumn("log_turnover", C.log_floor(F.col("turnover"), 1e-9))
-
-
-CELL = {"full": ("excret", "tone")}
-
-
 @query(
     "REG4_newey_west",
     """WITH q AS (SELECT CAST(date_trunc('quarter', o_orderdate) AS DATE) AS quarter, o_orderpriority AS g, avg(o_totalprice) AS beta, count(*) AS n FROM orders GROUP BY 1, 2),
@@ -754,27 +737,6 @@ def _(t: Tables) -> DataFrame:
     return rounded(regress.newey_west(q, ["g"]).select("g", "n", "n_quarters", "coef", "se"), 4)
 
 
-@query(
-    "REG2_cross_sections",
-    f"""{TIME}, a AS (SELECT accession, count(*) FILTER (off BETWEEN 0 AND 3) AS n4, {" * ".join(f"max(1 + ret) FILTER (off = {o})" for o in range(4))} AS grown, {" * ".join(f"max(1 + vwretd) FILTER (off = {o})" for o in range(4))} AS market FROM span GROUP BY accession),
-        p AS (SELECT f.date_filed, (a.grown - a.market) * 100 AS excret, round((f.accession * 37 % 101) / 101.0, 6) AS tone FROM {{filings}} f JOIN a ON a.accession = f.accession WHERE n4 = 4 AND f.permno IS NOT NULL)
-        SELECT CAST(date_trunc('quarter', date_filed) AS DATE) AS quarter, count(*) AS n, round(regr_slope(excret, tone), 5) AS beta FROM p GROUP BY 1 HAVING count(*) >= 30""",
-)
-def _(t: Tables) -> DataFrame:
-    one = [regress.Setting("J", winsor="none", industries=False)]
-    return rounded(regress.quarterly_fits(panel_of(t), CELL, [], one).select("quarter", "n", "beta"), 5)
-
-
-@query("REG7_fama_macbeth")
-def _(t: Tables) -> DataFrame:
-    return rounded(regress.fama_macbeth(panel_of(t), CELL, ["log_size", "log_turnover", "nasdaq"], [regress.Setting("A")], both=True))
-
-
-@query("REG10_variant_grid")
-def _(t: Tables) -> DataFrame:
-    return rounded(regress.fama_macbeth(panel_of(t), {"full": ("excret", "tone"), "alpha": ("alpha", "tone")}, ["log_size", "nasdaq"], both=True))
-
-
 # --- cleaning, sections, checks --------------------------------------------------------------------------------------
 
 def raw_filing() -> Column:
@@ -787,24 +749,6 @@ def _(t: Tables) -> DataFrame:
     return t("documents").select("doc_id", F.md5(clean_text(raw_filing())).alias("digest"))
 
 
-@query("TXT2_section", r"""SELECT doc_id, CASE WHEN len(regexp_extract_all(text, '\S+')) + 4 BETWEEN 250 AND 100000 THEN 'ok_t1_10k_item7' ELSE 'no_match' END AS status FROM documents""")
-def _(t: Tables) -> DataFrame:
-    text = F.concat(F.lit("ITEM 7. MANAGEMENT'S DISCUSSION "), F.upper("text"), F.lit(" ITEM 8. FINANCIAL STATEMENTS"))
-    return t("documents").select("doc_id", extract_section(text, F.lit("10-K"))["status"].alias("status"))
-
-
-@query("TXT8_byte_length", "SELECT doc_id, octet_length(encode(text)) AS n FROM documents")
-def _(t: Tables) -> DataFrame:
-    return t("documents").select("doc_id", F.octet_length("text").cast("long").alias("n"))
-
-
-@query("SCR2_section_tone", f"{HEAD} SELECT c.doc_id, round(CASE WHEN d.n_chars >= 2000 AND c.n_words > 0 THEN 100.0 * c.n_neg / c.n_words END, 6) AS neg_pct FROM counts c JOIN documents d ON d.doc_id = c.doc_id")
-def _(t: Tables) -> DataFrame:
-    d = t("documents")
-    scored = tone.proportional(tone.word_counts(d, derived_words(d))).join(d.select("doc_id", "n_chars"), "doc_id")
-    return rounded(scored.select("doc_id", F.when(F.col("n_chars") >= 2000, F.col("neg_pct")).alias("neg_pct")))
-
-
 @query("JN20_probe", "SELECT o.o_orderkey, d.n_chars FROM orders o JOIN documents d ON d.doc_id = o.o_orderkey")
 def _(t: Tables) -> DataFrame:
     return t("orders").join(t("documents"), F.col("o_orderkey") == F.col("doc_id")).select("o_orderkey", "n_chars")
@@ -819,9 +763,9 @@ def _(t: Tables) -> DataFrame:
     return rows.coverage(t("filings").where("form_type = '10-K'").select(F.col("accession").alias("k")), t("labels").select(F.col("doc_id").alias("k")), "k")
 
 
-@query("VAL2_family_breakdown", "SELECT coalesce(a.f, b.f) AS form_type, coalesce(a.n, 0) AS mine, coalesce(b.n, 0) AS theirs, coalesce(a.n, 0) - coalesce(b.n, 0) AS diff FROM (SELECT form_type AS f, count(*) AS n FROM {filings} WHERE permno < 50 GROUP BY 1) a FULL JOIN (SELECT form_type AS f, count(*) AS n FROM {filings} WHERE form_type <> '10-K' GROUP BY 1) b ON a.f = b.f")
+@query("VAL2_family_breakdown", "SELECT coalesce(a.f, b.f) AS form_type, coalesce(a.n, 0) AS mine, coalesce(b.n, 0) AS theirs, coalesce(a.n, 0) - coalesce(b.n, 0) AS diff FROM (SELECT form_type AS f, count(*) AS n FROM {filings} WHERE permno IS NOT NULL GROUP BY 1) a FULL JOIN (SELECT form_type AS f, count(*) AS n FROM {filings} WHERE form_type <> '10-K' GROUP BY 1) b ON a.f = b.f")
 def _(t: Tables) -> DataFrame:
-    return rows.breakdown(t("filings").where("permno < 50"), t("filings").where("form_type <> '10-K'"), "form_type")
+    return rows.breakdown(t("filings").where("permno IS NOT NULL"), t("filings").where("form_type <> '10-K'"), "form_type")
 
 
 @query("VAL3_size_check", "SELECT count(*) AS n, count(*) FILTER (r BETWEEN 0.95 AND 1.05) AS good, count(*) FILTER (r < 0.5) AS low, count(*) FILTER (r > 1.5) AS high, round(median(r), 6) AS median, round(avg(r), 6) AS mean FROM (SELECT octet_length(encode(text)) / n_chars AS r FROM documents WHERE n_chars > 0)")
@@ -843,4 +787,7 @@ def _(t: Tables) -> DataFrame:
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tone of the documents: tokens, dictionary, counts, proportional scores."""
-    return scr1(lambda n: frame(spark, sf_dir, n))
+    return scr1(Tables(spark, sf_dir))
+
+
+from tonequarry.plans import studies  # noqa: E402, F401  registers the composite queries

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tonequarry.functions.columns import accession_of, finite, label
-from tonequarry.functions.text import try_clean
+from tonequarry.functions.text import clean_text, opened
 
 # Form types and their families.
 FAMILIES = {"10-K": "10K", "10-K405": "10K", "10-KSB": "10K", "10-K/A": "10KA", "10-K405/A": "10KA", "10-KSB/A": "10KA", "10-KT": "10KT", "10-KT/A": "10KT"}
@@ -59,13 +59,8 @@ def quarters(spark: SparkSession, first: int, last: int) -> DataFrame:
 def filings(spark: SparkSession, path: str) -> DataFrame:
     """``(path, length, clean, ok, error)`` of compressed filings, one row per file; a bad file is a row with an error."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt.gz").load(path)
-    return files.select("path", "content").withColumn("x", try_clean("content")).select("path", "x.clean", "x.ok", "x.error")
-
-
-def raw_size(content: bytes) -> int:
-    import gzip
-
-    return len(gzip.decompress(content))
+    found = files.select("path", opened("content").alias("x"))
+    return found.select("path", "x.length", F.when(F.col("x.ok"), clean_text(F.col("x.raw"))).alias("clean"), "x.ok", "x.error")
 
 
 def range_lines(lines: Sequence[str]) -> list[tuple[int, int, int, str, int]]:
