@@ -556,7 +556,7 @@ def test_windows_end_at_boundaries(documents):
     coder = bpe.bpe(VOCABULARY)
     ends = packing.sentence_ends(coder.tokens)
     own = {i: np.append(np.frombuffer(coder.encode(t or ""), "u4"), np.uint32(2)) for i, t in zip(documents.doc_id, documents.text, strict=True)}
-    packer, rows = packing.Packer(ends, 0), []
+    packer, rows = packing.Packer(ends, 0, 4096, 1 << 16), []
     for i, ids in own.items():
         rows += packer.add(i, ids)
     sequences = max(r[5] for r in rows)

@@ -9,7 +9,7 @@ buckets are dealt to blocks of bounded size.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,9 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonequarry.llm.common import saved
+from tonequarry.llm.common import saved, tidy
 
-TABLES, PROBES, ROUNDS, SEED = 8, 16, 3, 20
+TABLES, PROBES, ROUNDS, SEED = 16, 4, 3, 20
 #: Entries of a bucket and queries that meet in one group, at most on average.
 ENTRIES, QUERIES = 8192, 2048
 #: Every entry whose product is so near to the last one kept is scored, as ties go by id and the product's last digits
@@ -56,9 +56,10 @@ def axes(x: np.ndarray, table: int, probes: int) -> np.ndarray:
     return np.argsort(-both, axis=1, kind="stable")[:, :probes]
 
 
-def matrix(column: pa.Array) -> np.ndarray:
-    """Equally long vectors, stored as doubles' bytes, as rows."""
-    return np.stack([np.frombuffer(v, "f8") for v in column.to_pylist()]) if len(column) else np.zeros((0, 1))
+def matrix(column: Iterable[bytes], kind: str) -> np.ndarray:
+    """Equally long vectors, stored as the bytes of ``kind`` (f4 or f8), as rows of doubles."""
+    rows = [np.frombuffer(v, kind) for v in column]
+    return np.stack(rows).astype("f8") if rows else np.zeros((0, 1))
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -77,7 +78,7 @@ def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
 ENTRY = "tab int, code int, id long, vector binary"
 
 
-def hashed(entries: DataFrame, tables: int, probes: int) -> DataFrame:
+def hashed(entries: DataFrame, tables: int, probes: int, kind: str) -> DataFrame:
     """``entries(id, vector binary)`` once for each table and probed axis."""
     names = [x.split()[0] for x in ENTRY.split(", ")]
 
@@ -85,16 +86,16 @@ def hashed(entries: DataFrame, tables: int, probes: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                x = unit(matrix(part.column(1)))
+                x = unit(matrix(part.column(1).to_pylist(), kind))
                 for t in range(tables):
                     codes = axes(x, t, probes)
                     rows = pa.array(np.repeat(np.arange(len(x)), codes.shape[1]))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), t, "i4")), pa.array(codes.reshape(-1).astype("i4")), part.column(0).take(rows), part.column(1).take(rows)], names)
 
-    return entries.select("id", "vector").mapInArrow(run, ENTRY)
+    return entries.select("id", "vector").mapInArrow(tidy(run), ENTRY)
 
 
-def _probed(index: DataFrame, asked: DataFrame, keep: int) -> DataFrame:
+def _probed(index: DataFrame, asked: DataFrame, keep: int, kind: str) -> DataFrame:
     """``(query, id, score)``: of each group of a bucket's block and a block of queries, each query's nearest entries."""
     sizes = {(r["tab"], r["code"]): r["count"] for r in index.groupBy("tab", "code").count().collect()}  # at most tables x 2 x width
     wants = {(r["tab"], r["code"]): r["count"] for r in asked.groupBy("tab", "code").count().collect()}
@@ -108,7 +109,7 @@ def _probed(index: DataFrame, asked: DataFrame, keep: int) -> DataFrame:
     def run(entries: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(entries) or not len(queries):
             return pd.DataFrame({"query": np.zeros(0, "i8"), "id": np.zeros(0, "i8"), "score": np.zeros(0)})
-        v, q = (np.stack([np.frombuffer(b, "f8") for b in f["vector"]]) for f in (entries, queries))
+        v, q = (matrix(f["vector"], kind) for f in (entries, queries))
         near = unit(q) @ unit(v).T
         least = np.partition(near, -keep, axis=1)[:, -keep] - SLACK if keep < len(v) else np.full(len(q), -np.inf)
         most = np.cumsum((near >= least[:, None]).sum(1)) // PAIRS
@@ -137,12 +138,14 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, tables: int = TABLE
     rows = saved(usable(vectors, id_column, vector_column).distinct())
     # Of equal vectors the k + 1 smallest ids may be among a query's nearest.
     first = rows.withColumn("n", F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))).where(F.col("n") <= k + 1)
-    packed = F.udf(lambda v: np.array(v, "f8").tobytes(), "binary", useArrow=True)
+    # Floats travel as such: they are the same numbers in half the bytes.
+    kind = "f4" if vectors.schema[vector_column].dataType.simpleString() == "array<float>" else "f8"
+    packed = F.udf(lambda v: np.array(v, kind).tobytes(), "binary", useArrow=True)
     classes = saved(first.groupBy("vector").agg(F.min("vec_id").alias("id"), F.sort_array(F.collect_list("vec_id")).alias("ids")).select("id", "ids", packed("vector").alias("packed"), "vector"))
     entries = classes.select("id", F.col("packed").alias("vector"))
     queries = saved(rows.where(F.pmod("vec_id", F.lit(every)) == 0).join(classes.select("id", F.col("vector")), "vector").select(F.col("vec_id").alias("query_id"), "id"))
     asked = saved(entries.join(queries.select("id").distinct(), "id"))
-    found = _probed(hashed(entries, tables, 1), hashed(asked, tables, probes), k + 1)
+    found = _probed(hashed(entries, tables, 1, kind), hashed(asked, tables, probes, kind), k + 1, kind)
 
     def ranked(found: DataFrame) -> DataFrame:
         top = found.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("n") <= k + 1)
@@ -157,6 +160,6 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, tables: int = TABLE
     lacking = saved(queries.join(complete, "query_id", "left_anti"))
     if expected > 0 and not lacking.isEmpty():
         again = asked.join(lacking.select("id").distinct(), "id", "left_semi")
-        exact = ranked(_probed(hashed(entries, 1, 1), hashed(again, 1, 1 << 30), k + 1))
+        exact = ranked(_probed(hashed(entries, 1, 1, kind), hashed(again, 1, 1 << 30, kind), k + 1, kind))
         out = out.join(lacking, "query_id", "left_anti").unionByName(exact.join(lacking, "query_id", "left_semi"))
     return out
