@@ -140,7 +140,7 @@ def test_sections():
     near = "ITEM 7. MANAGEMENT'S DISCUSSION " + words + "ITEM 8. ITEM 8. FINANCIAL STATEMENTS"
     assert T.section(near, "10-K")[0].endswith("WORD")
     began = time.time()
-    assert T.section("MANAGEMENT'S DISCUSSION ITEM 8. FINANCIAL STATEMENTS\n" * 5000, "10-K")[1] == "ok_t3_bare"
+    assert T.section("MANAGEMENT'S DISCUSSION ITEM 8. FINANCIAL STATEMENTS\n" * 5000, "10-K")[1] == "no_match"
     assert time.time() - began < 20
 
 

@@ -57,12 +57,15 @@ def _(t: Tables) -> DataFrame:
     return pipeline.funnel_report(t("filings"), kept, flags)
 
 
+#: The event variables with turnover and size as they are, for logarithms.
+EXACT = VARIABLES.replace("round(CASE WHEN n4 = 4 AND ev.before >= 60 AND ns >= 60 AND shares > 0 THEN volume / (shares * 1000000) END, 9)", "CASE WHEN n4 = 4 AND ev.before >= 60 AND ns >= 60 AND shares > 0 THEN volume / (shares * 1000000) END").replace("round(CASE WHEN n4 = 4 THEN size_b END, 9)", "CASE WHEN n4 = 4 THEN size_b END")
+
 # --- panel -----------------------------------------------------------------------------------------------------------
 
 
 @query(
     "PANEL_analysis",
-    f"""{TIME}, mo AS ({MOMENTS}), v AS ({VARIABLES}), d AS ({DENSE}), st AS (SELECT permno, max_by(siccd, yrmon) AS s FROM {{monthly}} WHERE siccd IS NOT NULL AND yrmon <= DATE '2008-12-31' GROUP BY permno),
+    f"""{TIME}, mo AS ({MOMENTS}), v AS ({EXACT}), d AS ({DENSE}), st AS (SELECT permno, max_by(siccd, yrmon) AS s FROM {{monthly}} WHERE siccd IS NOT NULL AND yrmon <= DATE '2008-12-31' GROUP BY permno),
         s AS (SELECT f.accession, f.cik, f.permno, u.gvkey, f.date_filed, u.bm, u.sic, u.sich, m.exchcd, m.siccd FROM {{filings}} f JOIN {{fundamentals}} u ON u.cik = f.cik AND u.fyear = f.filing_year - 1
               LEFT JOIN {{monthly}} m ON m.permno = f.permno AND m.yrmon = CAST(date_trunc('month', f.date_filed) AS DATE))
         SELECT s.accession, s.cik, s.permno, s.gvkey, s.date_filed, CAST(coalesce(d.industry, 49) AS INT) AS industry, v.excret, v.alpha, o.inst_own, round(100.0 * (s.accession % 13) / 200, 6) AS neg_pct,
