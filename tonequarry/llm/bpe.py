@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
-from tonequarry.llm.common import narrow_batches
+from tonequarry.llm.common import narrow_batches, tidy
 
 #: Entries that each cache of a worker may hold; a full cache starts anew.
 CACHE_ENTRIES = 400_000
@@ -50,11 +50,9 @@ def latin_pattern() -> re.Pattern:
 
 
 @functools.cache
-def unassigned() -> re.Pattern:
-    """Finds code points that this Python's tables don't know; the library's tables may be of another version."""
-    none = [unicodedata.category(chr(i)) == "Cn" for i in range(0x110000)]
-    edges = [i for i in range(1, 0x110000) if none[i] != none[i - 1]] + [0x110000]
-    return re.compile("[" + "".join(f"{chr(a)}-{chr(b - 1)}" for a, b in zip(edges[::2], edges[1::2], strict=False)) + "]")
+def unassigned(letter: str) -> bool:
+    """Whether this Python's tables don't know a code point; the library's tables may be of another version."""
+    return unicodedata.category(letter) == "Cn"
 
 
 class _Memo(dict):
@@ -136,7 +134,7 @@ class Bpe:
 
     def _plain(self, text: str) -> bytes:
         if not text.isascii():
-            if unassigned().search(text):
+            if any(map(unassigned, set(BEYOND_LATIN.findall(text)))):
                 pieces = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
                 return b"".join([self._mapped(p) for p, _ in pieces])
             if not unicodedata.is_normalized("NFC", text):
@@ -176,7 +174,7 @@ def encode_documents(docs: DataFrame, path: str, id_column: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     narrow = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].alias("text"))
-    return narrow_batches(narrow).mapInArrow(run, "doc_id long, ids array<int>")
+    return narrow_batches(narrow).mapInArrow(tidy(run), "doc_id long, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
@@ -187,7 +185,7 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
             texts = [bpe(path).decode(ids or []) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(run), "doc_id long, text string")
 
 
 def digests(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -211,4 +209,4 @@ def digests(docs: DataFrame, path: str, id_column: str = "doc_id", text_column:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     narrow = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].alias("text"))
-    return narrow_batches(narrow).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return narrow_batches(narrow).mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
