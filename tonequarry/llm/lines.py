@@ -609,7 +609,7 @@ def repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str
     pairs = saved(candidates(postings(classes, spread, frequent, parts), parts, False))
     release(spark)
     lines = line_texts(pairs, texts)
-    best = F.max(F.struct("keys", (-F.col("to_doc")).alias("d"), "to_doc", "to_line")).alias("x")
+    best = F.max(F.struct("keys", F.bitwise_not("to_doc").alias("d"), "to_doc", "to_line")).alias("x")
     nearest = saved(pairs.groupBy(*names).agg(best, F.max("more").alias("more")).select(*names, "x.to_doc", "x.to_line", "more"))
     gone = saved(similar(nearest, lines))
     others = pairs.join(gone, names, "left_anti").join(nearest, ENDS, "left_anti").select(ENDS)
