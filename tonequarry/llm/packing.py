@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from tonequarry.llm.bpe import bpe
-from tonequarry.llm.common import narrow_batches
+from tonequarry.llm.common import narrow_batches, tidy
 
 SEQUENCE = 4096
 END_ID = 2
@@ -168,4 +168,4 @@ def pack(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str
             yield batch_of(rows)
 
     narrow = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].alias("text"))
-    return narrow_batches(narrow).mapInArrow(run, PIECES)
+    return narrow_batches(narrow).mapInArrow(tidy(run), PIECES)
