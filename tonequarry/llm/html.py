@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tonequarry.llm.common import narrow_batches
+from tonequarry.llm.common import narrow_batches, tidy
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden|itemprop)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]*))?""", re.I)
@@ -264,4 +264,4 @@ def main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "u
             yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
 
     narrow = pages.select(pages[id_column].cast("long").alias("page_id"), pages[url_column].cast("string").alias("url"), pages[html_column].alias("html"))
-    return narrow_batches(narrow).mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return narrow_batches(narrow).mapInArrow(tidy(run), "page_id long, url string, text string, n_chars long")

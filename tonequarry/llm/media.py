@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tonequarry.llm.common import narrow_batches, tidy
+
 #: Bytes of payload that are coded together, and coded units that are handled in one numpy step.
 STEP, UNITS = 1 << 21, 1 << 15
 BLOCK, PER_MCU = 64, 6
@@ -528,7 +530,7 @@ def stored(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.start, len(files)), pa.array([len(x) for x in data[part]], pa.int64()), pa.array(files, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     narrow = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("binary").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return narrow_batches(narrow).mapInArrow(tidy(run), "doc_id long, n_bytes long, media binary")
 
 
 def opened(files: list[bytes]) -> Iterator[tuple[Frame, bytes, np.ndarray]]:
@@ -552,7 +554,7 @@ def rgb(media: DataFrame) -> DataFrame:
                 columns = [pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.int32()), pa.array([x[2] for x in found], pa.binary())]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.start, len(found)), *columns], ["doc_id", "height", "width", "rgb"])
 
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, height int, width int, rgb binary")
+    return media.select("doc_id", "media").mapInArrow(tidy(run), "doc_id long, height int, width int, rgb binary")
 
 
 LEVELS = np.arange(256)
@@ -583,4 +585,4 @@ def digests(media: DataFrame) -> DataFrame:
                 columns = [pa.array(c) for c in zip(*rows, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.start, len(rows)), batch.column(1).slice(part.start, len(rows)), *columns], names)
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, DIGEST)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(tidy(run), DIGEST)

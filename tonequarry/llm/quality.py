@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tonequarry.llm.common import narrow_batches
+from tonequarry.llm.common import narrow_batches, tidy
 
 #: Labelled rows that the model is fitted on, at most, and the preference pairs drawn from them.
 FIT_ROWS, FIT_PAIRS = 20_000, 100_000
@@ -125,7 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
             x = [features(t.as_py() or b"") for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int32()), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
-    rows = narrow_batches(chosen).mapInArrow(run, "doc_id long, y int, x array<double>").toArrow().to_pydict()
+    rows = narrow_batches(chosen).mapInArrow(tidy(run), "doc_id long, y int, x array<double>").toArrow().to_pydict()
     order = np.argsort(rows["doc_id"], kind="stable")
     x = np.array(rows["x"], "f8").reshape(len(order), -1)[order] if len(order) else np.zeros((0, N_FEATURES))
     return fit(x, np.array(rows["y"], "i4")[order] if len(order) else np.zeros(0, "i4"))
@@ -141,7 +141,7 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], ["doc_id", "score"])
 
     narrow = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("binary").alias("text"))
-    return narrow_batches(narrow).mapInArrow(run, "doc_id long, score double")
+    return narrow_batches(narrow).mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

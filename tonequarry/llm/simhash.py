@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonequarry.llm.common import apart, narrow_batches, saved
+from tonequarry.llm.common import apart, narrow_batches, saved, tidy
 from tonequarry.llm.components import components
 
 BITS, TAU, WORDS, SEED = 64, 4, 4, 42
@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(values, "u8").view("i8"))], ["doc_id", "fp"])
 
     narrow = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("binary").alias("text"))
-    return narrow_batches(narrow).mapInArrow(run, "doc_id long, fp long")
+    return narrow_batches(narrow).mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def as_bits(values: np.ndarray) -> np.ndarray:
@@ -170,7 +170,7 @@ def _counted(distinct: DataFrame, of: callable, length: int) -> np.ndarray:
             total += of(batch.column(0).to_numpy(zero_copy_only=False)).reshape(-1)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(length)), pa.array(total)], ["at", "n"])
 
-    counted = distinct.select("fp").mapInArrow(run, "at long, n long").where("n > 0").groupBy("at").agg(F.sum("n").alias("n"))
+    counted = distinct.select("fp").mapInArrow(tidy(run), "at long, n long").where("n > 0").groupBy("at").agg(F.sum("n").alias("n"))
     out = np.zeros(length, "i8")
     for at, n in counted.collect():
         out[at] = n
@@ -228,14 +228,14 @@ def links(distinct: DataFrame, tau: int = TAU) -> DataFrame:
 
         return run
 
-    probing = distinct.select("fp").mapInArrow(probe, "part int, key long, a long")
-    values = distinct.select(F.col("fp").alias("b")).mapInArrow(turn(order), "b long")
+    probing = distinct.select("fp").mapInArrow(tidy(probe), "part int, key long, a long")
+    values = distinct.select(F.col("fp").alias("b")).mapInArrow(tidy(turn(order)), "b long")
     index = values.select(F.explode(F.array(*(F.struct(F.lit(i).alias("part"), F.col("b").bitwiseAND(F.lit(keys_of(*e)).cast("long")).alias("key")) for i, e in enumerate(edges)))).alias("x"), "b")
     index = index.select("x.part", "x.key", "b")
     # One direction is enough: a pair's smaller value probes by its own thresholds and finds the larger one.
     within = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= tau)
     found = probing.join(index.hint("merge"), (probing.part == index.part) & (probing.key == index.key) & within).select("a", "b").distinct()
-    return found.mapInArrow(turn(back.tolist()), "a long, b long")
+    return found.mapInArrow(tidy(turn(back.tolist())), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, tau: int = TAU, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
