@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonequarry.llm import ann, bpe, html, lines, media, packing, quality, secrets, simhash, urls
+from tonequarry.llm import ann, bpe, html, interaction, licenses, lines, media, merkle, packing, quality, secrets, simhash, urls
 from tonequarry.llm.common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -83,9 +83,21 @@ def op10_sql() -> str:
         FROM bare"""
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(licenses.scan(table(spark, sf_dir, "documents")))
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), tampered=True)
+
+
+def op13_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interaction.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_simhash": op2_simhash, "op3_media": op3_media, "op4_lines": op4_lines, "op5_quality": op5_quality, "op6_neighbours": op6_neighbours, "op7_html": op7_html, "op8_packing": op8_packing, "op9_secrets": op9_secrets, "op10_urls": op10_urls}
+    return {"op1_bpe": op1_bpe, "op2_simhash": op2_simhash, "op3_media": op3_media, "op4_lines": op4_lines, "op5_quality": op5_quality, "op6_neighbours": op6_neighbours, "op7_html": op7_html, "op8_packing": op8_packing, "op9_secrets": op9_secrets, "op10_urls": op10_urls, "op11_licenses": op11_licenses, "op12_manifest": op12_manifest, "op13_interaction": op13_interaction}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_urls": op10_sql()}
+    return {"op10_urls": op10_sql(), "op11_licenses": licenses.sql(), "op12_manifest": merkle.sql(), "op13_interaction": interaction.sql()}
