@@ -279,7 +279,7 @@ def test_short_lines_against_force(spark):
 
 def test_lines_in_small_blocks(spark, monkeypatch, by_value):
     """Pairs of tokens as keys, keys dealt to blocks, the second pass, and steps of a few bytes and pairs."""
-    for name, value in {"GROUP": 3, "SPLIT": 4, "PAIRS": 7, "STEP": 50, "TOGETHER": 5, "HASHED": 16, "LONG_WORD": 4}.items():
+    for name, value in {"GROUP": 3, "SPLIT": 4, "PAIRS": 7, "STEP": 50, "TOGETHER": 5, "STRIDE": 7, "SEEN": 9, "LONG_WORD": 2}.items():
         monkeypatch.setattr(lines, name, value)
     rng = random.Random(10)
     texts = ["\n".join(" ".join(rng.choices("a b c d e f g h".split(), k=rng.randrange(7))) for _ in range(3)) for _ in range(30)] + planted_lines()[:90]
@@ -296,6 +296,48 @@ def test_words_and_their_hashes():
     assert lines.words_of(b"a " * 200_000 + b"b")[1][-1] == lines.words_of(b"b")[1][0]
 
 
+def thue_morse(letters):
+    """A word of so many letters and its complement, which collide under polynomials modulo a power of two."""
+    bits = [i.bit_count() & 1 for i in range(letters)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_that_polynomials_confuse(spark):
+    words = [w for n in (64, 1024, 2048, 4096, 8192) for w in thue_morse(n)]
+    assert len(set(lines.words_of(" ".join(words).encode())[1].tolist())) == len(words)
+    texts = [*words, *(f"{w} and four more words" for w in words), words[2]]
+    got = {r.doc_id: r.text for r in lines.dedup_lines(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(10)] == words and got[20] == ""
+    assert [got[i] for i in range(10, 20)] == lines_by_force(texts)[10:20]
+    around = [" ".join(f"q{i}" for i in range(8)) + f" {w} " + " ".join(f"r{i}" for i in range(8)) for w in thue_morse(1024)]
+    assert {r.doc_id for r in shingles.keep_first(docs_of(spark, around)).collect()} == {0, 1}
+
+
+def test_equal_lines_leave_where_they_are_read(spark, monkeypatch):
+    """One row for a class in each task, in any order of ids; the rest are (doc, line) pairs dealt anywhere."""
+    n = 3_000
+    docs = spark.range(n).repartition(4).selectExpr("id AS doc_id", "concat('one common line\nown line of ', id) AS text")
+    texts = docs.select("doc_id", docs.text.cast("binary").alias("text"))
+    spread = spark.sparkContext.broadcast(lines.rarity(texts))
+    sets = lines.token_sets(texts, spread, 4).collect()
+    heads = np.concatenate([np.frombuffer(r.heads, lines.HEAD) for r in sets])
+    again = np.concatenate([np.frombuffer(r.repeats, "i8").reshape(-1, 2) for r in sets])
+    common = heads[heads["size"] == 3]
+    assert len(common) < 100 and len(common) + len(again) == n and len(heads) == n + len(common)
+    got = {r.doc_id: r.text for r in lines.dedup_lines(docs).collect()}
+    assert got == {i: ("one common line\n" if i == 0 else "") + f"own line of {i}" for i in range(n)}
+
+
+@pytest.mark.parametrize("name", ["__slot", "__secret", "__secrets", "__near", "__dedup_lines"])
+def test_columns_of_the_stages_own_names(spark, name):
+    texts = ["one two three four five\nkeep", "one two three four five\nother", "password: hunter22 x", "password: hunter22 x"]
+    docs = docs_of(spark, texts).withColumn(name, F.lit("mine"))
+    for stage in (lines.dedup_lines, shingles.keep_first, secrets.redact):
+        out = stage(docs)
+        assert out.columns == docs.columns
+        assert {r[name] for r in out.collect()} == {"mine"}
+
+
 def test_lines_of_repeated_ids(spark):
     """Rows that repeat as a whole are one document; other texts of an id keep their own lines."""
     same, other = "one two three four five\nsix", "seven eight nine ten\nsix"
@@ -776,7 +818,7 @@ def edited_texts():
 
 
 def test_near_dedup_in_small_blocks(spark, monkeypatch, by_value):
-    for name, value in {"GROUP": 3, "PAIRS": 7, "STEP": 50, "TOGETHER": 5, "HASHED": 16, "LONG_WORD": 4}.items():
+    for name, value in {"GROUP": 3, "PAIRS": 7, "STEP": 50, "TOGETHER": 5, "STRIDE": 7, "SEEN": 9, "LONG_WORD": 2}.items():
         monkeypatch.setattr(lines, name, value)
     texts = edited_texts()
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs_of(spark, texts), SF).select("doc_id").collect()} == kept_by_force(texts)
@@ -832,7 +874,7 @@ def test_pipeline(spark, tmp_path, library):
         elif name == "secret scan":
             assert set(texts) == set(before) and not any(base_spans(t) for t in texts.values())
     assert check_packing(docs.collect(), texts, library, 4096) < 0.05
-    assert len([f for f in queries.queries() if f.startswith("op")]) == 10
+    assert len([f for f in queries.queries() if f.startswith("op")]) == 13
     whole = corpus_pipeline.run(spark, SF)
     assert Counter(r.doc_id for r in whole.select("doc_id").distinct().collect()) == Counter(list(texts))
 

@@ -71,6 +71,14 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return wrapped
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """A column's name that none of the frames has; names differ by more than case."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def saved(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a checkpoint; the session drops it when nothing refers to it, if so configured."""
     shared_folder(df.sparkSession)
@@ -102,9 +110,10 @@ def apart(rows: DataFrame, keys: DataFrame, column: str) -> tuple[DataFrame, Dat
     Keys are hashed to slots; the table of slots has at most ``SLOTS`` rows, whatever the number of keys, and is
     broadcast. Null keys are in no slot.
     """
-    slots = F.broadcast(keys.select(F.pmod(F.xxhash64("key"), F.lit(SLOTS)).alias("__slot")).distinct())
-    slotted = rows.withColumn("__slot", F.pmod(F.xxhash64(F.col(column).cast(keys.schema["key"].dataType)), F.lit(SLOTS)))
-    return tuple(slotted.join(slots, "__slot", how).drop("__slot") for how in ("left_semi", "left_anti"))
+    slot = unused("__slot", rows)
+    slots = F.broadcast(keys.select(F.pmod(F.xxhash64("key"), F.lit(SLOTS)).alias(slot)).distinct())
+    slotted = rows.withColumn(slot, F.pmod(F.xxhash64(F.col(column).cast(keys.schema["key"].dataType)), F.lit(SLOTS)))
+    return tuple(slotted.join(slots, slot, how).drop(slot) for how in ("left_semi", "left_anti"))
 
 
 def release(spark: SparkSession) -> None:

@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonequarry.llm.common import apart, discard, narrow_batches, release, saved, tidy, width, written
+from tonequarry.llm.common import apart, discard, narrow_batches, release, saved, tidy, unused, width, written
 
 #: Similarity as a fraction, so that comparisons are exact.
 UP, DOWN = 4, 5
@@ -47,32 +47,46 @@ SPLIT = 1 << 18
 STEP, PAIRS, GATHERED = 1 << 20, 1 << 18, 1 << 25
 #: Sets in one packed value: small enough for the JVM to move about.
 TOGETHER = 1 << 12
-#: Words up to this length are hashed all at once.
-LONG_WORD, HASHED = 1 << 12, 1 << 17
+#: Words that are hashed at once, hashes that a task keeps, and the longest word that it keeps one of.
+STRIDE, ROOM, LONG_WORD = 1 << 14, 1 << 17, 64
+#: Classes whose first line a task remembers while it reads.
+SEEN = 1 << 16
 
-MIX, MIX2, BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), 0x5851F42D4C957F2D
+MIX, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-def _powers(base: int) -> np.ndarray:
-    out = np.full(HASHED + 1, np.uint64(base))
-    out[0] = 1
-    return np.multiply.accumulate(out)
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(32)) * MIX2
+    return x ^ x >> np.uint64(29)
 
 
-#: Powers of an odd base modulo 2^64, and their inverses.
-RAISED, LOWERED = _powers(BASE), _powers(pow(BASE, -1, 1 << 64))
+class Hashes(dict):
+    """Words' 128-bit hashes in two arrays, by number: frequent words are hashed once. Forgets all when it is full."""
 
+    def __init__(self):
+        super().__init__()
+        self.used, self.low, self.high = 0, np.zeros(ROOM, "u8"), np.zeros(ROOM, "u8")
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ x >> np.uint64(32)) * MIX2
-    return x ^ x >> np.uint64(29)
+    def __missing__(self, word: bytes) -> int:
+        i, h = self.used, xxhash.xxh3_128_intdigest(word)
+        self.low[i], self.high[i] = h & 0xFFFFFFFFFFFFFFFF, h >> 64
+        self.used += 1
+        if len(word) <= LONG_WORD:
+            self[word] = i
+        return i
 
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if self.used + len(words) > ROOM:
+            self.clear()
+            self.used = 0
+        return np.fromiter(map(self.__getitem__, words), "i8", len(words))
 
-def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Where the words of some bytes start, and their 64-bit hashes; words are what ASCII white space parts.
 
-    Polynomials over running sums: equal words have equal hashes wherever they stand.
-    """
+HASHES = Hashes()
+
+
+def hashes_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the words of some bytes start, and the two halves of their hashes; words are what ASCII white space parts."""
     buf = np.frombuffer(data, "u1")
     space = (buf == 32) | ((buf >= 9) & (buf <= 13))
     edges = np.flatnonzero(space[1:] != space[:-1]) + 1
@@ -81,20 +95,17 @@ def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     if len(buf) and not space[-1]:
         edges = np.append(edges, len(buf))
     first, last = edges[0::2], edges[1::2]
-    out = np.zeros(len(first), "u8")
-    i = 0
-    while i < len(first):
-        at = int(first[i])
-        j = max(i + 1, int(np.searchsorted(last, at + HASHED, "right")))
-        end = min(at + HASHED, len(buf))
-        sums = np.zeros(end - at + 1, "u8")
-        np.cumsum(np.multiply(buf[at:end], RAISED[: end - at], dtype="u8"), out=sums[1:])
-        a, b = first[i:j] - at, np.minimum(last[i:j] - at, end - at)
-        out[i:j] = mixed((sums[b] - sums[a]) * LOWERED[a] + (b - a).view("u8"))
-        i = j
-    for k in np.flatnonzero(last - first > LONG_WORD).tolist():
-        out[k] = xxhash.xxh3_64_intdigest(data[first[k] : last[k]])
-    return first, out
+    low, high = np.zeros(len(first), "u8"), np.zeros(len(first), "u8")
+    for i in range(0, len(first), STRIDE):
+        j = min(i + STRIDE, len(first))
+        at = HASHES.of(data[first[i] : last[j - 1]].split())
+        low[i:j], high[i:j] = HASHES.low[at], HASHES.high[at]
+    return first, low, high
+
+
+def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of some bytes start, and their 64-bit hashes."""
+    return hashes_of(data)[:2]
 
 
 def tag_of(text: bytes) -> int:
@@ -127,7 +138,7 @@ def runs(column: pa.Array, cut: bool = True) -> Iterator[tuple[list[int], list[i
 
 
 class LineTokens:
-    """The words of a run's lines: ``token`` and ``owner`` of each word, and the rows and numbers of the owners.
+    """The words of a run's lines: ``token``, ``other`` (another hash) and ``owner`` of each, and the owners' rows and numbers.
 
     Only lines with a word are owners.
     """
@@ -136,7 +147,7 @@ class LineTokens:
 
     def __init__(self, rows: list[int], numbers: list[int], parts: list[bytes]):
         data = b"\n".join(parts)
-        start, self.token = words_of(data)
+        start, self.token, self.other = hashes_of(data)
         ends = np.flatnonzero(np.frombuffer(data, "u1") == 10)
         line = np.searchsorted(ends, start)
         new = np.append(True, line[1:] != line[:-1])[: len(line)]
@@ -150,7 +161,7 @@ class LineTokens:
 class Sets:
     """Distinct tokens by owner, the rarest first, ties by token."""
 
-    def __init__(self, token: np.ndarray, owner: np.ndarray, owners: int, spread: np.ndarray):
+    def __init__(self, token: np.ndarray, other: np.ndarray, owner: np.ndarray, owners: int, spread: np.ndarray):
         count = np.minimum(spread[counter_of(token)], (1 << 20) - 1).astype("u8")
         if owners < 1 << 16:  # one integer that sorts by itself, unless it can't tell two tokens apart
             both = owner.view("u8") << np.uint64(48) | count << np.uint64(28) | token >> np.uint64(36)
@@ -159,9 +170,9 @@ class Sets:
             clash = ((both[1:] == both[:-1]) & (sorted_token[1:] != sorted_token[:-1])).any()
         if owners >= 1 << 16 or clash:
             order = np.lexsort((token, count, owner))
-        token, owner, count = token[order], owner[order], count[order]
+        token, other, owner, count = token[order], other[order], owner[order], count[order]
         new = np.append(True, (token[1:] != token[:-1]) | (owner[1:] != owner[:-1]))[: len(token)]
-        self.token, self.owner, self.count = token[new], owner[new], count[new]
+        self.token, self.other, self.owner, self.count = token[new], other[new], owner[new], count[new]
         self.sizes = np.bincount(self.owner, minlength=owners)
         self.starts = np.cumsum(self.sizes) - self.sizes
 
@@ -289,58 +300,103 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(lengths.sum()) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
 
 
+class Firsts:
+    """Tells the lines that may be the first of their class from those that aren't, as an equal earlier line was read.
+
+    Remembers the first lines of so many classes; a class that it has forgotten is new to it, which costs a row.
+    """
+
+    def __init__(self):
+        self.of: dict[tuple[int, int], tuple[int, int]] = {}
+
+    def split(self, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the heads are kept, and the (doc, line) of those that go; rows that repeat as a whole do neither."""
+        order = np.lexsort((heads["line"], heads["doc"], heads["lo"], heads["hi"]))
+        h = heads[order]
+        first = np.append(True, (h["hi"][1:] != h["hi"][:-1]) | (h["lo"][1:] != h["lo"][:-1]))
+        new = np.append(True, first[1:] | (h["doc"][1:] != h["doc"][:-1]) | (h["line"][1:] != h["line"][:-1]))
+        again = ~first & new
+        lead = np.flatnonzero(first)
+        if len(self.of) + len(lead) > SEEN:
+            self.of.clear()
+        for i, key, end in zip(lead.tolist(), zip(h["hi"][lead].tolist(), h["lo"][lead].tolist(), strict=True), zip(h["doc"][lead].tolist(), h["line"][lead].tolist(), strict=True), strict=True):
+            known = self.of.get(key)
+            if known is None or end < known:
+                self.of[key] = end
+            else:
+                first[i], again[i] = False, end != known
+        return order[first], np.stack([h["doc"][again], h["line"][again]], 1)
+
+
 def token_sets(texts: DataFrame, spread: Broadcast, parts: int, take: type = LineTokens) -> DataFrame:
-    """``(part, heads, tokens)``: the sets of all lines that have a word, dealt by digest.
+    """``(part, heads, tokens, repeats)``: the sets of lines that have a word, dealt by digest.
 
-    ``tokens`` are the prefixes, one longer than a shared token needs. Tokens that occur once in the corpus can match
-    nothing and are skipped; they come first, so a prefix token's place is its index and the number skipped.
+    A line that equals an earlier one of the same task isn't the first of its class: it leaves as a (doc, line) of
+    ``repeats``, dealt anywhere, so a class of any size costs each task a few rows. ``tokens`` are the prefixes, one
+    longer than a shared token needs. Tokens that occur once in the corpus can match nothing and are skipped; they come
+    first, so a prefix token's place is its index and the number skipped.
     """
+    names = ["part", "heads", "tokens", "repeats"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts = Firsts()
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for piece in runs(batch.column(1), take.cut):
                 t = take(*piece)
                 if not len(t.rows):
                     continue
-                s = Sets(t.token, t.owner, len(t.rows), spread.value)
+                s = Sets(t.token, t.other, t.owner, len(t.rows), spread.value)
                 place = np.arange(len(s.token)) - np.repeat(s.starts, s.sizes)
                 length = prefix_length(s.sizes)
                 within = place < np.repeat(np.where(length > 0, length + 1, 0), s.sizes)
                 use = within & (s.count > 1)
                 heads = np.zeros(len(t.rows), HEAD)
-                heads["hi"], heads["lo"] = np.add.reduceat(mixed(s.token), s.starts), np.add.reduceat(mixed(s.token * MIX + MIX2), s.starts)
+                heads["hi"], heads["lo"] = np.add.reduceat(mixed(s.token), s.starts), np.add.reduceat(mixed(s.other), s.starts)
                 heads["doc"], heads["line"] = ids[t.rows], t.numbers
                 bit = s.token >> np.uint64(8) & np.uint64(127)
                 for k in range(2):
                     heads["parity"][:, k] = np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == k, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0)), s.starts)
                 heads["size"], heads["held"] = s.sizes, np.bincount(s.owner[use], minlength=len(t.rows))
                 heads["skipped"] = np.bincount(s.owner[within], minlength=len(t.rows)) - heads["held"]
-                token = s.token[use]
-                to = (heads["hi"] >> np.uint64(20)) % np.uint64(parts)
-                order = np.argsort(to, kind="stable")
-                token = token[ranges((np.cumsum(heads["held"], dtype="i8") - heads["held"])[order], heads["held"][order].astype("i8"))]
-                heads, to = heads[order], to[order].astype("i8")
+                token, begin = s.token[use], np.cumsum(heads["held"], dtype="i8") - heads["held"]
+                mine, again = firsts.split(heads)
+                to = (heads["hi"][mine] >> np.uint64(20)) % np.uint64(parts)
+                mine, to = mine[np.argsort(to, kind="stable")], np.sort(to).astype("i8")
+                heads = heads[mine]
+                token = token[ranges(begin[mine], heads["held"].astype("i8"))]
                 begin = np.append(0, np.cumsum(heads["held"], dtype="i8"))
-                cuts = np.append(np.flatnonzero(np.append(True, to[1:] != to[:-1])), len(to))
-                rows = [(int(to[a]), heads[a:b].tobytes(), token[begin[a] : begin[b]].tobytes()) for a, b in zip(cuts, cuts[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["part", "heads", "tokens"])
+                cuts = np.append(np.flatnonzero(np.append(True, to[1:] != to[:-1])[: len(to)]), len(to))
+                rows = [(int(to[a]), heads[a:b].tobytes(), token[begin[a] : begin[b]].tobytes(), b"") for a, b in zip(cuts, cuts[1:], strict=False)]
+                if len(again):
+                    rows.append((int(mixed(line_key(again[:1, 0], again[:1, 1]))[0] % np.uint64(parts)), b"", b"", again.tobytes()))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names)
 
-    return narrow_batches(texts).mapInArrow(tidy(run), "part int, heads binary, tokens binary")
+    return narrow_batches(texts).mapInArrow(tidy(run), "part int, heads binary, tokens binary, repeats binary")
 
 
 def classes_of(sets: DataFrame, parts: int) -> DataFrame:
-    """``(heads, tokens, repeats)``: the first line of each class with its prefix, and the other lines as (doc, line)."""
+    """``(heads, tokens, repeats)``: the first line of each class with its prefix, and the other lines as (doc, line).
+
+    Classes are told by the 128 bits of their words' hashes.
+    """
     names = ["heads", "tokens", "repeats"]
 
+    def row(*columns: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads, tokens = [], []
+        heads, tokens, none = [], [], np.zeros(0, HEAD)
         for batch in batches:
             heads += [np.frombuffer(x.as_py(), HEAD) for x in batch.column(1)]
             tokens += [np.frombuffer(x.as_py(), "u8") for x in batch.column(2)]
-        if not heads:
+            again = [np.frombuffer(x.as_py(), "i8") for x in batch.column(3)]
+            if any(map(len, again)):
+                yield row(none, none, np.concatenate(again))
+        heads, tokens = np.concatenate([none, *heads]), np.concatenate([np.zeros(0, "u8"), *tokens])
+        if not len(heads):
             return
-        heads, tokens = np.concatenate(heads), np.concatenate(tokens)
         begin = np.cumsum(heads["held"], dtype="i8") - heads["held"]
         order = np.lexsort((heads["line"], heads["doc"], heads["lo"], heads["hi"]))
         h = heads[order]
@@ -351,8 +407,7 @@ def classes_of(sets: DataFrame, parts: int) -> DataFrame:
             here = first[at : at + TOGETHER]
             mine = order[at : at + TOGETHER][here]
             own, again = heads[mine], np.stack([h["doc"][at : at + TOGETHER][~here], h["line"][at : at + TOGETHER][~here]], 1)
-            columns = [own, tokens[ranges(begin[mine], own["held"].astype("i8"))], again]
-            yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], names)
+            yield row(own, tokens[ranges(begin[mine], own["held"].astype("i8"))], again)
 
     return sets.repartitionById(parts, "part").mapInArrow(tidy(run), "heads binary, tokens binary, repeats binary")
 
@@ -388,7 +443,8 @@ def keyed(heads: np.ndarray, tokens: np.ndarray, spread: np.ndarray) -> tuple[np
 
 def unpacked(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for x, y in zip(batch.column(0), batch.column(1), strict=True):
-        yield np.frombuffer(x.as_py(), HEAD), np.frombuffer(y.as_py(), "u8")
+        if len(heads := np.frombuffer(x.as_py(), HEAD)):
+            yield heads, np.frombuffer(y.as_py(), "u8")
 
 
 def key_counts(classes: DataFrame, spread: Broadcast) -> np.ndarray:
@@ -653,7 +709,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     All documents stay, even those left empty. A document without repeated lines isn't moved between tasks.
     """
-    at = "__dedup_lines"  # one struct beside the user's columns
+    at = unused("__dedup_lines", docs)  # one struct beside the user's columns
     drops = repeated_lines(docs).select(F.struct("doc_id", "tag", "drops").alias(at))
     touched, rest = apart(docs, drops.select(F.col(f"{at}.doc_id").alias("key")), "doc_id")
     tag = F.crc32(touched["text"].cast("binary")).bitwiseAND(F.lit(0x7FFFFFFF).cast("long"))

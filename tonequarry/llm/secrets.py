@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tonequarry.llm.common import apart, saved
+from tonequarry.llm.common import apart, saved, unused
 
 #: The base kinds, in the order that breaks ties between spans. Runs need no upper bound; a run that is too short fails
 #: as a whole, so the length may stand in the pattern where the run can't restart inside itself.
@@ -226,15 +226,16 @@ def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     somewhere stays in prose. ``n_chars``, if there, is counted anew. Null and empty texts, null ids, rows that repeat,
     texts that hold the mask and empty tables are fine.
     """
-    at = "__secret"
+    at = unused("__secret", docs)
+    known = unused("__secrets", docs)
     key = F.sha2(F.concat_ws("\0", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))), 256)
     scanned = scan(docs.select(key.alias("doc_id"), "text", "source", "lang"))
     owned = F.array_distinct(F.transform("added", lambda s: s["value"]))
     masks = saved(scanned.where(F.size("added") > 0).groupBy("doc_id").agg(F.min(owned).alias("values")))
     maybe, clean = apart(docs.withColumn(at, key), masks.select(F.col("doc_id").alias("key")), at)
-    joined = maybe.join(masks.select(F.struct("doc_id", "values").alias(f"{at}s")), F.col(at) == F.col(f"{at}s.doc_id"), "left")
+    joined = maybe.join(masks.select(F.struct("doc_id", "values").alias(known)), F.col(at) == F.col(f"{known}.doc_id"), "left")
     joined = joined.withColumn("text", masked_base(F.col("text"), mask))
-    joined = joined.withColumn("text", F.when(F.col(f"{at}s").isNotNull(), masked_values(F.col("text"), F.col(f"{at}s.values"), mask)).otherwise(F.col("text")))
+    joined = joined.withColumn("text", F.when(F.col(known).isNotNull(), masked_values(F.col("text"), F.col(f"{known}.values"), mask)).otherwise(F.col("text")))
     out = joined.select(*docs.columns).unionByName(clean.withColumn("text", masked_base(F.col("text"), mask)).select(*docs.columns))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.char_length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))

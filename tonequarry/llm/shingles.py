@@ -18,15 +18,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonequarry.llm import lines, simhash
-from tonequarry.llm.common import apart, discard, narrow_batches, release, saved, tidy, width, written
+from tonequarry.llm.common import apart, discard, narrow_batches, release, saved, tidy, unused, width, written
 from tonequarry.llm.components import components
-from tonequarry.llm.lines import DOWN, GATHERED, MIX, POSTING, UP, ends_key, flags_of, mixed, words_of
+from tonequarry.llm.lines import DOWN, GATHERED, MIX, POSTING, UP, ends_key, flags_of, hashes_of, mixed
 
 WORDS = 5
 
 
 class Shingles:
-    """The shingles of a run of texts: ``token`` and ``owner`` of each, and the rows and numbers of the owners.
+    """The shingles of a run of texts: ``token``, ``other`` (another hash) and ``owner`` of each, and the owners' rows and numbers.
 
     Words are lower-cased and parted as for op2; a text of fewer words than a shingle is one shingle; texts without
     words are left out.
@@ -36,18 +36,17 @@ class Shingles:
 
     def __init__(self, rows: list[int], numbers: list[int], parts: list[bytes]):
         data = b"\n".join(parts).lower()
-        start, word = words_of(data)
+        start, *words = hashes_of(data)
         ends = np.cumsum([len(p) + 1 for p in parts])
         text = np.searchsorted(ends, start, "right")
         n = np.bincount(text, minlength=len(parts))
         after = np.cumsum(n)[text]  # the first word of the next text
-        at = np.arange(len(word))
-        out = np.zeros(len(word), "u8")
+        at = np.arange(len(start))
+        use = np.flatnonzero((at + WORDS <= after) | ((n[text] < WORDS) & (at == after - n[text])))
+        self.token, self.other = np.zeros((2, len(use)), "u8")
         for i in range(WORDS):
-            inside = at + i < after
-            out = mixed(out * MIX + np.where(inside, word[np.minimum(at + i, len(word) - 1)], np.uint64(i)))
-        use = (at + WORDS <= after) | ((n[text] < WORDS) & (at == after - n[text]))
-        self.token = out[use]
+            where, inside = np.minimum(use + i, len(start) - 1), use + i < after[use]
+            self.token, self.other = (mixed(out * MIX + np.where(inside, word[where], np.uint64(i))) for out, word in zip((self.token, self.other), words, strict=True))
         held = np.flatnonzero(n)
         self.owner = (np.cumsum(n > 0) - 1)[text[use]]
         self.rows = np.array(rows)[held]
@@ -248,7 +247,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     number = number_of(F.coalesce(docs["text"], F.lit("")).cast("binary"))
     again = saved(docs.where(docs["doc_id"].isNotNull()).groupBy(docs["doc_id"].cast("long").alias("key"), number.alias("line")).agg(F.count("*").alias("n")).where("n > 1").select("key", "line"))
     maybe, kept = apart(docs, dropped.select("key").unionByName(again.select("key")), "doc_id")
-    at = "__near"
+    at = unused("__near", docs)
     gone, repeated = (x.select(F.struct("key", "line").alias(at)) for x in (dropped, again))
     same = (maybe["doc_id"].cast("long") == F.col(f"{at}.key")) & (number_of(F.coalesce(maybe["text"], F.lit("")).cast("binary")) == F.col(f"{at}.line"))
     stay = maybe.join(gone, same, "left_anti")
