@@ -30,6 +30,9 @@ FORMS = {"form", "fieldset"}
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "option", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 CLOSES_P = BLOCKS - {"body", "caption", "head", "html", "legend", "option", "tbody", "td", "tfoot", "th", "thead", "tr"}
 SAME = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "tr": {"table", "tbody", "thead", "tfoot"}, "option": {"select"}}
+#: For each element the start tags that it may be closed by, or that it keeps from closing an element farther up.
+BETWEEN = {"p": {"table", "td", "th", "button", "article", "div", "section", "main", "blockquote", "li"}, **SAME}
+ASKED = {tag: [name for name, others in BETWEEN.items() if tag == name or tag in others] for tag in BLOCKS | {"button", "select"}}
 #: Words of class, id and role that speak against an element: by themselves, only if all of a name's words do, or for comments.
 PLAIN_HINTS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "breadcrumb", "breadcrumbs", "consent", "cookie", "cookies", "gdpr", "masthead", "menubar", "modal", "navbar", "newsletter", "outbrain", "pager", "pagination", "popup", "promo", "shoutbox", "sidebar", "signup", "skyscraper", "sponsor", "sponsored", "subscribe", "taboola", "toolbar", "topbar"}
 WHOLE_HINTS = {"banner", "byline", "community", "complementary", "contentinfo", "extra", "footer", "footnote", "header", "legends", "login", "menu", "nav", "navigation", "notice", "notices", "promotion", "related", "remark", "rss", "search", "share", "sharing", "social", "supplemental", "widget"}
@@ -84,7 +87,9 @@ def blocks_of(page: str) -> tuple[list[tuple[Node, str, int]], list[Node]]:
     root = Node("#root", None, NO_HINT)
     nodes = [root]
     here, out, held, linked, links_open, articles = root, [], [], 0, 0, 0
-    at = 0
+    at, endless = 0, set()
+    # Open elements that a start or end tag may ask for, by the name that asks: the last one closes or stands in the way.
+    opened: dict[str, list[Node]] = {}
 
     def flush() -> None:
         nonlocal linked
@@ -96,23 +101,32 @@ def blocks_of(page: str) -> tuple[list[tuple[Node, str, int]], list[Node]]:
                 out.append((here, text, min(linked, len(text))))
             linked = 0
 
-    def close(tag: str, within: frozenset | set = frozenset()) -> bool:
-        """Closes the nearest open element of a name, unless one of ``within`` or the root stands between."""
+    def enter(node: Node) -> None:
         nonlocal here, articles
-        node = here
-        while node is not root and node.tag != tag and node.tag not in within:
-            node = node.parent
-        if node is root or node.tag != tag:
-            return False
+        here = node
+        nodes.append(node)
+        articles += node.tag in {"article", "main"}
+        for name in ASKED.get(node.tag, ()):
+            opened.setdefault(name, []).append(node)
+        opened.setdefault(f"/{node.tag}", []).append(node)
+
+    def leave() -> None:
+        nonlocal here, articles
+        articles -= here.tag in {"article", "main"}
+        for name in ASKED.get(here.tag, ()):
+            opened[name].pop()
+        opened[f"/{here.tag}"].pop()
+        here = here.parent
+
+    def close(tag: str, start: bool) -> None:
+        """Closes the nearest open element of a name, for an end tag, or for a start tag unless another one stands between."""
+        node = (opened.get(tag if start else f"/{tag}") or [None])[-1]
+        if node is None or node.tag != tag:
+            return
         flush()
-        x = here
-        while True:
-            articles -= x.tag in {"article", "main"}
-            if x is node:
-                break
-            x = x.parent
-        here = node.parent
-        return True
+        while here is not node:
+            leave()
+        leave()
 
     def text(value: str) -> None:
         nonlocal linked
@@ -142,25 +156,26 @@ def blocks_of(page: str) -> tuple[list[tuple[Node, str, int]], list[Node]]:
             links_open = 0 if closing else 1
         elif closing:
             if tag in BLOCKS or (here.tag == tag):
-                close(tag)
+                close(tag, False)
         elif tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at) if not attributes.rstrip().endswith("/") or tag in {"script", "style"} else None
+            looks = tag not in endless and (tag in {"script", "style"} or not attributes.rstrip().endswith("/"))
+            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at) if looks else None
             if end is not None:
                 at = end.end()
-            elif tag in {"script", "style", "textarea", "title"}:
-                break
+            elif looks:
+                endless.add(tag)
+                if tag in {"script", "style", "textarea", "title"}:
+                    break
         elif tag in VOID:
             if tag == "hr":
                 flush()
         elif tag in BLOCKS or hint_of(tag, attributes, True) >= STRONG:
             flush()
             if tag in CLOSES_P:
-                close("p", {"table", "td", "th", "button", "article", "div", "section", "main", "blockquote", "li"})
+                close("p", True)
             if tag in SAME:
-                close(tag, SAME[tag])
-            here = Node(tag, here, hint_of(tag, attributes, articles > 0))
-            nodes.append(here)
-            articles += tag in {"article", "main"}
+                close(tag, True)
+            enter(Node(tag, here, hint_of(tag, attributes, articles > 0)))
             links_open = 0
     flush()
     return out, nodes
@@ -235,8 +250,12 @@ def extract(page: str) -> str:
         n = n.parent
     least = max(2.0, 0.2 * final.get(id(best), 0))
     whole = {id(best)}
-    if best.tag not in {"article", "main"} and best.parent is not None:
-        whole |= {id(n) for n in order if n.parent is best.parent and final[id(n)] >= least}
+    if best.parent is not None:
+        alike = {"article"} if best.tag in {"article", "main"} else None  # parts of one article
+        beside = [n for n in nodes if n.parent is best.parent and not n.out and (alike is None or n.tag in alike)]
+        good = [i for i, n in enumerate(beside) if n is best or final.get(id(n), 0) >= least]
+        # A short one between two that are kept is part of the same text, unless it is links.
+        whole |= {id(n) for i, n in enumerate(beside) if i in set(good) or (good[0] < i < good[-1] and n.links <= LINKED * n.length)} if good else set()
     for n in nodes:  # parents first
         if id(n) in whole:
             n.inside, n.menu = True, False

@@ -5,7 +5,8 @@ Possible cuts are document ends and sentence ends; only a stretch longer than a
 inside, every ``GRID`` tokens. The cost of a
 window is its padding plus a penalty for what its end truncates. As padding is linear in both ends of a window, the
 best predecessor of a cut is the minimum of a sliding window, kept by a monotone queue: each cut is pushed and popped
-once. A partition is packed in blocks of about ``BLOCK`` tokens; the last windows of a block are planned again with
+once. A window of a power of two isn't padded: where such a one ends at a cut, its start is a predecessor too, at a price
+for one sequence more. A partition is packed in blocks of about ``BLOCK`` tokens; the last windows of a block are planned again with
 the next block, so memory doesn't grow with the partition. No row moves between tasks, and a lost task repeats alike.
 """
 
@@ -29,6 +30,8 @@ SEQUENCE = 4096
 END_ID = 2
 #: Penalties in tokens of padding for a window that ends after a sentence, or within one.
 SENTENCE_PENALTY, GRID_PENALTY = 2, 8
+#: Price of a window of a smaller power of two than a sequence, and the smallest such window.
+SHORT_PENALTY, LEAST_SHORT = 4, 256
 GRID = 32
 BLOCK = 1 << 18
 #: Windows at the end of a block that are planned again.
@@ -41,6 +44,7 @@ def plan(cuts: list[int], penalties: list[int], size: int = SEQUENCE) -> list[in
     The last window costs nothing, as it is planned again or cut into sequences without padding.
     """
     best, came = [0] * len(cuts), [0] * len(cuts)
+    short = shorter(cuts, size)
     queue: deque[int] = deque([0])
     keys = [cuts[0]] + [0] * (len(cuts) - 1)  # best + position: what a predecessor adds to a window's padding
     for j in range(1, len(cuts)):
@@ -49,6 +53,10 @@ def plan(cuts: list[int], penalties: list[int], size: int = SEQUENCE) -> list[in
             queue.popleft()
         i = came[j] = queue[0]
         best[j] = keys[i] + size - at + penalties[j]
+        for i in short.get(j, ()):
+            cost = best[i] + SHORT_PENALTY + penalties[j]
+            if cost < best[j]:
+                best[j], came[j] = cost, i
         key = keys[j] = best[j] + at
         while queue and keys[queue[-1]] > key:  # of equals the earlier one stays: the longer window
             queue.pop()
@@ -61,6 +69,18 @@ def plan(cuts: list[int], penalties: list[int], size: int = SEQUENCE) -> list[in
     return [cuts[0], *reversed(out)]
 
 
+def shorter(cuts: list[int], size: int) -> dict[int, list[int]]:
+    """For cuts at which a window of a smaller power of two can end, the cuts at which it starts."""
+    at, out = np.array(cuts), {}
+    power = size // 2
+    while power >= min(LEAST_SHORT, size // 2) and power > 0:
+        start = np.searchsorted(at, at - power)
+        for j in np.flatnonzero(at[start] == at - power).tolist():
+            out.setdefault(j, []).append(int(start[j]))
+        power //= 2
+    return out
+
+
 def candidates(ids: np.ndarray, ends: np.ndarray, sentence: np.ndarray, size: int = SEQUENCE) -> tuple[list[int], list[int]]:
     """Cuts and their penalties for a stream whose documents end at ``ends``; ``sentence`` marks the ids that end one.
 
