@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonequarry.functions.columns import clipped
+from tonequarry.operators import selection
 
 
 def long_form(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -19,23 +20,34 @@ def long_form(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per column: n, mean, median, sample deviation, least and largest of what isn't missing."""
     rows = long_form(df, columns).where("value IS NOT NULL AND NOT isnan(value)")
-    return rows.groupBy("variable").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.percentile("value", F.lit(0.5)).alias("median"), F.stddev_samp("value").alias("sd"), F.min("value").alias("min"), F.max("value").alias("max"))
+    rest = rows.groupBy("variable").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min("value").alias("min"), F.max("value").alias("max"))
+    half = selection.quantiles(df, {c: F.col(c) for c in columns}, [0.5]).select("variable", F.col("cuts")[0].alias("median"))
+    return rest.join(half, "variable").select("variable", "n", "mean", "median", "sd", "min", "max")
 
 
 def quantiles(df: DataFrame, column: str, at: Sequence[float]) -> DataFrame:
     """Exact quantiles with linear interpolation: ``(p, value)``."""
-    many = F.percentile(column, F.array(*map(F.lit, at)))
-    return df.agg(many.alias("q")).select(F.posexplode("q").alias("i", "value")).select(F.element_at(F.array(*map(F.lit, at)), F.col("i") + 1).alias("p"), "value")
+    found = selection.quantiles(df, {"x": F.col(column)}, at).select(F.posexplode("cuts").alias("i", "value"))
+    return found.select(F.element_at(F.array(*map(F.lit, at)), F.col("i") + 1).alias("p"), "value")
 
 
 def winsorize(df: DataFrame, columns: Sequence[str], low: float = 0.01, high: float = 0.99, by: Sequence[str] = ()) -> DataFrame:
-    """Columns clipped to their quantiles, over all rows or within groups: one aggregation and one small join."""
-    cuts = [F.percentile(c, F.array(F.lit(low), F.lit(high))).alias(f"__{c}") for c in columns]
+    """Columns clipped to their quantiles, over all rows or within groups.
+
+    The cuts are found by selection and joined back: one row, or one for each group, null ones too.
+    """
+    cuts = selection.quantiles(df, {c: F.col(c) for c in columns}, [low, high], by)
+    at = "__cuts"
+    cuts = cuts.groupBy(*(F.col(c).alias(f"__{c}") for c in by)).agg(F.map_from_entries(F.collect_list(F.struct("variable", "cuts"))).alias(at))
     if by:
-        joined = df.join(df.groupBy(*by).agg(*cuts), list(by))
+        same = F.lit(True)
+        for c in by:
+            same = same & df[c].eqNullSafe(cuts[f"__{c}"])
+        joined = df.join(cuts, same, "left")
     else:
-        joined = df.crossJoin(F.broadcast(df.agg(*cuts)))  # one row
-    return joined.select(*((clipped(F.col(c), F.col(f"__{c}")[0], F.col(f"__{c}")[1]).alias(c) if c in columns else F.col(c)) for c in df.columns))
+        joined = df.join(F.broadcast(cuts), how="cross")  # one row
+    held = lambda c: F.when(F.col(at)[c].isNotNull(), clipped(F.col(c), F.col(at)[c][0], F.col(at)[c][1])).otherwise(F.col(c))
+    return joined.select(*(held(c).alias(c) if c in columns else F.col(c) for c in df.columns))
 
 
 def coverage(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -48,13 +60,16 @@ def agreement(df: DataFrame, mine: str, theirs: str, near: Sequence[float] = (0.
     """Relative difference where the other figure is positive: mean, median and shares within bounds."""
     d = F.when(F.col(theirs) > 0, (F.col(mine) - F.col(theirs)) / F.col(theirs))
     rows = df.select(d.alias("d")).where("d IS NOT NULL")
-    return rows.agg(F.count("*").alias("n"), F.avg("d").alias("mean"), F.percentile("d", F.lit(0.5)).alias("median"), *(F.avg((F.abs("d") <= x).cast("double")).alias(f"within_{round(100 * x)}") for x in near))
+    found = rows.agg(F.count("*").alias("n"), F.avg("d").alias("mean"), *(F.avg((F.abs("d") <= x).cast("double")).alias(f"within_{round(100 * x)}") for x in near))
+    both = found.crossJoin(F.broadcast(selection.median(rows, "d")))  # one row each
+    return both.select("n", "mean", "median", *found.columns[2:])
 
 
 def size_check(df: DataFrame, mine: str, theirs: str) -> DataFrame:
     """Ratios of sizes: how many are near one, far below and far above."""
     rows = df.where(F.col(theirs) > 0).select((F.col(mine) / F.col(theirs)).alias("r")).where("r IS NOT NULL")
-    return rows.agg(F.count("*").alias("n"), F.count_if(F.col("r").between(0.95, 1.05)).alias("good"), F.count_if(F.col("r") < 0.5).alias("low"), F.count_if(F.col("r") > 1.5).alias("high"), F.percentile("r", F.lit(0.5)).alias("median"), F.avg("r").alias("mean"))
+    found = rows.agg(F.count("*").alias("n"), F.count_if(F.col("r").between(0.95, 1.05)).alias("good"), F.count_if(F.col("r") < 0.5).alias("low"), F.count_if(F.col("r") > 1.5).alias("high"), F.avg("r").alias("mean"))
+    return found.crossJoin(F.broadcast(selection.median(rows, "r"))).select("n", "good", "low", "high", "median", "mean")  # one row each
 
 
 def funnel(df: DataFrame, flags: Sequence[str], all_rows: str = "all") -> DataFrame:
