@@ -1,5 +1,6 @@
 """Hand-built cases: ties, nulls, window edges, rank-deficient designs."""
 
+import dataclasses
 import datetime
 import gzip
 import time
@@ -209,14 +210,101 @@ def test_fama_macbeth_against_numpy(spark):
         assert got[v].n == sum(ns) and got[v].n_quarters == 5
 
 
+def fit_by_force(g, y, x, continuous, s):
+    """One cross section by the rules, row by row; none if it has too few rows, before or after thin industries go."""
+    if len(g) < s.min_obs:
+        return None
+    g = g.copy()
+    if s.winsor == "quarter":
+        for c in continuous:
+            g[c] = g[c].clip(g[c].quantile(0.01), g[c].quantile(0.99))
+    if s.thin:
+        g = g[g.groupby("industry")["industry"].transform("size") >= s.thin]
+        if len(g) < s.min_obs:
+            return None
+    weights = 1.0 / g.groupby("date_filed")["industry"].transform("size").to_numpy(float) if s.weight else np.ones(len(g))
+    columns = [g[c].to_numpy(float) for c in x]
+    if s.industries:
+        codes, names = pd.factorize(g["industry"], sort=True)
+        columns += [(codes == i).astype(float) for i in range(1, len(names))]
+    design, root, own = np.column_stack([*columns, np.ones(len(g))]), np.sqrt(weights), g[y].to_numpy(float)
+    beta = np.linalg.pinv(design * root[:, None]) @ (own * root)
+    rank = np.linalg.matrix_rank(design * root[:, None])
+    rest, total = (weights * (own - design @ beta) ** 2).sum(), (weights * (own - np.average(own, weights=weights)) ** 2).sum()
+    return len(g), 1 - (len(g) - 1) / (len(g) - rank) * rest / total if len(g) > rank else None, beta[: len(x)]
+
+
+def grid_rows():
+    frames = []
+    for i, n in enumerate([29, 30, 60, 110, 45, 100]):
+        g = quarter(n, D(2000 + i // 4, 3 * (i % 4) + 1, 1), i, 7)
+        g["x2"], g["y2"] = g.x**3 + 100, 1e6 * g.y + 3e7
+        g["nasdaq"] = (g.c > 1).astype(int)
+        frames.append(g)
+    p = pd.concat(frames, ignore_index=True)
+    p.loc[p.index % 17 == 0, "x2"] = np.nan
+    return p
+
+
+def test_grid_against_force(spark):
+    """Every setting, cell and arm, with winsorizing, weights, thin industries and a dummy."""
+    p = grid_rows()
+    panel = spark.createDataFrame(p).withColumn("date_filed", F.to_date("date_filed")).withColumn("x2", F.when(~F.isnan("x2"), F.col("x2")))
+    cells, controls = {"a": ("y", "x"), "b": ("y2", "x2")}, ["c", "nasdaq"]
+    settings = [*regress.GRID, regress.Setting("W", weight=True, thin=5, min_obs=20)]
+    got = {(r.cell, r.setting, r.industries, r.quarter, r.variable): r for r in regress.quarterly_fits(panel, cells, controls, settings, True).collect()}
+    want = {}
+    for cell, (y, main) in cells.items():
+        rows = p.dropna(subset=[y, main, *controls])
+        smooth = [y, main, "c"]
+        full = rows.copy()
+        for c in smooth:
+            full[c] = full[c].clip(full[c].quantile(0.01), full[c].quantile(0.99))
+        for s in settings:
+            for e in (True, False):
+                arm = dataclasses.replace(s, industries=e)
+                for q, g in (full if s.winsor == "full" else rows).groupby(pd.PeriodIndex(pd.to_datetime(rows.date_filed), freq="Q")):
+                    found = fit_by_force(g, y, [main, *controls], smooth, arm)
+                    if found:
+                        for v, b in zip([main, *controls], found[2], strict=True):
+                            want[cell, s.name, e, q.start_time.date(), v] = (found[0], found[1], b)
+    assert set(got) == set(want)
+    for key, (n, r2, beta) in want.items():
+        r = got[key]
+        assert r.n == n and r.beta == pytest.approx(beta, rel=1e-7, abs=1e-9) and r.r2 == pytest.approx(r2, rel=1e-7), key
+
+
 def test_rank_deficient_and_thin(spark):
+    """The least-norm solution where a control is constant, within industries or on the whole, and odd tables."""
     g = quarter(40, D(2000, 1, 1), 3)
-    g["c"] = 1.0
-    fit = regress.fit_quarter(g, "y", ["x", "c"], ["y", "x"], regress.Setting())
-    assert np.isfinite(fit["betas"]).all()
-    assert regress.fit_quarter(g, "y", ["x"], ["y", "x"], regress.Setting(thin=40)) is None
-    one = regress.fit_quarter(g.assign(industry=1), "y", ["x"], [], regress.Setting(weight=True))
-    assert one["n"] == 40
+    g["one"], g["by"] = 1.0, g.industry * 2.0
+    one = g.assign(industry=1)
+    for frame, x in ((g, ["x", "one"]), (g, ["x", "by"]), (g, ["x", "by", "one"]), (one, ["x", "c"])):
+        panel = spark.createDataFrame(frame).withColumn("date_filed", F.to_date("date_filed"))
+        for s in (regress.Setting("J", winsor="none"), regress.Setting("J", winsor="none", weight=True), regress.Setting("J", winsor="none", industries=False)):
+            got = {r.variable: r for r in regress.quarterly_fits(panel, {"k": ("y", x[0])}, x[1:], [s]).collect()}
+            n, r2, beta = fit_by_force(frame, "y", x, [], s)
+            assert [got[v].beta for v in x] == pytest.approx(list(beta), rel=1e-6, abs=1e-8) and got["x"].n == n and got["x"].r2 == pytest.approx(r2, rel=1e-6)
+    panel = spark.createDataFrame(g).withColumn("date_filed", F.to_date("date_filed"))
+    assert regress.quarterly_fits(panel, {"k": ("y", "x")}, [], [regress.Setting(thin=40)]).collect() == []
+    assert regress.quarterly_fits(panel.where("false"), {"k": ("y", "x")}, ["c"], both=True).collect() == []
+
+
+def test_panels_are_masks_of_one_table(spark):
+    """Panels that share rows and differ in a column, from one reading of the panel; each equals its own fit."""
+    p = grid_rows()
+    panel = spark.createDataFrame(p).withColumn("date_filed", F.to_date("date_filed"))
+    variants = {
+        "all": regress.Variant(F.lit(True)),
+        "some": regress.Variant(F.col("c") < 0.5),
+        "other": regress.Variant(F.lit(True), {"industry": F.col("industry") % 2, "x": F.col("x") + F.col("c")}),
+        "none": regress.Variant(F.lit(None).cast("boolean")),
+    }
+    own = {"all": panel, "some": panel.where("c < 0.5"), "other": panel.withColumn("industry", F.col("industry") % 2).withColumn("x", F.col("x") + F.col("c"))}
+    settings = [regress.Setting("A"), regress.Setting("C", weight=True)]
+    got = {(r.panel, r.setting, r.quarter, r.variable): r.beta for r in regress.quarterly_fits(panel, {"k": ("y", "x")}, ["c"], settings, panels=variants).collect()}
+    want = {(n, r.setting, r.quarter, r.variable): r.beta for n, df in own.items() for r in regress.quarterly_fits(df, {"k": ("y", "x")}, ["c"], settings).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-8) for k in want)
 
 
 def test_statistics(spark):

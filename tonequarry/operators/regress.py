@@ -1,21 +1,27 @@
 """Quarterly cross-sectional regressions and their time-series means with Newey-West errors.
 
-All fits of a grid of cells and settings are one grouped job: the panel is dealt by quarter once, and every cell and
-setting is fitted where the quarter's rows are.
+All fits of a grid of panels, cells and settings come from one table of moments: sums and products by industry and
+quarter, which the tasks add up before anything moves. Settings that differ only in what they leave out or weigh later
+share their moments.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import asdict, dataclass
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tonequarry.functions.columns import normal_p
+from tonequarry.functions.columns import clipped, normal_p
+from tonequarry.operators import selection
+
+#: Quantiles to which tails are clipped.
+LOW, HIGH = 0.01, 0.99
 
 
 @dataclass(frozen=True)
@@ -49,40 +55,64 @@ GRID = (
 )
 
 
-def clip_tails(x: np.ndarray, low: float = 0.01, high: float = 0.99) -> np.ndarray:
-    return np.clip(x, np.quantile(x, low), np.quantile(x, high))
-
-
-def least_squares(y: np.ndarray, x: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weighted least squares with the least norm among minima, and adjusted R-squared; the last column is constant."""
-    root = np.sqrt(weights)
-    beta = np.linalg.pinv(x * root[:, None]) @ (y * root)
-    rank = np.linalg.matrix_rank(x * root[:, None])
-    residual, centred = y - x @ beta, y - np.average(y, weights=weights)
-    total, n = (weights * centred**2).sum(), len(y)
-    r2 = 1 - (weights * residual**2).sum() / total if total > 0 else np.nan
-    return beta, 1 - (n - 1) / (n - rank) * (1 - r2) if n > rank else np.nan
-
-
-def fit_quarter(g: pd.DataFrame, y: str, x: Sequence[str], continuous: Sequence[str], s: Setting) -> dict | None:
-    """One cross section; none if it has too few rows, before or after thin industries go."""
-    if len(g) < s.min_obs:
-        return None
-    g = g.copy()
-    if s.winsor == "quarter":
-        for c in continuous:
-            g[c] = clip_tails(g[c].to_numpy(float))
-    if s.thin:
-        g = g[g.groupby("industry")["industry"].transform("size") >= s.thin]
-        if len(g) < s.min_obs:
-            return None
-    weights = 1.0 / g.groupby("date_filed")["industry"].transform("size").to_numpy(float) if s.weight else np.ones(len(g))
-    columns = [g[c].to_numpy(float) for c in x]
-    if s.industries:
-        codes, names = pd.factorize(g["industry"], sort=True)
-        columns += [(codes == i).astype(float) for i in range(1, len(names))]
-    beta, r2 = least_squares(g[y].to_numpy(float), np.column_stack([*columns, np.ones(len(g))]), weights)
-    return {"n": len(g), "r2": r2, "betas": [float(b) for b in beta[: len(x)]]}
+@dataclass(frozen=True)
+class Variant:
+    """A panel of a grid: which rows it has, and which columns mean something else in it."""
+
+    where: Column
+    replace: Mapping[str, Column] = field(default_factory=dict)
+
+
+#: Relative size below which a direction of the regressors is the noise of sums.
+NOISE = 1e-10
+
+
+def solved(n: int, groups: list[tuple[float, Sequence[float]]], second: Sequence[float], shift: np.ndarray, scale: np.ndarray, effects: bool) -> tuple[np.ndarray, float]:
+    """Coefficients and adjusted R-squared of a weighted fit from its moments, about ``shift`` in units of ``scale``.
+
+    The first column is the outcome. ``groups``: the weight and sums of each industry; ``second``: all products, the
+    upper triangle row by row. Industry effects (or the constant) are removed by Frisch-Waugh. Where the regressors are
+    of less than full rank, the solution of least norm over all columns of the design, dummies and constant too.
+    """
+    k = len(shift)
+    weight, sums = np.array([g[0] for g in groups]), np.array([g[1] for g in groups])
+    upper = np.triu_indices(k)
+    raw = np.zeros((k, k))
+    raw[upper] = second
+    raw = raw + np.triu(raw, 1).T
+    if not effects:
+        weight, sums = weight.sum(keepdims=True), sums.sum(axis=0, keepdims=True)
+    within = raw - (sums / weight[:, None]).T @ sums
+    whole = sums.sum(axis=0)
+    total = raw[0, 0] - whole[0] ** 2 / weight.sum()
+    a, b = within[1:, 1:], within[1:, 0]
+    size = np.sqrt(np.maximum(np.diagonal(a), 0))
+    moves = size > np.sqrt(NOISE * np.maximum(np.diagonal(raw)[1:], 1e-300))
+    unit = np.where(moves[:, None] & moves[None, :], a / np.outer(np.where(moves, size, 1), np.where(moves, size, 1)), 0)
+    rank = int((np.linalg.eigvalsh(unit) > NOISE).sum()) if k > 1 else 0
+    if rank == k - 1:
+        beta = np.linalg.solve(a, b) if k > 1 else np.zeros(0)
+    else:
+        beta = _least_norm(weight, sums, raw, shift, scale)
+    rest = within[0, 0] - 2 * beta @ b + beta @ a @ beta
+    r2 = 1 - rest / total if total > NOISE * max(raw[0, 0], 1e-300) else np.nan
+    left = n - rank - len(weight)
+    return beta * scale[0] / scale[1:], 1 - (n - 1) / left * (1 - r2) if left > 0 else np.nan
+
+
+def _least_norm(weight: np.ndarray, sums: np.ndarray, raw: np.ndarray, shift: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """The slopes of the least-norm solution, in units of ``scale``: normal equations of regressors, dummies, constant."""
+    first = shift * weight[:, None] + scale * sums  # sums of the columns themselves
+    whole, all_sums = weight.sum(), sums.sum(axis=0)
+    products = np.outer(shift, shift) * whole + np.outer(shift, scale * all_sums) + np.outer(scale * all_sums, shift) + np.outer(scale, scale) * raw
+    dummies, k = len(weight) - 1, len(shift) - 1
+    normal = np.zeros((k + dummies + 1, k + dummies + 1))
+    normal[:k, :k] = products[1:, 1:]
+    normal[:k, k:-1], normal[:k, -1] = first[1:, 1:].T, first[:, 1:].sum(axis=0)
+    normal[k:-1, k:-1], normal[k:-1, -1], normal[-1, -1] = np.diag(weight[1:]), weight[1:], whole
+    normal = np.triu(normal) + np.triu(normal, 1).T
+    right = np.concatenate([products[1:, 0], first[1:, 0], first[:, 0].sum(keepdims=True)])
+    return (np.linalg.pinv(normal, rcond=NOISE, hermitian=True) @ right)[:k] * scale[1:] / scale[0]
 
 
 FIT = "panel string, cell string, setting string, industries boolean, quarter date, n long, r2 double, variable string, beta double"
@@ -91,41 +121,115 @@ FIT = "panel string, cell string, setting string, industries boolean, quarter da
 def _sound(columns: Sequence[str]) -> Column:
     out = F.lit(True)
     for c in columns:
-        out = out & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+        out = out & F.col(c).isNotNull() & ~F.isnan(F.col(c))
     return out
 
 
-def quarterly_fits(panel: DataFrame, cells: dict[str, tuple[str, str]], controls: Sequence[str], settings: Sequence[Setting] = GRID, both: bool = False) -> DataFrame:
-    """A row per cell, setting, quarter and variable of ``panel(date_filed, industry, ...)``.
+def _melted(panel: DataFrame, cells: dict[str, list[str]], panels: Mapping[str, Variant] | None) -> DataFrame:
+    """``(panel, cell, date_filed, quarter, industry, z)``: a row for each panel and cell that a row has all values for.
 
-    A column ``panel``, if there, names several panels, each fitted alone. ``cells``: name to (outcome, main variable). Rows with a missing input go first; then outcome, main variable and
-    continuous controls are winsorized over the rows left or within each quarter. ``both``: also without industries.
+    Made of the stored columns of each row: which panels have it is a mask, worked out once.
+    """
+    every = [*dict.fromkeys(c for n in cells.values() for c in n)]
+    if panels is None:
+        name = F.col("panel") if "panel" in panel.columns else F.lit("default")
+        members = F.array(F.struct(name.alias("panel"), F.col("industry").cast("long").alias("industry"), *(F.col(c).cast("double").alias(c) for c in every)))
+    else:
+        of = lambda v, c: v.replace.get(c, F.col(c))
+        rows = [F.when(v.where, F.struct(F.lit(n).alias("panel"), of(v, "industry").cast("long").alias("industry"), *(of(v, c).cast("double").alias(c) for c in every))) for n, v in panels.items()]
+        members = F.filter(F.array(*rows), lambda m: m.isNotNull())
+    base = selection.saved(panel.where("date_filed IS NOT NULL").select("date_filed", members.alias("members")).where(F.size("members") > 0))
+    flat = base.select("date_filed", F.explode("members").alias("m")).select("date_filed", "m.*").where("industry IS NOT NULL")
+    each = [F.when(_sound(n), F.struct(F.lit(c).alias("cell"), F.array(*n).alias("z"))) for c, n in cells.items()]
+    flat = flat.select("panel", "date_filed", F.trunc("date_filed", "QUARTER").alias("quarter"), "industry", F.explode(F.filter(F.array(*each), lambda m: m.isNotNull())).alias("x"))
+    return flat.select("panel", "date_filed", "quarter", "industry", "x.cell", "x.z")
+
+
+def _cuts(rows: DataFrame, k: int, by: list[str], name: str) -> DataFrame:
+    """``(by..., name)``: the cuts of each place of ``z``, by its number."""
+    cuts = selection.quantiles(rows, {str(i): F.get("z", F.lit(i)) for i in range(k)}, [LOW, HIGH], by)
+    return cuts.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct(F.col("variable").cast("int"), "cuts"))).alias(name))
+
+
+def quarterly_fits(panel: DataFrame, cells: dict[str, tuple[str, str]], controls: Sequence[str], settings: Sequence[Setting] = GRID, both: bool = False, panels: Mapping[str, Variant] | None = None, dummies: Sequence[str] = ("nasdaq",)) -> DataFrame:
+    """A row per panel, cell, setting, quarter and variable of ``panel(date_filed, industry, ...)``.
+
+    A column ``panel``, if there, names several panels, each fitted alone; or ``panels`` says which rows each one has.
+    ``cells``: name to (outcome, main variable). Rows with a missing input go first; then outcome, main variable and
+    controls but ``dummies`` are winsorized over the rows left or within each quarter. ``both``: also without industries.
+
+    Rows become sums and products by (panel, cell, way of winsorizing and weighing, quarter, industry), added up in the
+    tasks: no row of the panel is moved, and a fit solves a small matrix. Ties in dates weigh as they do in the
+    settings; quarters with too few rows have no fit; an empty panel gives no rows.
     """
-    arms = [s for s in settings] + ([Setting(**(asdict(s) | {"industries": False})) for s in settings] if both else [])
-    needed = {cell: [*dict.fromkeys((y, main, *controls))] for cell, (y, main) in cells.items()}
-    smooth = {cell: [c for c in n if c != "nasdaq"] for cell, n in needed.items()}
-    every = [*dict.fromkeys(c for n in needed.values() for c in n)]
-    name = F.col("panel") if "panel" in panel.columns else F.lit("default")
-    rows = panel.where("industry IS NOT NULL AND date_filed IS NOT NULL").select(name.alias("panel"), "date_filed", F.col("industry").cast("long").alias("industry"), F.trunc("date_filed", "QUARTER").alias("quarter"), *(F.col(c).cast("double").alias(c) for c in every))
-    at = F.array(F.lit(0.01), F.lit(0.99))
-    cuts = rows.groupBy("panel").agg(F.array(*(F.percentile(F.when(_sound(needed[k]), F.col(c)), at) for k in cells for c in smooth[k])).alias("__cuts"))
-    wide = rows.join(F.broadcast(cuts), "panel")  # one row a panel
-
-    def fit(g: pd.DataFrame) -> pd.DataFrame:
-        own, out = iter(g["__cuts"].iloc[0]), []
-        for cell, (y, main) in cells.items():
-            whole = g[["date_filed", "industry", *needed[cell]]].dropna()
-            clipped, x = whole.copy(), [main, *(c for c in controls if c != main)]
-            for c, bounds in zip(smooth[cell], own, strict=False):
-                if bounds is not None and len(clipped):
-                    clipped[c] = clipped[c].clip(*bounds)
-            for s in arms:
-                found = fit_quarter(clipped if s.winsor == "full" else whole, y, x, smooth[cell], s)
-                if found is not None:
-                    out += [(g["panel"].iloc[0], cell, s.name, s.industries, g["quarter"].iloc[0], found["n"], found["r2"], v, b) for v, b in zip(x, found["betas"], strict=True)]
-        return pd.DataFrame(out, columns=[c.split()[0] for c in FIT.split(", ")])
-
-    return wide.groupBy("panel", "quarter").applyInPandas(fit, FIT)
+    needed = {cell: [y, main, *(c for c in dict.fromkeys(controls) if c != main)] for cell, (y, main) in cells.items()}
+    k = max(map(len, needed.values()))
+    smooth = {cell: [i for i, c in enumerate(n) if c not in dummies] for cell, n in needed.items()}
+    kinds = [*dict.fromkeys((s.winsor, s.weight, s.thin if s.weight else 0) for s in settings)]
+    rows = _melted(panel, needed, panels)
+    at = lambda i: F.get("z", F.lit(i))
+    own = ["panel", "cell"]
+    centre = rows.groupBy(*own).agg(F.array(*(F.avg(at(i)) for i in range(k))).alias("shift"), F.array(*(F.coalesce(F.nullif(F.stddev_pop(at(i)), F.lit(0.0)), F.lit(1.0)) for i in range(k))).alias("scale"))
+    centre = selection.saved(centre)
+    wide = rows.join(F.broadcast(centre), own)  # one row for each panel and cell
+    for name, by in (("full", own), ("quarter", [*own, "quarter"])):
+        if any(w == name for w, _, _ in kinds):
+            cuts = _cuts(rows, k, by, f"cuts_{name}")
+            wide = wide.join(F.broadcast(cuts) if name == "full" else cuts, by)
+    is_smooth = {i: F.col("cell").isin([c for c, own_places in smooth.items() if i in own_places]) for i in range(k)}
+
+    def value(i: int, winsor: str) -> Column:
+        x = at(i)
+        if winsor != "none":
+            pair = F.col(f"cuts_{winsor}")[i]
+            x = F.when(is_smooth[i], clipped(x, pair[0], pair[1])).otherwise(x)
+        return (x - F.col("shift")[i]) / F.col("scale")[i]
+
+    each = [F.struct(F.lit(j).alias("kind"), F.when(F.lit(weight), F.col("date_filed")).alias("day"), F.array(*(value(i, winsor) for i in range(k))).alias("v")) for j, (winsor, weight, _) in enumerate(kinds)]
+    flat = wide.select("panel", "cell", "quarter", "industry", F.explode(F.array(*each)).alias("x")).select("panel", "cell", "quarter", "industry", "x.kind", "x.day", *(F.col("x.v")[i].alias(f"v{i}") for i in range(k)))
+    names = [f"s{i}" for i in range(k)] + [f"p{i}_{j}" for i in range(k) for j in range(i, k)]
+    sums = [F.sum(f"v{i}").alias(f"s{i}") for i in range(k)] + [F.sum(F.col(f"v{i}") * F.col(f"v{j}")).alias(f"p{i}_{j}") for i in range(k) for j in range(i, k)]
+    fit = ["panel", "cell", "kind", "quarter"]
+    daily = flat.groupBy(*fit, "industry", "day").agg(F.count("*").alias("n"), *sums)
+    if any(weight for _, weight, _ in kinds):
+        least = F.create_map(*(F.lit(x) for j, (_, _, thin) in enumerate(kinds) for x in (j, thin)))
+        daily = daily.withColumn("own", F.sum("n").over(Window.partitionBy(*fit, "industry"))).withColumn("most", F.sum("n").over(Window.partitionBy(*fit)))
+        daily = daily.withColumn("thick", F.col("own") >= least[F.col("kind")])
+        day = F.sum(F.when(F.col("thick"), F.col("n")).otherwise(0)).over(Window.partitionBy(*fit, "day"))
+        share = F.when(F.col("day").isNull(), 1.0).otherwise(1.0 / F.greatest(day, F.lit(1)))
+        daily = daily.withColumn("share", share)
+    else:
+        daily = daily.withColumn("share", F.lit(1.0))
+    groups = daily.groupBy(*fit, "industry").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("share")).alias("w"), *(F.sum(F.col(c) * F.col("share")).alias(c) for c in names))
+    # Ways of fitting: which sums, the least industry, with industries or without; settings that differ later share one.
+    ways = [*dict.fromkeys((kinds.index((s.winsor, s.weight, s.thin if s.weight else 0)), s.thin, e) for s in settings for e in ({s.industries, False} if both else {s.industries}))]
+    some = F.filter(F.array(*(F.struct(F.lit(j).alias("kind"), F.lit(thin).alias("thin"), F.lit(e).alias("industries")) for j, thin, e in ways)), lambda x: x["kind"] == F.col("kind"))
+    armed = groups.withColumn("way", F.explode(some)).withColumn("thick", F.col("n") >= F.col("way.thin"))
+    kept = lambda c: F.sum(F.when(F.col("thick"), F.col(c)))
+    held = F.collect_list(F.when(F.col("thick"), F.struct("industry", "w", F.array(*names[:k]).alias("s"))))  # as many as a quarter has industries
+    fits = armed.groupBy(*fit, "way.thin", "way.industries").agg(F.sum("n").alias("before"), kept("n").alias("n"), F.array_sort(held).alias("groups"), F.array(*map(kept, names[k:])).alias("second"))
+    fits = fits.where("n >= 1").join(F.broadcast(centre), own)
+    shape = "panel string, cell string, kind int, thin int, industries boolean, quarter date, before long, n long, r2 double, betas array<double>"
+    lengths = {c: len(n) for c, n in needed.items()}
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                m = lengths[r["cell"]]
+                use = [i * k - i * (i - 1) // 2 + j - i for i in range(m) for j in range(i, m)]
+                beta, r2 = solved(r["n"], [(g["w"], g["s"][:m]) for g in r["groups"]], [r["second"][u] for u in use], np.array(r["shift"][:m]), np.array(r["scale"][:m]), r["industries"])
+                out.append({**{c: r[c] for c in ("panel", "cell", "kind", "thin", "industries", "quarter", "before", "n")}, "r2": float(r2), "betas": beta.tolist()})
+            yield pa.RecordBatch.from_pylist(out, batch_schema)
+
+    kinds_of = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "date": pa.date32(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}
+    batch_schema = pa.schema([(c.split()[0], kinds_of[c.split()[1]]) for c in shape.split(", ")])
+    done = fits.mapInArrow(solve, shape)
+    arms = F.array(*(F.struct(F.lit(s.name).alias("setting"), F.lit(kinds.index((s.winsor, s.weight, s.thin if s.weight else 0))).alias("kind"), F.lit(s.thin).alias("thin"), F.lit(s.min_obs).alias("least"), F.lit(s.industries).alias("industries")) for s in settings))
+    fitting = lambda a: (a["kind"] == F.col("kind")) & (a["thin"] == F.col("thin")) & (F.least("before", "n") >= a["least"]) & (F.lit(both) & ~F.col("industries") | (a["industries"] == F.col("industries")))
+    variables = F.create_map(*(x for c, n in needed.items() for x in (F.lit(c), F.array(*map(F.lit, n[1:])))))
+    long = done.withColumn("arm", F.explode(F.filter(arms, fitting))).select("*", F.posexplode("betas").alias("i", "beta"))
+    return long.select("panel", "cell", "arm.setting", "industries", "quarter", "n", F.nanvl("r2", F.lit(None).cast("double")).alias("r2"), F.get(variables[F.col("cell")], F.col("i")).alias("variable"), "beta")
 
 
 def newey_west(fits: DataFrame, keys: Sequence[str], lags: str = "lags", weighted: str = "ts_weight") -> DataFrame:
@@ -149,23 +253,14 @@ def newey_west(fits: DataFrame, keys: Sequence[str], lags: str = "lags", weighte
     return sums.withColumn("t", F.when(F.col("se") > 0, F.col("coef") / F.col("se")))
 
 
-def fama_macbeth(panel: DataFrame, cells: dict[str, tuple[str, str]], controls: Sequence[str], settings: Sequence[Setting] = GRID, both: bool = False) -> DataFrame:
-    """Every coefficient of every cell and setting, in one grouped job and one windowed aggregation."""
-    fits = quarterly_fits(panel, cells, controls, settings, both)
+def fama_macbeth(panel: DataFrame, cells: dict[str, tuple[str, str]], controls: Sequence[str], settings: Sequence[Setting] = GRID, both: bool = False, panels: Mapping[str, Variant] | None = None) -> DataFrame:
+    """Every coefficient of every panel, cell and setting, in one table of moments and one windowed aggregation."""
+    fits = quarterly_fits(panel, cells, controls, settings, both, panels)
     rows = [(s.name, s.lags, s.ts_weight) for s in settings]
     how = panel.sparkSession.createDataFrame(rows, "setting string, lags int, ts_weight boolean")
     return newey_west(fits.join(F.broadcast(how), "setting"), ["panel", "cell", "setting", "industries", "variable"])
 
 
-def variants(panels: dict[str, DataFrame]) -> DataFrame:
-    """Several panels of the same columns as one, told apart by the column ``panel``: their fits are one grouped job."""
-    out = None
-    for name, df in panels.items():
-        named = df.withColumn("panel", F.lit(name))
-        out = named if out is None else out.unionByName(named)
-    return out
-
-
 @F.pandas_udf(T.DoubleType())
 def p_value(t: pd.Series) -> pd.Series:
     """Two-sided p of a t statistic under the normal distribution."""
