@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonequarry.functions.columns import log_floor, month_start, previous_quarter_end
-from tonequarry.operators import eventtime, links, rows, stats
+from tonequarry.operators import eventtime, links, regress, rows, stats
 
 
 @dataclass(frozen=True)
@@ -24,6 +25,21 @@ class Options:
     as_of_days: int = 400
     use_history: bool = True
     sic_source: str = "crsp"
+    positive_only: bool = False
+
+
+#: The panels of the robustness grid: runs of the study that differ in one option.
+_BASE = Options(share_codes=(10, 11, 12), use_history=False)
+VARIANTS = {
+    "default": _BASE,
+    "dict_pos_only": replace(_BASE, positive_only=True),
+    "link_with_comphist": replace(_BASE, use_history=True),
+    "shrcd_10_11": replace(_BASE, share_codes=(10, 11)),
+    "shrcd_10_11_12_18": replace(_BASE, share_codes=(10, 11, 12, 18)),
+    "sic_sich": replace(_BASE, sic_source="sich"),
+    "sic_sic": replace(_BASE, sic_source="sic"),
+    "sic_header": replace(_BASE, sic_source="header_static"),
+}
 
 
 #: Which codes an industry comes from, the first that isn't null.
@@ -48,21 +64,31 @@ def survivors(manifest: DataFrame, o: Options) -> tuple[DataFrame, DataFrame, Da
     return forms, first, eventtime.gap_filter(first, o.gap_days)
 
 
-def flagged(filings: DataFrame, fundamentals: DataFrame, history: DataFrame | None, monthly: DataFrame, daily: DataFrame, words: DataFrame, o: Options) -> DataFrame:
-    """Filings with a flag per later filter and the attributes that those need: one lazy plan, no filter applied."""
+def attributes(filings: DataFrame, fundamentals: DataFrame, history: DataFrame | None, monthly: DataFrame, daily: DataFrame, words: DataFrame, o: Options, variables: bool = False) -> DataFrame:
+    """Filings with what the later filters ask for, and the event variables if asked: one lazy plan, no filter applied."""
     out = links.linked(filings, fundamentals, history if o.use_history else None).withColumn("yrmon", month_start(F.col("date_filed")))
     month = rows.first_by(monthly, ["permno", "yrmon"], [F.col("prc").asc_nulls_last()])
     out = links.as_of(out, month, "permno", "accession", "yrmon", ["shrcd", "exchcd", "siccd", "prc"], o.as_of_days, "shrcd")
     days = eventtime.trading_days(daily)
-    found = eventtime.checks(eventtime.event_days(out, days), days)
+    events = eventtime.event_days(out, days)
+    found = eventtime.checks(events, days)
+    if variables:
+        found = found.join(eventtime.variables(events, days), "accession")
     out = out.join(found, "accession", "left")
     year = fundamentals.where("be > 0 AND bm IS NOT NULL AND mkt_value IS NOT NULL").select("gvkey", (F.col("fyear") + 1).alias("filing_year"), "bm", "mkt_value")
     year = rows.first_by(year, ["gvkey", "filing_year"], ["bm", "mkt_value"])
     out = out.join(year, ["gvkey", "filing_year"], "left")
     enough = words.where(F.col("ok") & (F.col("n_words") >= o.least_words)).select("accession", F.lit(True).alias("enough_words")).distinct()
-    out = out.join(enough, "accession", "left")
+    return out.join(enough, "accession", "left")
+
+
+def flags_of(o: Options) -> dict[str, Column]:
+    """The later filters of one set of options, over the columns of ``attributes``; a null is no."""
+    linked = F.col("permno").isNotNull()
+    if not o.use_history:
+        linked = linked & (F.col("match_source") != "comphist")
     flags = {
-        "linked": F.col("permno").isNotNull(),
+        "linked": linked,
         "share_code": F.col("shrcd").isin(*o.share_codes),
         "market_cap": F.col("prc").isNotNull(),
         "price": F.col("price_before") >= o.least_price,
@@ -72,7 +98,13 @@ def flagged(filings: DataFrame, fundamentals: DataFrame, history: DataFrame | No
         "book_to_market": F.col("bm").isNotNull(),
         "words": F.col("enough_words"),
     }
-    return out.select("*", *(F.coalesce(c, F.lit(False)).alias(f"f_{n}") for n, c in flags.items()))
+    return {n: F.coalesce(c, F.lit(False)) for n, c in flags.items()}
+
+
+def flagged(filings: DataFrame, fundamentals: DataFrame, history: DataFrame | None, monthly: DataFrame, daily: DataFrame, words: DataFrame, o: Options) -> DataFrame:
+    """Filings with a flag per later filter and the attributes that those need: one lazy plan, no filter applied."""
+    out = attributes(filings, fundamentals, history, monthly, daily, words, o)
+    return out.select("*", *(c.alias(f"f_{n}") for n, c in flags_of(o).items()))
 
 
 FLAGS = tuple(f"f_{n}" for n in ("linked", "share_code", "market_cap", "price", "event_window", "exchange", "pre_post", "book_to_market", "words"))
@@ -103,3 +135,36 @@ def panel(sample: DataFrame, daily: DataFrame, counts: DataFrame, scores: DataFr
         log_floor(F.col("size_b"), 1e-6).alias("log_size"), log_floor(F.col("bm"), 1e-6).alias("log_bm"), log_floor(F.col("turnover"), 1e-9).alias("log_turnover"),
         (F.coalesce("exchcd", F.lit(-1)) == 3).cast("int").alias("nasdaq"),
     )
+
+
+def grid_panels(sample: DataFrame, scores: DataFrame, positive: Mapping[str, str], ownership: DataFrame, industries: DataFrame, fundamentals: DataFrame, monthly: DataFrame, options: Mapping[str, Options]) -> tuple[DataFrame, dict[str, regress.Variant]]:
+    """The rows of all panels of a grid, each once, and what each panel takes of them.
+
+    ``sample``: ``attributes`` with event variables, under options that allow all that any panel does. A panel's rows
+    are those that pass its own filters; its industry is that of its policy; with the positive rule the scores named
+    in ``positive`` stand for those that they are named after.
+    """
+    out = sample.join(scores, "accession", "left")
+    out = out.withColumn("yqtr", previous_quarter_end(F.col("date_filed"))).join(ownership, ["permno", "yqtr"], "left")
+    codes = fundamentals.select("gvkey", (F.col("fyear") + 1).alias("filing_year"), "sic", "sich")
+    codes = rows.first_by(codes, ["gvkey", "filing_year"], [F.col("sich").asc_nulls_last(), F.col("sic").asc_nulls_last()])
+    out = out.join(codes, ["gvkey", "filing_year"], "left").join(last_known(monthly), "permno", "left")
+    dense = links.dense_ranges(industries, "low", "high", "industry", "line")
+    for k in dict.fromkeys(o.sic_source for o in options.values()):
+        out = links.range_lookup(out, industry_code(k), dense, "industry", 49).withColumnRenamed("industry", f"industry_{k}")
+    member = {n: _all(list(flags_of(o).values())) for n, o in options.items()}
+    names = [c for c in scores.columns if c != "accession"]
+    rows_of = out.select(
+        "date_filed", "excret", "alpha", "inst_own", *names, *(c for c in out.columns if c.startswith("industry_")), F.array(*member.values()).alias("member"),
+        log_floor(F.col("size_b"), 1e-6).alias("log_size"), log_floor(F.col("bm"), 1e-6).alias("log_bm"), log_floor(F.col("turnover"), 1e-9).alias("log_turnover"),
+        (F.coalesce("exchcd", F.lit(-1)) == 3).cast("int").alias("nasdaq"),
+    )
+    swap = {n: {a: F.col(b) for a, b in positive.items()} if o.positive_only else {} for n, o in options.items()}
+    return rows_of, {n: regress.Variant(F.col("member")[i], {"industry": F.col(f"industry_{o.sic_source}"), **swap[n]}) for i, (n, o) in enumerate(options.items())}
+
+
+def _all(conditions: Sequence[Column]) -> Column:
+    out = F.lit(True)
+    for c in conditions:
+        out = out & c
+    return out

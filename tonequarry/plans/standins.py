@@ -57,6 +57,11 @@ STANDINS = {
     "changes": """
         SELECT user_id % 40 AS accession, CAST(event_id AS BIGINT) AS seq, event_type AS status, CAST(user_id AS BIGINT) AS cik, round(value, 2) AS size FROM {events}""",
     "log": "SELECT accession, 0 AS seq, min(status) AS status, min(cik) AS cik, CAST(0 AS DOUBLE) AS size FROM {changes} WHERE accession < 20 GROUP BY accession",
+    "scores": """
+        SELECT o_orderkey AS accession, round(100.0 * (o_orderkey * 37 % 29) / 200, 6) AS tone, round(100.0 * (o_orderkey * 37 % 29 - o_orderkey * 37 % 29 % 3) / 200, 6) AS tone_positive,
+               round((o_orderkey * 53 % 97) / 97.0, 6) AS tfidf, round((o_orderkey * 53 % 97 - o_orderkey % 5) / 97.0, 6) AS tfidf_positive,
+               CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE round(100.0 * (o_orderkey * 31 % 23) / 150, 6) END AS section_tone, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE round((o_orderkey * 59 % 89) / 89.0, 6) END AS section_tfidf
+        FROM {orders}""",
     "inst_own": """
         SELECT permno, CAST(date_trunc('quarter', date) AS DATE) AS yqtr, round(sum(vol) / 100000, 6) AS inst_own FROM {bars}
         GROUP BY permno, CAST(date_trunc('quarter', date) AS DATE)""",

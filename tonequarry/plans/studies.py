@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import tempfile
 import uuid
 
@@ -134,66 +135,148 @@ def _(t: Tables) -> DataFrame:
 
 #: Cells of the tables: outcome and main variable.
 TABLE_CELLS = {"return_tone": ("excret", "tone"), "return_tfidf": ("excret", "tfidf"), "size_tone": ("log_size", "tone"), "size_tfidf": ("log_size", "tfidf")}
-#: Setting name: (rows that a quarter needs, whether dates weigh once, whether quarters are weighted, least industry, lags).
-SQL_SETTINGS = {"A": (30, False, True, 0, 1), "B": (30, False, False, 0, 1), "C": (30, True, False, 0, 1), "E": (50, False, True, 0, 1), "G": (30, False, True, 0, 3), "H": (30, False, True, 0, 6), "K": (30, False, True, 5, 1)}
-
-
-def _grid_sql(settings: dict[str, tuple], cells: dict[str, tuple[str, str]], panels: dict[str, str]) -> str:
-    """Slopes of one variable with industry effects, by the difference from (weighted) industry means, and their averages."""
-    arms = ", ".join(f"('{s}', {v[0]}, {v[1]}, {v[2]}, {v[3]}, {v[4]})" for s, v in settings.items())
-    melted = " UNION ALL ".join(f"SELECT '{p}' AS panel, '{c}' AS cell, quarter, date_filed, industry, {y} AS y, {x} AS x FROM p WHERE {where} AND {y} IS NOT NULL" for p, where in panels.items() for c, (y, x) in cells.items())
-    lag = lambda k: f"CASE WHEN lags >= {k} THEN 2 * (1 - {k} / (lags + 1)) * u * coalesce(lag(u, {k}) OVER w, 0) ELSE 0 END"
-    most = max(v[4] for v in settings.values())
-    return f"""{PANEL}, arms(setting, least, weight, ts_weight, thin, lags) AS (VALUES {arms}), melted AS ({melted}),
-        big AS (SELECT *, count(*) OVER (PARTITION BY panel, cell, setting, quarter) AS n0, count(*) OVER (PARTITION BY panel, cell, setting, quarter, industry) AS ni FROM melted, arms),
+OWN = "panel, cell, setting, industries"
+
+
+def _grid_sql(source: str, settings: list[regress.Setting], cells: dict[str, tuple[str, str]], controls: list[str] | None = None, panels: dict[str, tuple[str, dict[str, str]]] | None = None, both: bool = True) -> str:
+    """Coefficients with industry effects and their averages, from rows ``p`` that ``source`` ends with.
+
+    All columns less their (weighted) industry means; then Gauss-Jordan elimination of their products, one regressor
+    after the other. ``panels``: name to (which rows, columns replaced).
+    """
+    controls = controls or []
+    k = 2 + len(controls)
+    z = range(k)
+    columns = lambda c, how: [how.get(x, x) for x in (*cells[c], *controls)]
+    melted = " UNION ALL ".join(
+        f"SELECT '{p}' AS panel, '{c}' AS cell, quarter, date_filed, {how.get('industry', 'industry')} AS industry, {', '.join(f'{x}::DOUBLE AS z{i}' for i, x in enumerate(columns(c, how)))} FROM p WHERE ({where}) AND {' AND '.join(f'{x} IS NOT NULL' for x in columns(c, how))}"
+        for p, (where, how) in (panels or {"default": ("true", {})}).items() for c in cells
+    )
+    kinds = list(dict.fromkeys(s.winsor for s in settings))
+    flat = [i for i in z if i >= 2 and controls[i - 2] == "nasdaq"]
+    cut = ", ".join(f"quantile_cont(z{i}, 0.01) AS l{i}, quantile_cont(z{i}, 0.99) AS h{i}" for i in z)
+    clip = ", ".join(f"z{i}" if i in flat else f"least(greatest(z{i}, l{i}), h{i}) AS z{i}" for i in z)
+    ways = {
+        "full": f"SELECT panel, cell, quarter, date_filed, industry, 'full' AS winsor, {clip} FROM melted JOIN (SELECT panel, cell, {cut} FROM melted GROUP BY ALL) USING (panel, cell)",
+        "quarter": f"SELECT panel, cell, quarter, date_filed, industry, 'quarter' AS winsor, {clip} FROM melted JOIN (SELECT panel, cell, quarter, {cut} FROM melted GROUP BY ALL) USING (panel, cell, quarter)",
+        "none": f"SELECT panel, cell, quarter, date_filed, industry, 'none' AS winsor, {', '.join(f'z{i}' for i in z)} FROM melted",
+    }
+    arms = ", ".join(f"('{s.name}', {s.min_obs}, '{s.winsor}', {s.weight}, {s.ts_weight}, {s.thin}, {s.lags})" for s in settings)
+    pairs = [(i, j) for i in z for j in z]
+    steps, last = [], "q0"
+    for p in range(1, k):  # column 0 is the outcome
+        changed = [f"a{p}_{j} / nullif(a{p}_{p}, 0) AS a{i}_{j}" if i == p else f"a{i}_{j} - a{i}_{p} * a{p}_{j} / nullif(a{p}_{p}, 0) AS a{i}_{j}" for i in range(1, k) for j in z]
+        steps.append(f"q{p} AS (SELECT {OWN}, quarter, lags, n, v, {', '.join(changed)} FROM {last})")
+        last = f"q{p}"
+    names = {c: [x, *controls] for c, (_, x) in cells.items()}
+    variable = lambda i: "CASE cell " + " ".join(f"WHEN '{c}' THEN '{n[i]}'" for c, n in names.items()) + " END"
+    betas = " UNION ALL ".join(f"SELECT {OWN}, quarter, lags, n, v, {variable(i - 1)} AS variable, a{i}_0 AS beta FROM {last}" for i in range(1, k if controls else 2))
+    lag = lambda i: f"CASE WHEN lags >= {i} THEN 2 * (1 - {i} / (lags + 1)) * u * coalesce(lag(u, {i}) OVER w, 0) ELSE 0 END"
+    key = f"{OWN}, variable"
+    return f"""{source}, arms(setting, least, winsor, weight, ts_weight, thin, lags) AS (VALUES {arms}), melted AS ({melted}), clipped AS ({" UNION ALL ".join(ways[x] for x in kinds)}),
+        big AS (SELECT *, count(*) OVER (PARTITION BY panel, cell, setting, quarter) AS n0, count(*) OVER (PARTITION BY panel, cell, setting, quarter, industry) AS ni FROM clipped JOIN arms USING (winsor)),
         thick AS (SELECT *, count(*) OVER (PARTITION BY panel, cell, setting, quarter) AS n1 FROM big WHERE n0 >= least AND ni >= thin),
         weighed AS (SELECT *, CASE WHEN weight THEN 1.0 / count(*) OVER (PARTITION BY panel, cell, setting, quarter, date_filed) ELSE 1.0 END AS g FROM thick WHERE n1 >= least),
-        fixed AS (SELECT *, unnest([true, false]) AS industries FROM weighed),
-        means AS (SELECT *, sum(g * y) OVER e / sum(g) OVER e AS my, sum(g * x) OVER e / sum(g) OVER e AS mx FROM fixed WINDOW e AS (PARTITION BY panel, cell, setting, quarter, industries, CASE WHEN industries THEN industry ELSE -1 END)),
-        q AS (SELECT panel, cell, setting, industries, quarter, any_value(lags) AS lags, count(*) AS n, sum(g * (x - mx) * (y - my)) / sum(g * (x - mx) * (x - mx)) AS beta, CASE WHEN any_value(ts_weight) THEN count(*) ELSE 1.0 END AS v
-              FROM means GROUP BY 1, 2, 3, 4, 5),
-        m AS (SELECT *, sum(v * beta) OVER k / sum(v) OVER k AS coef FROM q WINDOW k AS (PARTITION BY panel, cell, setting, industries)), d AS (SELECT *, v * (beta - coef) AS u FROM m),
-        z AS (SELECT *, u * u + {" + ".join(lag(k) for k in range(1, most + 1))} AS term FROM d WINDOW w AS (PARTITION BY panel, cell, setting, industries ORDER BY quarter))
-        SELECT panel, cell, setting, industries, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_quarters, round(any_value(coef), 4) AS coef, round(sqrt(greatest(sum(term), 0)) / sum(v), 4) AS se FROM z GROUP BY 1, 2, 3, 4"""
+        fixed AS (SELECT *, unnest([{"true, false" if both else "true"}]) AS industries FROM weighed),
+        means AS (SELECT {OWN}, quarter, lags, ts_weight, g, {", ".join(f"z{i} - sum(g * z{i}) OVER e / sum(g) OVER e AS r{i}" for i in z)} FROM fixed WINDOW e AS (PARTITION BY {OWN}, quarter, CASE WHEN industries THEN industry ELSE -1 END)),
+        q0 AS (SELECT {OWN}, quarter, any_value(lags) AS lags, count(*) AS n, CASE WHEN any_value(ts_weight) THEN count(*) ELSE 1.0 END AS v, {", ".join(f"sum(g * r{i} * r{j}) AS a{i}_{j}" for i, j in pairs)} FROM means GROUP BY {OWN}, quarter),
+        {", ".join(steps)}, betas AS ({betas}),
+        m AS (SELECT *, sum(v * beta) OVER k / sum(v) OVER k AS coef FROM betas WINDOW k AS (PARTITION BY {key})), away AS (SELECT *, v * (beta - coef) AS u FROM m),
+        z AS (SELECT *, u * u + {" + ".join(lag(i) for i in range(1, max(s.lags for s in settings) + 1))} AS term FROM away WINDOW w AS (PARTITION BY {key} ORDER BY quarter))
+        SELECT {key if controls else OWN}, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_quarters, round(any_value(coef), 4) AS coef, round(sqrt(greatest(sum(term), 0)) / sum(v), 4) AS se FROM z GROUP BY {key}"""
 
 
-def _settings(names: dict[str, tuple]) -> list[regress.Setting]:
-    return [regress.Setting(s, least, "none", weight, ts, thin, lags) for s, (least, weight, ts, thin, lags) in names.items()]
+def _digest(df: DataFrame, *more: str) -> DataFrame:
+    return df.select("panel", "cell", "setting", "industries", *more, "n", "n_quarters", F.round("coef", 4).alias("coef"), F.round(F.coalesce("se", F.lit(0.0)), 4).alias("se"))
 
 
-def _digest(df: DataFrame) -> DataFrame:
-    return df.select("panel", "cell", "setting", "industries", "n", "n_quarters", F.round("coef", 4).alias("coef"), F.round("se", 4).alias("se"))
+PLAIN = regress.Setting("A", winsor="none")
 
 
-@query("REG9_tables", _grid_sql({"A": SQL_SETTINGS["A"]}, TABLE_CELLS, {"default": "true"}))
+@query("REG9_tables", _grid_sql(PANEL, [PLAIN], TABLE_CELLS))
 def _(t: Tables) -> DataFrame:
     """REG6, REG8 and REG9: four cells, with and without industry effects."""
-    return _digest(regress.fama_macbeth(panel_of(t), TABLE_CELLS, [], _settings({"A": SQL_SETTINGS["A"]}), both=True))
+    return _digest(regress.fama_macbeth(panel_of(t), TABLE_CELLS, [], [PLAIN], both=True))
 
 
-#: Which rows each panel of the grid has, for both engines.
-PANELS = {"default": "true", "dict_pos_only": "tone <= 0.9", "link_with_comphist": "tone >= 0.05", "shrcd_10_11": "industry < 11", "shrcd_all": "industry < 12", "sic_crsp": "industry <> 3", "sic_sich": "industry <> 4", "sic_static": "industry <> 5"}
+#: The event variables as they are, for regressions, and the rows of ``panel_of`` with all of them.
+UNROUNDED = EXACT.replace("round(CASE WHEN n4 = 4 THEN (grown - market) * 100 END, 6)", "CASE WHEN n4 = 4 THEN (grown - market) * 100 END").replace("END, 4) AS alpha", "END AS alpha").replace("round(CASE WHEN n4 = 4 AND ev.before >= 60 AND nc >= 60", "CASE WHEN n4 = 4 AND ev.before >= 60 AND nc >= 60")
+LOGS = "CASE WHEN {v}.size_b IS NOT NULL THEN ln(greatest({v}.size_b, 0.000001)) END AS log_size, CASE WHEN {v}.turnover IS NOT NULL THEN ln(greatest({v}.turnover, 0.000000001)) END AS log_turnover"
+WHOLE_PANEL = f"""{TIME}, mo AS ({MOMENTS}), v AS ({UNROUNDED}),
+    p AS (SELECT f.date_filed, CAST(date_trunc('quarter', f.date_filed) AS DATE) AS quarter, f.cik % 12 AS industry, v.excret, v.alpha, {LOGS.replace("{v}", "v")}, CAST(f.permno % 4 = 3 AS INT) AS nasdaq,
+          round((f.accession * 37 % 101) / 101.0, 6) AS tone, round((f.accession * 53 % 97) / 97.0, 6) AS tfidf FROM {{filings}} f JOIN v ON v.accession = f.accession WHERE f.permno IS NOT NULL)"""
+REG7_CONTROLS = ["log_size", "log_turnover", "nasdaq"]
 
 
-@query("REG10_variant_panels", _grid_sql(SQL_SETTINGS, TABLE_CELLS, PANELS))
+@query("REG7_fama_macbeth", _grid_sql(WHOLE_PANEL, [regress.Setting("A")], CELL, REG7_CONTROLS))
 def _(t: Tables) -> DataFrame:
-    """The grid's settings without winsorizing, over eight panels and four cells."""
-    whole = panel_of(t)
-    panels = regress.variants({n: whole.where(w) for n, w in PANELS.items()})
-    return _digest(regress.fama_macbeth(panels, TABLE_CELLS, [], _settings(SQL_SETTINGS), both=True))
+    """All coefficients, with controls and winsorizing over the whole panel."""
+    return _digest(regress.fama_macbeth(panel_of(t), CELL, REG7_CONTROLS, [regress.Setting("A")], both=True), "variable")
 
 
-@query("REG7_fama_macbeth")
+GRID_CELLS = {f"{y}_{x}": (y, x) for y in ("excret", "alpha") for x in ("tone", "tfidf")}
+
+
+@query("REG10_variant_grid", _grid_sql(WHOLE_PANEL, list(regress.GRID), GRID_CELLS, ["log_size", "nasdaq"]))
+def _(t: Tables) -> DataFrame:
+    """All twelve settings of the grid: winsorizing, weights, least rows, lags, thin industries."""
+    return _digest(regress.fama_macbeth(panel_of(t), GRID_CELLS, ["log_size", "nasdaq"], both=True), "variable")
+
+
+@query("REG5_p_values", "SELECT o_orderkey, round(1 - 2 / sqrt(2 * pi()) * x / 600 * list_sum(list_transform(range(0, 201), lambda i: CASE WHEN i IN (0, 200) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-pow(x * i / 200, 2) / 2))), 6) AS p FROM (SELECT o_orderkey, o_orderkey % 601 / 100.0 AS x FROM orders)")
 def _(t: Tables) -> DataFrame:
-    """With controls and winsorizing, and p values (REG5)."""
-    out = regress.fama_macbeth(panel_of(t), CELL, ["log_size", "log_turnover", "nasdaq"], [regress.Setting("A")], both=True)
-    return rounded(out.withColumn("p", regress.p_value("t")))
+    """Two-sided p values of statistics from 0 to 6, in SQL by Simpson's rule."""
+    return t("orders").select("o_orderkey", F.round(regress.p_value((F.col("o_orderkey") % 601 / 100.0).cast("double")), 6).alias("p"))
+
+
+# --- panels of the grid ----------------------------------------------------------------------------------------------
+
+#: The stand-ins' prices and words are other than filings'.
+PANEL_OPTIONS = {n: dataclasses.replace(o, least_words=500, least_price=900.0) for n, o in pipeline.VARIANTS.items()}
+PANEL_CELLS = {"tone": ("excret", "tone"), "tfidf": ("excret", "tfidf"), "section_tone": ("excret", "section_tone"), "section_tfidf": ("excret", "section_tfidf")}
+PANEL_CONTROLS = ["log_size", "log_bm", "log_turnover", "alpha", "inst_own", "nasdaq"]
+POSITIVE = {"tone": "tone_positive", "tfidf": "tfidf_positive"}
+
+
+def _panels_source() -> str:
+    """Rows ``p`` of all panels, with a column for each option that panels differ in."""
+    linked = LINKED.replace("coalesce(a1.gvkey, c1.gvkey) AS gvkey", "coalesce(a1.gvkey, c1.gvkey) AS gvkey, a1.gvkey IS NOT NULL AS direct")
+    months = MONTHLY.replace("END AS prc", "END AS prc, CASE WHEN m.yrmon = l.yrmon OR m.shrcd IS NOT NULL THEN m.siccd END AS siccd")
+    codes = {"crsp": "m.siccd, u.sich, u.sic", "sich": "u.sich, u.sic", "sic": "u.sic", "header_static": "st.s, m.siccd, u.sich, u.sic"}
+    return f"""WITH a AS (SELECT * FROM {{filings}} WHERE form_type IN ('10-K', '10-K405')), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cik, filing_year ORDER BY date_filed, accession) AS kk FROM a) WHERE kk = 1),
+        c AS (SELECT * FROM (SELECT *, date_filed - lag(date_filed) OVER (PARTITION BY cik ORDER BY date_filed, accession) AS gap FROM b) WHERE gap IS NULL OR gap >= 180),
+        {linked}, {months}, days AS ({DAYS}), ev AS ({EVENTS.replace("{filings}", "linked")}), span AS ({SPAN}), ck AS ({CHECKS}), checked AS ({CHECKED}), mo AS ({MOMENTS}), v AS ({UNROUNDED}), dn AS ({DENSE}),
+        st AS (SELECT permno, max_by(siccd, yrmon) AS s FROM {{monthly}} WHERE siccd IS NOT NULL AND yrmon <= DATE '2008-12-31' GROUP BY permno),
+        yr AS (SELECT gvkey, fyear + 1 AS filing_year, min(bm) AS bm FROM {{fundamentals}} WHERE be > 0 AND bm IS NOT NULL AND mkt_value IS NOT NULL GROUP BY 1, 2),
+        p AS (SELECT l.date_filed, CAST(date_trunc('quarter', l.date_filed) AS DATE) AS quarter, l.direct, m.shrcd, v.excret, v.alpha, o.inst_own, sc.* EXCLUDE (accession), {LOGS.replace("{v}", "v")}, ln(greatest(yr.bm, 0.000001)) AS log_bm,
+                     CAST(coalesce(m.exchcd, -1) = 3 AS INT) AS nasdaq, {", ".join(f"coalesce(d_{k}.industry, 49) AS industry_{k}" for k in codes)}
+              FROM linked l JOIN months m ON m.accession = l.accession JOIN checked k ON k.accession = l.accession JOIN v ON v.accession = l.accession JOIN yr ON yr.gvkey = l.gvkey AND yr.filing_year = l.filing_year
+              JOIN {{scores}} sc ON sc.accession = l.accession LEFT JOIN {{inst_own}} o ON o.permno = l.permno AND o.yqtr = CAST(date_trunc('quarter', CAST(date_trunc('quarter', l.date_filed) AS DATE) - 1) AS DATE)
+              LEFT JOIN {{fundamentals}} u ON u.gvkey = l.gvkey AND u.fyear = l.filing_year - 1 LEFT JOIN st ON st.permno = l.permno
+              {" ".join(f"LEFT JOIN dn d_{k} ON d_{k}.code = coalesce({c})" for k, c in codes.items())}
+              WHERE l.permno IS NOT NULL AND m.prc IS NOT NULL AND price_before >= 900 AND ev_ok AND m.exchcd IN (1, 2, 3) AND pre_post_ok AND l.accession % 3 <> 0 AND l.accession % 2000 >= 500)"""
+
+
+def _panels_where() -> dict[str, tuple[str, dict[str, str]]]:
+    of = lambda o: f"shrcd IN ({', '.join(map(str, o.share_codes))})" + ("" if o.use_history else " AND direct")
+    return {n: (of(o), {"industry": f"industry_{o.sic_source}", **(POSITIVE if o.positive_only else {})}) for n, o in PANEL_OPTIONS.items()}
+
+
+def grid_panels(t: Tables) -> tuple[DataFrame, dict[str, regress.Variant]]:
+    """The eight panels of the grid, from one funnel under options that allow all of them."""
+    o = dataclasses.replace(PANEL_OPTIONS["default"], use_history=True)
+    kept = pipeline.survivors(t("filings").select("accession", "cik", "date_filed", "form_type"), o)[2]
+    words = t("orders").select(F.col("o_orderkey").alias("accession"), (F.col("o_orderkey") % 3 != 0).alias("ok"), (F.col("o_orderkey") % 2000).alias("n_words"))
+    sample = pipeline.attributes(kept, t("fundamentals"), t("history"), t("monthly"), t("daily"), words, o, True)
+    ownership = t("inst_own").select("permno", C.quarter_end(F.col("yqtr")).alias("yqtr"), "inst_own")
+    return pipeline.grid_panels(sample, t("scores"), POSITIVE, ownership, t("ranges"), t("fundamentals"), t("monthly"), PANEL_OPTIONS)
 
 
-@query("REG10_variant_grid")
+@query("REG10_variant_panels", _grid_sql(_panels_source(), list(regress.GRID), PANEL_CELLS, PANEL_CONTROLS, _panels_where()))
 def _(t: Tables) -> DataFrame:
-    cells = {f"{y}_{x}": (y, x) for y in ("excret", "alpha") for x in ("tone", "tfidf")}
-    return rounded(regress.fama_macbeth(panel_of(t), cells, ["log_size", "nasdaq"], both=True))
+    """The whole grid: eight panels, four cells, twelve settings, with and without industries, six controls."""
+    rows_of, panels = grid_panels(t)
+    return _digest(regress.fama_macbeth(rows_of, PANEL_CELLS, PANEL_CONTROLS, both=True, panels=panels), "variable")
 
 
 # --- sections --------------------------------------------------------------------------------------------------------
