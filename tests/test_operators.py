@@ -91,6 +91,22 @@ def test_windows_against_loops(spark, before):
         assert v.turnover is None and v.alpha is None
 
 
+def test_bars_are_moved_once(spark):
+    """One exchange and no join, whether or not a side is small enough to broadcast."""
+    data = bars(80)
+    days = eventtime.trading_days(spark.createDataFrame(data, BARS))
+    f = spark.createDataFrame([(1, 1, data[70][1])], "accession long, permno long, date_filed date")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for size in ("-1", "10m"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+            for df in (eventtime.checks(f, days), eventtime.variables(f, days)):
+                plan = df._jdf.queryExecution().sparkPlan().toString() + df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+                assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_nulls_propagate(spark):
     data = bars(400, null_vol={200}, null_market={301})
     f = spark.createDataFrame([(1, 1, data[300][1]), (2, 1, D(2030, 1, 1)), (3, 9, D(2000, 1, 1))], "accession long, permno long, date_filed date")

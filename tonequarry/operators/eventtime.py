@@ -1,9 +1,10 @@
 """Event time: trading-day numbers, event days and all window variables from running sums.
 
 A trading day is the number of a security's row among those with a return. A filing's event day is the first row on or
-after its date. What a window holds is the difference of two running sums, so each filing looks up a handful of days by
-(security, day), however long its windows are. Everything is dealt by security once: the joins and the grouping by
-filing need no other exchange.
+after its date. What a window holds is the difference of two running sums, so each filing looks up a handful of days,
+however long its windows are. Bars and filings are dealt by security once, together, and sorted by date: running sums
+give each filing its place; its lookups then stand among the bars, sorted by day, and take the values of the bar before
+them. There is no join, and bars are read and moved once. A security's rows are as many as the days that it was traded.
 """
 
 from __future__ import annotations
@@ -40,24 +41,34 @@ def event_days(filings: DataFrame, days: DataFrame) -> DataFrame:
     return counted.where("kind = 0").select("accession", "permno", F.col("date").alias("date_filed"), "before", "n_days")
 
 
-def running(days: DataFrame, sums: dict[str, Column]) -> DataFrame:
-    """The days with each column's sum up to and with the day, nulls being zero."""
-    w = Window.partitionBy("permno").orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return days.select("*", *(F.coalesce(F.sum(c).over(w), F.lit(0)).alias(n) for n, c in sums.items()))
+def looked_up(filings: DataFrame, days: DataFrame, columns: dict[str, Column], sums: dict[str, Column], slots: dict[str, tuple[Column, list[str]]], centred: dict[str, Column] | None = None) -> DataFrame:
+    """``(permno, accession, before, n_days)`` of the filings with a few days' values: ``slots`` is name to (day, names).
 
-
-def looked_up(events: DataFrame, days: DataFrame, slots: dict[str, tuple[Column, list[str]]]) -> DataFrame:
-    """Events with columns of a few days each: ``slots`` is name to (day, columns), which become ``name_column``.
-
-    A day before the first has nulls; days after the last are the last. One row per event and slot joins the days.
+    ``columns`` are of the days themselves and ``sums`` run up to and with the day, nulls being zero; ``centred`` are
+    columns less the security's mean, which sums may use, with the mean as ``m_<name>``. A day before the first has
+    nulls; days after the last are the last.
     """
+    centred = centred or {}
+    asking = filings.where("permno IS NOT NULL").select("permno", F.col("date_filed").alias("date"), F.lit(0).alias("kind"), "accession")
+    bars = days.select("permno", "date", F.lit(1).alias("kind"), *(c.alias(n) for n, c in {**columns, **centred}.items()), *(c.alias(n) for n, c in sums.items() if not centred))
+    rows = asking.unionByName(bars, allowMissingColumns=True)
+    whole = Window.partitionBy("permno")
+    order = whole.orderBy("date", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if centred:
+        rows = rows.select("*", *(F.avg(n).over(whole).alias(f"m_{n}") for n in centred)).select("*", *((F.col(n) - F.col(f"m_{n}")).alias(f"d_{n}") for n in centred))
+        rows = rows.select("*", *(c.alias(n) for n, c in sums.items()))
+    placed = rows.select("permno", "kind", "accession", *columns, *(f"m_{n}" for n in centred), F.sum("kind").over(order).alias("before"), F.sum("kind").over(whole).alias("n_days"), *(F.coalesce(F.sum(n).over(order), F.lit(0)).alias(n) for n in sums))
     names = list(slots)
-    day = F.explode(F.array(*(F.struct(F.lit(i).alias("slot"), F.least(at, F.col("n_days")).cast("int").alias("td")) for i, (at, _) in enumerate(slots.values()))))
-    each = events.select("accession", "permno", "before", "n_days", day.alias("x")).select("accession", "permno", "before", "n_days", "x.slot", "x.td")
-    wanted = sorted({c for _, columns in slots.values() for c in columns})
-    found = each.join(days.select("permno", "td", *wanted), ["permno", "td"], "left")
-    values = [F.max(F.when(F.col("slot") == names.index(n), F.col(c))).alias(f"{n}_{c}") for n, (_, columns) in slots.items() for c in columns]
-    return found.groupBy("permno", "accession", "before", "n_days").agg(*values)
+    wanted = sorted({c for _, some in slots.values() for c in some})
+    lookup = F.array(*(F.struct(F.least(at, F.col("n_days")).cast("long").alias("td"), F.lit(i).alias("slot")) for i, (at, _) in enumerate(slots.values())))
+    itself = F.array(F.struct(F.col("before").alias("td"), F.lit(-1).alias("slot")))
+    values = F.when(F.col("kind") == 1, F.struct(*wanted)).alias("values")
+    each = placed.select("permno", "accession", "before", "n_days", values, F.explode(F.when(F.col("kind") == 0, lookup).otherwise(itself)).alias("x"))
+    each = each.select("permno", "accession", "before", "n_days", "values", "x.td", "x.slot")
+    by_day = whole.orderBy("td", "slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = each.withColumn("values", F.last("values", ignorenulls=True).over(by_day)).where("slot >= 0")
+    held = [F.max(F.when(F.col("slot") == names.index(n), F.col(f"values.{c}"))).alias(f"{n}_{c}") for n, (_, some) in slots.items() for c in some]
+    return found.groupBy("permno", "accession", "before", "n_days").agg(*held)
 
 
 def _between(column: str, low: str, high: str) -> Column:
@@ -65,13 +76,13 @@ def _between(column: str, low: str, high: str) -> Column:
     return F.coalesce(F.col(f"{high}_{column}"), F.lit(0)) - F.coalesce(F.col(f"{low}_{column}"), F.lit(0))
 
 
-def checks(events: DataFrame, days: DataFrame) -> DataFrame:
-    """``(accession, ev_ok, pre_post_ok, price_before)`` of every event.
+def checks(filings: DataFrame, days: DataFrame) -> DataFrame:
+    """``(accession, ev_ok, pre_post_ok, price_before)`` of ``filings(accession, permno, date_filed)`` with a security.
 
     The event window is offsets 0 to 3, all with a volume; before it, offsets -257 to -6 and after it 4 to 255 need 60
     rows with a volume each, and 65 rows must lie before the event day.
     """
-    summed = running(days, {"n_vol": (F.col("vol").isNotNull() & (F.col("vol") >= 0)).cast("int")}).withColumn("price", F.abs("prc"))
+    sums = {"n_vol": (F.col("vol").isNotNull() & (F.col("vol") >= 0)).cast("int")}
     before = F.col("before")
     slots = {
         "first": (before + FIRST, ["n_vol"]),
@@ -80,7 +91,7 @@ def checks(events: DataFrame, days: DataFrame) -> DataFrame:
         "event": (before + 1 + EVENT, ["n_vol"]),
         "last": (before + 1 + LAST, ["n_vol"]),
     }
-    found = looked_up(events, summed, slots)
+    found = looked_up(filings, days, {"price": F.abs("prc")}, sums, slots)
     ok = _between("n_vol", "eve", "event") == 1 + EVENT
     both = ok & (before >= LEAST_BEFORE) & (_between("n_vol", "first", "pre") >= LEAST_ROWS) & (_between("n_vol", "event", "last") >= LEAST_ROWS)
     return found.select("accession", ok.alias("ev_ok"), both.alias("pre_post_ok"), F.col("eve_price").alias("price_before"))
@@ -120,7 +131,7 @@ def _intercept(moments: pd.Series) -> pd.Series:
 FACTORS = ("mktrf", "smb", "hml")
 
 
-def variables(events: DataFrame, days: DataFrame, nasdaq: int = 3, halved_until: str = "2001-12-31") -> DataFrame:
+def variables(filings: DataFrame, days: DataFrame, nasdaq: int = 3, halved_until: str = "2001-12-31") -> DataFrame:
     """``(accession, excret, size_b, turnover, alpha)``; what can't be computed is null.
 
     excret: compounded return over offsets 0..3 less the market's, in percent; a null market return makes it null.
@@ -128,21 +139,15 @@ def variables(events: DataFrame, days: DataFrame, nasdaq: int = 3, halved_until:
     for one exchange up to a day; a null volume makes it null. alpha: the intercept on three factors, a year's worth.
     Moments are taken about each security's own means, so that differences of running sums lose no digits.
     """
-    ahead = Window.partitionBy("permno").orderBy("date")
-    grown = [F.lit(1.0), F.lit(1.0)]
-    for o in range(1 + EVENT):
-        grown = [g * (1 + (F.lead(c, o).over(ahead) if o else F.col(c))) for g, c in zip(grown, ("ret", "vwretd"), strict=True)]
     complete = F.lit(True)
     for c in ("ret", *FACTORS, "rf"):
         complete = complete & F.col(c).isNotNull()
     halved = F.when((F.col("exchcd") == nasdaq) & (F.col("date") <= F.lit(halved_until).cast("date")), F.col("vol") / 2).otherwise(F.col("vol"))
-    days = days.select("permno", "td", "date", "vol", (grown[0] - grown[1]).alias("gain"), (F.abs("prc") * F.col("shrout") / 1000).alias("size"), F.abs("shrout").alias("shares"), halved.alias("halved"), F.when(complete, F.col("ret") - F.col("rf")).alias("y"), *(F.when(complete, F.col(c)).alias(f"x{i}") for i, c in enumerate(FACTORS)))
-    own = Window.partitionBy("permno")
+    columns = {"grown": 1 + F.col("ret"), "market": 1 + F.col("vwretd"), "size": F.abs("prc") * F.col("shrout") / 1000, "shares": F.abs("shrout"), "no_vol": F.col("vol").isNull().cast("int"), "halved": halved}
+    centred = {"y": F.when(complete, F.col("ret") - F.col("rf"))} | {f"x{i}": F.when(complete, F.col(c)) for i, c in enumerate(FACTORS)}
     series = ["y", "x0", "x1", "x2"]
-    days = days.select("*", *(F.avg(c).over(own).alias(f"m_{c}") for c in series))
-    days = days.select("*", *((F.col(c) - F.col(f"m_{c}")).alias(f"d_{c}") for c in series))
     pairs = [("y", f"x{i}") for i in range(3)] + [(f"x{i}", f"x{j}") for i in range(3) for j in range(i, 3)]
-    sums = {"n_null": F.col("vol").isNull().cast("int"), "volume": F.col("halved"), "n_complete": F.col("y").isNotNull().cast("int")}
+    sums = {"n_null": F.col("no_vol"), "volume": F.col("halved"), "n_complete": F.col("y").isNotNull().cast("int")}
     sums |= {f"s_{c}": F.col(f"d_{c}") for c in series} | {f"s_{a}_{b}": F.col(f"d_{a}") * F.col(f"d_{b}") for a, b in pairs}
     before, moved = F.col("before"), [n for n in sums if n not in {"n_null", "volume"}]
     start = F.when(before >= 257, before - 252).otherwise(before + FIRST)
@@ -151,19 +156,22 @@ def variables(events: DataFrame, days: DataFrame, nasdaq: int = 3, halved_until:
         "start": (start, ["n_null", "volume"]),
         "pre": (before + PRE + 1, ["n_null", "volume", *moved]),
         "eve": (before, ["size", "shares"]),
-        "day": (F.when(before < F.col("n_days"), before + 1).otherwise(0), ["gain", *(f"m_{c}" for c in series)]),
+        **{f"day{o}": (before + 1 + o, ["grown", "market", *(f"m_{c}" for c in series if o == 0)]) for o in range(1 + EVENT)},
     }
-    found = looked_up(events, running(days, sums), slots)
+    found = looked_up(filings, days, columns, sums, slots, centred)
     event = F.col("n_days") >= before + 1 + EVENT
+    grown, market = F.lit(1.0), F.lit(1.0)
+    for o in range(1 + EVENT):
+        grown, market = grown * F.col(f"day{o}_grown"), market * F.col(f"day{o}_market")
     n, n_span = _between("n_complete", "first", "pre"), F.greatest(F.least(before + PRE + 1, F.col("n_days")), F.lit(0)) - F.greatest(start, F.lit(0))
     mean = {c: _between(f"s_{c}", "first", "pre") / n for c in series}
     covariances = [_between(f"s_{a}_{b}", "first", "pre") / n - mean[a] * mean[b] for a, b in pairs]
-    moments = F.array(*(mean[c] + F.col(f"day_m_{c}") for c in series), *covariances)
+    moments = F.array(*(mean[c] + F.col(f"day0_m_{c}") for c in series), *covariances)
     traded = event & (before >= LEAST_ROWS) & (n_span >= LEAST_ROWS) & (_between("n_null", "start", "pre") == 0) & (F.col("eve_shares") > 0)
     fitted = event & (before >= LEAST_ROWS) & (n >= LEAST_ROWS)
     out = found.select(
         "accession",
-        F.when(event, F.col("day_gain") * 100).alias("excret"),
+        F.when(event, (grown - market) * 100).alias("excret"),
         F.when(event, F.col("eve_size")).alias("size_b"),
         F.when(traded, _between("volume", "start", "pre") / (F.col("eve_shares") * 1e6)).alias("turnover"),
         F.when(fitted, moments).alias("moments"),

@@ -70,10 +70,9 @@ def attributes(filings: DataFrame, fundamentals: DataFrame, history: DataFrame |
     month = rows.first_by(monthly, ["permno", "yrmon"], [F.col("prc").asc_nulls_last()])
     out = links.as_of(out, month, "permno", "accession", "yrmon", ["shrcd", "exchcd", "siccd", "prc"], o.as_of_days, "shrcd")
     days = eventtime.trading_days(daily)
-    events = eventtime.event_days(out, days)
-    found = eventtime.checks(events, days)
+    found = eventtime.checks(out, days)
     if variables:
-        found = found.join(eventtime.variables(events, days), "accession")
+        found = found.join(eventtime.variables(out, days), "accession")
     out = out.join(found, "accession", "left")
     year = fundamentals.where("be > 0 AND bm IS NOT NULL AND mkt_value IS NOT NULL").select("gvkey", (F.col("fyear") + 1).alias("filing_year"), "bm", "mkt_value")
     year = rows.first_by(year, ["gvkey", "filing_year"], ["bm", "mkt_value"])
@@ -123,7 +122,7 @@ def funnel_report(manifest: DataFrame, kept: tuple[DataFrame, DataFrame, DataFra
 def panel(sample: DataFrame, daily: DataFrame, counts: DataFrame, scores: DataFrame, ownership: DataFrame, industries: DataFrame, fundamentals: DataFrame, monthly: DataFrame, o: Options) -> DataFrame:
     """The sample with window variables, scores, ownership of the quarter before, industry and transforms."""
     days = eventtime.trading_days(daily)
-    found = eventtime.variables(eventtime.event_days(sample, days), days)
+    found = eventtime.variables(sample, days)
     out = sample.join(found, "accession", "left").join(counts, "accession", "left").join(scores, "accession", "left")
     out = out.withColumn("yqtr", previous_quarter_end(F.col("date_filed"))).join(ownership, ["permno", "yqtr"], "left")
     codes = fundamentals.select("gvkey", (F.col("fyear") + 1).alias("filing_year"), "sic", "sich")

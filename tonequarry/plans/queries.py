@@ -636,7 +636,7 @@ CHECKED = "SELECT ev.accession, coalesce(ev_ok, false) AS ev_ok, coalesce(ev_ok
 @query("WIN2_WIN5_event_checks", f"{TIME}, ck AS ({CHECKS}) {CHECKED}")
 def _(t: Tables) -> DataFrame:
     days = eventtime.trading_days(t("daily"))
-    return eventtime.checks(eventtime.event_days(t("filings"), days), days)
+    return eventtime.checks(t("filings"), days)
 
 
 def _minor(i: int, j: int) -> str:
@@ -673,7 +673,7 @@ VARIABLES = f"""SELECT ev.accession, round(CASE WHEN n4 = 4 THEN (grown - market
 @query("WIN6_WIN9_event_variables", f"{TIME}, mo AS ({MOMENTS}) {VARIABLES}")
 def _(t: Tables) -> DataFrame:
     days = eventtime.trading_days(t("daily"))
-    out = eventtime.variables(eventtime.event_days(t("filings"), days), days)
+    out = eventtime.variables(t("filings"), days)
     return out.select("accession", F.round("excret", 6).alias("excret"), F.round("size_b", 9).alias("size_b"), F.round("turnover", 9).alias("turnover"), F.round("alpha", 4).alias("alpha"))
 
 

@@ -113,7 +113,7 @@ def _(t: Tables) -> DataFrame:
 def panel_of(t: Tables) -> DataFrame:
     """Filings with outcomes, main variables, controls and an industry, all from the event variables."""
     days = eventtime.trading_days(t("daily"))
-    found = eventtime.variables(eventtime.event_days(t("filings"), days), days)
+    found = eventtime.variables(t("filings"), days)
     base = t("filings").select("accession", "permno", "date_filed", (F.col("cik") % 12).alias("industry"), F.round((F.col("accession") * 37 % 101) / 101.0, 6).alias("tone"), F.round((F.col("accession") * 53 % 97) / 97.0, 6).alias("tfidf"))
     return base.join(found, "accession").withColumn("nasdaq", (F.col("permno") % 4 == 3).cast("int")).withColumn("log_size", C.log_floor(F.col("size_b"), 1e-6)).withColumn("log_turnover", C.log_floor(F.col("turnover"), 1e-9))
 
