@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
-from tonequarry.llm.common import narrow_batches, tidy
+from tonequarry.llm.common import KEPT, narrow_batches, tidy
 
 #: Entries that each cache of a worker may hold; a full cache starts anew.
 CACHE_ENTRIES = 400_000
@@ -165,6 +165,9 @@ def bpe(path: str) -> Bpe:
     return Bpe(path)
 
 
+KEPT["bpe"] = bpe.cache_clear
+
+
 def encode_documents(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``(doc_id, ids array<int>)`` of whole texts; a null text is empty, and an empty one has no ids."""
 
@@ -174,7 +177,7 @@ def encode_documents(docs: DataFrame, path: str, id_column: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     narrow = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].alias("text"))
-    return narrow_batches(narrow).mapInArrow(tidy(run), "doc_id long, ids array<int>")
+    return narrow_batches(narrow).mapInArrow(tidy(run, "bpe"), "doc_id long, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
@@ -185,7 +188,7 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
             texts = [bpe(path).decode(ids or []) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(tidy(run), "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(run, "bpe"), "doc_id long, text string")
 
 
 def digests(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -209,4 +212,4 @@ def digests(docs: DataFrame, path: str, id_column: str = "doc_id", text_column:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     narrow = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].alias("text"))
-    return narrow_batches(narrow).mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return narrow_batches(narrow).mapInArrow(tidy(run, "bpe"), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -57,10 +57,18 @@ def _size(text: str) -> int:
     return int(text) if text.lstrip("-").isdigit() else 0
 
 
-def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run`` for ``mapInArrow``; at its end the worker, which lives on for other tasks, gives back what it has freed."""
+#: What a worker keeps between its tasks, by name, and how it forgets it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keep: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``. The worker, which lives on for other tasks, first forgets what it has kept for tasks
+    of another kind than ``keep``; at the end it gives back what it has freed."""
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, forget in KEPT.items():
+            if name != keep:
+                forget()
         try:
             yield from run(batches)
         finally:

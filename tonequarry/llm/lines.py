@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonequarry.llm.common import apart, discard, narrow_batches, release, saved, tidy, unused, width, written
+from tonequarry.llm.common import KEPT, apart, discard, narrow_batches, release, saved, tidy, unused, width, written
 
 #: Similarity as a fraction, so that comparisons are exact.
 UP, DOWN = 4, 5
@@ -48,9 +48,9 @@ STEP, PAIRS, GATHERED = 1 << 20, 1 << 18, 1 << 25
 #: Sets in one packed value: small enough for the JVM to move about.
 TOGETHER = 1 << 12
 #: Words that are hashed at once, hashes that a task keeps, and the longest word that it keeps one of.
-STRIDE, ROOM, LONG_WORD = 1 << 14, 1 << 17, 64
+STRIDE, ROOM, LONG_WORD = 1 << 14, 1 << 16, 64
 #: Classes whose first line a task remembers while it reads.
-SEEN = 1 << 16
+SEEN = 1 << 14
 
 MIX, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -75,14 +75,18 @@ class Hashes(dict):
             self[word] = i
         return i
 
+    def forget(self) -> None:
+        self.clear()
+        self.used = 0
+
     def of(self, words: list[bytes]) -> np.ndarray:
         if self.used + len(words) > ROOM:
-            self.clear()
-            self.used = 0
+            self.forget()
         return np.fromiter(map(self.__getitem__, words), "i8", len(words))
 
 
 HASHES = Hashes()
+KEPT["words"] = HASHES.forget
 
 
 def hashes_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -215,7 +219,7 @@ def counted(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.nda
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([parts[i].tobytes()], pa.binary())], ["chunk", "counts"])
 
     out = np.zeros((CHUNKS, COUNTERS // CHUNKS), "u4")
-    for chunk, counts in sums(rows.mapInArrow(tidy(tally), "chunk int, counts binary")).collect():
+    for chunk, counts in sums(rows.mapInArrow(tidy(tally, "words"), "chunk int, counts binary")).collect():
         out[chunk] = np.frombuffer(counts, "u4")
     return out.reshape(-1)
 
@@ -373,7 +377,7 @@ def token_sets(texts: DataFrame, spread: Broadcast, parts: int, take: type = Lin
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names)
 
-    return narrow_batches(texts).mapInArrow(tidy(run), "part int, heads binary, tokens binary, repeats binary")
+    return narrow_batches(texts).mapInArrow(tidy(run, "words"), "part int, heads binary, tokens binary, repeats binary")
 
 
 def classes_of(sets: DataFrame, parts: int) -> DataFrame:

@@ -188,4 +188,4 @@ def pack(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str
             yield batch_of(rows)
 
     narrow = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].alias("text"))
-    return narrow_batches(narrow).mapInArrow(tidy(run), PIECES)
+    return narrow_batches(narrow).mapInArrow(tidy(run, "bpe"), PIECES)

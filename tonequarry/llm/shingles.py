@@ -76,7 +76,7 @@ def prints(texts: DataFrame) -> DataFrame:
                     out.append(np.packbits(2 * counts > b - a).view(">i8")[0])
                 yield pa.RecordBatch.from_arrays([pa.array(ids[s.rows]), pa.array(s.numbers), pa.array(np.array(out, "i8"))], ["doc_id", "line", "fp"])
 
-    return texts.mapInArrow(tidy(run), "doc_id long, line long, fp long")
+    return texts.mapInArrow(tidy(run, "words"), "doc_id long, line long, fp long")
 
 
 def simhash_pairs(texts: DataFrame) -> DataFrame:
