@@ -3,6 +3,7 @@
 import dataclasses
 import datetime
 import gzip
+import random
 import time
 
 import numpy as np
@@ -47,6 +48,49 @@ def test_as_of_null_blocks_and_tolerance(spark):
     assert got == {1: (None, 9.0), 2: (None, None), 3: (12, 5.0), 4: (None, None)}
 
 
+def history_rows():
+    """Overlapping, nested, touching, open and empty intervals of a few keys, one of them with many."""
+    r = random.Random(4)
+    out = [(1, 10, D(2000, 1, 1), D(2003, 12, 31)), (1, 11, D(2001, 1, 1), D(2001, 6, 30)), (1, 12, D(2002, 1, 1), None), (2, 20, D(1999, 1, 1), D(1999, 1, 1)), (2, 21, D(1999, 1, 2), D(1999, 1, 2)), (3, 30, D(2005, 1, 1), D(2004, 1, 1)), (None, 40, D(2000, 1, 1), None), (4, 41, None, None), (5, 51, D(2000, 5, 5), None), (5, 50, D(2000, 5, 5), None)]
+    for i in range(60):
+        a = D(1995, 1, 1) + datetime.timedelta(r.randrange(4000))
+        out.append((6, 100 + i, a, None if i % 9 == 0 else a + datetime.timedelta(r.choice([0, 1, 30, 400, 2000]))))
+    return out
+
+
+def test_intervals_against_force(spark):
+    history = spark.createDataFrame(history_rows(), "cik int, gvkey int, linkdt date, linkenddt date")
+    r = random.Random(5)
+    asked = [(i, r.choice([1, 2, 5, 6, 6, 6, 7, None]), None if i % 50 == 0 else D(1994, 6, 1) + datetime.timedelta(r.randrange(6000))) for i in range(400)]
+    asked += [(400 + k, c, d) for k, (c, d) in enumerate((c, d + datetime.timedelta(o)) for c, _, a, b in history_rows() for d in (a, b) if d for o in (-1, 0, 1))]
+    left = spark.createDataFrame(asked, "accession int, cik int, date_filed date")
+    want = {}
+    for i, cik, day in asked:
+        held = [(a, -g, g) for c, g, a, b in history_rows() if c == cik and cik is not None and day and a and a <= day and (b is None or day <= b)]
+        if held:
+            want[i] = max(held)[2]
+    got = {x.accession: x.gvkey for x in links.latest_valid(left, history, "cik", "accession", "date_filed", "linkdt", "linkenddt", ["gvkey"]).collect()}
+    assert got == want and len(want) > 200
+    assert links.latest_valid(left, history.where("false"), "cik", "accession", "date_filed", "linkdt", "linkenddt").collect() == []
+
+
+def test_as_of_against_force(spark):
+    r = random.Random(6)
+    right = [(k, D(1998, 1, 1) + datetime.timedelta(d), None if d % 5 == 0 else d, float(d)) for k in (1, 2, 9) for d in r.sample(range(3000), 40 if k < 9 else 900)]
+    left = [(i, r.choice([1, 2, 3, 9, None]), None if i == 7 else D(1997, 6, 1) + datetime.timedelta(r.randrange(4500))) for i in range(500)]
+    args = spark.createDataFrame(left, "accession int, permno int, yrmon date"), spark.createDataFrame(right, "permno int, yrmon date, shrcd int, prc double")
+    for days in (0, 1, 30, 400):
+        got = {x.accession: (x.shrcd, x.prc) for x in links.as_of(*args, "permno", "accession", "yrmon", ["shrcd", "prc"], days, "shrcd").collect()}
+        assert len(got) == len(left)
+        for i, k, day in left:
+            before = [x for x in right if x[0] == k and day and x[1] <= day and (day - x[1]).days <= days]
+            last = max(before, key=lambda x: x[1], default=None)
+            stands = last and (last[2] is not None or last[1] == day)
+            assert got[i] == ((last[2], last[3]) if stands else (None, None)), (i, days)
+    plan = links.as_of(*args, "permno", "accession", "yrmon", ["shrcd", "prc"], 400, "shrcd")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
 def test_ranges_later_wins_and_default(spark):
     r = spark.createDataFrame([(100, 199, 1, 0), (150, 150, 2, 1)], "low int, high int, industry int, line int")
     df = spark.createDataFrame([(100,), (150,), (None,), (0,), (99999,)], "sic int")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonequarry.operators.rows import first_by
@@ -20,10 +20,61 @@ def valid_on(left: DataFrame, history: DataFrame, on: str, date: str, start: str
     return left.join(h, inside if conditions is None else inside & conditions, how).drop("__on")
 
 
+#: Days of a bucket of time: what hot keys are split by.
+BUCKET_DAYS = 366
+
+
+def day_number(c: Column) -> Column:
+    return F.datediff(c, F.lit("1970-01-01").cast("date"))
+
+
+def last_before(left: DataFrame, right: DataFrame, by: str, at: str, right_at: str, payload: Sequence[str], reach: int, name: str, ties: Sequence[str] = ()) -> DataFrame:
+    """``left`` with ``name``: the struct of ``payload`` of the latest right row of the same key, at or before its day.
+
+    It is looked for in the row's own bucket of ``reach`` days and the one before: a row at most ``reach`` days earlier is
+    found, an older one perhaps. Rows of both sides are dealt by (key, bucket) together and sorted; each left row takes
+    what the last right row before it says: nothing is joined, and no match is listed before the choice. Left rows
+    without a key or day stay, with null. Of right rows of one day the last by ``ties`` counts.
+    """
+    width = max(int(reach), 1)
+    left_bucket = F.floor(day_number(F.col(at)) / width)
+    alone = F.col(by).isNull() | F.col(at).isNull()
+    asking = left.select(F.struct(*left.columns).alias("row"), F.col(by).alias("key"), F.when(alone, F.pmod(F.xxhash64(*(F.col(c).cast("string") for c in left.columns)), F.lit(1024))).otherwise(left_bucket).alias("bucket"), F.col(at).alias("at"), F.lit(1).alias("kind"))
+    own = F.floor(day_number(F.col(right_at)) / width)
+    found = right.where(F.col(by).isNotNull() & F.col(right_at).isNotNull()).select(F.struct(*payload).alias("held"), F.col(by).cast(left.schema[by].dataType).alias("key"), F.explode(F.array(own, own + 1)).alias("bucket"), F.col(right_at).alias("at"), F.lit(0).alias("kind"), *(F.col(t).alias(f"tie{i}") for i, t in enumerate(ties)))
+    rows = asking.unionByName(found, allowMissingColumns=True)
+    order = Window.partitionBy("key", "bucket").orderBy("at", "kind", *(f"tie{i}" for i in range(len(ties)))).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    latest = F.last("held", ignorenulls=True).over(order)
+    return rows.withColumn("held", latest).where("kind = 1").select("row.*", F.when(F.col("key").isNotNull() & F.col("at").isNotNull(), F.col("held")).alias(name))
+
+
+def segments(history: DataFrame, on: str, start: str, end: str, ties: Sequence[str] = (), open_end: str = "2099-12-31", days: int = BUCKET_DAYS) -> DataFrame:
+    """``(on, day, winner, holds)``: from ``day`` on, the one of a key's intervals that holds and began last, or null.
+
+    Overlapping and nested intervals are cut into disjoint segments by one sweep for each (key, bucket of days), so a
+    key's history isn't one task. Of intervals that began on one day the first by ``ties`` wins. A null end is open up
+    to ``open_end``; intervals without a key or start, and those that end before they start, hold nothing.
+    """
+    last = F.coalesce(F.col(end), F.lit(open_end).cast("date"))
+    sound = history.where(F.col(on).isNotNull() & F.col(start).isNotNull() & (F.col(start) <= last))
+    low, high = day_number(F.col(start)), day_number(last)
+    bucket = F.explode(F.sequence(F.floor(low / days), F.floor(high / days))).alias("bucket")
+    rows = sound.select(F.col(on).alias("key"), low.cast("int").alias("low"), high.cast("int").alias("high"), F.struct(*history.columns).alias("row"), *(F.col(t).alias(f"tie{i}") for i, t in enumerate(ties)), bucket)
+    first = F.col("bucket") * days
+    cut = rows.select("key", "bucket", F.greatest("low", first).alias("from"), F.least("high", first + days - 1).alias("to"), "row", F.struct(-F.col("low"), *(f"tie{i}" for i in range(len(ties)))).alias("rank"))
+    # The points at which what holds may change: each start, and each day after an end.
+    points = cut.select("key", "bucket", F.explode(F.array("from", F.col("to") + 1)).alias("point")).distinct()
+    spans = cut.groupBy("key", "bucket").agg(F.array_sort(F.collect_list(F.struct("rank", "from", "to", "row"))).alias("held"))  # what overlaps one bucket of one key
+    swept = points.join(spans, ["key", "bucket"])
+    holds = F.get(F.filter("held", lambda h: (h["from"] <= F.col("point")) & (F.col("point") <= h["to"])), F.lit(0))
+    return swept.select(F.col("key").alias(on), F.date_add(F.lit("1970-01-01").cast("date"), F.col("point").cast("int")).alias("day"), holds["row"].alias("winner"), holds.isNotNull().cast("int").alias("holds"))
+
+
 def latest_valid(left: DataFrame, history: DataFrame, on: str, key: str, date: str, start: str, end: str, ties: Sequence[str] = ()) -> DataFrame:
-    """Of all intervals that hold a row's date, the one that began last."""
-    found = valid_on(left, history, on, date, start, end, how="inner")
-    return first_by(found, [key], [F.col(start).desc_nulls_last(), *(F.col(t).asc() for t in ties)])
+    """Of all intervals that hold a row's date, the one that began last; rows that none holds go."""
+    held = segments(history, on, start, end, ties)
+    found = last_before(left, held, on, date, "day", ["winner"], BUCKET_DAYS, "__held", ["holds"]).where("__held.winner IS NOT NULL")
+    return found.select(*left.columns, *(F.col(f"__held.winner.{c}").alias(c) for c in history.columns if c != on))
 
 
 def nearest_year(left: DataFrame, right: DataFrame, on: str, key: str, year: str, candidate: str, ties: Sequence[Column] = ()) -> DataFrame:
@@ -63,15 +114,12 @@ def as_of(left: DataFrame, right: DataFrame, by: str, key: str, at: str, payload
     """Attributes of the latest row at or before a row's time, at most ``days`` earlier.
 
     An exact match is taken as it is unless its ``null_stops`` column is null; then, and without one, the latest row
-    counts even if that column is null there: older rows never stand in for it. One join and one aggregation by key.
+    counts even if that column is null there: older rows never stand in for it. No match is listed before the choice.
     """
-    r = right.select(F.col(by).alias("__by"), F.col(at).alias("__at"), *(F.col(c).alias(f"__{c}") for c in payload))
-    near = (left[by] == r["__by"]) & (r["__at"] <= left[at]) & (F.datediff(left[at], r["__at"]) <= days)
-    found = left.join(r, near, "left")
-    latest = F.max_by(F.struct(F.col("__at"), *(F.col(f"__{c}") for c in payload)), "__at").alias("__x")
-    whole = found.groupBy(*left.columns).agg(latest)
-    stands = F.col("__x")[f"__{null_stops}"].isNotNull() | (F.col("__x")["__at"] == F.col(at))
-    return whole.select(*left.columns, *(F.when(stands, F.col("__x")[f"__{c}"]).alias(c) for c in payload))
+    found = last_before(left, right, by, at, at, [at, *payload], days, "__x")
+    near = F.datediff(F.col(at), F.col("__x")[at]) <= days
+    stands = near & (F.col("__x")[null_stops].isNotNull() | (F.col("__x")[at] == F.col(at)))
+    return found.select(*left.columns, *(F.when(stands, F.col("__x")[c]).alias(c) for c in payload))
 
 
 def dense_ranges(ranges: DataFrame, low: str, high: str, value: str, order: str) -> DataFrame:
