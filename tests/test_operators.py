@@ -375,9 +375,35 @@ def test_statistics(spark):
     assert {r.variable: r.pct for r in stats.coverage(df, ["a", "b"]).collect()} == {"a": 100.0, "b": 50.0}
 
 
-def test_range_file():
-    lines = [" 1 Agric  Agriculture", "          0100-0199 Crops", "          0150-0150 Other", " 2 Food", "          2000-2046"]
-    assert readers.range_lines(lines) == [(100, 199, 1, "Agric", 1), (150, 150, 1, "Agric", 2), (2000, 2046, 2, "Food", 4)]
+def test_range_file(spark, tmp_path):
+    lines = ["          0001-0002 above", " 1 Agric  Agriculture", "          0100-0199 Crops", "          0150-0150 Other", " 2 Food", "", "          2000-2046"]
+    (tmp_path / "a.txt").write_text("\n".join(lines))
+    (tmp_path / "b.txt").write_text("junk\r\n 7 Other x\r\n 9000-9001 y")
+    got = sorted(tuple(r)[1:] for r in readers.industry_ranges(spark, str(tmp_path)).collect())
+    assert got == [(100, 199, 1, "Agric", 2), (150, 150, 1, "Agric", 3), (2000, 2046, 2, "Food", 6), (9000, 9001, 7, "Other", 2)]
+
+
+def test_missing_quarters(spark):
+    df = spark.createDataFrame([(D(2000, 5, 1),), (D(2001, 12, 31),), (None,)], "d date")
+    assert sorted(tuple(r) for r in readers.missing_quarters(df, "d").collect()) == [(2000, 1), (2000, 3), (2000, 4), (2001, 1), (2001, 2), (2001, 3)]
+    assert readers.missing_quarters(df.where("false"), "d").collect() == [] and readers.quarters(spark, 2000, 2001).count() == 8
+
+
+def test_files_are_whole_or_absent(spark, tmp_path):
+    folder = tmp_path / "out"
+    df = spark.createDataFrame([(i, f"text {i}\n") for i in range(20)] + [(20, None)], "k int, text string").repartition(4)
+    for address in (str(folder), f"file://{tmp_path}/url"):
+        sinks.texts(df, address, "k")
+    assert {p.name: p.read_text() for p in folder.iterdir()} == {f"{i}.txt": f"text {i}\n" if i < 20 else "" for i in range(21)}
+    assert len(list((tmp_path / "url").iterdir())) == 21
+    sinks.texts(df.where("k < 3").withColumn("text", F.lit("new")), str(folder), "k", again=False)
+    assert (folder / "1.txt").read_text() == "text 1\n"
+    sinks.texts(df.where("k < 3").withColumn("text", F.lit("new")), str(folder), "k")
+    assert (folder / "1.txt").read_text() == "new" and len(list(folder.iterdir())) == 21
+    for bad in (df.withColumn("k", F.col("k") % 5), df.select(F.when(F.col("k") != 7, F.col("k")).alias("k"), "text"), df.select(F.concat(F.lit("a/"), "k").alias("k"), "text")):
+        with pytest.raises(Exception):  # noqa: B017
+            sinks.texts(bad, str(tmp_path / "none"), "k")
+        assert not list((tmp_path / "none").glob("**/*.txt")) and not list((tmp_path / "none").glob("_staged*"))
 
 
 def test_contract_and_probe(spark):
@@ -397,8 +423,8 @@ def test_sinks(spark, tmp_path):
     assert {(r.k, r.x) for r in spark.read.parquet(str(tmp_path / "p")).collect()} == {(1, None), (2, 1.5)}
     sinks.csv(df, str(tmp_path / "c"))
     assert readers.csv(spark, str(tmp_path / "c"), "k int, name string, x double").count() == 2
-    assert sinks.markdown(df.orderBy("k"), "T").splitlines()[-1] == "| 2 | b | 1.5000 |"
-    assert sinks.texts(df, str(tmp_path / "t"), "k", "name") == 2 and (tmp_path / "t" / "1.txt").read_text() == "a"
+    lines = [r.line for r in sinks.markdown(df, ["k"], "T").orderBy("place").collect()]
+    assert lines[:4] == ["## T", "", "| k | name | x |", "|---|---|---|"] and lines[-1] == "| 2 | b | 1.5000 |" and len(lines) == 6
 
 
 def test_empty_tables(spark):

@@ -78,14 +78,10 @@ def _(t: Tables) -> DataFrame:
     return t("changes").where("status = 'click'").select("accession").distinct()
 
 
-@query("SRC14_quarters", "SELECT y.y AS year, q.q AS quarter FROM range(1994, 2009) y(y), range(1, 5) q(q)")
+@query("SRC14_quarters", "SELECT y.y AS year, q.q AS quarter FROM (SELECT unnest(range(min(filing_year), max(filing_year) + 1)) AS y FROM {filings}) y, range(1, 5) q(q) WHERE (y.y, q.q) NOT IN (SELECT (year(date_filed), quarter(date_filed)) FROM {filings})")
 def _(t: Tables) -> DataFrame:
-    return readers.quarters(t("region").sparkSession, 1994, 2008)
-
-
-@query("SRC11_range_lines", "SELECT * FROM (VALUES (100, 299, 1, 'Agric', 1), (700, 799, 1, 'Agric', 2), (2000, 2046, 2, 'Food', 4)) AS r(low, high, industry, name, line)")
-def _(t: Tables) -> DataFrame:
-    return readers.industry_ranges(t("region").sparkSession, [" 1 Agric  Agriculture", "          0100-0299 Crops", "          0700-0799 Services", " 2 Food   Food", "          2000-2046 Milling"])
+    """The quarters of the filings' years that are still to be fetched."""
+    return readers.missing_quarters(t("filings"), "date_filed")
 
 
 @query("SRC8_dictionary", "SELECT DISTINCT upper(p_type) AS word, p_size % 3 <> 0 AS neg, p_size % 5 <> 0 AS pos FROM (SELECT p_type, min(p_size) AS p_size FROM part GROUP BY p_type)")
@@ -516,11 +512,6 @@ def _(t: Tables) -> DataFrame:
     return sinks.exchangeable(t("orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("y")))
 
 
-@query("SNK7_digest", "SELECT doc_id, sha256(text) AS sha FROM documents")
-def _(t: Tables) -> DataFrame:
-    return t("documents").select("doc_id", F.sha2(F.col("text"), 256).alias("sha"))
-
-
 # --- text and tone ---------------------------------------------------------------------------------------------------
 
 #: DuckDB's word boundaries know ASCII letters only, so others become a letter that ends no token.

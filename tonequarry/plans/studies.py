@@ -6,7 +6,7 @@ import dataclasses
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tonequarry.functions import columns as C
@@ -424,19 +424,55 @@ def _(t: Tables) -> DataFrame:
     """A text file per row of a small sample, read back by name."""
     path = scratch(t.spark)
     sinks.texts(t("nation").select("n_nationkey", "n_name"), path, "n_nationkey", "n_name")
-    back = t.spark.read.option("wholetext", True).text(path, pathGlobFilter="*.txt").select("value", F.input_file_name().alias("f"))
+    back = t.spark.read.text(path, wholetext=True, pathGlobFilter="*.txt").select("value", F.input_file_name().alias("f"))
     return back.select(F.regexp_extract("f", r"(\d+)\.txt$", 1).cast("int").alias("n_nationkey"), F.col("value").alias("text"))
 
 
-@query("SNK8_markdown", "SELECT '| ' || r_regionkey || ' | ' || r_name || ' |' AS line FROM region")
+@query("SNK7_stored_digest", "SELECT doc_id, sha256(text) AS sha, strlen(text) AS length FROM documents")
 def _(t: Tables) -> DataFrame:
-    lines = sinks.markdown(t("region").select("r_regionkey", "r_name").orderBy("r_regionkey")).splitlines()
-    return t.spark.createDataFrame([(x,) for x in lines[2:]], "line string")
+    """Files put in place by one commit, not rewritten by a second one, and the digests of what is stored."""
+    path = scratch(t.spark)
+    docs = t("documents").select("doc_id", "text")
+    sinks.texts(docs, path, "doc_id")
+    sinks.texts(docs.withColumn("text", F.lit("rewritten")), path, "doc_id", again=False)
+    back = t.spark.read.format("binaryFile").load(path)
+    return back.select(F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("long").alias("doc_id"), sinks.digest().alias("sha"), "length")
+
+
+@query("SNK8_markdown", "SELECT place, line FROM (SELECT 1 AS place, '| o_orderpriority | n | total |' AS line UNION ALL SELECT 2, '|---|---|---|' UNION ALL SELECT 2 + row_number() OVER (ORDER BY o_orderpriority), '| ' || o_orderpriority || ' | ' || count(*) || ' | ' || printf('%.1f', round(avg(o_totalprice), 1)) || ' |' FROM orders GROUP BY o_orderpriority)")
+def _(t: Tables) -> DataFrame:
+    few = t("orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 1).alias("total"))
+    return sinks.markdown(few, ["o_orderpriority"], digits=1)
 
 
 @query("ORD2_by_ratio", "SELECT event_type, row_number() OVER (ORDER BY r DESC, event_type) AS k FROM (SELECT event_type, round(avg(value) / stddev_samp(value), 6) AS r FROM events GROUP BY 1)")
 def _(t: Tables) -> DataFrame:
-    """A report of a few rows in order of a ratio, with their places."""
+    """A report of a few rows in order of a ratio, with their places: one sorted task over the grouped rows."""
     few = rounded(t("events").groupBy("event_type").agg((F.avg("value") / F.stddev_samp("value")).alias("r")))
-    ordered = few.orderBy(F.desc("r"), "event_type").collect()
-    return t.spark.createDataFrame([(x.event_type, i) for i, x in enumerate(ordered, 1)], "event_type string, k long")
+    return few.select("event_type", F.row_number().over(Window.orderBy(F.desc("r"), "event_type")).cast("long").alias("k"))
+
+
+@query(
+    "SRC11_range_lines",
+    """SELECT 1000 + n_nationkey * 10 AS low, 1000 + n_nationkey * 10 + 9 AS high, CAST(n_regionkey + 1 AS INT) AS industry, 'R' || n_regionkey AS name,
+       CAST(row_number() OVER (ORDER BY n_regionkey, n_nationkey) + n_regionkey AS INT) AS line FROM nation""",
+)
+def _(t: Tables) -> DataFrame:
+    """A range file made of the nations under their regions, stored as text and read back."""
+    path = scratch(t.spark)
+    ranges = t("nation").select("n_regionkey", F.format_string("          %d-%d %s", 1000 + F.col("n_nationkey") * 10, 1009 + F.col("n_nationkey") * 10, "n_name").alias("value"), F.col("n_nationkey").alias("k"))
+    heads = t("region").select(F.col("r_regionkey").alias("n_regionkey"), F.format_string(" %d R%d  %s", F.col("r_regionkey") + 1, "r_regionkey", "r_name").alias("value"), F.lit(-1).alias("k"))
+    ranges.unionByName(heads).coalesce(1).sortWithinPartitions("n_regionkey", "k").select("value").write.text(path)
+    return readers.industry_ranges(t.spark, path).select("low", "high", "industry", "name", "line")
+
+
+@query("SRC1_remote_pull", "SELECT o_orderkey, o_custkey, round(o_totalprice, 2) AS total FROM orders WHERE o_custkey < 700 AND o_orderstatus <> 'P'")
+def _(t: Tables) -> DataFrame:
+    """The orders in a database (the one that comes with Spark, in memory), read by ranges of a key; the filter goes there."""
+    url = f"jdbc:derby:memory:pull{uuid.uuid4().hex};create=true"
+    driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    orders = t("orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus").coalesce(1)
+    orders.write.format("jdbc").options(url=url, dbtable="orders", createTableColumnTypes="o_orderstatus VARCHAR(1)", **driver).save()
+    quoted = ", ".join(f'"{c}"' for c in ("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus"))
+    found = readers.jdbc(t.spark, url, f"SELECT {quoted} FROM orders", '"o_orderkey"', 4, **driver)
+    return found.where("o_custkey < 700 AND o_orderstatus <> 'P'").select("o_orderkey", "o_custkey", F.round("o_totalprice", 2).alias("total"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,10 +52,21 @@ def index_files(spark: SparkSession, path: str) -> DataFrame:
 
 def quarters(spark: SparkSession, first: int, last: int) -> DataFrame:
     """``(year, quarter)`` of a span of years."""
-    years = spark.range(first, last + 1).select(F.col("id").cast("int").alias("year"))
+    return _quarters(spark.range(1).select(F.lit(first).alias("first"), F.lit(last).alias("last")))
+
+
+def _quarters(span: DataFrame) -> DataFrame:
+    years = span.where("first IS NOT NULL").select(F.explode(F.sequence(F.col("first").cast("int"), F.col("last").cast("int"))).alias("year"))
     return years.select("year", F.explode(F.array(*map(F.lit, (1, 2, 3, 4)))).alias("quarter"))
 
 
+def missing_quarters(rows: DataFrame, date: str) -> DataFrame:
+    """``(year, quarter)`` of the years that a table spans, without the quarters that it has: what is still to be fetched."""
+    there = rows.select(F.year(date).alias("year"), F.quarter(date).alias("quarter")).distinct()
+    span = there.agg(F.min("year").alias("first"), F.max("year").alias("last"))
+    return _quarters(span).join(there, ["year", "quarter"], "left_anti")
+
+
 def filings(spark: SparkSession, path: str) -> DataFrame:
     """``(path, length, clean, ok, error)`` of compressed filings, one row per file; a bad file is a row with an error."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt.gz").load(path)
@@ -63,25 +74,23 @@ def filings(spark: SparkSession, path: str) -> DataFrame:
     return found.select("path", "x.length", F.when(F.col("x.ok"), clean_text(F.col("x.raw"))).alias("clean"), "x.ok", "x.error")
 
 
-def range_lines(lines: Sequence[str]) -> list[tuple[int, int, int, str, int]]:
-    """``(low, high, number, short name, line)`` from a text of headers ``number name`` and ranges ``dddd-dddd``.
+def range_lines(lines: DataFrame) -> DataFrame:
+    """``(file, low, high, industry, name, line)`` from ``lines(file, line, value)`` of headers ``number name`` and ranges ``dddd-dddd``.
 
-    The file is a few hundred lines and its order counts, so it is read on the driver.
+    A range belongs to the last header above it in its file; ranges above the first header and other lines are dropped.
     """
-    import re
-
-    out, number, name = [], None, None
-    for at, line in enumerate(lines):
-        if m := re.match(r"\s*(\d{4})-(\d{4})\b", line):
-            if number is not None:
-                out.append((int(m[1]), int(m[2]), number, name, at))
-        elif m := re.match(r"\s*(\d{1,2})\s+(\S+)", line):
-            number, name = int(m[1]), m[2]
-    return out
+    digits = F.regexp_extract("value", r"^\s*(\d{4})-(\d{4})\b", 1), F.regexp_extract("value", r"^\s*(\d{4})-(\d{4})\b", 2)
+    header = F.col("value").rlike(r"^\s*\d{1,2}\s+\S+")
+    of = F.when(header, F.struct(F.regexp_extract("value", r"^\s*(\d{1,2})\s+(\S+)", 1).cast("int").alias("industry"), F.regexp_extract("value", r"^\s*(\d{1,2})\s+(\S+)", 2).alias("name")))
+    above = F.last(of, ignorenulls=True).over(Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = lines.select("file", "line", above.alias("of"), *(d.alias(n) for d, n in zip(digits, ("low", "high"), strict=True))).where("low <> '' AND of IS NOT NULL")
+    return found.select("file", F.col("low").cast("int").alias("low"), F.col("high").cast("int").alias("high"), "of.industry", "of.name", "line")
 
 
-def industry_ranges(spark: SparkSession, lines: Sequence[str]) -> DataFrame:
-    return spark.createDataFrame(range_lines(lines), "low int, high int, industry int, name string, line int")
+def industry_ranges(spark: SparkSession, path: str) -> DataFrame:
+    """The ranges of stored files; their lines are numbered from 0."""
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
+    return range_lines(whole)
 
 
 def first_table(spark: SparkSession, names: Sequence[str]) -> DataFrame:
@@ -92,13 +101,19 @@ def first_table(spark: SparkSession, names: Sequence[str]) -> DataFrame:
     raise ValueError(f"none of these tables exists: {', '.join(names)}")
 
 
-def jdbc(spark: SparkSession, url: str, query: str, column: str | None = None, bounds: tuple[int, int, int] | None = None, **options: str) -> DataFrame:
-    """A remote query, in one read or in ``bounds = (low, high, parts)`` ranges of a column."""
+def jdbc(spark: SparkSession, url: str, query: str, column: str | None = None, parts: int = 8, **options: str) -> DataFrame:
+    """A remote query, in one read or in ``parts`` reads of ranges of a column whose bounds the source is asked for.
+
+    Filters on the result go to the source. A source without rows is read at once.
+    """
     reader = spark.read.format("jdbc").option("url", url).options(**options)
     if column is None:
         return reader.option("query", query).load()
-    low, high, parts = bounds or (0, 1, 1)
-    return reader.option("dbtable", f"({query}) q").options(partitionColumn=column, lowerBound=low, upperBound=high, numPartitions=parts).load()
+    low, high = reader.option("query", f"SELECT min({column}) AS low, max({column}) AS high FROM ({query}) q").load().first()
+    whole = spark.read.format("jdbc").option("url", url).options(**options).option("dbtable", f"({query}) q")
+    if low is None:
+        return whole.load()
+    return whole.options(partitionColumn=column, lowerBound=str(low), upperBound=str(high), numPartitions=str(parts)).load()
 
 
 def by_year(read: object, first: int, last: int) -> DataFrame:

@@ -1,14 +1,14 @@
-"""Writers. Spark's committer makes each write whole or absent; small reports are formatted on the driver."""
+"""Writers. A committer makes each write whole or absent; nothing passes through the driver."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonequarry.functions.columns import finite
+from tonequarry.sources import files
 
 
 def parquet(df: DataFrame, path: str, by: Sequence[str] = (), mode: str = "overwrite") -> None:
@@ -29,25 +29,20 @@ def digest(content: str = "content") -> Column:
     return F.sha2(F.col(content), 256)
 
 
-def texts(df: DataFrame, folder: str, name: str = "accession", text: str = "text") -> int:
-    """A few sampled texts, one file each; rows come one by one."""
-    Path(folder).mkdir(parents=True, exist_ok=True)
-    n = 0
-    for row in df.select(name, text).toLocalIterator():
-        Path(folder, f"{row[0]}.txt").write_text(row[1] or "", encoding="utf-8")
-        n += 1
-    return n
+def texts(df: DataFrame, folder: str, name: str = "accession", text: str = "text", again: bool = True) -> None:
+    """One text file for each row, written by the tasks; ``again`` as in ``files.write``."""
+    files.write(df.select(F.concat(F.col(name).cast("string"), F.lit(".txt")).alias("name"), F.col(text).cast("string").alias("text")), folder, "name", "text", again)
 
 
-def markdown(df: DataFrame, title: str = "", digits: int = 4, most: int = 10_000) -> str:
-    """A small result as a Markdown table; larger ones are refused rather than cut."""
-    rows = df.limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError("the result is too long for a report")
+def markdown(df: DataFrame, order: Sequence[str], title: str = "", digits: int = 4) -> DataFrame:
+    """``(place, line)``: a result as the lines of a Markdown table, made by the tasks; ``place`` gives their order.
 
-    def cell(v: object) -> str:
-        return "" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v)
-
-    lines = [f"## {title}", ""] if title else []
-    lines += ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-    return "\n".join([*lines, *("| " + " | ".join(map(cell, r)) + " |" for r in rows)]) + "\n"
+    A table's rows are numbered in one sorted task: it is meant for the few rows of a report. Ties keep no order.
+    """
+    head = ([f"## {title}", ""] if title else []) + ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
+    cell = lambda n, t: F.coalesce(F.format_string(f"%.{digits}f", F.col(n).cast("double")) if t in {"double", "float"} else F.col(n).cast("string"), F.lit(""))
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *(cell(n, t) for n, t in df.dtypes)), F.lit(" |"))
+    place = F.row_number().over(Window.orderBy(*order)) + F.lit(len(head))
+    body = df.select(place.cast("long").alias("place"), line.alias("line"))
+    top = df.sparkSession.createDataFrame(list(enumerate(head, 1)), "place long, line string")
+    return top.unionByName(body)
