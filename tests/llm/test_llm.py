@@ -279,7 +279,7 @@ def test_short_lines_against_force(spark):
 
 def test_lines_in_small_blocks(spark, monkeypatch, by_value):
     """Pairs of tokens as keys, keys dealt to blocks, the second pass, and steps of a few bytes and pairs."""
-    for name, value in {"GROUP": 3, "SPLIT": 4, "PAIRS": 7, "STEP": 50, "TOGETHER": 5, "STRIDE": 7, "SEEN": 9, "LONG_WORD": 2}.items():
+    for name, value in {"GROUP": 3, "SPLIT": 4, "PAIRS": 7, "STEP": 50, "TOGETHER": 5, "STRIDE": 7, "SEEN": 9, "TWO": 3}.items():
         monkeypatch.setattr(lines, name, value)
     rng = random.Random(10)
     texts = ["\n".join(" ".join(rng.choices("a b c d e f g h".split(), k=rng.randrange(7))) for _ in range(3)) for _ in range(30)] + planted_lines()[:90]
@@ -836,7 +836,7 @@ def edited_texts():
 
 
 def test_near_dedup_in_small_blocks(spark, monkeypatch, by_value):
-    for name, value in {"GROUP": 3, "PAIRS": 7, "STEP": 50, "TOGETHER": 5, "STRIDE": 7, "SEEN": 9, "LONG_WORD": 2}.items():
+    for name, value in {"GROUP": 3, "PAIRS": 7, "STEP": 50, "TOGETHER": 5, "STRIDE": 7, "SEEN": 9, "TWO": 3}.items():
         monkeypatch.setattr(lines, name, value)
     texts = edited_texts()
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs_of(spark, texts), SF).select("doc_id").collect()} == kept_by_force(texts)

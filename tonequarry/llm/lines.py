@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonequarry.llm.common import KEPT, apart, discard, narrow_batches, release, saved, tidy, unused, width, written
+from tonequarry.llm.common import apart, discard, narrow_batches, release, saved, tidy, unused, width, written
 
 #: Similarity as a fraction, so that comparisons are exact.
 UP, DOWN = 4, 5
@@ -47,8 +47,8 @@ SPLIT = 1 << 18
 STEP, PAIRS, GATHERED = 1 << 20, 1 << 18, 1 << 25
 #: Sets in one packed value: small enough for the JVM to move about.
 TOGETHER = 1 << 12
-#: Words that are hashed at once, hashes that a task keeps, and the longest word that it keeps one of.
-STRIDE, ROOM, LONG_WORD = 1 << 14, 1 << 16, 64
+#: Words that are hashed at once, and the longest one whose bytes are taken as two integers.
+STRIDE, TWO = 1 << 14, 16
 #: Classes whose first line a task remembers while it reads.
 SEEN = 1 << 14
 
@@ -60,56 +60,55 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(29)
 
 
-class Hashes(dict):
-    """Words' 128-bit hashes in two arrays, by number: frequent words are hashed once. Forgets all when it is full."""
+#: What is left of an integer's bytes for each number of them.
+HEADS = np.array([(1 << 8 * n) - 1 for n in range(9)], "u8")
+
+
+def stirred(x: np.ndarray) -> np.ndarray:
+    """A one-to-one mixing of 64 bits in which every bit depends on all."""
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
 
-    def __init__(self):
-        super().__init__()
-        self.used, self.low, self.high = 0, np.zeros(ROOM, "u8"), np.zeros(ROOM, "u8")
-
-    def __missing__(self, word: bytes) -> int:
-        i, h = self.used, xxhash.xxh3_128_intdigest(word)
-        self.low[i], self.high[i] = h & 0xFFFFFFFFFFFFFFFF, h >> 64
-        self.used += 1
-        if len(word) <= LONG_WORD:
-            self[word] = i
-        return i
-
-    def forget(self) -> None:
-        self.clear()
-        self.used = 0
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if self.used + len(words) > ROOM:
-            self.forget()
-        return np.fromiter(map(self.__getitem__, words), "i8", len(words))
-
-
-HASHES = Hashes()
-KEPT["words"] = HASHES.forget
-
-
-def hashes_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where the words of some bytes start, and the two halves of their hashes; words are what ASCII white space parts."""
-    buf = np.frombuffer(data, "u1")
-    space = (buf == 32) | ((buf >= 9) & (buf <= 13))
-    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
-    if len(buf) and not space[0]:
-        edges = np.append(0, edges)
-    if len(buf) and not space[-1]:
-        edges = np.append(edges, len(buf))
-    first, last = edges[0::2], edges[1::2]
-    low, high = np.zeros(len(first), "u8"), np.zeros(len(first), "u8")
-    for i in range(0, len(first), STRIDE):
-        j = min(i + STRIDE, len(first))
-        at = HASHES.of(data[first[i] : last[j - 1]].split())
-        low[i:j], high[i:j] = HASHES.low[at], HASHES.high[at]
-    return first, low, high
+
+class Words:
+    """The words of some bytes, parted by ASCII white space: where they ``start``, and the halves of their 128-bit hashes.
+
+    A word of up to ``TWO`` bytes is two integers and its length, which no other word has; these are mixed, all words at
+    once. Longer words are hashed one by one.
+    """
+
+    def __init__(self, data: bytes):
+        buf = np.frombuffer(data, "u1")
+        space = (buf == 32) | ((buf >= 9) & (buf <= 13))
+        edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+        if len(buf) and not space[0]:
+            edges = np.append(0, edges)
+        if len(buf) and not space[-1]:
+            edges = np.append(edges, len(buf))
+        self.data, self.start, self.length = data, edges[0::2], edges[1::2] - edges[0::2]
+        long = np.flatnonzero(self.length > TWO).tolist()
+        self.long = long, [xxhash.xxh3_128_intdigest(data[(a := int(self.start[i])) : a + int(self.length[i])]) for i in long]
+
+    def half(self, first: int) -> np.ndarray:
+        """One of the two hashes."""
+        view = np.ndarray((len(self.data) + 9,), "<u8", self.data + bytes(16), 0, (1,))
+        out = np.empty(len(self.start), "u8")
+        salt = np.uint64(0x9E3779B97F4A7C15 * (first + 1) & 0xFFFFFFFFFFFFFFFF)
+        for i in range(0, len(out), STRIDE):
+            at, n = self.start[i : i + STRIDE], self.length[i : i + STRIDE]
+            one = view[at] & HEADS[np.minimum(n, 8)]
+            two = view[at + 8] & HEADS[np.minimum(np.maximum(n - 8, 0), 8)]
+            out[i : i + STRIDE] = stirred(stirred(one ^ salt) * MIX2 + stirred(two + salt) + n.view("u8") * MIX)
+        rows, hashes = self.long
+        out[rows] = [h >> 64 * first & 0xFFFFFFFFFFFFFFFF for h in hashes]
+        return out
 
 
 def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Where the words of some bytes start, and their 64-bit hashes."""
-    return hashes_of(data)[:2]
+    words = Words(data)
+    return words.start, words.half(0)
 
 
 def tag_of(text: bytes) -> int:
@@ -142,7 +141,7 @@ def runs(column: pa.Array, cut: bool = True) -> Iterator[tuple[list[int], list[i
 
 
 class LineTokens:
-    """The words of a run's lines: ``token``, ``other`` (another hash) and ``owner`` of each, and the owners' rows and numbers.
+    """The words of a run's lines: ``token``, ``other()`` (another hash) and ``owner`` of each, and the owners' rows and numbers.
 
     Only lines with a word are owners.
     """
@@ -151,7 +150,8 @@ class LineTokens:
 
     def __init__(self, rows: list[int], numbers: list[int], parts: list[bytes]):
         data = b"\n".join(parts)
-        start, self.token, self.other = hashes_of(data)
+        self.words = Words(data)
+        start, self.token = self.words.start, self.words.half(0)
         ends = np.flatnonzero(np.frombuffer(data, "u1") == 10)
         line = np.searchsorted(ends, start)
         new = np.append(True, line[1:] != line[:-1])[: len(line)]
@@ -162,6 +162,10 @@ class LineTokens:
         self.numbers = np.array(numbers)[part] + used - (np.cumsum(counts) - counts)[part]
 
 
+    def other(self) -> np.ndarray:
+        return self.words.half(1)
+
+
 class Sets:
     """Distinct tokens by owner, the rarest first, ties by token."""
 
@@ -219,7 +223,7 @@ def counted(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.nda
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([parts[i].tobytes()], pa.binary())], ["chunk", "counts"])
 
     out = np.zeros((CHUNKS, COUNTERS // CHUNKS), "u4")
-    for chunk, counts in sums(rows.mapInArrow(tidy(tally, "words"), "chunk int, counts binary")).collect():
+    for chunk, counts in sums(rows.mapInArrow(tidy(tally), "chunk int, counts binary")).collect():
         out[chunk] = np.frombuffer(counts, "u4")
     return out.reshape(-1)
 
@@ -350,7 +354,7 @@ def token_sets(texts: DataFrame, spread: Broadcast, parts: int, take: type = Lin
                 t = take(*piece)
                 if not len(t.rows):
                     continue
-                s = Sets(t.token, t.other, t.owner, len(t.rows), spread.value)
+                s = Sets(t.token, t.other(), t.owner, len(t.rows), spread.value)
                 place = np.arange(len(s.token)) - np.repeat(s.starts, s.sizes)
                 length = prefix_length(s.sizes)
                 within = place < np.repeat(np.where(length > 0, length + 1, 0), s.sizes)
@@ -377,7 +381,7 @@ def token_sets(texts: DataFrame, spread: Broadcast, parts: int, take: type = Lin
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names)
 
-    return narrow_batches(texts).mapInArrow(tidy(run, "words"), "part int, heads binary, tokens binary, repeats binary")
+    return narrow_batches(texts).mapInArrow(tidy(run), "part int, heads binary, tokens binary, repeats binary")
 
 
 def classes_of(sets: DataFrame, parts: int) -> DataFrame:

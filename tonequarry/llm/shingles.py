@@ -20,13 +20,13 @@ from pyspark.sql import functions as F
 from tonequarry.llm import lines, simhash
 from tonequarry.llm.common import apart, discard, narrow_batches, release, saved, tidy, unused, width, written
 from tonequarry.llm.components import components
-from tonequarry.llm.lines import DOWN, GATHERED, MIX, POSTING, UP, ends_key, flags_of, hashes_of, mixed
+from tonequarry.llm.lines import DOWN, GATHERED, MIX, POSTING, UP, Words, ends_key, flags_of, mixed
 
 WORDS = 5
 
 
 class Shingles:
-    """The shingles of a run of texts: ``token``, ``other`` (another hash) and ``owner`` of each, and the owners' rows and numbers.
+    """The shingles of a run of texts: ``token``, ``other()`` (another hash) and ``owner`` of each, and the owners' rows and numbers.
 
     Words are lower-cased and parted as for op2; a text of fewer words than a shingle is one shingle; texts without
     words are left out.
@@ -36,22 +36,32 @@ class Shingles:
 
     def __init__(self, rows: list[int], numbers: list[int], parts: list[bytes]):
         data = b"\n".join(parts).lower()
-        start, *words = hashes_of(data)
+        self.words = Words(data)
+        start = self.words.start
         ends = np.cumsum([len(p) + 1 for p in parts])
         text = np.searchsorted(ends, start, "right")
         n = np.bincount(text, minlength=len(parts))
         after = np.cumsum(n)[text]  # the first word of the next text
         at = np.arange(len(start))
         use = np.flatnonzero((at + WORDS <= after) | ((n[text] < WORDS) & (at == after - n[text])))
-        self.token, self.other = np.zeros((2, len(use)), "u8")
-        for i in range(WORDS):
-            where, inside = np.minimum(use + i, len(start) - 1), use + i < after[use]
-            self.token, self.other = (mixed(out * MIX + np.where(inside, word[where], np.uint64(i))) for out, word in zip((self.token, self.other), words, strict=True))
+        self.use, self.after = use, after[use]
+        self.token = self.rolled(0)
         held = np.flatnonzero(n)
         self.owner = (np.cumsum(n > 0) - 1)[text[use]]
         self.rows = np.array(rows)[held]
         self.numbers = np.array([lines.tag_of(parts[i]) for i in held.tolist()], "i8")
 
+    def rolled(self, half: int) -> np.ndarray:
+        """One of the two hashes of each shingle, from those of its words."""
+        word, out = self.words.half(half), np.zeros(len(self.use), "u8")
+        for i in range(WORDS):
+            where, inside = np.minimum(self.use + i, len(word) - 1), self.use + i < self.after
+            out = mixed(out * MIX + np.where(inside, word[where], np.uint64(i)))
+        return out
+
+    def other(self) -> np.ndarray:
+        return self.rolled(1)
+
 
 def number_of(text: Column) -> Column:
     """What tells apart texts of one id, as ``lines.tag_of``."""
@@ -76,7 +86,7 @@ def prints(texts: DataFrame) -> DataFrame:
                     out.append(np.packbits(2 * counts > b - a).view(">i8")[0])
                 yield pa.RecordBatch.from_arrays([pa.array(ids[s.rows]), pa.array(s.numbers), pa.array(np.array(out, "i8"))], ["doc_id", "line", "fp"])
 
-    return texts.mapInArrow(tidy(run, "words"), "doc_id long, line long, fp long")
+    return texts.mapInArrow(tidy(run), "doc_id long, line long, fp long")
 
 
 def simhash_pairs(texts: DataFrame) -> DataFrame:
