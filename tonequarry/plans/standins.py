@@ -56,7 +56,7 @@ STANDINS = {
         SELECT doc_id, n_chars AS n_words, doc_id % 40 AS n_negative, doc_id % 30 AS n_positive, doc_id % 7 AS n_negation FROM {documents}""",
     "changes": """
         SELECT user_id % 40 AS accession, CAST(event_id AS BIGINT) AS seq, event_type AS status, CAST(user_id AS BIGINT) AS cik, round(value, 2) AS size FROM {events}""",
-    "log": "SELECT accession, 0 AS seq, min(status) AS status, min(cik) AS cik, CAST(0 AS DOUBLE) AS size FROM {changes} WHERE accession < 20 GROUP BY accession",
+    "log": "SELECT c_custkey % 60 + 20 AS accession, 0 AS seq, min(c_mktsegment) AS status, min(c_custkey) AS cik, CAST(0 AS DOUBLE) AS size FROM {customer} GROUP BY c_custkey % 60",
     "scores": """
         SELECT o_orderkey AS accession, round(100.0 * (o_orderkey * 37 % 29) / 200, 6) AS tone, round(100.0 * (o_orderkey * 37 % 29 - o_orderkey * 37 % 29 % 3) / 200, 6) AS tone_positive,
                round((o_orderkey * 53 % 97) / 97.0, 6) AS tfidf, round((o_orderkey * 53 % 97 - o_orderkey % 5) / 97.0, 6) AS tfidf_positive,

@@ -15,6 +15,7 @@ from tonequarry.operators import eventtime, links, regress, rows, stats, tone
 from tonequarry.plans import pipeline
 from tonequarry.plans.queries import CHECKED, CHECKS, DAYS, DENSE, EACH, EVENTS, HEAD, MOMENTS, NEAREST, SPAN, TERMS, TIME, TOKENS, VARIABLES, WORDS, Tables, query, rounded, word_list
 from tonequarry.sources import readers, sinks
+from tonequarry.sources.versioned import VersionedTable
 
 # --- funnel ----------------------------------------------------------------------------------------------------------
 
@@ -439,6 +440,23 @@ def _(t: Tables) -> DataFrame:
     return back.select(F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("long").alias("doc_id"), sinks.digest().alias("sha"), "length")
 
 
+@query(
+    "SNK6_versioned_upserts",
+    """WITH b AS (SELECT user_id AS accession, event_id AS cik, event_type AS status, round(value, 2) AS size, (day(ts) - 1) // 11 AS batch, event_id FROM events),
+        last AS (SELECT accession, status, size, batch FROM b QUALIFY row_number() OVER (PARTITION BY accession ORDER BY batch DESC, event_id DESC) = 1),
+        first AS (SELECT accession, cik FROM b QUALIFY row_number() OVER (PARTITION BY accession ORDER BY batch, event_id DESC) = 1)
+        SELECT last.accession, cik, status, size, 3 AS version, 0 AS damaged FROM last JOIN first ON first.accession = last.accession""",
+)
+def _(t: Tables) -> DataFrame:
+    """Three batches of changes put into a versioned table; the first row of a key keeps its cik."""
+    days = t("events").select(F.col("user_id").alias("accession"), F.col("event_id").alias("cik"), F.col("event_type").alias("status"), F.round("value", 2).alias("size"), F.floor((F.dayofmonth("ts") - 1) / 11).alias("batch"))
+    table = VersionedTable(t.spark, scratch(t.spark), "accession long, cik long, status string, size double", "accession", ["cik"], 8)
+    for i in range(3):
+        version = table.upsert(days.where(F.col("batch") == i), [F.desc("cik")])
+    damaged = table.damaged().agg(F.count("*").cast("int").alias("damaged"))
+    return table.read().withColumn("version", F.lit(version)).crossJoin(F.broadcast(damaged))  # one row
+
+
 @query("SNK8_markdown", "SELECT place, line FROM (SELECT 1 AS place, '| o_orderpriority | n | total |' AS line UNION ALL SELECT 2, '|---|---|---|' UNION ALL SELECT 2 + row_number() OVER (ORDER BY o_orderpriority), '| ' || o_orderpriority || ' | ' || count(*) || ' | ' || printf('%.1f', round(avg(o_totalprice), 1)) || ' |' FROM orders GROUP BY o_orderpriority)")
 def _(t: Tables) -> DataFrame:
     few = t("orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 1).alias("total"))
