@@ -8,6 +8,7 @@ holds more than 65,536 counts for each place, or ``LISTED`` rows, whatever the n
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -39,12 +40,17 @@ def ordered_bits(v: Column) -> Column:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """A small table of counts with its lineage cut, where the session names a folder for that; else as it is."""
+    """A table of counts or of a few columns with its lineage cut, in the folder that the session names for that.
+
+    Without one: with a local master in a temporary folder, as in tests; on a cluster it is cached, lineage and all.
+    """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = context.getConf().get("spark.checkpoint.dir")
         if folder is None:
-            return df.cache()
+            if context.master.split("[")[0] != "local":
+                return df.cache()
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
