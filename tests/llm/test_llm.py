@@ -714,20 +714,54 @@ def test_secrets_of_a_text_full_of_them(spark):
     assert got.base_sha256 == hashlib.sha256(",".join(base_spans(text)).encode()).hexdigest() and time.time() - began < 60
 
 
-@needs_tables
-def test_ownership_against_force(spark, documents):
-    """The added spans of all documents, by a loop over the texts."""
-    loose = re.compile("[A-Za-z0-9+/_-]{20,}")
-    found, holders = {}, {}
-    for d in documents.itertuples():
-        base = [(m.start(), m.end(), m[2] if kind == "assign" else m[0]) for kind, p, ok in BASE for m in p.finditer(d.text) if ok(m)]
-        found[d.doc_id] = [m for m in loose.finditer(d.text) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and not any(a < m.end() and m.start() < b for a, b, _ in base)]
-        for value in {v for *_, v in base} | {m[0] for m in found[d.doc_id]}:
-            holders.setdefault(value, set()).add((d.source, d.lang))
-    rare = {v for v, h in holders.items() if len({s for s, _ in h}) < 3 and len(h) < 5 and len(set(v)) >= 8}
-    want = {i: [f"owned:{m.start()}:{m.end()}" for m in ms if m[0] in rare] for i, ms in found.items()}
-    got = {r.doc_id: [s for s in r.spans.split(",") if s.startswith("owned")] for r in queries.op9_secrets(spark, SF).collect()}
+def owned_by_force(rows):
+    """The added spans of (doc_id, text, lang, source) rows, by a loop over the texts."""
+    loose = re.compile("[A-Za-z0-9+/_-]{6,}")
+    plain = lambda v: re.sub("^[+/_.=-]+|[+/_.=-]+$", "", v)
+    found, holders, assigns = {}, {}, set()
+    for i, text, lang, source in rows:
+        base = [(m.start(), m.end(), m[2] if kind == "assign" else m[0], kind) for kind, p, ok in BASE for m in p.finditer(text or "") if ok(m)]
+        found[i] = [m for m in loose.finditer(text or "") if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and not any(a < m.end() and m.start() < b for a, b, *_ in base)]
+        for value in {v for _, _, v, _ in base} | {m[0] for m in found[i]}:
+            holders.setdefault(plain(value), set()).add((source, lang))
+        assigns |= {(source, plain(v)) for _, _, v, kind in base if kind == "assign"}
+    rare = {v for v, h in holders.items() if len({s for s, _ in h}) < 3 and len(h) < 5}
+    varied = lambda v: len(set(v)) >= min(8, -(-len(v) * 6 // 10))
+    return {i: [f"owned:{m.start()}:{m.end()}" for m in found[i] if plain(m[0]) in rare and varied(m[0]) and (len(m[0]) >= 20 or (source, plain(m[0])) in assigns)] for i, _, _, source in rows}
+
+
+def owned_rows():
+    """Values that their owner reuses bare, that others hold bare, that are examples, long, dull, or in pieces of others."""
+    r = random.Random(11)
+    values = [f"{r.choice('abXYq')}{r.randrange(10**5):05d}{'kZ' * (i % 3)}" for i in range(12)] + ["aaaaaa1", "Qw-9rt_7uiop", KEY, "hunter2"]
+    rows = []
+    for i in range(240):
+        v = r.choice(values)
+        text = r.choice([f"password={v}", f"token: '{v}'.", f"it is {v}.", f"see {v}, x{v}y and ({v})", f"secret={v}; {v} =={v}==", f"AKIA{r.randrange(10**16):016d} {v}", "nothing", "", None])
+        near = values.index(v) if r.random() < 0.7 else r.randrange(20)
+        rows.append((i, text, r.choice(["en", "de"]), None if near % 9 == 8 else f"s{near}"))
+    return rows
+
+
+def test_ownership_of_planted_values(spark):
+    rows = owned_rows()
+    want = owned_by_force(rows)
+    assert sum(map(len, want.values())) > 20 and sum(not w for w in want.values()) > 30
+    docs = spark.createDataFrame([(i, t, g, s, None, "x", 1) for i, t, g, s in rows], DOCS)
+    got = {r.doc_id: [s for s in r.spans.split(",") if s.startswith("owned")] for r in secrets.report(secrets.scan(docs)).collect()}
     assert got == want
+    masked = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert all(masked[i].count("[secret]") >= len(w) for i, w in want.items() if w)
+
+
+@needs_tables
+def test_ownership_against_force(spark):
+    """Over all documents of the largest table at hand, which holds base matches."""
+    folder = next(f for f in ("/root/testdata/sf0.1", "/root/testdata/sf0.01", SF) if os.path.isdir(f))
+    documents = spark.read.parquet(f"{folder}/documents.parquet").toPandas()
+    got = {r.doc_id: r for r in queries.op9_secrets(spark, folder).collect()}
+    assert {i: [s for s in r.spans.split(",") if s.startswith("owned")] for i, r in got.items()} == owned_by_force(list(zip(documents.doc_id, documents.text, documents.lang, documents.source, strict=True)))
+    assert folder == SF or sum(r.n_assign for r in got.values()) > 10
 
 
 @needs_tables

@@ -1,9 +1,10 @@
 """Secret scanning with DataFrame functions only: base patterns, and corpus-wide ownership of candidate values.
 
 Matches' places come from cutting the text at them: the pieces between matches and the matches have known lengths, so
-their running sums are the starts. Candidate values (those of base matches and other high-entropy strings) are hashed
+their running sums are the starts. Candidate values (those of base matches and other strings with digits) are hashed
 and counted by distinct owners and distinct repositories over the whole corpus. A value that many owners or many
-repositories hold is a copied example; one that few hold and that looks random is a live-looking credential.
+repositories hold is a copied example; one that few hold and that looks random is a live-looking credential: a long
+string by itself, a shorter one where it stands bare in a text of the owner who assigns it elsewhere.
 
 Arrays of n matches are summed and searched in blocks of about the square root of n, so that a text full of matches
 doesn't cost their square.
@@ -24,13 +25,16 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "owned")
-#: Strings that may be credentials without a base pattern; they need a digit and a letter besides.
-LOOSE = r"[A-Za-z0-9+/_-]{20,}"
-LEAST_VALUE = 6
+#: Strings that may be credentials without a base pattern; they need a digit and a letter. Those of ``LONG`` letters or more
+#: may be so by themselves, shorter ones only where their owner has assigned the same value elsewhere.
+LOOSE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{6,}"
+LONG, LEAST_VALUE = 20, 6
+#: What doesn't tell two values apart at their ends.
+ENDS = r"^[+/_.=-]+|[+/_.=-]+$"
 #: A value that so many distinct owners, or repositories of whatever owners, hold is a copied example.
 EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 5
-#: Different characters that a live-looking value has at least.
-LEAST_VARIETY = 8
+#: Different characters that a live-looking value has at least, and for short ones their share of its length.
+LEAST_VARIETY, LEAST_SHARE = 8, 0.6
 #: Parts that the rows of one value are dealt to when its counts return to them.
 SALT = 16
 
@@ -143,34 +147,50 @@ def candidates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     return rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "owner", "repository", "base", _outside(F.col("loose"), F.col("base")).alias("loose"))
 
 
+def plain(value: Column) -> Column:
+    """A value without the marks at its ends, by which its copies are told."""
+    return F.regexp_replace(value, ENDS, "")
+
+
+def named(owner: str) -> Column:
+    return F.coalesce(F.col(owner), F.lit("\0"))
+
+
 def ownership(found: DataFrame) -> DataFrame:
-    """``(hash, owners, repositories)`` of every candidate value of ``candidates``' rows, over the whole corpus.
+    """``(hash, owners, repositories, first, last)`` of every candidate value of ``candidates``' rows, over the whole corpus.
 
-    Counted in three steps, each summed before its shuffle: no task gets all rows of a value.
+    ``first`` and ``last`` are the least and the greatest of the owners who assign the value: all of them, where there are
+    at most two. Counted in three steps, each summed before its shuffle: no task gets all rows of a value.
     """
-    values = found.select("owner", "repository", F.explode(F.array_distinct(F.concat(F.transform("base", lambda s: s["value"]), F.transform("loose", lambda s: s["value"])))).alias("value"))
-    by_repository = values.select(F.sha2("value", 256).alias("hash"), "owner", "repository").distinct()
-    by_owner = by_repository.groupBy("hash", "owner").agg(F.count("*").alias("n"))
-    return by_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"))
+    assigned = KINDS.index("assign")
+    each = lambda c: F.transform(c, lambda s: F.struct(plain(s["value"]).alias("value"), (s["kind"] == assigned).alias("assigned")))
+    values = found.select(named("owner").alias("owner"), "repository", F.explode(F.array_distinct(F.concat(each(F.col("base")), each(F.col("loose"))))).alias("x"))
+    by_repository = values.groupBy(F.sha2("x.value", 256).alias("hash"), "owner", "repository").agg(F.bool_or("x.assigned").alias("assigned"))
+    by_owner = by_repository.groupBy("hash", "owner").agg(F.count("*").alias("n"), F.bool_or("assigned").alias("assigned"))
+    who = F.when(F.col("assigned"), F.col("owner"))
+    return by_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"), F.min(who).alias("first"), F.max(who).alias("last"))
 
 
 def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", owner: str = "source", repository: str = "lang") -> DataFrame:
     """``(doc_id, base, added, live)``: each row's base spans, those added, and those of base that look live.
 
     A span of ``added`` is a loose candidate that fewer than ``EXAMPLE_OWNERS`` owners and fewer than
-    ``EXAMPLE_REPOSITORIES`` repositories hold and that has at least ``LEAST_VARIETY`` different characters; a live base
-    span likewise. Null and empty texts have no spans; a null owner is one owner; rows repeat as they stand; ties
-    between spans go by kind; an empty table gives no rows.
+    ``EXAMPLE_REPOSITORIES`` repositories hold, that has enough different characters for its length, and that is long or
+    is assigned by the same owner somewhere; a live base span is one that few hold and that varies as much. Null and empty
+    texts have no spans; a null owner is one owner; rows repeat as they stand; ties between spans go by kind; an empty table gives no rows.
     """
     found = saved(candidates(docs, id_column, text_column, owner, repository))
     few = ownership(found).where((F.col("owners") < EXAMPLE_OWNERS) & (F.col("repositories") < EXAMPLE_REPOSITORIES))
-    few = few.select("hash", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
-    spans = found.where((F.size("base") > 0) | (F.size("loose") > 0)).select("rid", F.explode(F.concat("base", "loose")).alias("span"))
-    varied = F.size(F.array_distinct(F.split("span.value", ""))) >= LEAST_VARIETY
-    spans = spans.where(varied).select("rid", "span", F.sha2("span.value", 256).alias("hash"), F.pmod("rid", F.lit(SALT)).cast("int").alias("salt"))
-    owned = spans.join(few, ["hash", "salt"]).groupBy("rid").agg(F.array_sort(F.collect_list("span")).alias("owned"))
-    rows = found.join(owned, "rid", "left").withColumn("owned", F.coalesce("owned", F.array().cast(SPAN)))
+    few = few.select("hash", "first", "last", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
     loose = KINDS.index("owned")
+    spans = found.where((F.size("base") > 0) | (F.size("loose") > 0)).select("rid", named("owner").alias("holder"), F.explode(F.concat("base", "loose")).alias("span"))
+    length = F.char_length("span.value")
+    varied = F.size(F.array_distinct(F.split("span.value", ""))) >= F.least(F.lit(LEAST_VARIETY), F.ceil(length * LEAST_SHARE))
+    spans = spans.where(varied).select("rid", "holder", "span", F.sha2(plain(F.col("span.value")), 256).alias("hash"), F.pmod("rid", F.lit(SALT)).cast("int").alias("salt"))
+    own = F.coalesce((F.col("holder") == F.col("first")) | (F.col("holder") == F.col("last")), F.lit(False))
+    held = spans.join(few, ["hash", "salt"]).where((F.col("span.kind") != loose) | (F.char_length("span.value") >= LONG) | own)
+    owned = held.groupBy("rid").agg(F.array_sort(F.collect_list("span")).alias("owned"))
+    rows = found.join(owned, "rid", "left").withColumn("owned", F.coalesce("owned", F.array().cast(SPAN)))
     added, live = F.filter("owned", lambda s: s["kind"] == loose), F.filter("owned", lambda s: s["kind"] != loose)
     return rows.select("doc_id", "base", added.alias("added"), live.alias("live"))
 
