@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of one place that are listed and sorted at once.
-LISTED = 1 << 14
+LISTED = 1 << 18
 #: Bits by which the rows of a place are told apart at once.
 STEP = 16
 
