@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from tonequarry.functions.columns import percent
 from tonequarry.functions.text import tokens
+from tonequarry.operators import counting
+
 
 def dictionary(words: DataFrame, rule: str = "nonzero") -> DataFrame:
     """``(word, neg, pos)`` from signed year flags: any flag, also of a word removed later, or only present ones."""
@@ -21,26 +23,38 @@ def dictionary(words: DataFrame, rule: str = "nonzero") -> DataFrame:
 
 
 def _each(docs: DataFrame, key: str, text: str, words: DataFrame) -> DataFrame:
-    """``(doc_id, word, neg, pos)`` of each token that is in the dictionary.
-
-    The token list is a table of words: Spark broadcasts it while it is small and sorts both sides otherwise.
-    """
+    """``(key, word, neg, pos)`` of each token that is in the dictionary, by a join: for dictionaries beyond ``counting``'s bounds."""
     each = docs.select(key, F.explode(tokens(F.upper(F.coalesce(F.col(text), F.lit(""))))).alias("word"))
-    return each.join(words, "word")
+    flags = (F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in ("neg", "pos"))
+    return each.join(words.groupBy("word").agg(*flags), "word")
 
 
 def term_counts(docs: DataFrame, words: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, word, tf, neg, pos)`` of dictionary words: counted within each task before the shuffle."""
-    return _each(docs, key, text, words).groupBy(key, "word").agg(F.count("*").alias("tf"), F.bool_or("neg").alias("neg"), F.bool_or("pos").alias("pos"))
+    """``(doc_id, word, tf, neg, pos)`` of dictionary words: counted within each task before the shuffle.
+
+    Rows of one key are one document. A word that stands twice in ``words`` counts once, with the flags of both rows; a
+    null flag is false.
+    """
+    known = counting.loaded(words)
+    if known is None:
+        each = _each(docs, key, text, words).withColumn("tf", F.lit(1).cast("long"))
+    else:
+        each = counting.terms(docs, known, key, text).withColumnRenamed("key", key)
+    return each.groupBy(key, "word").agg(F.sum("tf").alias("tf"), F.bool_or("neg").alias("neg"), F.bool_or("pos").alias("pos"))
 
 
 def word_counts(docs: DataFrame, words: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, n_words, n_neg, n_pos)`` of every document: tokens in the dictionary and those of its lists.
 
-    One grouping by document; documents without a known token have zeros.
+    One grouping by document of one row a text; documents without a known token have zeros. Keys, repeated words and
+    null flags as in ``term_counts``.
     """
-    known = _each(docs, key, text, words).select(key, F.lit(1).alias("n"), F.col("neg").cast("int").alias("neg"), F.col("pos").cast("int").alias("pos"))
-    every = known.unionByName(docs.select(key, *(F.lit(0).alias(c) for c in ("n", "neg", "pos"))))
+    known = counting.loaded(words)
+    if known is None:
+        found = _each(docs, key, text, words).select(key, F.lit(1).alias("n"), F.col("neg").cast("int").alias("neg"), F.col("pos").cast("int").alias("pos"))
+        every = found.unionByName(docs.select(key, *(F.lit(0).alias(c) for c in ("n", "neg", "pos"))))
+    else:
+        every = counting.sums(docs, known, key, text).withColumnRenamed("key", key)
     return every.groupBy(key).agg(*(F.sum(c).alias(n) for c, n in (("n", "n_words"), ("neg", "n_neg"), ("pos", "n_pos"))))
 
 
