@@ -49,8 +49,3 @@ def upsert(state: DataFrame, changes: DataFrame, key: str, keep: Sequence[str],
     fixed = state.select(key, *(F.col(c).alias(f"__{c}") for c in keep))
     renewed = latest.join(fixed, key, "left").select(*((F.coalesce(F.col(f"__{c}"), F.col(c)).alias(c) if c in keep else F.col(c)) for c in state.columns))
     return state.join(latest.select(key), key, "left_anti").select(*state.columns).unionByName(renewed)
-
-
-def todo(work: DataFrame, done: DataFrame, key: str) -> DataFrame:
-    """Work whose key isn't done."""
-    return work.join(done.select(key), key, "left_anti")

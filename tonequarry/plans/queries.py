@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tonequarry.functions import columns as C
 from tonequarry.functions.text import clean_text
-from tonequarry.operators import eventtime, links, regress, rows, stats, tone
+from tonequarry.operators import eventtime, links, membership, regress, rows, stats, tone
 from tonequarry.plans import pipeline
 from tonequarry.plans.standins import frame, sql
 from tonequarry.sources import readers, sinks
@@ -172,7 +172,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("FLT5_anti_membership", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT doc_id FROM documents)")
 def _(t: Tables) -> DataFrame:
-    return rows.todo(t("orders").select("o_orderkey"), t("documents").select(F.col("doc_id").alias("o_orderkey")), "o_orderkey")
+    return membership.todo(t("orders").select("o_orderkey"), t("documents").select(F.col("doc_id").alias("o_orderkey")), "o_orderkey")
 
 
 @query("FLT6_between", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_extendedprice / l_quantity BETWEEN 950 AND 1050")
@@ -330,7 +330,7 @@ def _(t: Tables) -> DataFrame:
 @query("JN16_semi_join", "SELECT accession FROM {filings} WHERE accession IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def _(t: Tables) -> DataFrame:
     good = t("labels").where("quality = 1").select(F.col("doc_id").alias("accession"))
-    return t("filings").join(good, "accession", "left_semi").select("accession")
+    return membership.known(t("filings").select("accession"), good, "accession")
 
 
 DENSE = "SELECT c.code, r.industry FROM range(0, 10000) c(code) JOIN {ranges} r ON c.code BETWEEN r.low AND r.high QUALIFY row_number() OVER (PARTITION BY c.code ORDER BY r.line DESC) = 1"
