@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tonequarry.functions.columns import accession_of, finite, label
-from tonequarry.functions.text import clean_text, opened
+from tonequarry.functions.text import clean_body, opened
+from tonequarry.sources import archives
 
 # Form types and their families.
 FAMILIES = {"10-K": "10K", "10-K405": "10K", "10-KSB": "10K", "10-K/A": "10KA", "10-K405/A": "10KA", "10-KSB/A": "10KA", "10-KT": "10KT", "10-KT/A": "10KT"}
@@ -69,9 +70,8 @@ def missing_quarters(rows: DataFrame, date: str) -> DataFrame:
 
 def filings(spark: SparkSession, path: str) -> DataFrame:
     """``(path, length, clean, ok, error)`` of compressed filings, one row per file; a bad file is a row with an error."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt.gz").load(path)
-    found = files.select("path", opened("content").alias("x"))
-    return found.select("path", "x.length", F.when(F.col("x.ok"), clean_text(F.col("x.raw"))).alias("clean"), "x.ok", "x.error")
+    found = archives.bodies(spark, path)
+    return found.select("path", "length", F.when(F.col("ok"), clean_body(F.col("body"))).alias("clean"), "ok", "error")
 
 
 def range_lines(lines: DataFrame) -> DataFrame:
