@@ -74,3 +74,30 @@ def test_no_task_grows_with_the_input(spark):
     df = spark.range(1000).select(F.col("id").cast("double").alias("x"))
     plan = stats.winsorize(df, ["x"])._jdf.queryExecution().toString()
     assert "percentile" not in plan
+
+
+def test_a_table_is_read_twice_and_described_from_one_making(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def seen(x):
+        made.add(1)
+        return float(x * x % 1009)
+
+    df = spark.range(1000).select(seen("id").alias("x"), F.col("id").alias("y"))
+    values = pd.Series([float(i * i % 1009) for i in range(1000)])
+    assert selection.quantiles(df, {"x": F.col("x")}, [0.25, 0.5]).first().cuts == [values.quantile(0.25), values.quantile(0.5)]
+    assert made.value == 2000
+    made.value = 0
+    assert {r.variable: r.median for r in stats.describe(df, ["x", "y"]).collect()} == {"x": values.median(), "y": 499.5}
+    assert [r.value for r in stats.quantiles(df, "x", [0.5]).collect()] == [values.median()]
+    assert made.value == 2000
+
+
+def test_a_large_table_needs_no_bits(spark, monkeypatch):
+    monkeypatch.setattr(selection, "_by_bits", None)
+    monkeypatch.setattr(selection, "SHARP", 100)
+    df = spark.range(50_000).select((F.col("id") * 7919 % 50_021 / 3).alias("x"))
+    want = df.toPandas().x
+    at = [0.0, 0.003, 0.37, 0.5, 0.99, 1.0]
+    assert selection.quantiles(df, {"x": F.col("x")}, at).first().cuts == [want.quantile(p) for p in at]
