@@ -77,3 +77,14 @@ def test_no_token_is_a_row_of_the_plan(spark):
     words = spark.createDataFrame([("LOSS", True, False)], "word string, neg boolean, pos boolean")
     plan = tone.word_counts(docs, words)._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "Join" not in plan and plan.count("Exchange") == 1
+
+
+@pytest.mark.parametrize("name", ["SCR2_section_tone", "TXT11_sizes", "TXT1_clean_text", "TXT1b_markup", "AGG18_weighted_sums"])
+def test_workers_get_texts_in_small_batches(spark, name):
+    from tonequarry.plans import queries
+
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": (10_000, 512), "spark.sql.execution.arrow.maxBytesPerBatch": (1 << 28, 4 << 20)}
+    for key, (large, _) in limits.items():
+        spark.conf.set(key, str(large))
+    assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").columns
+    assert all(int(spark.conf.get(key)) <= most for key, (_, most) in limits.items())

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 import gc
 import tempfile
 import uuid
@@ -12,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tonequarry.functions.batches import given_back, narrow_batches  # noqa: F401  others take it from here
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the tables in ``sf_dir``; the path may be of any store that Spark reads."""
@@ -34,29 +35,6 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
-#: Rows and bytes of a batch that goes to a Python worker, at most: texts are long, and a worker holds a few batches.
-BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
-
-
-def narrow_batches(df: DataFrame) -> DataFrame:
-    """``df``, whose session hands its rows to Python workers in batches of bounded size.
-
-    These settings of the session change no result; smaller values stay.
-    """
-    conf = df.sparkSession.conf
-    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
-        key = f"spark.sql.execution.arrow.{name}"
-        if not 0 < _size(conf.get(key)) <= most:
-            conf.set(key, str(most))
-    return df
-
-
-def _size(text: str) -> int:
-    """A setting's number of rows or bytes; one with a larger unit counts as unbounded."""
-    text = text.lower().removesuffix("b")
-    return int(text) if text.lstrip("-").isdigit() else 0
-
-
 #: What a worker keeps between its tasks, by name, and how it forgets it.
 KEPT: dict[str, Callable[[], None]] = {}
 
@@ -72,9 +50,7 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], ke
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
-                trim(0)
+            given_back()
 
     return wrapped
 
