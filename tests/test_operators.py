@@ -434,3 +434,17 @@ def test_empty_tables(spark):
     assert links.linked(f, u, h).count() == 0
     days = eventtime.trading_days(spark.createDataFrame([], BARS))
     assert eventtime.checks(eventtime.event_days(f, days), days).count() == 0
+
+
+def test_event_windows_are_dealt_by_the_size_of_the_input(spark, monkeypatch):
+    from tonequarry.operators import eventtime
+    from tonequarry.plans.queries import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    found = lambda: eventtime.checks(t("filings"), eventtime.trading_days(t("daily")))
+    usual = found()
+    monkeypatch.setattr(eventtime, "PART_BYTES", 20_000)
+    more = found()
+    plan = lambda df: df._jdf.queryExecution().toString()
+    assert "REPARTITION_BY_NUM" in plan(more) and "REPARTITION_BY_NUM" not in plan(usual)
+    assert sorted(more.collect()) == sorted(usual.collect())
