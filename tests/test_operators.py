@@ -448,3 +448,21 @@ def test_event_windows_are_dealt_by_the_size_of_the_input(spark, monkeypatch):
     plan = lambda df: df._jdf.queryExecution().toString()
     assert "REPARTITION_BY_NUM" in plan(more) and "REPARTITION_BY_NUM" not in plan(usual)
     assert sorted(more.collect()) == sorted(usual.collect())
+
+
+def test_databases_are_asked_where_they_stand(spark, tmp_path):
+    """Databases are made and asked by tasks: nulls, several databases of one task, ranges of keys, and no driver's memory."""
+    df = spark.createDataFrame([(i, None if i % 7 == 0 else i * 0.5, f"t{i % 3}") for i in range(100)], "k long, v double, s string").repartition(3)
+    readers.databases(df, "k", str(tmp_path / "db"), "rows", 10)
+    assert spark.read.parquet(str(tmp_path / "db")).count() >= 10
+    got = readers.pulled(spark, str(tmp_path / "db"), "SELECT k, v FROM rows WHERE s <> 't1'", "k long, v double")
+    assert sorted(map(tuple, got.collect())) == [(i, None if i % 7 == 0 else i * 0.5) for i in range(100) if i % 3 != 1]
+    assert readers.pulled(spark, str(tmp_path / "db"), "SELECT k FROM rows", "k long", low=1000).count() == 0
+
+
+def test_the_pulled_database_is_no_jvm_s_own(spark):
+    """The plan of the pull holds no connection to a database in the driver's memory, which executors can't reach."""
+    from tonequarry.plans import queries as plans
+
+    plan = plans.QUERIES["SRC1_remote_pull"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "JDBC" not in plan and "MapInArrow" in plan
