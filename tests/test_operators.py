@@ -466,3 +466,29 @@ def test_the_pulled_database_is_no_jvm_s_own(spark):
 
     plan = plans.QUERIES["SRC1_remote_pull"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "JDBC" not in plan and "MapInArrow" in plan
+
+
+def test_only_wanted_variables_are_summed(spark):
+    """What isn't wanted has no running sum and no lookup; what is wanted is as it is among all."""
+    bars = spark.sql("SELECT 1 AS permno, date_add(DATE '2000-01-01', CAST(id AS INT)) AS date, 10.0 + id % 7 AS prc, 100.0 AS vol, 0.001D * (id % 5) AS ret, 5.0 AS shrout, 1 AS exchcd, 0.001D AS vwretd, 0.001D * (id % 3) AS mktrf, 0.001D * (id % 4) AS smb, 0.001D * (id % 6) AS hml, 0.0001D AS rf FROM range(400)")
+    filings = spark.sql("SELECT 9 AS accession, 1 AS permno, DATE '2001-01-20' AS date_filed")
+    days = eventtime.trading_days(bars)
+    every = eventtime.variables(filings, days).first().asDict()
+    some = eventtime.variables(filings, days, wanted=("excret", "size_b"))
+    assert None not in every.values()
+    assert some.first().asDict() == {n: every[n] for n in ("accession", "excret", "size_b")}
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "volume" not in plan and "s_x0" not in plan
+
+
+def test_unsolvable_quarters_count_by_weight(spark):
+    """As in the queries' SQL: a quarter of less than full rank has no coefficient, but its rows and weight count."""
+    r = random.Random(3)
+    rows = [(D(2000, 1 + 3 * q, 1 + i % 28), i % 3, r.random(), float(i % 10), float((i % 3) if q == 1 else i % 2)) for q in range(3) for i in range(60)]
+    panel = spark.createDataFrame(rows, "date_filed date, industry long, y double, x double, nasdaq double")
+    one = [regress.Setting("J", winsor="none")]
+    fits = {(f.quarter.month, f.variable): f.beta for f in regress.quarterly_fits(panel, {"c": ("y", "x")}, ["nasdaq"], one).collect()}
+    got = {f.variable: f for f in regress.fama_macbeth(panel, {"c": ("y", "x")}, ["nasdaq"], one, least_norm=False).collect()}
+    for v in ("x", "nasdaq"):
+        assert got[v].n == 180 and got[v].n_quarters == 3
+        assert got[v].coef == pytest.approx((fits[1, v] + fits[7, v]) / 3)
