@@ -33,9 +33,13 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return secrets.redact(docs)
 
 
+#: Words that a packing worker remembers: its executor's memory holds what the stages before have grown to.
+PACKING_ENTRIES = 200_000
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What remains is cut into sequences."""
-    return packing.pack(docs, VOCABULARY)
+    return packing.pack(docs, VOCABULARY, entries=PACKING_ENTRIES)
 
 
 STAGES = [("quality classifier", quality_classifier), ("line dedup", line_dedup), ("near dedup", near_dedup), ("secret scan", secret_scan), ("packing", pack)]

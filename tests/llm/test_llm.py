@@ -77,6 +77,20 @@ def test_bpe_cuts_are_certain():
     assert all(t[i : i + 2] in coder.pairs for t in ["hello", "world"] for i in range(len(t) - 1))
 
 
+def test_bpe_holds_no_more_than_it_needs():
+    """A worker loads the library's own splitter only for texts that need it, and remembers as few words as asked."""
+    coder = bpe.Bpe(VOCABULARY, 80)
+    texts = [f"word{i} naïve{i} {i}" for i in range(500)]
+    assert [coder.encode(t) for t in texts] == [bpe.bpe(VOCABULARY).encode(t) for t in texts]
+    assert max(len(m) + len(m.old) for m in (coder.pieces, coder.fragments)) <= 80
+    assert "library" not in vars(coder) and "decimals" not in vars(coder)
+
+
+def test_packing_with_small_caches_gives_the_same_pieces(spark):
+    docs = spark.createDataFrame([(i, f"word{i} tone{i * 7}. " * 40) for i in range(60)], "doc_id long, text string").coalesce(1)
+    assert packing.pack(docs, VOCABULARY, entries=16).collect() == packing.pack(docs, VOCABULARY).collect()
+
+
 def test_bpe_columns(spark, library):
     docs = docs_of(spark, ODD)
     got = {r.doc_id: r for r in bpe.digests(docs, VOCABULARY).collect()}

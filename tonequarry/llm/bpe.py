@@ -77,15 +77,14 @@ class _Memo(dict):
 class Bpe:
     """A word-end byte-level BPE vocabulary in the tokenizers library's JSON form."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
         kinds = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
         if model["type"] != "BPE" or kinds != ["NFC", "Replace", "Lowercase"]:
             raise ValueError("this form of vocabulary isn't supported")
-        #: Normalises and splits the texts that hold a code point of ``unassigned``.
-        self.library = Tokenizer.from_file(path)
         self.end = model["end_of_word_suffix"]
         vocab: dict[str, int] = model["vocab"]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
@@ -104,11 +103,19 @@ class Bpe:
         self.tokens = [""] * (max([*vocab.values(), *self.special.values()]) + 1)
         for token, i in [*vocab.items(), *self.special.items()]:
             self.tokens[i] = token
-        self.decimals = [str(i) for i in range(len(self.tokens))]
         #: The byte pairs that some token holds side by side; any other pair is a certain cut.
         self.pairs = {t[i : i + 2] for t in (v.removesuffix(self.end) for v in vocab) for i in range(len(t) - 1)}
-        self.fragments = _Memo(self._fragment, CACHE_ENTRIES // 8, CACHED_LENGTH)
-        self.pieces = _Memo(self._piece, CACHE_ENTRIES, CACHED_LENGTH)
+        self.fragments = _Memo(self._fragment, entries // 8, CACHED_LENGTH)
+        self.pieces = _Memo(self._piece, entries, CACHED_LENGTH)
+
+    @functools.cached_property
+    def library(self) -> Tokenizer:
+        """Normalises and splits the texts that hold a code point of ``unassigned``; most workers never load it."""
+        return Tokenizer.from_file(self.path)
+
+    @functools.cached_property
+    def decimals(self) -> list[str]:
+        return [str(i) for i in range(len(self.tokens))]
 
     def _fragment(self, fragment: str) -> bytes:
         """Ids of what lies between two cuts; a word's last fragment carries the word-end mark."""
@@ -160,9 +167,9 @@ class Bpe:
 
 
 @functools.lru_cache(maxsize=2)
-def bpe(path: str) -> Bpe:
-    """One for each worker process and file."""
-    return Bpe(path)
+def bpe(path: str, entries: int = CACHE_ENTRIES) -> Bpe:
+    """One for each worker process, file and size of its caches."""
+    return Bpe(path, entries)
 
 
 KEPT["bpe"] = bpe.cache_clear

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tonequarry.llm.bpe import bpe
+from tonequarry.llm.bpe import CACHE_ENTRIES, bpe
 from tonequarry.llm.common import narrow_batches, tidy
 
 SEQUENCE = 4096
@@ -159,17 +159,18 @@ def sentence_ends(tokens: list[str]) -> np.ndarray:
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", size: int = SEQUENCE) -> DataFrame:
+def pack(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", size: int = SEQUENCE, entries: int = CACHE_ENTRIES) -> DataFrame:
     """One row per piece: ``(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset)``.
 
     A null or empty text is the end id alone; repeated rows are packed as often as they stand; an empty table gives no
     row; texts of any length are cut as needed; other columns aren't read. The last window of a partition is cut into
     powers of two, which aren't padded, so small partitions cost no padding either. Ties go to the longer window.
+    ``entries`` bounds what a worker remembers of words: fewer take less memory and more time, the result is the same.
     """
     names = [x.split()[0] for x in PIECES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = bpe(path)
+        coder = bpe(path, entries)
         packer = Packer(sentence_ends(coder.tokens), TaskContext.get().partitionId() << 40, size)
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
