@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tonequarry.functions import columns as C
 from tonequarry.functions import text as T
 from tonequarry.operators import eventtime, links, regress, rows, stats, tone
+from tonequarry.plans import pipeline
 from tonequarry.sources import readers, sinks
 
 D = datetime.date
@@ -492,3 +493,44 @@ def test_unsolvable_quarters_count_by_weight(spark):
     for v in ("x", "nasdaq"):
         assert got[v].n == 180 and got[v].n_quarters == 3
         assert got[v].coef == pytest.approx((fits[1, v] + fits[7, v]) / 3)
+
+
+def test_rows_of_a_date_are_summed_in_one_task(spark):
+    start = datetime.date(2000, 1, 3)
+    rows = [(start + datetime.timedelta(days=i % 5), i % 3, float(i), float(i * i % 7)) for i in range(200)]
+    panel = spark.createDataFrame(rows, "date_filed date, industry int, y double, x double").repartition(8)
+    melted = regress._melted(panel, {"c": ["y", "x"]}, None)
+    places = melted.select("date_filed", F.spark_partition_id().alias("part")).distinct()
+    assert melted.count() == 200 and places.count() == 5
+
+
+def test_only_linked_securities_are_read_and_windows_asked_once(spark, monkeypatch):
+    day = datetime.date(2000, 1, 3)
+    linked = spark.createDataFrame([(1, 7, day), (2, 7, day), (3, 9, day), (4, None, day)], "accession long, permno long, date_filed date")
+    bars = spark.createDataFrame([(p, float(p)) for p in (1, 7, 7, 8, 9, 12)], "permno long, prc double")
+    (own,) = pipeline.of_securities(linked, bars)
+    assert sorted(r.permno for r in own.collect()) == [7, 7, 9]
+    (none,) = pipeline.of_securities(linked.where("permno IS NULL"), bars)
+    assert none.count() == 0
+
+    class Asked(Exception):
+        pass
+
+    def stop(asked, days):
+        raise Asked(sorted((r.accession, r.permno) for r in asked.collect()))
+
+    monkeypatch.setattr(pipeline.eventtime, "checks", stop)
+    monkeypatch.setattr(pipeline.eventtime, "trading_days", lambda daily: daily)
+    with pytest.raises(Asked) as found:
+        pipeline.attributes_and_variables(linked, None, None, None, None, pipeline.Options())
+    assert found.value.args[0] == [(1, 7), (3, 9)]
+
+
+def test_open_intervals_end_with_the_last_row_asking(spark):
+    d = datetime.date
+    history = spark.createDataFrame([(1, 10, d(1999, 1, 1), None), (1, 11, d(2000, 2, 1), d(2030, 1, 1)), (2, 12, d(2005, 1, 1), None), (2, 13, d(1998, 1, 1), d(1998, 6, 1))], "cik long, gvkey long, linkdt date, linkenddt date")
+    left = spark.createDataFrame([(1, 1, d(1999, 5, 1)), (2, 1, d(2000, 3, 1)), (3, 2, d(1998, 6, 1)), (4, 2, d(2000, 3, 1))], "accession long, cik long, date_filed date")
+    short = links.ended(history, "linkenddt", d(2000, 3, 1))
+    of = lambda h: sorted(tuple(r) for r in links.latest_valid(left, h, "cik", "accession", "date_filed", "linkdt", "linkenddt", ["gvkey"]).select("accession", "gvkey").collect())
+    assert of(short) == of(history) == [(1, 10), (2, 11), (3, 13)]
+    assert links.segments(short, "cik", "linkdt", "linkenddt").count() < 20 < links.segments(history, "cik", "linkdt", "linkenddt").count()
